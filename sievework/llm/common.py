@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 #: Rows up to which a measured side is broadcast; beyond it the join shuffles both sides.
 BROADCAST_ROWS = 20_000
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _folders: set[str] = set()
 
 
@@ -28,14 +31,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     root = scratch_root(spark)
-    if root not in _folders:
+    if root not in BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+_folders:
         _folders.add(root)
         atexit.register(_drop, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, BATCH_ROWS):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the actions inside: whole long texts then fit in a worker."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def _drop(spark: SparkSession, root: str) -> None:
     """Remove this application's scratch folder, if the session still lives."""
     context = spark.sparkContext
