@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, toxicity
+from . import pii, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,7 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": lambda spark, d: toxicity.op2_toxicity(_table(spark, d, "documents"), _table(spark, d, "labels")),
+        "op3_pii": _over("documents", pii.op3_pii),
         "op9_simhash": _over("documents", simhash.op9_simhash),
     }
 
