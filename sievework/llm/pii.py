@@ -50,6 +50,10 @@ GAZETTEER = {
     "email": r"\.(?:com|net|org|edu|gov|io|de|fr|es|uk|info)$", "ip": r"^(?!(?:0|127|255)\.)", "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)", "phone": r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9])",
     "secret": r"^(?:sk-|gh[pos]_|AKIA|xoxb-)|[a-f][0-9]|[0-9][a-f]", "ssn": r"^(?!000|666|9)", "name": r"\x20(?:Smith|Johnson|Williams|Brown|Jones|Miller|Davis|Garc\p{L}+|Martin|Bernard|Dubois|Müller|Schmidt|Schneider|Fischer|Weber|Meyer|Lopez|Gonz\p{L}+)$",
 }
+STRICT = {
+    "email": r"^[A-Za-z0-9][^@]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}$", "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$", "card": r"^(?:[0-9]{12,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2,3}[\x20-][0-9]{1,4})$", "phone": r"^\+[0-9]{1,3}[\x20(.-]|^\+[0-9]+$",
+    "secret": r"^(?:[a-f0-9]{32}|[a-f0-9]{40}|[a-f0-9]{64}|[^a-f0-9].*)$", "ssn": "^[0-9]", "name": r"\x20[^\x20]+\x20",
+}
 VOTES = ["strict", "format", "gazetteer", "context", "edges"]
 
 
@@ -92,7 +96,7 @@ def _found(text: Column, kind: str) -> Column:
             start = acc["at"] + F.length(gap)
             stop = start + F.length(hit)
             before, after = F.lower(F.right(gap, F.lit(40))), F.left(F.get(gaps, i + 1), F.lit(1))
-            votes = [F.lit(kind in BASE), _passes(kind, hit), hit.rlike(GAZETTEER[kind]), before.rlike(rf"(?:^|\P{{L}})(?:{CONTEXT[kind]})"), ~F.right(gap, F.lit(1)).rlike(r"[\p{L}0-9]") & ~after.rlike(r"[\p{L}0-9]")]
+            votes = [hit.rlike(STRICT[kind]), _passes(kind, hit), hit.rlike(GAZETTEER[kind]), before.rlike(rf"(?:^|\P{{L}})(?:{CONTEXT[kind]})"), ~F.right(gap, F.lit(1)).rlike(r"[\p{L}0-9]") & ~after.rlike(r"[\p{L}0-9]")]
             bits = sum((v.cast("int") * (1 << n) for n, v in enumerate(votes)), F.lit(0))
             one = F.struct(start.alias("start"), stop.alias("stop"), F.lit(KINDS.index(kind)).alias("kind"), bits.alias("votes"))
             return F.struct(stop.alias("at"), F.when(_passes(kind, hit), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
@@ -115,8 +119,7 @@ class SpanModel:
     """What expectation-maximisation learned, and the span classifier's chance for each kind and vote pattern."""
 
     prior: np.ndarray
-    hit: np.ndarray
-    false: np.ndarray
+    right: np.ndarray
     chance: np.ndarray
 
     def keeps(self, span: Column) -> Column:
@@ -132,19 +135,18 @@ def fit_spans(found: DataFrame, spans: str = "spans", rounds: int = 50) -> SpanM
     for r in rows:
         n[r.kind, r.votes] = r["count"]
     bits = (np.arange(32)[:, None] >> np.arange(len(VOTES))) & 1
-    prior, hit, false = np.full(len(KINDS), 0.6), np.full(len(VOTES), 0.85), np.full(len(VOTES), 0.3)
+    votes = np.where(bits == 1, 1, np.where(np.array(VOTES) == "context", 0, -1))  # no word nearby says nothing
+    prior, right = np.full(len(KINDS), 0.6), np.full(len(VOTES), 0.8)
     for _ in range(rounds):
-        up, down = (bits @ np.log(hit) + (1 - bits) @ np.log(1 - hit)), (bits @ np.log(false) + (1 - bits) @ np.log(1 - false))
-        post = 1 / (1 + np.exp(np.clip(down[None] - up[None] + np.log((1 - prior) / prior)[:, None], -50, 50)))
-        yes, no = n * post, n * (1 - post)
-        prior = np.clip((yes.sum(axis=1) + 6) / (n.sum(axis=1) + 10), 0.01, 0.99)
-        hit = np.clip((yes.sum(axis=0) @ bits + 8.5) / (yes.sum() + 10), 0.02, 0.98)
-        false = np.clip((no.sum(axis=0) @ bits + 3) / (no.sum() + 10), 0.02, 0.98)
-    x = np.array([[*(k == j for j in range(len(KINDS))), *bits[v], bits[v].sum() >= 4] for k in range(len(KINDS)) for v in range(32)], float)
+        post = 1 / (1 + np.exp(-(np.log(prior / (1 - prior))[:, None] + (votes @ np.log(right / (1 - right)))[None])))
+        agrees = (n * post).sum(axis=0) @ (votes == 1) + (n * (1 - post)).sum(axis=0) @ (votes == -1)
+        prior = np.clip(((n * post).sum(axis=1) + 6) / (n.sum(axis=1) + 10), 0.1, 0.9)
+        right = np.clip((agrees + 8) / (n.sum(axis=0) @ (votes != 0) + 10), 0.55, 0.97)
+    x = np.array([[*(k == j for j in range(len(KINDS))), *votes[v], votes[v].sum() >= 3] for k in range(len(KINDS)) for v in range(32)], float)
     share, w = n.ravel() / max(n.sum(), 1) + 1e-4, np.zeros(x.shape[1])
     for _ in range(500):
         w -= 2.0 * (x.T @ (share * (1 / (1 + np.exp(-x @ w)) - post.ravel())) + 1e-4 * w)
-    return SpanModel(prior, hit, false, (1 / (1 + np.exp(-x @ w))).reshape(len(KINDS), 32))
+    return SpanModel(prior, right, (1 / (1 + np.exp(-x @ w))).reshape(len(KINDS), 32))
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,5 +183,9 @@ def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 def op3_pii(docs: DataFrame) -> DataFrame:
     found = find_spans(docs)
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
+
+    def count(n: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long").alias(f"n_{KINDS[n]}")
+
+    counts = [count(n) for n in range(len(BASE))]
     return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
