@@ -96,3 +96,8 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
 def held_out_rows(key: str = "doc_id") -> F.Column:
     """True where crc32 of the key as text leaves no remainder by 5: these rows never train a model."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with the column of text lengths, if there is one, brought up to date."""
+    return docs.withColumn(length, F.length(F.col(text)).cast(dict(docs.dtypes)[length])) if length in docs.columns else docs
