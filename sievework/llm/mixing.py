@@ -3,7 +3,7 @@
 Every source gets its weight's share of the total; a source whose share exceeds ``max_epochs`` times its size is clamped
 there and the excess goes to the free sources by weight, again and again until none exceeds. A source's target over its
 size is then taken as whole repetitions of all its documents and one seeded fractional repetition: the documents with
-the lowest seeded hashes, up to the hash at which their sizes reach the fraction. That hash is found by two rounds of
+the lowest seeded hashes, up to the hash at which their sizes reach the fraction, and up to three more that fit what is still missing. That hash is found by two rounds of
 4,096 bins a source and an exact running sum inside the last bin, so no source is gathered in a task.
 
 Defined cases: a null text has size 0; a null source is a source; a source of size 0 takes nothing; rows that repeat a
@@ -22,6 +22,8 @@ from .common import cut, small
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, BINS = 63, 4096
 SEED = 20_240_229
+#: Rows that may be added to a source's fractional repetition to come nearer to its target.
+EXTRAS = 3
 
 
 def words(text: Column) -> Column:
@@ -66,7 +68,8 @@ def _within(rows: DataFrame, at: str) -> DataFrame:
 
 
 def mixing_plan(sized: DataFrame, weights: DataFrame, share: float = 1.0, max_epochs: float = 3.0) -> DataFrame:
-    """(source, source_size, target, whole, cut): rows of a source are taken ``whole`` times, those with draw <= cut once more.
+    """(source, source_size, target, whole, cut, extra): rows of a source are taken ``whole`` times, those with draw <= cut
+    once more, and so are those whose draw is in extra: a few rows, each of the largest size within what is still missing.
 
     sized: columns source, size, draw. Written; as many rows as sources.
     """
@@ -88,18 +91,24 @@ def mixing_plan(sized: DataFrame, weights: DataFrame, share: float = 1.0, max_ep
     binned = sized.select("source", "size", "draw", F.shiftright("draw", BITS - bits).alias("b1"), F.shiftright("draw", BITS - 2 * bits).alias("b2"))
     first = joined(binned.where("size > 0"), _within(joined(binned, plan.where("want > 0").select("source", "want")), "b1"), "b1")
     second = joined(first.drop("want"), _within(first, "b2"), "b2").groupBy("source", "b2", "draw").agg(F.sum("size").alias("size"), F.first("want").alias("want"))
-    run = F.sum("size").over(W.partitionBy("source").orderBy("draw").rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
-    cuts = second.withColumn("run", run).groupBy("source").agg(
-        F.coalesce(F.max(F.when(F.col("run") <= F.col("want"), F.col("draw"))), F.first(F.shiftleft("b2", BITS - 2 * bits)) - 1).alias("cut")
-    )
-    cuts = cuts.withColumnRenamed("source", "c")
-    return cut(plan.join(cuts, F.col("source").eqNullSafe(F.col("c")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1).cast("long")).alias("cut")), "mix")
+    run = F.sum("size").over(W.partitionBy("source").orderBy("draw").rowsBetween(W.unboundedPreceding, 0))
+    fits, start = F.col("run") <= F.col("want"), F.first(F.shiftleft("b2", BITS - 2 * bits)) - 1
+    cuts = second.withColumn("run", run).groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("draw"))), start).alias("cut"), (F.first("want") - F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0))).alias("gap"))
+    cuts = cut(cuts, "cuts")
+    cuts = cuts.withColumn("extra", F.array().cast("array<long>"))
+    for _ in range(EXTRAS):
+        rest = joined(sized.where("size > 0"), cuts).where("draw > cut").where(~F.array_contains("extra", F.col("draw")))
+        best = rest.where("size <= gap").groupBy(F.col("source").alias("e")).agg(F.max_by(F.struct("draw", "size"), F.struct("size", "draw")).alias("one"))
+        cuts = cuts.join(best, F.col("source").eqNullSafe(F.col("e")), "left").select("source", "cut", (F.col("gap") - F.coalesce("one.size", F.lit(0))).alias("gap"), F.concat("extra", F.array_compact(F.array("one.draw"))).alias("extra"))
+        cuts = cut(cuts, "cuts")
+    out = plan.join(cuts.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c")), "left")
+    return cut(out.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1).cast("long")).alias("cut"), F.coalesce("extra", F.array().cast("array<long>")).alias("extra")), "mix")
 
 
 def _times(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (with source, draw, other columns) and the plan's columns and times: how often each row is taken."""
     right = small(plan).withColumnRenamed("source", "p_source")
-    return rows.join(right, F.col("__source").eqNullSafe(F.col("p_source"))).withColumn("__times", F.col("whole") + (F.col("__draw") <= F.col("cut")).cast("int"))
+    return rows.join(right, F.col("__source").eqNullSafe(F.col("p_source"))).withColumn("__times", F.col("whole") + ((F.col("__draw") <= F.col("cut")) | F.array_contains("extra", F.col("__draw"))).cast("int"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.0, max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
