@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, sharding, simhash, toxicity
+from . import mixing, packing, pii, sharding, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": lambda spark, d: toxicity.op2_toxicity(_table(spark, d, "documents"), _table(spark, d, "labels")),
         "op3_pii": _over("documents", pii.op3_pii),
         "op5_mixing": _over("documents", mixing.op5_mixing),
+        "op6_urls": _over("pages", urls.op6_urls),
         "op7_packing": _over("documents", packing.op7_packing),
         "op9_simhash": _over("documents", simhash.op9_simhash),
     }
