@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,30 +30,78 @@ from .common import cut
 
 LENGTH, END_ID, WINDOWS, MERGED = 4096, 2, 64, 16
 BLANK = re.compile(r"[\t\n\r]")
-#: Words kept by a worker, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
-_words: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, Tokenizer] = {}
+#: Words and pre-tokens kept by a worker, and the longest word kept.
+CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Texts of these characters only are lower-cased and split here; for all others the tokenizer does the whole text.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The vocabulary's pre-tokens, as its file gives them, over those characters.
+PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
+#: A character outside them, which parts the words of a batch.
+MARK = "\u4e00"
+
+
+class WordCoder:
+    """Ids of texts, word by word, with two bounded caches: of words, and of the pre-tokens they consist of."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.words: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text, as little-endian unsigned 32-bit."""
+        text = text or ""
+        if not PLAIN.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = BLANK.sub(" ", text.lower()).split(" ")
+        new = set(parts).difference(self.words)
+        if not new:
+            return b"".join(map(self.words.__getitem__, parts))
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words = {"": b""}
+            new = set(parts) - {""}
+        self._learn(new)
+        out = b"".join(map(self.words.__getitem__, parts))
+        for word in new:
+            if len(word) > CACHE_CHARS:
+                del self.words[word]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        split = {word: PRETOKEN.findall(word) for word in new}
+        missing = []
+        for token in {t for tokens in split.values() for t in tokens}.difference(self.known):
+            if token in self.older:
+                self.known[token] = self.older[token]
+            else:
+                missing.append(token)
+        if missing:
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(missing), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0])
+            starts, ends = [0, *(cuts + len(self.mark)).tolist()], [*cuts.tolist(), len(ids)]
+            self.known.update((t, ids[i:j].tobytes()) for t, i, j in zip(missing, starts, ends, strict=True))
+        for word, tokens in split.items():
+            self.words[word] = b"".join([self.known[t] for t in tokens])
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = {t: b for t, b in self.known.items() if len(t) <= CACHE_CHARS}, {}
+
+
+_coders: dict[str, WordCoder] = {}
 
 
 def token_bytes(text: str | None, path: str) -> bytes:
-    """The ids of a text, as little-endian unsigned 32-bit."""
-    if path not in _tokenizers:
-        _tokenizers[path], _words[path] = Tokenizer.from_file(path), {"": b""}
-        _tokenizers[path].encode_special_tokens = True
-    known = _words[path]
-    parts = BLANK.sub(" ", text or "").split(" ")
-    new = list(set(parts).difference(known))
-    if new:
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-            new = list(set(parts) - {""})
-        coded = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, _tokenizers[path].encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known.update((w, b) for w, b in coded.items() if len(w) <= CACHE_CHARS)
-        if any(len(w) > CACHE_CHARS for w in new):
-            return b"".join([known[w] if w in known else coded[w] for w in parts])
-    return b"".join([known[w] for w in parts])
+    if path not in _coders:
+        _coders[path] = WordCoder(path)
+    return _coders[path].encode(text)
 
 
 class OpenWindows:
