@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, sharding, simhash, toxicity, urls
+from . import audio, mixing, packing, pii, quality, sharding, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": _over("documents", sharding.op1_sharding),
         "op2_toxicity": lambda spark, d: toxicity.op2_toxicity(_table(spark, d, "documents"), _table(spark, d, "labels")),
         "op3_pii": _over("documents", pii.op3_pii),
+        "op4_audio": _over("documents", audio.op4_audio),
         "op5_mixing": _over("documents", mixing.op5_mixing),
         "op6_urls": _over("pages", urls.op6_urls),
         "op7_packing": _over("documents", packing.op7_packing),
+        "op8_quality": lambda spark, d: quality.op8_quality(_table(spark, d, "documents"), _table(spark, d, "labels")),
         "op9_simhash": _over("documents", simhash.op9_simhash),
     }
 
