@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, mixing, packing, pii, quality, sharding, simhash, toxicity, urls
+from . import audio, graph, mixing, packing, pii, quality, sharding, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_urls": _over("pages", urls.op6_urls),
         "op7_packing": _over("documents", packing.op7_packing),
         "op8_quality": lambda spark, d: quality.op8_quality(_table(spark, d, "documents"), _table(spark, d, "labels")),
+        "op10_graph": _over("embeddings", graph.op10_graph),
         "op9_simhash": _over("documents", simhash.op9_simhash),
     }
 
