@@ -61,7 +61,9 @@ def semantic_hints(lines: DataFrame, analysis: DataFrame) -> DataFrame:
     fallback = F.array(F.struct(F.lit(-1).alias("n"), F.lit("logic").alias("category"), F.lit("low").alias("severity"), F.lit(True).alias("fires")))
     fired = fired.select("review_id", F.explode(F.when(F.size("f") > 0, F.col("f")).otherwise(fallback)).alias("f")).select("review_id", "f.n", "f.category", "f.severity")
     where = F.concat_ws("\n", "file_path", "content")
-    match = F.coalesce(F.element_at(F.array(*[where.rlike(p) for *_, p in HINT_SPECS]), F.when(F.col("n") >= 0, F.col("n") + 1)), F.lit(False))
+    match = F.lit(False)
+    for n, (*_, pattern) in enumerate(HINT_SPECS):
+        match = match | ((F.col("n") == n) & where.rlike(pattern))
     picked = rows.join(fired, "review_id").groupBy("review_id", "category", "severity").agg(F.min_by(F.struct("line_key", "file_path"), F.struct(~match, "pos")).alias("l"))
     return picked.select("review_id", "category", "severity", "l.line_key", "l.file_path", F.lit("llm").alias("route_source"))
 
