@@ -86,6 +86,8 @@ class ToxicityModel:
         return [*out, 0 if any(out) else -1, 1 if len(found) > 2 else 0 if found else -1]
 
 
+#: Usual chances of the votes -1, 0 and 1 on clean and on toxic rows, and the rows that this counts for.
+USUAL, WEIGHT = ((0.18, 0.80, 0.02), (0.05, 0.55, 0.40)), 4.0
 VOTERS = [*LEXICONS, *(f"mined{g}" for g in range(MINED_VOTERS)), *PATTERNS, "no_hit", "many_hits", "label"]
 
 
@@ -95,13 +97,13 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
     tables[y, j, v + 1] is the chance of vote v by voter j if the label is y. After a first pass the correlations of
     the votes' residuals given the label discount each voter by 1 / (1 + the sum of its strong correlations).
     """
-    n, k = votes.shape
+    n = len(votes)
     onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
-    posterior, discount, rho = start.astype(np.float64), np.ones(k), np.eye(k)
+    posterior, discount, rho = start.astype(np.float64), np.ones(votes.shape[1]), np.eye(votes.shape[1])
     for again in range(2):
         for _ in range(rounds):
             prior = np.clip((posterior.sum() + 1) / (n + 2), 0.001, 0.999)
-            tables = np.stack([(np.einsum("i,ijv->jv", w, onehot) + 0.1) / (w.sum() + 0.3) for w in (1 - posterior, posterior)])
+            tables = _tables(onehot, posterior)
             gain = np.einsum("ijv,jv,j->i", onehot, np.log(tables[1]) - np.log(tables[0]), discount) + np.log(prior / (1 - prior))
             after = 1 / (1 + np.exp(-np.clip(gain, -50, 50)))
             moved, posterior = np.abs(after - posterior).max(), after
@@ -111,12 +113,18 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
             mean = np.einsum("yjv,v->yj", tables, np.array([-1.0, 0.0, 1.0]))
             residual = votes - ((1 - posterior)[:, None] * mean[0] + posterior[:, None] * mean[1])
             spread = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-            rho = (residual.T @ residual / n) / np.outer(spread, spread)
-            strong = np.where(np.abs(rho) > 0.2, np.abs(rho), 0) - np.diag(np.diag(np.abs(rho)))
+            rho = (residual.T @ residual / max(1, n)) / np.outer(spread, spread)
+            strong = np.where(np.abs(rho) > 0.2, np.abs(rho), 0)
+            np.fill_diagonal(strong, 0)
             discount = 1 / (1 + np.clip(strong, 0, 1).sum(axis=1))
     return posterior, tables, rho
 
 
+def _tables(onehot: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Chances of every vote by label: 2 x voters x 3, drawn a little to what a voter better than chance does."""
+    return np.stack([(np.einsum("i,ijv->jv", w, onehot) + WEIGHT * np.array(usual)) / (w.sum() + WEIGHT) for w, usual in zip((1 - posterior, posterior), USUAL, strict=True)])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 0.5, rounds: int = 25) -> np.ndarray:
     """Weights by Newton steps for soft labels y; strength pulls them to prior."""
     w = prior.astype(np.float64).copy()

@@ -42,7 +42,7 @@ def _grams(host_col: Column, path_col: Column) -> Column:
 
     def of(value: Column, mark: str) -> Column:
         chars = F.filter(F.split(F.concat(F.lit("^"), value, F.lit("$")), ""), lambda c: c != "")
-        return F.concat(*[_windows(chars, n, mark) for n in GRAMS])
+        return F.flatten(F.transform(F.array(chars), lambda once: F.concat(*[_windows(once, n, mark) for n in GRAMS])))
 
     return F.array_distinct(F.transform(F.concat(of(host_col, "h"), of(path_col, "p")), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
 
@@ -67,13 +67,13 @@ class UrlModel:
         return 1 / (1 + F.exp(-(total + self.bias)))
 
 
-def fit_urls(spark: SparkSession, labelled: list[tuple[str, int]] | None = None, strength: float = 0.05, rounds: int = 400) -> UrlModel:
+def fit_urls(spark: SparkSession, labelled: list[tuple[str, int]] | None = None, strength: float = 0.01, rounds: int = 800) -> UrlModel:
     """Fit on a small labelled table of (url, 1 block or 0 allow), kept on the driver."""
     rows = spark.createDataFrame(LABELLED if labelled is None else labelled, "url string, y int").select("y", _grams(host(F.col("url")), path(F.col("url"))).alias("g")).collect()
     x, y = np.zeros((len(rows), BUCKETS)), np.array([r.y for r in rows], float)
     for i, r in enumerate(rows):
         x[i, r.g] = 1 / np.sqrt(len(r.g))
-    bias, weights = -1.5, np.zeros(BUCKETS)
+    bias, weights = -1.0, np.zeros(BUCKETS)
     for _ in range(rounds):
         off = 1 / (1 + np.exp(-(x @ weights + bias))) - y
         weights -= 4.0 * (x.T @ off / max(1, len(rows)) + strength / max(1, len(rows)) * weights)
