@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Secret types and their patterns.
 RULES = {"OPENAI_KEY": r"\bsk-[A-Za-z0-9]{32,}\b", "AWS_ACCESS_KEY": r"\bAKIA[A-Z0-9]{16}\b", "GITHUB_TOKEN": r"\bgh[opsu]_[A-Za-z0-9]{36,}\b"}
@@ -71,7 +72,7 @@ def positional_mismatches(source: DataFrame, shown: DataFrame) -> DataFrame:
     return both.groupBy("review_id").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("bad")).where("bad").select("review_id")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_redaction_only(source: pd.Series, shown: pd.Series) -> pd.Series:
     """True where shown is source with some parts replaced by masks whose digests start as the parts' own do."""
 

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_CONTROL_BYTES = 4096
 FAILURE_MARKS = r"(?i)access\s*denied|insufficient\s+permissions|unable\s+to\s+(?:list|stat)|object\s+does\s+not\s+exist|\bpermission\s+denied\b|authorization\s+failed|invalid\s+access\s+key|signature\s+does\s+not\s+match"
@@ -18,7 +19,7 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False) + "\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(text: pd.Series) -> pd.Series:
     """Canonical form of a JSON text; null for what is not JSON, repeats a key or holds NaN."""
 

@@ -186,8 +186,8 @@ def _gate(f: DataFrame, e: DataFrame, k: DataFrame, v: DataFrame, h: DataFrame,
     return {"issues": issues, "conflicts": found, "good": good, "blocks": blocks, "tamper": tamper, "bucket": bucket, "gaps": gaps, "hits": hits, "decisions": policy.reason(policy.decisions(reviews, blocked, hits))}
 
 
-def _part(name: str, *columns: F.Column | str) -> Callable[..., DataFrame]:
-    return lambda *relations: _gate(*relations)[name].select(*columns)
+def _part(name: str, *columns: str) -> Callable[..., DataFrame]:
+    return lambda *relations: _gate(*relations)[name].selectExpr(*columns)
 
 
 GATE = (*FE, "coverage")
@@ -208,11 +208,11 @@ add("c08_qualified_evidence", _part("good", "review_id", "finding_id", "evidence
 add("c09_e12_block", _part("blocks", "review_id", "rule_id", "finding_id"), *GATE, sql=_GATE + " SELECT * FROM blocks")
 add("p03_b004", _part("tamper", "review_id", "rule_id", "finding_id"), *GATE, sql=_GATE + " SELECT * FROM tamper")
 add("c10_buckets", _part("bucket", "review_id", "finding_id", "bucket"), *GATE, sql=_GATE + " SELECT * FROM bucket")
-add("d22_e14_mandatory", _part("gaps", "review_id", _joined("failing"), "provider_failure"), *GATE, sql=_GATE + " SELECT * FROM gaps")
+add("d22_e14_mandatory", _part("gaps", "review_id", "array_join(failing, ',') AS failing", "provider_failure"), *GATE, sql=_GATE + " SELECT * FROM gaps")
 add("p04_n_rules", _part("hits", "review_id", "rule_id"), *GATE, sql=_GATE + " SELECT * FROM hits")
 add("p05_disqualified", lambda f: policy.disqualified(assurance.conflicts(f).withColumn("resolved", F.lit(False))), "finding", sql=_CONFLICTS + " SELECT DISTINCT review_id, unnest(string_split(finding_ids, ',')) AS finding_id FROM conflict")
-add("p01_w11_decision", _part("decisions", "review_id", "status", _joined("rule_ids"), "exit_code"), *GATE, sql=_GATE + " SELECT *, CASE status WHEN 'PASS' THEN 0 WHEN 'BLOCK' THEN 1 ELSE 2 END AS exit_code FROM decision")
-add("p11_reason", _part("decisions", "review_id", "reason", F.size("actions").alias("actions")), *GATE, sql=_GATE + " SELECT review_id, CASE status WHEN 'PASS' THEN 'No policy rule matched.' ELSE status || ': matched ' || replace(rule_ids, ',', ', ') || '.' END AS reason, len([x for x in string_split(rule_ids, ',') if x LIKE 'N%'])::INT AS actions FROM decision")
+add("p01_w11_decision", _part("decisions", "review_id", "status", "array_join(rule_ids, ',') AS rule_ids", "exit_code"), *GATE, sql=_GATE + " SELECT *, CASE status WHEN 'PASS' THEN 0 WHEN 'BLOCK' THEN 1 ELSE 2 END AS exit_code FROM decision")
+add("p11_reason", _part("decisions", "review_id", "reason", "size(actions) AS actions"), *GATE, sql=_GATE + " SELECT review_id, CASE status WHEN 'PASS' THEN 'No policy rule matched.' ELSE status || ': matched ' || replace(rule_ids, ',', ', ') || '.' END AS reason, len([x for x in string_split(rule_ids, ',') if x LIKE 'N%'])::INT AS actions FROM decision")
 add("e13_evidence_index", lambda *r: _gate(*r)["good"].groupBy("review_id", "finding_id").agg(F.array_join(F.array_sort(F.collect_set("evidence_id")), ",").alias("evidence_ids")), *GATE, sql=_GATE + " SELECT review_id, finding_id, array_to_string(list_sort(list(DISTINCT evidence_id)), ',') AS evidence_ids FROM good GROUP BY ALL")
 add("p10_coherence", lambda *r: constraints.violations(_gate(*r)["decisions"], "review_id", "decision"), *GATE, sql="SELECT '' AS rule, 0::BIGINT AS key WHERE false")
 
