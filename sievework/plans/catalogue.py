@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constraints, scalars
-from ..operators import agents, assurance, code, patch, policy, recheck, routing, secrets, transport, validation
+from ..operators import agents, assembly, assurance, code, patch, policy, recheck, routing, secrets, transport, validation
 from ..sources import sinks
 from ..streaming import trace as stream
 from .fixtures import relation, with_relations
@@ -326,6 +326,25 @@ def _by_user():
     return Window.partitionBy("user_id").orderBy("event_id")
 
 
+# ---- assembly ----------------------------------------------------------------------------------------------------
+
+add("c06_scope", _documents(lambda x: assembly.out_of_scope(patch.files(x))), tables=D, sql=_COUNTS + " SELECT doc_id AS review_id FROM c WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR additions + deletions > 1000")
+add("c11_deterministic_plan", lambda r: assembly.deterministic_plan(_plan(r)), "route", sql=_PLAN + " SELECT review_id, skill FROM plan WHERE planned AND skill LIKE 'detect%'")
+add("u07_skipped_skills", lambda r: assembly.skipped_skills(_plan(r)), "route", sql=_PLAN + " SELECT review_id, skill FROM plan WHERE NOT planned")
+add("x12_x13_suite", lambda c: assembly.suite(c).groupBy("review_id").agg(assembly.roll_up(F.col("status")).alias("status"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "status"))), lambda x: x["status"]), ",").alias("statuses")), "coverage", sql=""", g AS (SELECT r.review_id, place, coalesce(c.status, 'skipped') AS st FROM (SELECT DISTINCT review_id FROM coverage) r CROSS JOIN (VALUES (0, 'detect_secret'), (1, 'detect_injection'), (2, 'detect_dangerous_call')) s(place, skill) LEFT JOIN coverage c ON c.review_id = r.review_id AND c.skill = s.skill)
+    SELECT review_id, CASE WHEN bool_or(st = 'failed') THEN 'failed' WHEN bool_or(st = 'skipped') THEN 'partial' ELSE 'success' END AS status, string_agg(st, ',' ORDER BY place) AS statuses FROM g GROUP BY review_id""")
+add("c16_artifact_or_failure", lambda c: assembly.artifact_or_failure(c, c, ["diff-analyzer", "security-scanner", "quality-reviewer"]), "call", sql="SELECT r.review_id, a.agent_id, coalesce(min(c.status), 'failed') AS status, count(c.call_id) AS calls FROM (SELECT DISTINCT review_id FROM call) r CROSS JOIN (VALUES ('diff-analyzer'), ('security-scanner'), ('quality-reviewer')) a(agent_id) LEFT JOIN call c ON c.review_id = r.review_id AND c.agent_id = a.agent_id GROUP BY ALL")
+add("e20_u06_first_by_id", lambda f: assembly.first_by_id(f, "fingerprint", "finding_id").select("review_id", "fingerprint", "finding_id"), "finding", sql="SELECT review_id, fingerprint, min(finding_id) AS finding_id FROM finding GROUP BY ALL")
+add("w08_ordered_distinct", lambda c: c.groupBy("review_id").agg(F.array_join(assembly.ordered_distinct(F.col("agent_id"), F.col("call_id")), ",").alias("agents")), "call", sql="SELECT review_id, string_agg(agent_id, ',' ORDER BY first) AS agents FROM (SELECT review_id, agent_id, min(call_id) AS first FROM call GROUP BY ALL) GROUP BY review_id")
+add("b15_known_paths", assembly.known_paths, "hunk", sql="SELECT review_id, old_path AS path FROM hunk UNION SELECT review_id, new_path FROM hunk")
+add("b12_node_line", lambda f, h: assembly.node_lines(f.select("review_id", F.col("finding_id").alias("node"), "start_line", "end_line"), f.select("review_id", F.col("start_line").alias("line_number"), F.when(F.col("side") == "new", "addition").otherwise("context").alias("kind"))), "finding", "hunk", sql="SELECT n.review_id, n.finding_id AS node, coalesce(min(l.start_line) FILTER (l.side = 'new'), min(l.start_line)) AS line_number FROM finding n JOIN finding l ON l.review_id = n.review_id AND l.start_line BETWEEN n.start_line AND n.end_line GROUP BY ALL")
+add("u04_disjoint_buckets", lambda *r: assembly.overlapping_buckets(_gate(*r)["bucket"]), *GATE, sql="SELECT 0::BIGINT AS review_id, '' AS finding_id, 0::BIGINT AS n WHERE false")
+add("u08_appended", lambda e: assembly.appended(e.where("start_line < 30"), e, e.where("start_line >= 30 and start_line <> 33")), "evidence", sql="SELECT DISTINCT review_id FROM evidence WHERE start_line = 33")
+add("c20_complete_routes", lambda o: assembly.complete_routes(o.select((F.col("o_orderkey") / 4).cast("long").alias("review_id"), F.get(F.array(*map(F.lit, assembly.ROLES)), F.when(F.col("o_orderkey") % 44 == 3, 0).otherwise(F.col("o_orderkey") % 4).cast("int")).alias("role"))), tables=("orders",), sql="SELECT o_orderkey // 4 AS review_id FROM orders GROUP BY 1 HAVING count(*) = 4 AND count(DISTINCT CASE WHEN o_orderkey % 44 = 3 THEN 0 ELSE o_orderkey % 4 END) = 4")
+add("c18_control_allowed", lambda o: transport.control_messages(o.selectExpr("o_orderkey AS task_id", "o_custkey AS review_id", "'diff' AS role", "'d' AS input_sha256")).select("task_id", assembly.is_control_message("message").alias("allowed")), tables=("orders",), sql="SELECT o_orderkey AS task_id, true AS allowed FROM orders")
+add("f25_t08_without_times", lambda e: e.select("event_id", assembly.without_times("props").alias("plain")), tables=("events",))
+add("k02_run_once", lambda c: assembly.run_once(lambda x: x.groupBy("review_id").agg(F.when(F.bool_or((F.col("status") == "failed") & F.col("mandatory")), "NEEDS_REVIEW").otherwise("PASS").alias("status")), lambda x, d: recheck.replace_coverage(x, x.where("error_code = 'TIMEOUT'").select("review_id", "skill", F.lit("completed").alias("status"))), c), "coverage", sql="SELECT review_id, CASE WHEN bool_or(status = 'failed' AND mandatory AND error_code <> 'TIMEOUT') THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS status, bool_or(status = 'failed' AND mandatory) AS rechecked FROM coverage GROUP BY review_id")
+
 # ---- code detectors: no SQL equivalent ---------------------------------------------------------------------------
 
 #: Snippets of Python, one hunk each; every line is an addition.
