@@ -59,14 +59,14 @@ def _documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
 
 D = ("documents",)
 add("a06_byte_cap", lambda d: patch.within_bytes(d.select(F.col("doc_id").alias("review_id"), F.col("text").alias("raw_diff")), 4000)[1].select("review_id", F.octet_length("raw_diff").alias("bytes")), tables=D, sql="SELECT doc_id AS review_id, strlen(text)::INT AS bytes FROM documents WHERE strlen(text) > 4000")
-add("b01_sections", _documents(lambda x: x.groupBy("review_id").agg(F.max("section").alias("sections"))), tables=D, sql="SELECT doc_id AS review_id, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END AS sections FROM documents")
-add("b03_classify", _documents(lambda x: patch.sections(x).drop("file_id")), tables=D, sql=f"SELECT doc_id AS review_id, 1 AS section, 'modified' AS change_type, false AS is_binary, {_PATH} AS old_path, {_PATH} AS new_path FROM documents UNION ALL SELECT doc_id, 2, 'added', true, NULL, 'img.bin' FROM documents WHERE doc_id % 11 = 0")
-add("b04_hunk_header", _documents(lambda x: patch.hunks(x).drop("header", "section", "hunk")), tables=D, sql=_COUNTS + " SELECT doc_id AS review_id, 1 AS old_start, old AS old_count, 1 AS new_start, new AS new_count FROM c")
+add("b01_sections", _documents(lambda x: x.groupBy("review_id").agg(F.max("section").alias("sections"))), tables=D, sql="SELECT doc_id AS review_id, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END::BIGINT AS sections FROM documents")
+add("b03_classify", _documents(lambda x: patch.sections(x).drop("file_id")), tables=D, sql=f"SELECT doc_id AS review_id, 1::BIGINT AS section, 'modified' AS change_type, false AS is_binary, {_PATH} AS old_path, {_PATH} AS new_path FROM documents UNION ALL SELECT doc_id, 2, 'added', true, NULL, 'img.bin' FROM documents WHERE doc_id % 11 = 0")
+add("b04_hunk_header", _documents(lambda x: patch.hunks(x).drop("header", "section", "hunk")), tables=D, sql=_COUNTS + " SELECT doc_id AS review_id, 1 AS old_start, old::INT AS old_count, 1 AS new_start, new::INT AS new_count FROM c")
 add("b05_line_numbers", _documents(lambda x: patch.numbered(x).select("review_id", "ordinal", "kind", "old_line", "new_line")), tables=D, sql=_N + """, l AS (SELECT doc_id AS review_id, n, n + (n + 4) // 5 AS before, n - (n + 1) // 5 + 1 AS o, n + 1 AS w FROM text_line)
-    SELECT review_id, before + 1 AS ordinal, CASE WHEN n % 5 = 0 THEN 'deletion' WHEN n % 5 = 3 THEN 'addition' ELSE 'context' END AS kind, CASE WHEN n % 5 <> 3 THEN o END AS old_line, CASE WHEN n % 5 <> 0 THEN w END AS new_line FROM l
-    UNION ALL SELECT review_id, before + 2, 'addition', NULL, w FROM l WHERE n % 5 = 0""")
-add("b06_integrity", lambda d: patch.broken_hunks(patch.raw_lines(patches(d, 13))).select("review_id", "old_count", "old_seen", "new_count", "new_seen", "invalid"), tables=D, sql=_COUNTS + " SELECT doc_id AS review_id, old + 1 AS old_count, old AS old_seen, new AS new_count, new AS new_seen, 0 AS invalid FROM c WHERE doc_id % 13 = 0")
-_FILES = "SELECT doc_id AS review_id, additions, deletions, 1 AS hunks, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE 'python' END AS language, additions + deletions AS changed_lines, CASE WHEN doc_id % 7 = 0 THEN 'unsupported_language' WHEN additions + deletions > {cap} THEN 'changed_line_limit' END AS exclusion_reason FROM c UNION ALL SELECT doc_id, 0, 0, 0, 'unknown', additions + deletions, 'binary' FROM c WHERE doc_id % 11 = 0"
+    SELECT review_id, (before + 1)::INT AS ordinal, CASE WHEN n % 5 = 0 THEN 'deletion' WHEN n % 5 = 3 THEN 'addition' ELSE 'context' END AS kind, CASE WHEN n % 5 <> 3 THEN o::INT END AS old_line, CASE WHEN n % 5 <> 0 THEN w::INT END AS new_line FROM l
+    UNION ALL SELECT review_id, (before + 2)::INT, 'addition', NULL, w::INT FROM l WHERE n % 5 = 0""")
+add("b06_integrity", lambda d: patch.broken_hunks(patch.raw_lines(patches(d, 13))).select("review_id", "old_count", "old_seen", "new_count", "new_seen", "invalid"), tables=D, sql=_COUNTS + " SELECT doc_id AS review_id, (old + 1)::INT AS old_count, old AS old_seen, new::INT AS new_count, new AS new_seen, 0::BIGINT AS invalid FROM c WHERE doc_id % 13 = 0")
+_FILES = "SELECT doc_id AS review_id, additions, deletions, 1::BIGINT AS hunks, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE 'python' END AS language, additions + deletions AS changed_lines, CASE WHEN doc_id % 7 = 0 THEN 'unsupported_language' WHEN additions + deletions > {cap} THEN 'changed_line_limit' END AS exclusion_reason FROM c UNION ALL SELECT doc_id, 0, 0, 0, 'unknown', additions + deletions, 'binary' FROM c WHERE doc_id % 11 = 0"
 _FILE_COLUMNS = ["review_id", "additions", "deletions", "hunks", "language", "changed_lines", "exclusion_reason"]
 add("b07_file_rollup", _documents(lambda x: patch.files(x).select(_FILE_COLUMNS)), tables=D, sql=_COUNTS + " " + _FILES.format(cap=1000))
 add("a07_line_cap", _documents(lambda x: patch.files(x, 10).where("exclusion_reason = 'changed_line_limit'").select("review_id", "changed_lines", "analysis_eligible")), tables=D, sql=_COUNTS + " SELECT doc_id AS review_id, additions + deletions AS changed_lines, false AS analysis_eligible FROM c WHERE additions + deletions > 10 AND doc_id % 7 <> 0")
@@ -296,7 +296,7 @@ add("k04_coverage", lambda c: recheck.replace_coverage(c, c.where("status = 'fai
 
 # ---- agents, traces, transport -----------------------------------------------------------------------------------
 
-add("w07_budget", lambda c: agents.within_budget(c).select("review_id", "call_id", "review_call_index"), "call", sql="SELECT review_id, call_id, n AS review_call_index FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY started_at, call_id) AS n FROM call) WHERE n <= 4")
+add("w07_budget", lambda c: agents.within_budget(c).select("review_id", "call_id", "review_call_index"), "call", sql="SELECT review_id, call_id, n::INT AS review_call_index FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY started_at, call_id) AS n FROM call) WHERE n <= 4")
 add("e16_call_summary", lambda c: agents.call_summary(c).withColumn("cost", F.round(F.col("cost").cast("double"), 8)), "call", sql="SELECT review_id, agent_id, count(*) AS calls, count(*) FILTER (status = 'failed') AS failures, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens, round(coalesce(sum((coalesce(cache_hit_tokens, 0) * 0.003625 + (prompt_tokens - coalesce(cache_hit_tokens, 0)) * 0.435 + completion_tokens * 0.87)), 0)::DOUBLE / 1000000, 8) AS cost FROM call GROUP BY ALL")
 add("w06_f22_trace", lambda c: agents.trace(c), "call", sql="SELECT review_id, call_id, row_number() OVER w AS sequence, greatest(coalesce(epoch_us(started_at) // 1000 - epoch_us(lag(started_at) OVER w) // 1000, 0), 0) AS since_ms, status FROM call WINDOW w AS (PARTITION BY review_id ORDER BY started_at, call_id)")
 add("e17_envelope", agents.envelope, "call", sql="SELECT review_id, min(started_at) AS first, max(started_at) AS last FROM call GROUP BY review_id")
