@@ -102,12 +102,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs whose key is the least of their group, with all columns; of rows that repeat a key, one stays."""
-    found = cut(near_duplicates(docs, key, text, words, radius), "classes")
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    out = docs.join(kept, docs[key] == kept["__kept"], "left_semi")
-    repeated = found.groupBy(key).count().where("count > 1").limit(1).count() > 0
-    return out.dropDuplicates([key]) if repeated else out
+    """One row of every group, with all columns: the least key's (nulls last), then by a hash of the text and row number."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    marked = cut(fingerprints(rows, "__row", text, words), "simhash")
+    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col("__row").alias("r"))
+    groups = cut(marked.join(rows.select("__row", order.alias("o")), "__row").groupBy("fp").agg(F.min("o").alias("least")), "prints")
+    parts = cut(components(links(groups.select("fp"), radius)), "parts")
+    group = F.coalesce("component", "fp")
+    kept = groups.join(parts, groups.fp == parts.id, "left").groupBy(group.alias("g")).agg(F.min("least").alias("o")).select(F.col("o.r").alias("__row"))
+    return rows.join(cut(kept, "kept"), "__row", "left_semi").select(*docs.columns)
 
 
 def op9_simhash(docs: DataFrame) -> DataFrame:
