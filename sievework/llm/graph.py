@@ -5,8 +5,9 @@ built: each vector's nearest candidates are pruned so that no kept neighbour is
 vector. The adjacency lists of a vector's shards are united. Each vector then searches its shards greedily from
 the medoids of the shard and of clusters in it (a pair that meets in two counts in the first), and expands its range: from every vector found within the threshold (or just under) the
 search goes on through its neighbours. Every reported link is verified by its cosine in double precision. An audit
-compares a bounded sample of queries with brute force over all vectors; below the target recall the search is repeated
-with a wider beam and one more shard for each vector.
+compares a bounded sample of queries with brute force over all vectors, by the share of links found and by the mean share
+of each query's links; if either is below the target recall the search is repeated with a wider beam and one more shard
+for each vector. If the last attempt fails too, all vectors are compared exactly, tile by tile: right, but quadratic.
 
 Identical vectors are searched once and counted as often as they occur. A shard larger than a block is tiled: blocks of
 its queries against blocks of its vectors, each with its own graph, so no group grows with the data. Only counts and
@@ -217,7 +218,16 @@ def _build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "near": [ids[g].tolist() for g in graph]})
 
 
-def _search(threshold: float, beam: int):
+def exact_search(x: np.ndarray, queries: np.ndarray, threshold: float, batch: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, vector) with cosine >= threshold by brute force, batch by batch of queries."""
+    for at in range(0, len(queries), batch):
+        who, what = np.nonzero(queries[at : at + batch] @ x.T >= threshold)
+        yield who + at, what
+
+
+def _search(threshold: float, beam: int | None):
+    """The search of a tile; by brute force if there is no beam."""
+
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         base, asked = frame[frame["base"]].reset_index(drop=True), frame[frame["asked"]].reset_index(drop=True)
         none = pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)})
@@ -236,7 +246,8 @@ def _search(threshold: float, beam: int):
                 i = head[i]
             return i
 
-        for who, what in range_search(_units(base["v"].tolist()), graph, _units(asked["v"].tolist()), threshold, beam):
+        vectors, queries = _units(base["v"].tolist()), _units(asked["v"].tolist())
+        for who, what in exact_search(vectors, queries, threshold) if beam is None else range_search(vectors, graph, queries, threshold, beam):
             met = ((own[who][:, :, None] == theirs[what][:, None, :]) & sooner[who][:, :, None]).any(axis=(1, 2))
             other = (mine[who] != ids[what]) & ~met
             who, what = who[other], what[other]
@@ -260,13 +271,30 @@ def _searched(points: DataFrame, rows: int, threshold: float, beam: int, overlap
     placed = members.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     near = placed.groupBy("shard", "block").applyInPandas(_build, "id long, near array<long>")
     united = near.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # one list a shard
-    tile = F.expr("filter(flatten(transform(sequence(0, blocks - 1), b -> array(struct(block as q, b as b, true as asked, b = block as base), struct(b as q, block as b, false as asked, b <> block as base)))), t -> t.asked or t.base)")
-    tiles = placed.join(cut(united, "graph"), "id").select("shard", "shards", "id", "n", "v", "near", F.explode(tile).alias("t")).select("shard", "t.*", "shards", "id", "n", "v", "near")
+    tiles = _tiles(placed.join(cut(united, "graph"), "id"))
     return cut(tiles.groupBy("shard", "q", "b").applyInPandas(_search(threshold, beam), "id long, other long, links long"), "found")
 
 
+def _tiles(placed: DataFrame) -> DataFrame:
+    """Every block's vectors in the tiles of all blocks of their shard."""
+    tile = F.expr("filter(flatten(transform(sequence(0, blocks - 1), b -> array(struct(block as q, b as b, true as asked, b = block as base), struct(b as q, block as b, false as asked, b <> block as base)))), t -> t.asked or t.base)")
+    return placed.select("shard", "shards", "id", "n", "v", "near", F.explode(tile).alias("t")).select("shard", "t.*", "shards", "id", "n", "v", "near")
+
+
+def _compared(points: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """What _searched gives, by brute force: all points in one shard, each pair of blocks a tile."""
+    blocks = -(-rows // BLOCK)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    placed = points.select(F.lit(0).alias("shard"), F.array(F.lit(0)).alias("shards"), "id", "n", "v", F.lit(None).cast("array<long>").alias("near"), F.lit(blocks).alias("blocks"), block)
+    return cut(_tiles(placed).groupBy("shard", "q", "b").applyInPandas(_search(threshold, None), "id long, other long, links long"), "found")
+
+
 def audit(points: DataFrame, found: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
-    """Share of the links of a bounded seeded sample of points that were found, by brute force over all points."""
+    """The lesser of two recalls on a bounded seeded sample of points, by brute force over all points.
+
+    They are the share of all links that were found, and the mean of each linked point's share: one large group cannot
+    hide what is missed elsewhere.
+    """
     sample = points.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(rows).select("id", "n", "v").collect()
     if not sample:
         return 1.0
@@ -280,8 +308,8 @@ def audit(points: DataFrame, found: DataFrame, threshold: float, rows: int = AUD
 
     true = {r.id: r.t for r in points.select("id", "n", "v").mapInArrow(brute, "id long, t long").groupBy("id").agg(F.sum("t").alias("t")).collect()}
     got = {r.id: r.links for r in found.where("other is null").where(F.col("id").isin(ids.tolist())).groupBy("id").agg(F.sum("links").alias("links")).collect()}
-    total = sum(true.values())
-    return sum(min(t, got.get(i, 0)) for i, t in true.items()) / total if total else 1.0
+    met = [(t, min(t, got.get(i, 0))) for i, t in true.items() if t]
+    return min(sum(g for _, g in met) / sum(t for t, _ in met), sum(g / t for t, g in met) / len(met)) if met else 1.0
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -291,11 +319,13 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     found = None
     for width, rows in sorted((r.width, r["count"]) for r in groups.groupBy("width").count().collect()):
         points, beam, overlap = groups.where(F.col("width") == width), BEAM, 2
-        for attempt in range(ATTEMPTS):
+        for _ in range(ATTEMPTS):
             own = _searched(points, rows, threshold, beam, overlap)
-            if attempt == ATTEMPTS - 1 or audit(points, own, threshold) >= RECALL:
+            if audit(points, own, threshold) >= RECALL:
                 break
             beam, overlap = beam * 2, overlap + 1
+        else:
+            own = _compared(points, rows, threshold)
         found = own if found is None else found.unionByName(own)
     ids = table.select(F.col(key))
     if found is None:
