@@ -3,8 +3,9 @@
 Each partition keeps a fixed number of open windows. A document's tokens are cut into full windows and a rest; the rest
 goes into the open window that it leaves the least room in; where none fits and all are in use, the fullest is emitted
 and a new one opened. The pieces of the windows still open at the end of a partition are merged in groups of
-partitions by best-fit decreasing. Tokens are taken word by word from a bounded cache: white space ends every token of
-the vocabulary's pre-tokeniser, so a text's ids are those of its words in turn.
+partitions by best-fit decreasing. Tokens are taken word by word from a cache bounded in bytes: white space ends every
+token of the vocabulary's pre-tokeniser, so a text's ids are those of its words in turn. This holds for one normalizer and
+pre-tokeniser only; a file with others tokenises whole texts.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed as often as they occur; an empty
 table gives no pieces; a text longer than a window spans several; other columns are ignored.
@@ -13,14 +14,17 @@ table gives no pieces; a text longer than a window spans several; other columns
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,79 +33,129 @@ from tokenizers import Tokenizer
 from .common import cut
 
 LENGTH, END_ID, WINDOWS, MERGED = 4096, 2, 64, 16
-BLANK = re.compile(r"[\t\n\r]")
-#: Words and pre-tokens kept by a worker, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Bytes of words and ids that a worker remembers in each of two generations, what an entry costs beside them, and the
+#: longest word kept.
+CACHE_BYTES, ENTRY_BYTES, CACHE_CHARS = 96 << 20, 240, 48
+#: Characters of text whose words are taken at once: bounds memory on very long texts.
+CHUNK = 2_000_000
 #: Texts of these characters only are lower-cased and split here; for all others the tokenizer does the whole text.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
+# The normalizer and the pre-tokenizer of the vocabulary file whose words may be taken one by one.
+PRETOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRETOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PRETOKEN_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
-#: The vocabulary's pre-tokens, as its file gives them, over those characters.
+#: The vocabulary's pre-tokens, as its file gives them, over the plain characters.
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
-#: A character outside them, which parts the words of a batch.
-MARK = "\u4e00"
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that a byte-level vocabulary writes for each byte: printable ones stand for themselves."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(others)}
+
+
+SIGNS = _byte_signs()
 
 
 class WordCoder:
-    """Ids of texts, word by word, with two bounded caches: of words, and of the pre-tokens they consist of."""
+    """Ids of texts. Distinct words of many texts are looked up together, in a cache of bounded size; new ones are merged
+    by the vocabulary's model. A tokenizer that parts words otherwise takes whole texts."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.words: dict[str, bytes] = {"": b""}
-        self.known: dict[str, bytes] = {}
+        self.model, self.limit = self.tokenizer.model, cache_bytes
+        told = json.loads(self.tokenizer.to_str())
+        self.by_word = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRETOKENIZER and told["model"]["type"] == "BPE"
+        self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit."""
-        text = text or ""
-        if not PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = BLANK.sub(" ", text.lower()).split(" ")
-        new = set(parts).difference(self.words)
-        if not new:
-            return b"".join(map(self.words.__getitem__, parts))
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {"": b""}
-            new = set(parts) - {""}
-        self._learn(new)
-        out = b"".join(map(self.words.__getitem__, parts))
-        for word in new:
-            if len(word) > CACHE_CHARS:
-                del self.words[word]
+        self.held = 0
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit."""
+        chunk, size = [], 0
+        for text in texts:
+            plain = self.by_word and PLAIN.fullmatch(text or "")
+            if plain and size + len(text or "") <= CHUNK:
+                chunk.append(text or "")
+                size += len(text or "")
+                continue
+            yield from self._taken(chunk)
+            chunk, size = [], 0
+            if not plain:
+                yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+            elif len(text) <= CHUNK:
+                chunk, size = [text], len(text)
+            else:
+                yield b"".join(b"".join(self._taken([part])) for part in _parts(text))
+        yield from self._taken(chunk)
+
+    def _taken(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of plain texts, all their words at once."""
+        if not texts:
+            return
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        found = split.flatten().dictionary_encode()
+        coded = self._coded(found.dictionary.to_pylist())
+        flat, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        at = found.indices.to_numpy()
+        counts, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4", copy=False)
+        bounds = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        known, older, out = self.words, self.older, []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                ids = older.get(word) or self._merged(word)
+                if len(word) <= CACHE_CHARS:
+                    known[word] = ids
+                    self.held += len(word) + len(ids) + ENTRY_BYTES
+                    if self.held > self.limit:
+                        self.words, self.older, self.held = {}, known, 0
+                        known, older = self.words, self.older
+            out.append(ids)
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        split = {word: PRETOKEN.findall(word) for word in new}
-        missing = []
-        for token in {t for tokens in split.values() for t in tokens}.difference(self.known):
-            if token in self.older:
-                self.known[token] = self.older[token]
-            else:
-                missing.append(token)
-        if missing:
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(missing), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            starts, ends = [0, *(cuts + len(self.mark)).tolist()], [*cuts.tolist(), len(ids)]
-            self.known.update((t, ids[i:j].tobytes()) for t, i, j in zip(missing, starts, ends, strict=True))
-        for word, tokens in split.items():
-            self.words[word] = b"".join([self.known[t] for t in tokens])
-        if len(self.known) > CACHE_WORDS:
-            self.older, self.known = {t: b for t, b in self.known.items() if len(t) <= CACHE_CHARS}, {}
+    def _merged(self, word: str) -> bytes:
+        """A lower-case word's ids: those of its pre-tokens in turn."""
+        if word.isalpha():
+            return self._token(word)
+        return b"".join([self.words.get(token) or self._token(token) for token in PRETOKEN.findall(word)])
+
+    def _token(self, token: str) -> bytes:
+        signs = token if token.isascii() else token.encode().decode("latin-1").translate(SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that end at white space."""
+    at = 0
+    while at < len(text):
+        blank = re.compile(r"[\t\n\r ]").search(text, at + CHUNK)
+        stop = blank.end() if blank else len(text)
+        yield text[at:stop]
+        at = stop
 
 
 _coders: dict[str, WordCoder] = {}
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
+def token_bytes(texts: Iterable[str | None], path: str) -> Iterator[bytes]:
     if path not in _coders:
         _coders[path] = WordCoder(path)
-    return _coders[path].encode(text)
+    return _coders[path].encode(texts)
 
 
 class OpenWindows:
@@ -152,8 +206,9 @@ def _pack_partition(path: str, length: int, windows: int, end: bytes, with_ids:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_bytes(text.as_py(), path) + end
+            texts = (text.as_py() for text in batch.column(1))
+            for key, coded in zip(batch.column(0).to_pylist(), token_bytes(texts, path), strict=True):
+                ids = coded + end
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     own = ids[4 * start : 4 * (start + length)]
