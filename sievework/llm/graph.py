@@ -1,6 +1,7 @@
 """Embedding near-dedup by a robust-pruned flat graph.
 
-Vectors go to the shards of their nearest centres (overlapping: ``overlap`` shards each). On every shard a flat graph is
+Vectors go to the shards of their nearest centres (overlapping: ``overlap`` shards each); a shard with more rows than a
+block is split again by centres of its own, level by level, so shards stay small at any size. On every shard a flat graph is
 built: each vector's nearest candidates are pruned so that no kept neighbour is much nearer to another than to the
 vector. The adjacency lists of a vector's shards are united. Each vector then searches its shards greedily from
 the medoids of the shard and of clusters in it (a pair that meets in two counts in the first), and expands its range: from every vector found within the threshold (or just under) the
@@ -9,13 +10,14 @@ compares a bounded sample of queries with brute force over all vectors, by the s
 of each query's links; if either is below the target recall the search is repeated with a wider beam and one more shard
 for each vector. If the last attempt fails too, all vectors are compared exactly, tile by tile: right, but quadratic.
 
-Identical vectors are searched once and counted as often as they occur. A shard larger than a block is tiled: blocks of
-its queries against blocks of its vectors, each with its own graph, so no group grows with the data. Only counts and
-spanning edges leave a tile, never all pairs of a group.
+Identical vectors are searched once and counted as often as they occur. A shard that no centres can split, for its
+vectors are all near each other, is tiled: blocks of its queries against blocks of its vectors, each with its own graph, so
+no group grows with the data. Only counts and spanning edges leave a tile, never all pairs of a group.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors
-of another length than most (they are compared with their own length only); repeated rows count as vectors of their
-own; an empty table gives an empty table; other columns are ignored.
+of another length than most (they are compared with their own length only); repeated rows, also of one key, count as vectors
+of their own; a row with a null key links like any other and has the least key of its component, or null if that has none;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, small
 
 THRESHOLD, SLACK = 0.95, 0.03
-SHARD_ROWS, MOST_CENTRES, BLOCK = 1500, 4096, 4096
+SHARD_ROWS, BLOCK = 1500, 4096
+#: Centres of one level, and levels of splitting.
+MOST_CENTRES, LEVELS = 1024, 4
 DEGREE, POOL, ALPHA, BEAM, MEDOIDS, FAR, BACK = 24, 48, 1.2, 32, 64, 8, 3
 AUDIT_ROWS, RECALL, ATTEMPTS = 200, 0.9, 3
 #: Centres nearer than this to another are dropped, so that groups of copies are not torn apart.
@@ -43,30 +47,28 @@ def _units(raw: list[bytes]) -> np.ndarray:
 
 
 def unit_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v, s): vectors that can be compared, as unit vectors of little-endian doubles, and a digest of the vector."""
+    """(r, k, v, s): row number, key, the unit vector as little-endian doubles, and its digest; null if it can't be compared."""
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not x or None in x:
-                    continue
-                a = np.array(x, np.float64)
-                top = np.abs(a).max()
-                if np.isfinite(top) and top > 0:
-                    a = a / top
-                    ids.append(i)
-                    out.append((a / np.sqrt((a * a).sum())).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "v"])
-
-    found = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInArrow(unit, "id long, v binary")
-    return found.withColumn("s", F.unhex(F.sha2("v", 256)))
-
-
-def _centres(points: DataFrame, rows: int) -> np.ndarray:
-    """A seeded bounded sample of points, without those near another."""
-    count = min(MOST_CENTRES, -(-rows // SHARD_ROWS))
-    sample = _units([bytes(r.v) for r in points.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(count).collect()])
+            out: list[bytes | None] = []
+            for x in b.column(2).to_pylist():
+                one = None
+                if x and None not in x:
+                    a = np.array(x, np.float64)
+                    top = np.abs(a).max()
+                    if np.isfinite(top) and top > 0:
+                        a = a / top
+                        one = (a / np.sqrt((a * a).sum())).astype("<f8").tobytes()
+                out.append(one)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["r", "k", "v"])
+
+    rows = table.select(F.monotonically_increasing_id().alias("r"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(unit, "r long, k long, v binary").withColumn("s", F.unhex(F.sha2("v", 256)))
+
+
+def _apart(sample: np.ndarray) -> np.ndarray:
+    """The vectors, in order, without those near one before."""
     kept: list[int] = []
     for i in range(len(sample)):
         if not kept or (sample[kept] @ sample[i]).max() < CENTRE_COSINE:
@@ -74,6 +76,12 @@ def _centres(points: DataFrame, rows: int) -> np.ndarray:
     return sample[kept]
 
 
+def _centres(points: DataFrame, rows: int) -> np.ndarray:
+    """A seeded bounded sample of points, without those near another."""
+    count = min(MOST_CENTRES, -(-rows // SHARD_ROWS))
+    return _apart(_units([bytes(r.v) for r in points.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(count).collect()]))
+
+
 def _assigned(points: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     """(shard, shards, id, n, v): every point in the shards of its nearest centres, with the list of them."""
     overlap = min(overlap, len(centres))
@@ -83,11 +91,54 @@ def _assigned(points: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame
             if not b.num_rows:
                 continue
             score = _units(b.column(2).to_pylist()) @ centres.T
-            order = np.argsort(-score, axis=1, kind="stable")[:, :overlap]
+            order = np.argsort(-score, axis=1, kind="stable")[:, :overlap].astype(np.int64)
             for rank in range(overlap):
-                yield pa.RecordBatch.from_arrays([pa.array(order[:, rank], pa.int32()), pa.array(list(order.astype(np.int32))), b.column(0), b.column(1), b.column(2)], names=["shard", "shards", "id", "n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(order[:, rank]), pa.array(list(order)), b.column(0), b.column(1), b.column(2)], names=["shard", "shards", "id", "n", "v"])
+
+    return points.select("id", "n", "v").mapInArrow(near, "shard long, shards array<long>, id long, n long, v binary")
+
+
+def _resplit(overlap: int, threshold: float):
+    def split(key: tuple, members: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        """Members of a shard in its children: the nearest, and those about as near, as a link to a member of theirs may be.
 
-    return points.select("id", "n", "v").mapInArrow(near, "shard int, shards array<int>, id long, n long, v binary")
+        A shard whose centres are all near each other stays whole, for good.
+        """
+        none = members[["shard", "id", "n", "v"]].assign(done=True)
+        if members.empty or centres.empty:
+            return none
+        chosen = _apart(_units(centres.sort_values("id")["v"].tolist()))
+        if len(chosen) < 2:
+            return none
+        angle = np.arccos(np.clip(_units(members["v"].tolist()) @ chosen.T, -1, 1))
+        order = np.argsort(angle, axis=1, kind="stable")[:, : min(overlap, len(chosen))]
+        far = np.take_along_axis(angle, order, axis=1)
+        near = far <= far[:, :1] + np.arccos(threshold)
+        parts = [none.assign(shard=members["shard"] * (MOST_CENTRES + 1) + 1 + order[:, rank], done=False)[near[:, rank]] for rank in range(order.shape[1])]
+        return pd.concat(parts, ignore_index=True)
+
+    return split
+
+
+def _sharded(points: DataFrame, rows: int, overlap: int, threshold: float) -> DataFrame:
+    """(shard, shards, id, n, v), written: points in overlapping shards of at most a block wherever centres can split them."""
+    members = cut(_assigned(points, _centres(points, rows), overlap), "shards").withColumn("done", F.lit(False))
+    for level in range(LEVELS):
+        sizes = members.groupBy("shard").agg(F.count("*").alias("rows"), F.bool_or("done").alias("over"))
+        big = cut(sizes.where(f"rows > {BLOCK} and not over").select("shard", "rows"), "big")
+        if not big.limit(1).count():
+            break
+        inside = members.select("shard", "id", "n", "v", "done").join(small(big), "shard").withColumn("lot", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / BLOCK)))
+        drawn = F.pmod(F.xxhash64(F.lit(level), "id"), F.col("rows")) < F.least(F.ceil(2 * F.col("rows") / SHARD_ROWS), F.lit(MOST_CENTRES // 4))
+        lots = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows") / BLOCK) - 1)).alias("lot")
+        centres = cut(inside.where(drawn).select("shard", "id", "v", "rows"), "centres").select("shard", "id", "v", lots)
+        grouped = inside.select("shard", "lot", "id", "n", "v").groupBy("shard", "lot").cogroup(centres.groupBy("shard", "lot"))
+        split = cut(grouped.applyInPandas(_resplit(overlap, threshold), "shard long, id long, n long, v binary, done boolean"), "shards")
+        members = members.select(*split.columns).join(small(big.select("shard")), "shard", "left_anti").unionByName(split)
+    if "shards" not in members.columns:
+        lists = members.groupBy("id").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
+        members = cut(members.join(lists, "id"), "shards")
+    return members.select("shard", "shards", "id", "n", "v")
 
 
 def robust_graph(x: np.ndarray) -> list[np.ndarray]:
@@ -225,6 +276,13 @@ def exact_search(x: np.ndarray, queries: np.ndarray, threshold: float, batch: in
         yield who + at, what
 
 
+def _padded(lists: pd.Series, fill: int) -> np.ndarray:
+    out = np.full((len(lists), max(map(len, lists))), fill, np.int64)
+    for i, own in enumerate(lists):
+        out[i, : len(own)] = own
+    return out
+
+
 def _search(threshold: float, beam: int | None):
     """The search of a tile; by brute force if there is no beam."""
 
@@ -237,7 +295,7 @@ def _search(threshold: float, beam: int | None):
         place = {v: i for i, v in enumerate(ids.tolist())}
         graph = [np.array([place[j] for j in near if j in place], np.int64) if near is not None else np.zeros(0, np.int64) for near in base["near"]]
         links, head = np.zeros(len(asked), np.int64), {}
-        theirs, own = np.array(base["shards"].tolist()), np.array(asked["shards"].tolist())
+        theirs, own = _padded(base["shards"], -1), _padded(asked["shards"], -2)
         sooner = np.cumsum(own == key[0], axis=1) == 0  # shards in which the query meets the same vectors before this one
 
         def root(i: int) -> int:
@@ -266,7 +324,7 @@ def _search(threshold: float, beam: int | None):
 
 def _searched(points: DataFrame, rows: int, threshold: float, beam: int, overlap: int) -> DataFrame:
     """(id, other, links): counts where other is null, else edges."""
-    members = cut(_assigned(points, _centres(points, rows), overlap), "shards")
+    members = _sharded(points, rows, overlap, threshold)
     blocks = members.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     near = placed.groupBy("shard", "block").applyInPandas(_build, "id long, near array<long>")
@@ -285,7 +343,7 @@ def _compared(points: DataFrame, rows: int, threshold: float) -> DataFrame:
     """What _searched gives, by brute force: all points in one shard, each pair of blocks a tile."""
     blocks = -(-rows // BLOCK)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    placed = points.select(F.lit(0).alias("shard"), F.array(F.lit(0)).alias("shards"), "id", "n", "v", F.lit(None).cast("array<long>").alias("near"), F.lit(blocks).alias("blocks"), block)
+    placed = points.select(F.lit(0).cast("long").alias("shard"), F.array(F.lit(0).cast("long")).alias("shards"), "id", "n", "v", F.lit(None).cast("array<long>").alias("near"), F.lit(blocks).alias("blocks"), block)
     return cut(_tiles(placed).groupBy("shard", "q", "b").applyInPandas(_search(threshold, None), "id long, other long, links long"), "found")
 
 
@@ -315,7 +373,8 @@ def audit(points: DataFrame, found: DataFrame, threshold: float, rows: int = AUD
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_links, component_id, kept) for every row."""
     marked = cut(unit_vectors(table, key, vector), "units")
-    groups = cut(marked.groupBy("s", F.octet_length("v").alias("width")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), "vectors")
+    known = marked.where("v is not null").groupBy("s").agg(F.min("r").alias("id"), F.min("k").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    groups = cut(known.withColumn("width", F.octet_length("v")), "vectors")
     found = None
     for width, rows in sorted((r.width, r["count"]) for r in groups.groupBy("width").count().collect()):
         points, beam, overlap = groups.where(F.col("width") == width), BEAM, 2
@@ -327,16 +386,17 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         else:
             own = _compared(points, rows, threshold)
         found = own if found is None else found.unionByName(own)
-    ids = table.select(F.col(key))
     if found is None:
-        return ids.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
-    linked = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
-    parts = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    heads = groups.join(linked, "id", "left").join(parts, "id", "left").select("s", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    known = marked.select("id", "s").join(heads, "s").select("id", "n_links", "component_id")
-    silent = ids.join(marked.select("id"), ids[key] == F.col("id"), "left_anti").select(F.col(key).alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"))
-    out = known.unionByName(silent)
-    return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        heads = groups.select("s", F.lit(0).cast("long").alias("n_links"), F.col("least").alias("component_id"))
+    else:
+        linked = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
+        parts = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        told = cut(groups.drop("v").join(linked, "id", "left").join(parts, "id", "left").withColumn("g", F.coalesce("component", "id")), "told")
+        least = told.groupBy("g").agg(F.min("least").alias("component_id"))
+        heads = told.join(least, "g").select("s", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    linked = marked.where("v is not null").select("k", "s").join(heads, "s").select("k", "n_links", "component_id")
+    silent = marked.where("v is null").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
+    return linked.unionByName(silent).select(F.col("k").alias(key), "n_links", "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op10_graph(table: DataFrame) -> DataFrame:
