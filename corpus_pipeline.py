@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import common, copies, mixing, packing, pii, toxicity
+from sievework.llm import common, mixing, packing, pii, simhash, toxicity
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no two are near copies: similarity 0.8 or more over shingles of five words."""
-    return copies.drop_copies(docs)
+    """One document of each group of near copies: SimHash over shingles of five words, then their similarity of 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

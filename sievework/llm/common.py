@@ -27,15 +27,18 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sievework-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lineage cut that survives lost executors."""
+def cut(df: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: a lineage cut that survives lost executors.
+
+    batch: rows of an Arrow batch on the way.
+    """
     spark = df.sparkSession
     root = scratch_root(spark)
     if root not in _folders:
         _folders.add(root)
         atexit.register(_drop, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    with batches_of(spark, BATCH_ROWS):
+    with batches_of(spark, batch):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,18 +1,17 @@
-"""Near copies by shingle similarity: rows are dropped until no two that stay are near copies.
+"""Near copies by shingle similarity: links of near-dedup that SimHash fingerprints cannot reach.
 
-Two texts are near copies if the sets of their shingles (five words each) have a Jaccard similarity of 0.8 or more.
+Two texts are near copies if the sets of their shingles have a Jaccard similarity of at least the one asked for.
 Candidates share one of 24 bands of 5 minimum hashes: a pair at similarity s does so with probability
 1 - (1 - s^5)^24, which is 0.9999 at 0.8 and grows with s. Every candidate is verified on the exact sets.
 
-Rows are ranked by key (nulls last), a hash of the text and a row number, so a row's key need be neither unique nor
-known. Texts of equal words are one class, held by its first row. In each bucket the first classes are compared with all
-others; a class that has a near copy before it is dropped and leaves all buckets, the compared ones leave theirs, and
-the rest go on with more at once. So a large group of copies costs a few comparisons a member and no pairs of it are
-enumerated; only classes that share a bucket and are no near copies all meet each other.
+Groups are the components of verified links. In each bucket the rows with most bucket mates lead, for they are the likeliest
+to have copies; leads are compared with the members of other components only, and whatever is linked already is one
+component from the start. So a group of copies around a common text costs about one comparison a member. Only texts that share a bucket and are not linked at all meet each other.
+The largest component of a bucket need not lead: whoever is outside it does. A lead leaves its bucket once compared;
+a bucket of one component is done.
 
-Result: all columns of the rows that stay. Every dropped row has equal words or a verified near copy before it. Defined
-cases: null and wordless texts are one class; texts with fewer words than a shingle are one shingle; an empty table gives
-no rows.
+Defined cases: a text without words has no bands and no copies here (all of them are one fingerprint already); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,39 +22,26 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
-from .simhash import LOWER, SEED, WORD
+from .common import components, cut, small
+from .shingles import SEED, shingle_hashes, words_of
 
-WORDS, SIMILARITY = 5, 0.8
 BANDS, DEPTH = 24, 5
-#: Classes of a bucket compared with all others in the first round, and their growth from round to round.
-FIRST, GROWTH = 2, 4
-#: Shingles hashed at once: bounds memory on very long texts.
+#: Growth, from round to round, of the number of leads of a bucket.
+GROWTH = 8
+#: Pairs of a lead that meet one copy of its text; more pairs are dealt to more copies.
+SHARE = 64
+#: Hashes taken at once: bounds memory on very long texts.
 BLOCK = 1024
-ROW = "__row"
+#: Rows of two whole texts in an Arrow batch.
+PAIR_ROWS = 100
 _draw = np.random.default_rng(SEED)
 SALT = _draw.integers(0, 1 << 64, (BANDS * DEPTH, 1), np.uint64)
 ODD = _draw.integers(0, 1 << 64, (BANDS * DEPTH, 1), np.uint64) | np.uint64(1)
 
 
-def normal(text: str | None) -> list[bytes]:
-    return [w.encode() for w in WORD.findall((text or "").translate(LOWER))]
-
-
-def shingles(found: list[bytes], words: int = WORDS) -> np.ndarray:
-    """The distinct hashes of a text's shingles."""
-    if not found:
-        return np.zeros(0, np.uint64)
-    width, line = min(words, len(found)), b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: len(found) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[i:j], SEED) for i, j in spans), np.uint64))
-
-
 def bands(hashes: np.ndarray) -> list[int]:
     """The band keys of a set of hashes, as signed longs; none for an empty set."""
     if not len(hashes):
@@ -67,78 +53,59 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs, written, with a number for each row."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-
-
-def rank(key: str, text_hash: str = "t", row: str = ROW) -> F.Column:
-    """What rows are ordered by: key, nulls last, then a hash of the text and the row's number."""
-    return F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(text_hash).alias("t"), F.col(row).alias("r"))
-
-
-def _sketches(rows: DataFrame, text: str, words: int) -> DataFrame:
-    """(row, mark, size, bands): digest of a row's words, number of its shingles and their band keys. Narrow."""
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, sizes, keys = [], [], []
-            for x in batch.column(1):
-                found = normal(x.as_py())
-                hashes = shingles(found, words)
-                marks.append(xxhash.xxh128_digest(b" ".join(found), SEED))
-                sizes.append(len(hashes))
-                keys.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[ROW, "mark", "size", "bands"])
-
-    return rows.select(ROW, F.col(text).alias("text")).mapInArrow(sketched, f"{ROW} long, mark binary, size long, bands array<long>")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(z): the later rows of those pairs (a, z) whose shingle sets are as similar as asked."""
+    """Those pairs (a, z) whose shingle sets are as similar as asked; a row with many pairs as a is salted."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(32)
         def known(text: str | None) -> frozenset[int]:
-            return frozenset(shingles(normal(text), words).tolist())
+            return frozenset(shingle_hashes(words_of(text), words).tolist())
 
         for batch in batches:
-            out = []
-            for z, one, two in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            hit = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = known(one.as_py()), known(two.as_py())
                 both = len(x & y)
-                if both >= similarity * (len(x) + len(y) - both):
-                    out.append(z)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["z"])
-
-    later = pairs.join(texts.select(F.col(ROW).alias("z"), F.col("text").alias("two")), "z")
-    met = later.join(texts.select(F.col(ROW).alias("a"), F.col("text").alias("one")), "a").select("z", "one", "two")
-    return met.mapInArrow(near, "z long").distinct()
-
-
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that have no near copy before them, with all columns."""
-    rows = numbered(docs)
-    keys = rows.select(ROW, F.col(key).alias("k"), F.xxhash64(text).alias("t"))
-    marked = cut(_sketches(rows, text, words), "sketches")
-    heads = cut(marked.join(keys, ROW).groupBy("mark").agg(F.min(rank("k")).alias("o"), F.first("size").alias("size"), F.first("bands").alias("bands")), "heads")
-    held = heads.select("o", "size", F.explode("bands").alias("b"))
-    members = cut(held.join(held.groupBy("b").count().where("count > 1").select("b"), "b", "left_semi"), "members")
-    texts = cut(rows.select(ROW, F.col(text).alias("text")).join(small(cut(members.select(F.col("o.r").alias(ROW)).distinct(), "asked")), ROW, "left_semi"), "texts")
-    gone, width = None, FIRST
+                hit.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+
+    shares = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "shares")
+    dealt = pairs.join(small(shares), "a").select("a", "z", F.pmod(F.xxhash64("z"), F.col("shares")).cast("int").alias("share"))
+    one = shares.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).join(texts.select(F.col("r").alias("a"), F.col("text").alias("one")), "a")
+    two = dealt.join(texts.select(F.col("r").alias("z"), F.col("text").alias("two")), "z")
+    return two.join(one.select("a", "share", "one"), ["a", "share"]).select("a", "z", "one", "two").mapInArrow(near, "a long, z long")
+
+
+def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, z): verified links that connect whatever chains of near copies connect.
+
+    pairs: (a, z), candidates, written; classes: (r, size, bands), one row a distinct text, written; rows: (r, text).
+    """
+    held = classes.select("r", "size", F.explode("bands").alias("b"))
+    met = cut(held.join(held.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "b"), "met")
+    mates = cut(met.groupBy("r").agg(F.sum("n").alias("mates")), "mates")
+    members = met.drop("n").join(small(mates), "r")
+    asked = cut(mates.select("r").unionByName(pairs.select(F.explode(F.array("a", "z")).alias("r"))).distinct(), "asked")
+    texts = cut(rows.join(small(asked), "r", "left_semi"), "texts")
+    links = cut(_verified(pairs, texts, words, similarity), "links", PAIR_ROWS)
+    tried, leads_of = None, 1
     while True:
-        placed = cut(members.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("o"))), "placed")
-        if not placed.where("place > 1").limit(1).count():
-            break
-        lead = placed.where(F.col("place") <= width).select("b", F.col("o.r").alias("a"), F.col("size").alias("many"), F.col("place").alias("sooner"))
-        could = F.least("size", "many") >= similarity * F.greatest("size", "many")
-        pairs = cut(placed.join(lead, "b").where(F.col("sooner") < F.col("place")).where(could).select("a", F.col("o.r").alias("z")).distinct(), "pairs")
-        found = cut(_verified(pairs, texts, words, similarity), "copies")
-        gone = found if gone is None else gone.unionByName(found)
-        members = placed.where(F.col("place") > width).drop("place").join(found, F.col("o.r") == found.z, "left_anti")
-        width *= GROWTH
-    kept = heads.select(F.col("o.r").alias(ROW))
-    if gone is not None:
-        kept = kept.join(gone.select(F.col("z").alias(ROW)), ROW, "left_anti")
-    out = cut(rows.select(ROW).join(kept, ROW, "left_anti"), "dropped")
-    return rows.join(small(out), ROW, "left_anti").drop(ROW)
+        parts = cut(components(links.select("a", F.col("z").alias("b"))), "parts")
+        named = members.join(small(parts), members.r == parts.id, "left")
+        named = cut(named.select("b", "r", "size", "mates", F.coalesce("component", "r").alias("comp")), "named")
+        most = named.groupBy("b", "comp").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+        live = cut(named.join(most.select("b", "most"), "b"), "live")
+        lead = F.max(F.struct("mates", "r", "comp", "size")).alias("l")
+        outside = live.where("most.n = 1 or comp <> most.comp") if tried is not None else live
+        leads = outside.groupBy("b", F.pmod(F.xxhash64("r"), F.lit(leads_of)).alias("slot")).agg(lead)
+        leads = cut(leads.select("b", F.col("l.mates").alias("m1"), F.col("l.r").alias("r1"), F.col("l.comp").alias("c1"), F.col("l.size").alias("s1")), "leads")
+        if not leads.limit(1).count():
+            return links
+        could = (F.col("comp") != F.col("c1")) & (F.least("size", "s1") >= similarity * F.greatest("size", "s1"))
+        first = F.struct("m1", "r1") > F.struct("mates", "r")
+        pairs = live.join(leads, (live.b == leads.b) & could).select(F.when(first, F.col("r1")).otherwise(F.col("r")).alias("a"), F.when(first, F.col("r")).otherwise(F.col("r1")).alias("z")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "z"], "left_anti"), "pairs")
+        links = links.unionByName(cut(_verified(pairs, texts, words, similarity), "links", PAIR_ROWS))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        members = live.join(leads.select("b", F.col("r1").alias("r")), ["b", "r"], "left_anti").select("b", "r", "size", "mates")
+        leads_of *= GROWTH

@@ -8,43 +8,41 @@ the radius agrees under that table's mask: no pair can be missed.
 Defined cases: a null or wordless text has fingerprint 0 and links like any other; texts with fewer words than a
 shingle hash as one shingle; repeated rows give repeated results; an empty table gives no rows; other columns are
 ignored. Rows with a null key get a result with the component of their fingerprint.
+
+Buckets of two fingerprints are verified as a pair. Members of larger buckets meet in the words half-way between them:
+a second way to the same links, exact at any bucket size, without the pairs of a bucket.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from . import copies
+from .common import components, cut, small
+from .shingles import digest_of, shingle_hashes, words_of
 
-SEED = 42
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Hashes whose bits are counted at once: bounds memory on very long texts.
 BLOCK = 65_536
+ROW = "__row"
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash: a bit is set if more than half of the hashes set it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def simhash64(text: str | None, words: int = 3) -> int:
     """Unsigned 64-bit SimHash of a whole text."""
-    found = [w.encode() for w in WORD.findall((text or "").translate(LOWER))]
-    if not found:
-        return 0
-    width, line = min(words, len(found)), b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans, digest = list(zip(starts[: len(found) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(spans), BLOCK):
-        hashes = np.array([digest(line[i:j], SEED) for i, j in spans[at : at + BLOCK]], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(spans)).tobytes(), "big")
+    return majority(shingle_hashes(words_of(text), words))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -110,16 +108,56 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return marked.join(classes, "fp").select(key, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """One row of every group, with all columns: the least key's (nulls last), then by a hash of the text and row number."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    marked = cut(fingerprints(rows, "__row", text, words), "simhash")
-    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col("__row").alias("r"))
-    groups = cut(marked.join(rows.select("__row", order.alias("o")), "__row").groupBy("fp").agg(F.min("o").alias("least")), "prints")
-    parts = cut(components(links(groups.select("fp"), radius)), "parts")
-    group = F.coalesce("component", "fp")
-    kept = groups.join(parts, groups.fp == parts.id, "left").groupBy(group.alias("g")).agg(F.min("least").alias("o")).select(F.col("o.r").alias("__row"))
-    return rows.join(cut(kept, "kept"), "__row", "left_semi").select(*docs.columns)
+def _sketches(rows: DataFrame, key: str, text: str, words: int, similarity: float | None) -> DataFrame:
+    """(o, mark, fp, size, bands): a row's order, the digest of its words, its SimHash and, for a similarity, its bands.
+
+    Rows are ordered by key, nulls last, then a hash of the text and the row's number. Narrow.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, prints, sizes, keys = [], [], [], []
+            for x in batch.column(3):
+                found = words_of(x.as_py())
+                hashes = shingle_hashes(found, words)
+                marks.append(digest_of(found))
+                prints.append(majority(hashes))
+                distinct = np.unique(hashes) if similarity else hashes[:0]
+                sizes.append(len(distinct))
+                keys.append(copies.bands(distinct))
+            fps = np.array(prints, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(marks, pa.binary()), pa.array(fps), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["r", "k", "t", "mark", "fp", "size", "bands"])
+
+    told = rows.select(F.col(ROW).alias("r"), F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
+    found = told.mapInArrow(sketched, f"r long, k {dict(rows.dtypes)[key]}, t long, mark binary, fp long, size long, bands array<long>")
+    return found.select(F.struct(F.col("k").isNull().alias("n"), "k", "t", "r").alias("o"), "mark", "fp", "size", "bands")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """One row of every group, with all columns: the least key's (nulls last), then by a hash of the text and row number.
+
+    Texts link if their fingerprints do, within the radius. With a similarity they link if their shingle sets have at least
+    that Jaccard similarity: pairs of linked fingerprints are candidates, and those that copies.py finds, as no radius of 64
+    bits that can be paid for covers a similarity such as 0.8; all are verified. Groups are the components of the links.
+
+    Defined cases: all null and wordless texts are one group; a row with a null or repeated key is a row of its own;
+    identical rows leave one; an empty table gives no rows; columns may have any names but ``__row``.
+    """
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    marked = cut(_sketches(rows, key, text, words, similarity), "simhash")
+    first = F.min_by(F.struct("o", "fp", "size", "bands"), "o").alias("h")
+    classes = cut(marked.groupBy("mark").agg(first).select("h.*", F.col("h.o.r").alias("r")), "classes")
+    prints = cut(classes.groupBy("fp").agg(F.min("r").alias("a")), "prints")
+    same = classes.select("fp", F.col("r").alias("z")).join(prints, "fp").where("a <> z").select("a", "z")
+    near = links(prints.select("fp"), radius).join(prints.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("a").alias("z")), "b")
+    tied = cut(same.unionByName(near.select(F.col("x").alias("a"), "z")), "tied")
+    if similarity:
+        tied = copies.similar(tied, classes, rows.select(F.col(ROW).alias("r"), F.col(text).alias("text")), words, similarity)
+    parts = cut(components(tied.select("a", F.col("z").alias("b"))), "parts")
+    whole = classes.select("o", "r").join(parts, classes.r == parts.id, "left").groupBy(F.coalesce("component", "r").alias("g"))
+    kept = whole.agg(F.min("o").alias("o")).select(F.col("o.r").alias("r"))
+    gone = cut(rows.select(ROW).join(kept, F.col(ROW) == kept.r, "left_anti"), "dropped")
+    return rows.join(small(gone), ROW, "left_anti").select(*docs.columns)
 
 
 def op9_simhash(docs: DataFrame) -> DataFrame:

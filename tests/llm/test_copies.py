@@ -6,16 +6,39 @@ import random
 import corpus_pipeline
 import pytest
 
-from sievework.llm import copies
-
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def similarity(a, b):
-    x, y = (set(copies.shingles(copies.normal(t)).tolist()) for t in (a, b))
+    x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
+def survivors(rows):
+    """Brute force: the first row, by key with nulls last, of every component of pairs that are near copies."""
+    n = len(rows)
+    sets = [shingles(t) for _, t in rows]
+    head = list(range(n))
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i, j in itertools.combinations(range(n), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = root(i), root(j)
+            first, other = sorted((a, b), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+            head[other] = first
+    return [rows[i] for i in range(n) if root(i) == i]
+
+
 def family(seed, changes, words=300):
     """A text, and it with single words changed far from each other."""
     draw = random.Random(seed)
@@ -27,7 +50,7 @@ def family(seed, changes, words=300):
 
 
 def kept(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
     out = corpus_pipeline.drop_copies(spark, docs, SF)
     assert out.columns == docs.columns
     return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
@@ -36,27 +59,46 @@ def kept(spark, rows):
 def test_copies_of_similarity_0_8_go_and_others_stay(spark):
     near, far = [family(s, 6) for s in range(30)], [family(s, 9) for s in range(30, 40)]
     assert all(0.8 <= similarity(*p) < 0.83 for p in near) and all(0.7 < similarity(*p) < 0.8 for p in far)
-    rows = [(2 * n + i, t, "s") for n, p in enumerate(near + far) for i, t in enumerate(p)]
-    assert [k for k, _ in kept(spark, rows)] == sorted([2 * n for n in range(30)] + [*range(60, 80)], key=lambda k: str((k, dict((r[0], r[1]) for r in rows)[k])))
+    rows = [(2 * n + i, t) for n, p in enumerate(near + far) for i, t in enumerate(p)]
+    left = kept(spark, rows)
+    assert left == sorted(survivors(rows), key=str) and len(left) == 50
 
 
-def test_a_large_group_of_near_copies_shrinks_without_its_pairs(spark):
+def test_a_large_group_of_near_copies_leaves_one(spark):
     draw = random.Random(9)
     base = [f"w{n}" for n in range(400)]
-    rows = []
-    for n in range(600):
+    rows = [(1000, " ".join(base))]
+    for n in range(600):  # each near the base only: any two of them differ in twice as many words
         text = list(base)
-        for at in draw.sample(range(400), 5):
+        for at in draw.sample(range(400), 8):
             text[at] = f"x{draw.randrange(10**6)}"
-        rows.append((n, " ".join(text), "s"))
-    left = kept(spark, rows)
-    assert (0, rows[0][1]) in left and all(similarity(a[1], b[1]) < 0.8 for a, b in itertools.combinations(left, 2))
-    assert all(any(similarity(t, rows[m][1]) >= 0.8 for m in range(n)) for n, t, _ in rows if (n, t) not in left)
+        rows.append((n, " ".join(text)))
+    assert sum(similarity(rows[i][1], rows[j][1]) >= 0.8 for i, j in itertools.combinations(range(1, 60), 2)) < 60
+    assert kept(spark, rows) == [rows[1]] == survivors(rows)
+
+
+def test_unlinked_texts_of_shared_passages_all_stay(spark):
+    draw = random.Random(4)
+    shared = [f"w{n}" for n in range(300)]
+    rows = [(n, " ".join(shared + [f"y{draw.randrange(10**6)}" for _ in range(100)])) for n in range(60)]
+    assert 0.5 < similarity(rows[0][1], rows[1][1]) < 0.7
+    assert kept(spark, rows) == sorted(rows, key=str)
+
+
+def test_a_chain_of_near_copies_is_one_group(spark):
+    texts, words = [], [f"w{n}" for n in range(300)]
+    for step in range(12):
+        texts.append(" ".join(words))
+        for at in range(5 * step, 300, 60):
+            words[at] = f"c{step}-{at}"
+    rows = [(50 - n, t) for n, t in enumerate(texts)]
+    assert similarity(texts[0], texts[1]) >= 0.8 and similarity(texts[0], texts[-1]) < 0.5
+    assert kept(spark, rows) == [(39, texts[-1])] == survivors(rows)
 
 
 def test_rows_without_a_key_or_with_a_shared_one_stay(spark):
     one, two = family(50, 1)
-    rows = [(None, "clean text of its own", "s"), (None, "another clean text", "s"), (7, "first text of seven", "s"), (7, "second text of seven", "s"), (None, two, "s"), (3, one, "s"), (None, None, "s"), (4, "", "s")]
+    rows = [(None, "clean text of its own"), (None, "another clean text"), (7, "first text of seven"), (7, "second text of seven"), (None, two), (3, one), (None, None), (4, "")]
     assert kept(spark, rows) == sorted([(None, "clean text of its own"), (None, "another clean text"), (7, "first text of seven"), (7, "second text of seven"), (3, one), (4, "")], key=str)
     assert kept(spark, []) == []
 
@@ -64,8 +106,6 @@ def test_rows_without_a_key_or_with_a_shared_one_stay(spark):
 @pytest.mark.parametrize("sf", [SF])
 def test_documents_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
-    left = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()}
-    near = [(a.doc_id, b.doc_id) for a, b in itertools.combinations(rows, 2) if similarity(a.text, b.text) >= 0.8]
-    assert near and not [p for p in near if p[0] in left and p[1] in left]
-    assert {r.doc_id for r in rows} - left <= {b for _, b in near}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, sf).collect())
+    assert left == sorted(survivors(rows)) and len(left) < len(rows)
