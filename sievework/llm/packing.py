@@ -19,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,11 +34,10 @@ from tokenizers import Tokenizer
 from .common import cut
 
 LENGTH, END_ID, WINDOWS, MERGED = 4096, 2, 64, 16
-#: Bytes of words and ids that a worker remembers in each of two generations, what an entry costs beside them, and the
-#: longest word kept.
-CACHE_BYTES, ENTRY_BYTES, CACHE_CHARS = 96 << 20, 240, 48
+#: Bytes of words and ids that a worker remembers, and the longest word remembered.
+CACHE_BYTES, CACHE_CHARS = 24 << 20, 48
 #: Characters of text whose words are taken at once: bounds memory on very long texts.
-CHUNK = 2_000_000
+CHUNK = 6_000_000
 #: Texts of these characters only are lower-cased and split here; for all others the tokenizer does the whole text.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
 # The normalizer and the pre-tokenizer of the vocabulary file whose words may be taken one by one.
@@ -65,18 +65,18 @@ SIGNS = _byte_signs()
 
 
 class WordCoder:
-    """Ids of texts. Distinct words of many texts are looked up together, in a cache of bounded size; new ones are merged
+    """Ids of texts. The distinct words of many texts are looked up together, in columns of bounded size; new ones are merged
     by the vocabulary's model. A tokenizer that parts words otherwise takes whole texts."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.limit = self.tokenizer.model, cache_bytes
+        self.model, self.limit, self.now = self.tokenizer.model, cache_bytes, 0
         told = json.loads(self.tokenizer.to_str())
         self.by_word = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRETOKENIZER and told["model"]["type"] == "BPE"
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
+        #: The words known, their ids one after another, where each word's start, how many they are, and when last asked for.
+        self.words = pa.array([], pa.string())
+        self.ids, self.start, self.size, self.asked = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit."""
@@ -101,38 +101,64 @@ class WordCoder:
         """The ids of plain texts, all their words at once."""
         if not texts:
             return
-        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
         found = split.flatten().dictionary_encode()
-        coded = self._coded(found.dictionary.to_pylist())
-        flat, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        place = self._placed(found.dictionary)
         at = found.indices.to_numpy()
-        counts, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
-        ends = np.cumsum(counts)
-        ids = flat[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4", copy=False)
+        counts, starts = self.size[place][at], self.start[place][at]
+        ends = np.cumsum(counts, dtype=np.int32)
+        ids = self.ids[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         bounds = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        self._forget()
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield ids[a:b].tobytes()
 
-    def _coded(self, words: list[str]) -> list[bytes]:
-        known, older, out = self.words, self.older, []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = older.get(word) or self._merged(word)
-                if len(word) <= CACHE_CHARS:
-                    known[word] = ids
-                    self.held += len(word) + len(ids) + ENTRY_BYTES
-                    if self.held > self.limit:
-                        self.words, self.older, self.held = {}, known, 0
-                        known, older = self.words, self.older
-            out.append(ids)
-        return out
-
-    def _merged(self, word: str) -> bytes:
-        """A lower-case word's ids: those of its pre-tokens in turn."""
-        if word.isalpha():
-            return self._token(word)
-        return b"".join([self.words.get(token) or self._token(token) for token in PRETOKEN.findall(word)])
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 if it is not known."""
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def _placed(self, words: pa.Array) -> np.ndarray:
+        """The place of each of these distinct words; new ones are merged and added."""
+        place = self._known(words).copy()
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = words.take(pa.array(new)).to_pylist()
+            tokens = [[w] if w.isalpha() else PRETOKEN.findall(w) for w in fresh]
+            parts = list(dict.fromkeys(t for ts in tokens for t in ts))
+            old = self._known(pa.array(parts, pa.string())).tolist()
+            coded = {t: self._token(t) if i < 0 else self.ids[self.start[i] : self.start[i] + self.size[i]].tobytes() for t, i in zip(parts, old, strict=True)}
+            whole = [coded[ts[0]] if len(ts) == 1 else b"".join([coded[t] for t in ts]) for ts in tokens]
+            held = set(fresh)
+            more = [t for t, i in zip(parts, old, strict=True) if i < 0 and t not in held]
+            place[new] = len(self.words) + np.arange(len(fresh))
+            self._add(fresh + more, whole + [coded[t] for t in more])
+        self.now += 1
+        self.asked[place] = self.now
+        return place
+
+    def _add(self, words: list[str], coded: list[bytes]) -> None:
+        size = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size, dtype=np.int32) - size])
+        self.ids, self.size = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")]), np.concatenate([self.size, size])
+        self.asked = np.concatenate([self.asked, np.full(len(words), self.now + 1, np.int32)])
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
+
+    def held(self) -> int:
+        """Bytes remembered."""
+        return self.words.nbytes + self.ids.nbytes + self.start.nbytes + self.size.nbytes + self.asked.nbytes
+
+    def _forget(self) -> None:
+        """Beyond the limit, keep what was asked for last, up to half the limit; never words longer than those remembered."""
+        if self.held() <= self.limit:
+            return
+        chars = pc.utf8_length(self.words).to_numpy()
+        order = np.argsort(-self.asked, kind="stable")
+        order = order[chars[order] <= CACHE_CHARS]
+        order = order[np.cumsum(4 * chars[order] + 4 * self.size[order] + 16) <= self.limit // 2]
+        size = self.size[order]
+        at = np.cumsum(size, dtype=np.int32) - size
+        self.ids = self.ids[np.repeat(self.start[order] - at, size) + np.arange(size.sum(), dtype=np.int32)]
+        self.words, self.start, self.size, self.asked = self.words.take(pa.array(order)), at, size, self.asked[order]
 
     def _token(self, token: str) -> bytes:
         signs = token if token.isascii() else token.encode().decode("latin-1").translate(SIGNS)
@@ -205,19 +231,26 @@ def _pack_partition(path: str, length: int, windows: int, end: bytes, with_ids:
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-        for batch in batches:
-            texts = (text.as_py() for text in batch.column(1))
-            for key, coded in zip(batch.column(0).to_pylist(), token_bytes(texts, path), strict=True):
-                ids = coded + end
-                total = len(ids) // 4
-                for start in range(0, total, length):
-                    own = ids[4 * start : 4 * (start + length)]
-                    piece = (key, start, len(own) // 4, zlib.crc32(own), total, own if with_ids else None)
-                    done = [piece] if piece[2] == length else held.place(piece[2], piece)
-                    if done:
-                        emit(done, False)
-                    if len(rows) >= 2000:
-                        yield flushed()
+        keys: deque[int | None] = deque()
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    keys.append(key)
+                    yield text.as_py()
+
+        for coded in token_bytes(texts(), path):
+            key = keys.popleft()
+            ids = coded + end
+            total = len(ids) // 4
+            for start in range(0, total, length):
+                own = ids[4 * start : 4 * (start + length)]
+                piece = (key, start, len(own) // 4, zlib.crc32(own), total, own if with_ids else None)
+                done = [piece] if piece[2] == length else held.place(piece[2], piece)
+                if done:
+                    emit(done, False)
+                if len(rows) >= 2000:
+                    yield flushed()
         for pieces in held.content:
             emit(pieces, True)
         yield flushed()

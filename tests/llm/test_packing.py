@@ -35,8 +35,9 @@ def test_cache_is_bounded_in_bytes(texts):
     want = whole(PATH)
     long = [chr(97 + i % 26) * 20_000 + str(i) for i in range(50)]
     assert list(coder.encode(texts[:300] + long + texts[:300])) == [want(t) for t in texts[:300] + long + texts[:300]]
-    held = sum(len(w) + len(b) + packing.ENTRY_BYTES for words in (coder.words, coder.older) for w, b in words.items())
-    assert held <= 2 * (200_000 + 1000) and max(map(len, coder.words)) <= packing.CACHE_CHARS
+    assert coder.held() <= 200_000 and max(map(len, coder.words.to_pylist())) <= packing.CACHE_CHARS and len(coder.words) > 100
+    coder = packing.WordCoder(PATH, cache_bytes=1 << 30)
+    assert list(coder.encode(texts[:300] + long + texts[:300])) == [want(t) for t in texts[:300] + long + texts[:300]] and len(set(coder.words.to_pylist())) == len(coder.words)
 
 
 def test_other_tokenizers_take_whole_texts(tmp_path):
