@@ -8,7 +8,7 @@ Groups are the components of verified links. In each bucket the rows with most b
 to have copies; leads are compared with the members of other components only, and whatever is linked already is one
 component from the start. So a group of copies around a common text costs about one comparison a member. Only texts that share a bucket and are not linked at all meet each other.
 The largest component of a bucket need not lead: whoever is outside it does. A lead leaves its bucket once compared;
-a bucket of one component is done.
+a bucket of one component is done. All members of a small bucket lead at once, for the sake of fewer rounds.
 
 Defined cases: a text without words has no bands and no copies here (all of them are one fingerprint already); an empty
 table gives no rows.
@@ -29,8 +29,8 @@ from .common import components, cut, small
 from .shingles import SEED, shingle_hashes, words_of
 
 BANDS, DEPTH = 24, 5
-#: Growth, from round to round, of the number of leads of a bucket.
-GROWTH = 8
+#: Buckets of at most so many rows are compared in the first round; in larger ones the number of leads grows so from round to round.
+SMALL, GROWTH = 8, 16
 #: Pairs of a lead that meet one copy of its text; more pairs are dealt to more copies.
 SHARE = 64
 #: Hashes taken at once: bounds memory on very long texts.
@@ -58,19 +58,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(32)
-        def known(text: str | None) -> frozenset[int]:
-            return frozenset(shingle_hashes(words_of(text), words).tolist())
+        def known(text: str | None) -> np.ndarray:
+            return np.unique(shingle_hashes(words_of(text), words))
 
         for batch in batches:
             hit = []
             for one, two in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = known(one.as_py()), known(two.as_py())
-                both = len(x & y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 hit.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
-    shares = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "shares")
-    dealt = pairs.join(small(shares), "a").select("a", "z", F.pmod(F.xxhash64("z"), F.col("shares")).cast("int").alias("share"))
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "a").select("a", "z", F.pmod(F.xxhash64("z"), F.col("shares")).cast("int").alias("share"))
     one = shares.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).join(texts.select(F.col("r").alias("a"), F.col("text").alias("one")), "a")
     two = dealt.join(texts.select(F.col("r").alias("z"), F.col("text").alias("two")), "z")
     return two.join(one.select("a", "share", "one"), ["a", "share"]).select("a", "z", "one", "two").mapInArrow(near, "a long, z long")
@@ -84,20 +84,19 @@ def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, s
     held = classes.select("r", "size", F.explode("bands").alias("b"))
     met = cut(held.join(held.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "b"), "met")
     mates = cut(met.groupBy("r").agg(F.sum("n").alias("mates")), "mates")
-    members = met.drop("n").join(small(mates), "r")
+    members = met.join(small(mates), "r")
     asked = cut(mates.select("r").unionByName(pairs.select(F.explode(F.array("a", "z")).alias("r"))).distinct(), "asked")
     texts = cut(rows.join(small(asked), "r", "left_semi"), "texts")
     links = cut(_verified(pairs, texts, words, similarity), "links", PAIR_ROWS)
     tried, leads_of = None, 1
     while True:
-        parts = cut(components(links.select("a", F.col("z").alias("b"))), "parts")
-        named = members.join(small(parts), members.r == parts.id, "left")
-        named = cut(named.select("b", "r", "size", "mates", F.coalesce("component", "r").alias("comp")), "named")
-        most = named.groupBy("b", "comp").agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+        parts = components(links.select("a", F.col("z").alias("b")))
+        named = members.join(small(parts), members.r == parts.id, "left").select("b", "r", "size", "mates", "n", F.coalesce("component", "r").alias("comp"))
+        most = named.groupBy("b", "comp").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
         live = cut(named.join(most.select("b", "most"), "b"), "live")
-        lead = F.max(F.struct("mates", "r", "comp", "size")).alias("l")
-        outside = live.where("most.n = 1 or comp <> most.comp") if tried is not None else live
-        leads = outside.groupBy("b", F.pmod(F.xxhash64("r"), F.lit(leads_of)).alias("slot")).agg(lead)
+        slot = F.when(F.col("n") <= SMALL, F.col("r")).otherwise(F.pmod(F.xxhash64("r"), F.lit(leads_of)))
+        outside = live if tried is None else live.where("most.k = 1 or comp <> most.comp")
+        leads = outside.groupBy("b", slot.alias("slot")).agg(F.max(F.struct("mates", "r", "comp", "size")).alias("l"))
         leads = cut(leads.select("b", F.col("l.mates").alias("m1"), F.col("l.r").alias("r1"), F.col("l.comp").alias("c1"), F.col("l.size").alias("s1")), "leads")
         if not leads.limit(1).count():
             return links
@@ -107,5 +106,5 @@ def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, s
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "z"], "left_anti"), "pairs")
         links = links.unionByName(cut(_verified(pairs, texts, words, similarity), "links", PAIR_ROWS))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        members = live.join(leads.select("b", F.col("r1").alias("r")), ["b", "r"], "left_anti").select("b", "r", "size", "mates")
+        members = live.join(leads.select("b", F.col("r1").alias("r")), ["b", "r"], "left_anti").select("b", "r", "size", "mates", "n")
         leads_of *= GROWTH
