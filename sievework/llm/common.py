@@ -2,70 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows up to which a measured side is broadcast; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 20_000
-BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-_folders: set[str] = set()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only a local session without one gets its own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/sievework-{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lineage cut that survives lost executors.
-
-    batch: rows of an Arrow batch on the way.
-    """
-    spark = df.sparkSession
-    root = scratch_root(spark)
-    if root not in _folders:
-        _folders.add(root)
-        atexit.register(_drop, spark, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    with batches_of(spark, batch):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the actions inside: whole long texts then fit in a worker."""
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_CONF, before)
-
-
-def _drop(spark: SparkSession, root: str) -> None:
-    """Remove this application's scratch folder, if the session still lives."""
-    context = spark.sparkContext
-    if context._jsc is None:
-        return
-    path = context._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
+from ..scratch import BATCH_ROWS, BROADCAST_ROWS, batches_of, cut, free, kept, released, scratch_root, small
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a written table if it has at most ``rows`` rows; else leave the join to shuffle (AQE splits skew)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "batches_of", "components", "cut", "empty_like", "free", "held_out_rows", "kept", "released", "scratch_root", "small", "with_length"]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -87,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = linked.unionByName(low.select("u", F.col("m").alias("v")))
-        state = cut(step.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+        old, state = state, cut(step.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+        free(old)
     leaves = state.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return leaves.unionByName(state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

@@ -4,33 +4,38 @@ Two texts are near copies if the sets of their shingles have a Jaccard similarit
 Candidates share one of 24 bands of 5 minimum hashes: a pair at similarity s does so with probability
 1 - (1 - s^5)^24, which is 0.9999 at 0.8 and grows with s. Every candidate is verified on the exact sets.
 
-Groups are the components of verified links. In each bucket the rows with most bucket mates lead, for they are the likeliest
-to have copies; leads are compared with the members of other components only, and whatever is linked already is one
-component from the start. So a group of copies around a common text costs about one comparison a member. Only texts that share a bucket and are not linked at all meet each other.
-The largest component of a bucket need not lead: whoever is outside it does. A lead leaves its bucket once compared;
-a bucket of one component is done. All members of a small bucket lead at once, for the sake of fewer rounds.
-
-Defined cases: a text without words has no bands and no copies here (all of them are one fingerprint already); an empty
-table gives no rows.
+Texts are ranked by the number of their bucket mates, for those with most are the likeliest to have copies, then by their
+order. In each bucket the first lead: they are compared with all others; a text with a near copy that ranks before it goes
+and leaves all buckets, a lead leaves its bucket, and the rest go on with more leads. So a group of copies around a
+common text costs about one comparison a member, and of texts that stay any two that share a bucket were compared.
+
+Most comparisons end at a bound that loses nothing: every text has a map of 1,024 bits, of which each shingle sets one.
+A bit that is set for one text only stands for a shingle that the other lacks, so the bits that differ bound the
+similarity from above. Only pairs that the bound leaves open are read.
+
+Defined cases: a text without words has no bands and no copies here (all of them are one text already); an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small
+from .common import cut, free, small
 from .shingles import SEED, shingle_hashes, words_of
 
 BANDS, DEPTH = 24, 5
 #: Buckets of at most so many rows are compared in the first round; in larger ones the number of leads grows so from round to round.
 SMALL, GROWTH = 8, 16
+#: Longs of a text's map of bits.
+LONGS = 16
 #: Pairs of a lead that meet one copy of its text; more pairs are dealt to more copies.
 SHARE = 64
 #: Hashes taken at once: bounds memory on very long texts.
@@ -76,35 +81,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return two.join(one.select("a", "share", "one"), ["a", "share"]).select("a", "z", "one", "two").mapInArrow(near, "a long, z long")
 
 
-def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, z): verified links that connect whatever chains of near copies connect.
+def bit_map(hashes: np.ndarray) -> list[int]:
+    """The map of a set of hashes, as signed longs."""
+    bits = np.zeros(64 * LONGS, bool)
+    bits[(hashes >> np.uint64(40)) % np.uint64(64 * LONGS)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def _may_be_near(one: Column, two: Column, size_one: Column, size_two: Column, similarity: float) -> Column:
+    """False only if the maps or the sizes of two texts rule out that similarity."""
+
+    def lacking(x: Column, y: Column) -> Column:
+        return reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(LONGS)])
+
+    both = F.least(size_one - lacking(one, two), size_two - lacking(two, one))
+    return both >= similarity * (size_one + size_two - both)
+
+
+def near_copies(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(r): the texts that have a near copy before them.
 
-    pairs: (a, z), candidates, written; classes: (r, size, bands), one row a distinct text, written; rows: (r, text).
+    pairs: (a, z), further candidates, written; classes: (o, r, size, bits, bands), one row a distinct text, written; rows: (r, text).
     """
-    held = classes.select("r", "size", F.explode("bands").alias("b"))
-    met = cut(held.join(held.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "b"), "met")
-    mates = cut(met.groupBy("r").agg(F.sum("n").alias("mates")), "mates")
-    members = met.join(small(mates), "r")
-    asked = cut(mates.select("r").unionByName(pairs.select(F.explode(F.array("a", "z")).alias("r"))).distinct(), "asked")
+    banded = classes.select("r", F.explode("bands").alias("b"))
+    buckets = cut(banded.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    mates = banded.join(buckets, "b").groupBy("r").agg(F.sum("n").alias("mates"))
+    rank = F.struct((-F.coalesce("mates", F.lit(0))).alias("m"), "o").alias("rank")
+    ranked = cut(classes.join(mates, "r", "left").select("r", rank, "size", "bits", "bands"), "ranked")
+    named = ranked.select("r", "rank")
+    known = pairs.join(named.toDF("a", "x"), "a").join(named.toDF("z", "y"), "z")
+    known = cut(known.select(F.when(F.col("x") < F.col("y"), F.struct("a", "z")).otherwise(F.struct(F.col("z").alias("a"), F.col("a").alias("z"))).alias("p")).select("p.*").distinct(), "pairs")
+    asked = cut(ranked.where("rank.m < 0").select("r").unionByName(known.select(F.explode(F.array("a", "z")).alias("r"))).distinct(), "asked")
     texts = cut(rows.join(small(asked), "r", "left_semi"), "texts")
-    links = cut(_verified(pairs, texts, words, similarity), "links", PAIR_ROWS)
-    tried, leads_of = None, 1
+    gone = cut(_verified(known, texts, words, similarity).select(F.col("z").alias("r")).distinct(), "gone", PAIR_ROWS)
+    members = ranked.where("rank.m < 0").select("r", "rank", "size", "bits", F.explode("bands").alias("b")).join(buckets, "b").join(small(gone), "r", "left_anti")
+    tried, leads_of, live = known, 1, None
     while True:
-        parts = components(links.select("a", F.col("z").alias("b")))
-        named = members.join(small(parts), members.r == parts.id, "left").select("b", "r", "size", "mates", "n", F.coalesce("component", "r").alias("comp"))
-        most = named.groupBy("b", "comp").agg(F.count("*").alias("k")).groupBy("b").agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
-        live = cut(named.join(most.select("b", "most"), "b"), "live")
+        old, live = live, cut(members, "live")
+        free(old)
+        if not live.limit(1).count():
+            return gone
         slot = F.when(F.col("n") <= SMALL, F.col("r")).otherwise(F.pmod(F.xxhash64("r"), F.lit(leads_of)))
-        outside = live if tried is None else live.where("most.k = 1 or comp <> most.comp")
-        leads = outside.groupBy("b", slot.alias("slot")).agg(F.max(F.struct("mates", "r", "comp", "size")).alias("l"))
-        leads = cut(leads.select("b", F.col("l.mates").alias("m1"), F.col("l.r").alias("r1"), F.col("l.comp").alias("c1"), F.col("l.size").alias("s1")), "leads")
-        if not leads.limit(1).count():
-            return links
-        could = (F.col("comp") != F.col("c1")) & (F.least("size", "s1") >= similarity * F.greatest("size", "s1"))
-        first = F.struct("m1", "r1") > F.struct("mates", "r")
-        pairs = live.join(leads, (live.b == leads.b) & could).select(F.when(first, F.col("r1")).otherwise(F.col("r")).alias("a"), F.when(first, F.col("r")).otherwise(F.col("r1")).alias("z")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "z"], "left_anti"), "pairs")
-        links = links.unionByName(cut(_verified(pairs, texts, words, similarity), "links", PAIR_ROWS))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        members = live.join(leads.select("b", F.col("r1").alias("r")), ["b", "r"], "left_anti").select("b", "r", "size", "mates", "n")
+        leads = live.groupBy("b", slot.alias("slot")).agg(F.min(F.struct("rank", "r", "size", "bits")).alias("l")).select("b", F.col("l.r").alias("a"), F.col("l.rank").alias("rank1"), F.col("l.size").alias("size1"), F.col("l.bits").alias("bits1"))
+        open_ = (F.col("rank1") < F.col("rank")) & _may_be_near(F.col("bits"), F.col("bits1"), F.col("size"), F.col("size1"), similarity)
+        met = live.join(leads, (live.b == leads.b) & open_).select("a", F.col("r").alias("z")).distinct()
+        met = cut(met.join(tried, ["a", "z"], "left_anti"), "pairs")
+        found = cut(_verified(met, texts, words, similarity).select(F.col("z").alias("r")).distinct(), "gone", PAIR_ROWS)
+        tried, gone = tried.unionByName(met), gone.unionByName(found)
+        members = live.join(leads.select("b", F.col("a").alias("r")), ["b", "r"], "left_anti").join(small(found), "r", "left_anti").select(*live.columns)
         leads_of *= GROWTH

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, free, small
 
 SHARDS, STEP, TOLERANCE = 16, 13, 2e-4
 #: Rows of a shard numbered in one task.
@@ -49,7 +49,8 @@ def _split(state: DataFrame, counts: dict[int, int], dims: int) -> DataFrame:
     spark = state.sparkSession
     open_nodes = [n for n, k in counts.items() if k > 1]
     extents = [f(F.get("at", F.lit(i))) for i in range(dims) for f in (F.min, F.max)]
-    rows = state.where(F.col("node").isin(open_nodes)).groupBy("node").agg(F.sum("size"), *extents).collect()  # as many as nodes
+    split = small(spark.createDataFrame([(n,) for n in open_nodes], "node long"))
+    rows = state.join(split, "node").groupBy("node").agg(F.sum("size"), *extents).collect()  # as many as nodes
     search = {}
     for r in rows:
         widths = [r[3 + 2 * i] - r[2 + 2 * i] for i in range(dims)]
@@ -99,8 +100,9 @@ def kd_shards(docs: DataFrame, dimensions: list[Column] | None = None, shards: i
     leaves = shards or max(1, math.ceil((total or 0) / (target_bytes or 1 << 28)))
     state, counts = _scaled(points, len(dims)), {0: leaves}
     while count and any(k > 1 for k in counts.values()):
-        before = dict(counts)
+        before, old = dict(counts), state
         state = _split(state, counts, len(dims))
+        free(old)
         if counts == before:
             break  # only nodes without rows are left
     return _numbered(state, count, leaves, key)

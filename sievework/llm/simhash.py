@@ -109,14 +109,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def _sketches(rows: DataFrame, key: str, text: str, words: int, similarity: float | None) -> DataFrame:
-    """(o, mark, fp, size, bands): a row's order, the digest of its words, its SimHash and, for a similarity, its bands.
+    """(o, mark, fp, size, bits, bands): a row's order, the digest of its words, its SimHash and, for a similarity, what copies.py needs.
 
     Rows are ordered by key, nulls last, then a hash of the text and the row's number. Narrow.
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, prints, sizes, keys = [], [], [], []
+            marks, prints, sizes, maps, keys = [], [], [], [], []
             for x in batch.column(3):
                 found = words_of(x.as_py())
                 hashes = shingle_hashes(found, words)
@@ -124,38 +124,43 @@ def _sketches(rows: DataFrame, key: str, text: str, words: int, similarity: floa
                 prints.append(majority(hashes))
                 distinct = np.unique(hashes) if similarity else hashes[:0]
                 sizes.append(len(distinct))
+                maps.append(copies.bit_map(distinct) if similarity else [])
                 keys.append(copies.bands(distinct))
             fps = np.array(prints, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(marks, pa.binary()), pa.array(fps), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["r", "k", "t", "mark", "fp", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(marks, pa.binary()), pa.array(fps), pa.array(sizes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["r", "k", "t", "mark", "fp", "size", "bits", "bands"])
 
     told = rows.select(F.col(ROW).alias("r"), F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
-    found = told.mapInArrow(sketched, f"r long, k {dict(rows.dtypes)[key]}, t long, mark binary, fp long, size long, bands array<long>")
-    return found.select(F.struct(F.col("k").isNull().alias("n"), "k", "t", "r").alias("o"), "mark", "fp", "size", "bands")
+    found = told.mapInArrow(sketched, f"r long, k {dict(rows.dtypes)[key]}, t long, mark binary, fp long, size long, bits array<long>, bands array<long>")
+    return found.select(F.struct(F.col("k").isNull().alias("n"), "k", "t", "r").alias("o"), "mark", "fp", "size", "bits", "bands")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
-    """One row of every group, with all columns: the least key's (nulls last), then by a hash of the text and row number.
+    """docs, all columns, without near-duplicates: rows are ordered by key, nulls last, then a hash of the text and row number.
 
-    Texts link if their fingerprints do, within the radius. With a similarity they link if their shingle sets have at least
-    that Jaccard similarity: pairs of linked fingerprints are candidates, and those that copies.py finds, as no radius of 64
-    bits that can be paid for covers a similarity such as 0.8; all are verified. Groups are the components of the links.
+    Of equal texts the first row stays. Without a similarity texts link if their fingerprints do, within the radius, and the
+    first text of each component stays. With one, a text goes if its shingle set has at least that Jaccard similarity with
+    that of a text that ranks before it (copies.py tells the ranks); pairs of linked fingerprints are candidates, and pairs
+    that copies.py finds, as no radius of 64 bits that can be paid for covers a similarity such as 0.8. So no two texts
+    that stay are near copies, and each that goes has one.
 
-    Defined cases: all null and wordless texts are one group; a row with a null or repeated key is a row of its own;
+    Defined cases: all null and wordless texts are one text; a row with a null or repeated key is a row of its own;
     identical rows leave one; an empty table gives no rows; columns may have any names but ``__row``.
     """
     rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     marked = cut(_sketches(rows, key, text, words, similarity), "simhash")
-    first = F.min_by(F.struct("o", "fp", "size", "bands"), "o").alias("h")
+    first = F.min_by(F.struct("o", "fp", "size", "bits", "bands"), "o").alias("h")
     classes = cut(marked.groupBy("mark").agg(first).select("h.*", F.col("h.o.r").alias("r")), "classes")
     prints = cut(classes.groupBy("fp").agg(F.min("r").alias("a")), "prints")
     same = classes.select("fp", F.col("r").alias("z")).join(prints, "fp").where("a <> z").select("a", "z")
     near = links(prints.select("fp"), radius).join(prints.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("a").alias("z")), "b")
     tied = cut(same.unionByName(near.select(F.col("x").alias("a"), "z")), "tied")
     if similarity:
-        tied = copies.similar(tied, classes, rows.select(F.col(ROW).alias("r"), F.col(text).alias("text")), words, similarity)
-    parts = cut(components(tied.select("a", F.col("z").alias("b"))), "parts")
-    whole = classes.select("o", "r").join(parts, classes.r == parts.id, "left").groupBy(F.coalesce("component", "r").alias("g"))
-    kept = whole.agg(F.min("o").alias("o")).select(F.col("o.r").alias("r"))
+        gone = copies.near_copies(tied, classes, rows.select(F.col(ROW).alias("r"), F.col(text).alias("text")), words, similarity)
+        kept = classes.select("r").join(gone, "r", "left_anti")
+    else:
+        parts = components(tied.select("a", F.col("z").alias("b")))
+        whole = classes.select("o", "r").join(parts, classes.r == parts.id, "left").groupBy(F.coalesce("component", "r").alias("g"))
+        kept = whole.agg(F.min("o").alias("o")).select(F.col("o.r").alias("r"))
     gone = cut(rows.select(ROW).join(kept, F.col(ROW) == kept.r, "left_anti"), "dropped")
     return rows.join(small(gone), ROW, "left_anti").select(*docs.columns)
 
