@@ -37,7 +37,7 @@ LENGTH, END_ID, WINDOWS, MERGED = 4096, 2, 64, 16
 #: Bytes of words and ids that a worker remembers, and the longest word remembered.
 CACHE_BYTES, CACHE_CHARS = 24 << 20, 48
 #: Characters of text whose words are taken at once: bounds memory on very long texts.
-CHUNK = 6_000_000
+CHUNK = 3_000_000
 #: Texts of these characters only are lower-cased and split here; for all others the tokenizer does the whole text.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]*")
 # The normalizer and the pre-tokenizer of the vocabulary file whose words may be taken one by one.
