@@ -2,7 +2,9 @@
 
 A payload is stored as a mono WAV file of unsigned 8-bit samples. Features come from the stored bytes: polyphase
 resampling by a rational factor, log-mel energies of overlapped frames, spans of activity by an energy threshold with
-hysteresis, and a tensor of fixed shape (time spans x mel bands) with the spans' times.
+hysteresis, and two Arrow tensors of fixed shape: mel energies (time spans x bands) and the spans' times (start and end, in
+seconds). A cell holds one tensor as an Arrow message, which ``pyarrow.ipc.read_tensor`` reads; Spark has no column type
+for it. ``tensor_array`` gives the cells of many rows as one Arrow fixed-shape tensor array.
 
 Defined cases: null and empty texts give one block of padding; long texts are resampled and framed block by block, with
 thresholds over the whole; equal texts give equal values; repeated rows give repeated results; an empty table gives an
@@ -109,8 +111,15 @@ def segments(energy_db: np.ndarray, rise: float = RISE_DB, fall: float = FALL_DB
     return list(zip(steps[::2].tolist(), steps[1::2].tolist(), strict=True))
 
 
-def features(media: bytes) -> tuple[bytes, int, list[tuple[float, float]], bytes]:
-    """(payload read back, frames, active spans in seconds, tensor of SPANS x BANDS little-endian float32)."""
+def _message(values: np.ndarray, *names: str) -> bytes:
+    """A tensor as an Arrow message."""
+    sink = pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(np.ascontiguousarray(values), dim_names=list(names)), sink)
+    return sink.getvalue().to_pybytes()
+
+
+def features(media: bytes) -> tuple[bytes, int, list[tuple[float, float]], bytes, bytes]:
+    """(payload read back, frames, active spans in seconds, Arrow tensors of SPANS x BANDS energies and SPANS x 2 times)."""
     rate, payload = decode_wav(media)
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     own = rate * UP // DOWN
@@ -121,12 +130,13 @@ def features(media: bytes) -> tuple[bytes, int, list[tuple[float, float]], bytes
     low = np.minimum(cuts[:-1], len(mel) - 1)
     high = np.maximum(cuts[1:], low + 1)
     tensor = ((sums[high] - sums[low]) / (high - low)[:, None]).astype("<f4")
-    return payload, len(mel), [(i * HOP / own, (j * HOP + FRAME - HOP) / own) for i, j in found], tensor.tobytes()
+    times = np.stack([low * HOP, high * HOP + FRAME - HOP], axis=1) / own
+    return payload, len(mel), [(i * HOP / own, (j * HOP + FRAME - HOP) / own) for i, j in found], _message(tensor, "span", "band"), _message(times.astype("<f4"), "span", "edge")
 
 
-SCHEMA = "key long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, frames int, active array<struct<start:double,end:double>>, tensor binary"
+SCHEMA = "key long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, frames int, active array<struct<start:double,end:double>>, tensor binary, times binary"
 _SPAN = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
-_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int32(), _SPAN, pa.binary()]
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int32(), _SPAN, pa.binary(), pa.binary()]
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +147,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 body = (text or "").encode()
                 media = encode_wav(body + bytes([PAD]) * (-len(body) % BLOCK_BYTES if body else BLOCK_BYTES))
-                payload, frames, active, tensor = features(media)
-                rows.append((key, len(body), media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), frames, [{"start": a, "end": b} for a, b in active], tensor))
+                payload, frames, active, tensor, times = features(media)
+                rows.append((key, len(body), media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), frames, [{"start": a, "end": b} for a, b in active], tensor, times))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=names)
 
 
@@ -147,13 +157,15 @@ def audio_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_stored, SCHEMA).withColumnRenamed("key", key)
 
 
-def tensor_array(tensors: list[bytes]) -> pa.Array:
-    """Tensors of rows, as collected or read from Parquet, as an Arrow fixed-shape tensor array of SPANS x BANDS."""
-    flat = pa.array(np.frombuffer(b"".join(tensors), "<f4"))
-    storage = pa.FixedSizeListArray.from_arrays(flat, SPANS * BANDS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [SPANS, BANDS], dim_names=["span", "band"]), storage)
+def tensor_array(cells: list[bytes]) -> pa.Array:
+    """Tensors of rows, as collected or read from Parquet, as one Arrow fixed-shape tensor array."""
+    tensors = [pa.ipc.read_tensor(pa.py_buffer(c)) for c in cells]
+    shape, names = (tensors[0].shape, tensors[0].dim_names) if tensors else ((SPANS, BANDS), ("span", "band"))
+    flat = pa.array(np.concatenate([t.to_numpy().ravel() for t in tensors] or [np.zeros(0, np.float32)]))
+    storage = pa.FixedSizeListArray.from_arrays(flat, int(np.prod(shape)))
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), list(shape), dim_names=list(names)), storage)
 
 
 def op4_audio(docs: DataFrame) -> DataFrame:
-    feature = F.concat_ws(":", F.col("frames").cast("string"), F.size("active").cast("string"), F.sha2("tensor", 256))
+    feature = F.concat_ws(":", F.col("frames").cast("string"), F.size("active").cast("string"), F.sha2(F.concat("tensor", "times"), 256))
     return audio_columns(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))

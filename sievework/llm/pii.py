@@ -15,6 +15,7 @@ repeated results; other columns are ignored (or carried by ``mask_documents``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +55,7 @@ STRICT = {
     "email": r"^[A-Za-z0-9][^@]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}$", "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$", "card": r"^(?:[0-9]{12,19}|[0-9]{4}(?:[\x20-][0-9]{4}){2,3}[\x20-][0-9]{1,4})$", "phone": r"^\+[0-9]{1,3}[\x20(.-]|^\+[0-9]+$",
     "secret": r"^(?:[a-f0-9]{32}|[a-f0-9]{40}|[a-f0-9]{64}|[^a-f0-9].*)$", "ssn": "^[0-9]", "name": r"\x20[^\x20]+\x20",
 }
+SPANS = "__spans"
 VOTES = ["strict", "format", "gazetteer", "context", "edges"]
 
 
@@ -82,36 +84,63 @@ def _passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Entries of a block of running values, and code points of a block of text.
+BLOCK, TEXT_BLOCK = 64, 8192
+SPAN = "struct<start:int,kind:int,stop:int,votes:int>"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each entry of a non-empty array what join makes of 0 and all entries before it.
+
+    Blocks are run one by one, then their ends: appending to one array would cost the square of the entries.
+    """
+
+    def run(block: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, none, lambda a, v: F.struct(join(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def joined(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), join))
+        return _once(run(ends, F.lit(0)), lambda starts: F.flatten(F.transform(blocks, lambda block, i: run(block, F.get(starts, i)))))
+
+    count = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    return _once(F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(values, i * BLOCK + 1, BLOCK)), joined)
+
+
 def _found(text: Column, kind: str) -> Column:
     """Candidates of one kind: the matches that pass its test, with positions and votes."""
     pattern = PATTERNS[kind]
-    shape = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,kind:int,votes:int>>").alias("out"))
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    none = F.array().cast(f"array<{SPAN}>")
 
     def walked(x: Column) -> Column:
         gaps, hits = x["gaps"], x["hits"]
 
-        def step(acc: Column, i: Column) -> Column:
-            gap, hit = F.get(gaps, i), F.get(hits, i)
-            start = acc["at"] + F.length(gap)
-            stop = start + F.length(hit)
+        def span(hit: Column, i: Column, at: Column) -> Column:
+            gap = F.get(gaps, i)
+            start = at + F.length(gap)
             before, after = F.lower(F.right(gap, F.lit(40))), F.left(F.get(gaps, i + 1), F.lit(1))
             votes = [hit.rlike(STRICT[kind]), _passes(kind, hit), hit.rlike(GAZETTEER[kind]), before.rlike(rf"(?:^|\P{{L}})(?:{CONTEXT[kind]})"), ~F.right(gap, F.lit(1)).rlike(r"[\p{L}0-9]") & ~after.rlike(r"[\p{L}0-9]")]
             bits = sum((v.cast("int") * (1 << n) for n, v in enumerate(votes)), F.lit(0))
-            one = F.struct(start.alias("start"), stop.alias("stop"), F.lit(KINDS.index(kind)).alias("kind"), bits.alias("votes"))
-            return F.struct(stop.alias("at"), F.when(_passes(kind, hit), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+            one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(hit)).alias("stop"), bits.alias("votes"))
+            return F.when(_passes(kind, hit), one)
 
-        steps = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, shape, step, lambda acc: acc["out"])
+        lengths = F.transform(hits, lambda hit, i: F.length(F.get(gaps, i)) + F.length(hit))
+        places = lambda at: F.array_compact(F.transform(hits, lambda hit, i: span(hit, i, F.get(at, i))))
+        return F.when(F.size(hits) > 0, _once(_before(lengths, lambda a, v: a + v), places)).otherwise(none)
 
-    none = F.array().cast("array<struct<start:int,stop:int,kind:int,votes:int>>")
-    return F.when(MAY_MATCH[kind](text), F.transform(F.array(both), walked)[0]).otherwise(none)
+    return F.when(MAY_MATCH[kind](text), _once(both, walked)).otherwise(none)
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, by start, then kind: array of (start, stop, kind, votes)."""
+    """All candidate spans of a text, by start, then kind: array of (start, kind, stop, votes)."""
     value = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[_found(value, k) for k in KINDS]), lambda a, b: F.when(a.start != b.start, a.start - b.start).when(a.kind != b.kind, a.kind - b.kind).otherwise(a.stop - b.stop))
+    return F.array_sort(F.concat(*[_found(value, k) for k in KINDS]))
 
 
 @dataclass
@@ -150,7 +179,7 @@ def fit_spans(found: DataFrame, spans: str = "spans", rounds: int = 50) -> SpanM
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans): per row the kept spans, an array of (start, stop, kind index, votes) by start, then kind."""
+    """(key, spans): per row the kept spans, an array of (start, kind index, stop, votes) by start, then kind."""
     found = cut(docs.select(F.col(key), candidates(F.col(text)).alias("spans")), "spans")
     model = fit_spans(found)
     return found.select(key, F.filter("spans", model.keeps).alias("spans"))
@@ -161,23 +190,39 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, all columns, with every kept span replaced by its kind in angle brackets; spans that overlap become one."""
-    model = fit_spans(docs.select(candidates(F.col(text)).alias("spans")))
+def _masked(text: Column, spans: Column) -> Column:
+    """text with each of its spans (at least one; by start) replaced by its kind; spans that overlap become one.
+
+    The text is taken in blocks, so that a piece is found without counting from the text's start.
+    """
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    length = F.length(text)
 
-    def masked(x: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            piece = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-            out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece, F.get(names, s["kind"])))).otherwise(acc["out"])
-            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+    def cut_out(blocks: Column) -> Column:
+        def between(start: Column, stop: Column) -> Column:
+            part = lambda b: F.substring(F.get(blocks, b), F.greatest(start - b * TEXT_BLOCK, F.lit(0)) + 1, F.least(stop, (b + 1) * TEXT_BLOCK) - F.greatest(start, b * TEXT_BLOCK))
+            at = lambda p: F.floor(p / TEXT_BLOCK).cast("int")
+            return F.when(stop > start, F.array_join(F.transform(F.sequence(at(start), at(stop - 1)), part), "")).otherwise("")
 
-        return F.aggregate(x, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
+        def pieces(ends: Column) -> Column:
+            first = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(ends, i), F.concat(between(F.get(ends, i), s["start"]), F.get(names, s["kind"]))))
+            return F.concat(F.array_join(F.array_compact(first), ""), between(F.array_max(F.transform(spans, lambda s: s["stop"])), length))
 
-    spans = F.filter(candidates(F.col(text)), model.keeps)
-    whole = F.transform(F.array(spans), lambda x: F.when(F.size(x) > 0, masked(x)).otherwise(F.col(text)))[0]
-    return docs.withColumn(text, whole)
+        return _once(_before(F.transform(spans, lambda s: s["stop"]), lambda a, v: F.greatest(a, v)), pieces)
+
+    count = F.floor((length - 1) / TEXT_BLOCK).cast("int")
+    return _once(F.transform(F.sequence(F.lit(0), count), lambda b: F.substring(text, b * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK))), cut_out)
+
+
+def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, all columns, with every kept span replaced by its kind in angle brackets; spans that overlap become one.
+
+    Texts are searched once, and written with what was found. Null and empty texts stay as they are.
+    """
+    marked = cut(docs.withColumn(SPANS, candidates(F.col(text))), "spans")
+    model = fit_spans(marked, SPANS)
+    whole = _once(F.filter(F.col(SPANS), model.keeps), lambda spans: F.when(F.size(spans) > 0, _masked(F.col(text), spans)).otherwise(F.col(text)))
+    return marked.withColumn(text, whole).select(*docs.columns)
 
 
 def op3_pii(docs: DataFrame) -> DataFrame:

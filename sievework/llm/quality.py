@@ -6,8 +6,8 @@ thresholds cut the line into grades. P(grade >= k) is the logistic function of p
 grade is their sum, and the tail probability from a chosen grade on decides which documents are kept.
 
 Defined cases: null and empty texts have only the constant features; without ratings all positions are 0 and the
-thresholds their start values; several ratings of a key count as their least; repeated rows give repeated results;
-other columns are ignored. Labels, language, source and key are no inputs of a score.
+thresholds their start values; several ratings of a key, or of texts with equal features, count as their least; repeated
+rows give repeated results; an empty table gives an empty table; other columns are ignored. Labels, language, source and key are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ _known: dict[str, tuple[int, int]] = {}
 
 
 def _shape(word: str) -> str:
-    """Runs of digits, capitals and letters as one sign each; marks stay, runs of one mark as two."""
+    """Runs of digits, capitals and letters as one sign each; marks stay, runs of one mark as two. The whole word counts."""
     for pattern, sign in _RUNS:
         word = pattern.sub(sign, word)
-    return word[:12]
+    return word
 
 
 def _buckets(word: str) -> tuple[int, int]:
@@ -129,7 +129,8 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([i.astype("<i2").tobytes() for i, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())], names=["k", "y", "i", "v"])
 
     with batches_of(docs.sparkSession, BATCH_ROWS):
-        sample = sorted(rows.mapInArrow(vectors, "k long, y int, i binary, v binary").dropDuplicates(["i", "v"]).collect(), key=lambda r: (r.k, bytes(r.v)))
+        told = rows.mapInArrow(vectors, "k long, y int, i binary, v binary").groupBy("i", "v").agg(F.min("k").alias("k"), F.min("y").alias("y"))
+        sample = sorted(told.collect(), key=lambda r: (r.k, bytes(r.i), bytes(r.v)))
     return fit_ordinal([(np.frombuffer(r.i, "<i2").astype(np.int64), np.frombuffer(r.v, "<f4")) for r in sample], np.array([r.y for r in sample], int), grades)
 
 

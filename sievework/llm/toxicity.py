@@ -3,11 +3,11 @@
 Lexicon and pattern voters judge a bounded sample of labelled training rows. A generative model (expectation-
 maximisation over a latent label, one table of vote probabilities per voter and label) estimates what each voter is
 worth; residual correlations between voters then discount votes that repeat each other. The given label is one more
-noisy voter. A linear classifier over term and pattern features is trained on the posterior labels and scores whole
+noisy voter, and no part of where the estimation starts. A linear classifier over term and pattern features is trained on the posterior labels and scores whole
 texts.
 
-Terms mined from the sample join the built-in lexicons. Near copies count once in mining: of the sampled rows that
-share the least hash of their three-word shingles one stays.
+Terms mined from the sample join the built-in lexicons. Near copies count once: sampled rows that share the least hash of
+their three-word shingles are one row, with the label that most of them have.
 
 Defined cases: null and wordless texts have no hits and get the score of a text without hits; without labels the
 model keeps its built-in prior; conflicting labels of a key count as toxic; repeated rows give repeated results;
@@ -86,6 +86,8 @@ class ToxicityModel:
         return [*out, 0 if any(out) else -1, 1 if len(found) > 2 else 0 if found else -1]
 
 
+#: Where the posterior starts: rows with a hit of the lexicons, and rows without.
+START = (0.6, 0.03)
 #: Usual chances of the votes -1, 0 and 1 on clean and on toxic rows, and the rows that this counts for.
 USUAL, WEIGHT = ((0.18, 0.80, 0.02), (0.05, 0.55, 0.40)), 4.0
 VOTERS = [*LEXICONS, *(f"mined{g}" for g in range(MINED_VOTERS)), *PATTERNS, "no_hit", "many_hits", "label"]
@@ -156,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(marks, pa.int64())], names=["k", "t", "y", "s"])
 
     marked = rows.mapInArrow(sketched, "k long, t string, y int, s long")
-    sample = cut(marked.groupBy("s").agg(F.min_by(F.struct("k", "t", "y"), F.struct("k", "t")).alias("r")).select("r.*"), "sample")
+    sample = cut(marked.groupBy("s").agg(F.min_by(F.struct("k", "t"), F.struct("k", "t")).alias("r"), (F.avg((F.col("y") > 0).cast("int")) >= 0.5).cast("int").alias("y")).select("r.*", "y"), "sample")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
@@ -193,7 +195,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     y = np.array([r.y > 0 for r in rows], np.float64)
     votes = np.array([[*model.votes(r.f, r.s), 1 if r.y > 0 else -1] for r in rows])
     hits = np.array([bool(r.f) for r in rows])
-    posterior, tables, model.correlations = label_model(votes, np.where(hits, 0.5, 0.05) * 0.5 + 0.45 * y)
+    posterior, tables, model.correlations = label_model(votes, np.where(hits, START[0], START[1]))
     model.voters = {name: {"toxic_if_toxic": float(tables[1, j, 2]), "toxic_if_clean": float(tables[0, j, 2])} for j, name in enumerate(VOTERS)}
     x = np.zeros((len(rows), size), np.float32)
     for i, r in enumerate(rows):

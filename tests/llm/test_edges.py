@@ -88,8 +88,10 @@ def test_audio(spark, docs):
         payload = body + b"\xff" * (-len(body) % 576 if body else 576)
         assert audio.decode_wav(bytes(r.media)) == (audio.STORED_RATE, payload)
         assert (r.payload_sha256, r.payload_bytes, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), len(payload), zlib.crc32(payload[-32:]))
-        assert len(r.tensor) == 4 * audio.SPANS * audio.BANDS
-    assert audio.tensor_array([bytes(r.tensor) for r in out]).type.shape == [audio.SPANS, audio.BANDS]
+    tensors, times = (audio.tensor_array([bytes(r[c]) for r in out]) for c in ("tensor", "times"))
+    assert tensors.type.shape == [audio.SPANS, audio.BANDS] and times.type.shape == [audio.SPANS, 2] and tensors.type.dim_names == ["span", "band"] and len(tensors) == N
+    spans = times.to_numpy_ndarray()
+    assert (spans[:, :, 1] > spans[:, :, 0]).all() and (spans[:, 0, 0] == 0).all() and (spans[:, 1:, 0] >= spans[:, :-1, 0]).all()
     assert len({r.feature for r in audio.op4_audio(docs.where("doc_id = 3")).collect()}) == 1
     assert audio.op4_audio(empty(spark)).count() == 0
 
