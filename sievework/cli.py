@@ -27,9 +27,10 @@ def decide_patches(patches: DataFrame, max_lines: int = patch.MAX_LINES) -> dict
     seen = secrets.observations(rows)
     found = secrets.findings(seen).where("level = 'E3'").select("review_id", F.concat_ws(":", F.lit("secret"), "line_key", F.substring("fingerprint", 1, 12)).alias("finding_id"), F.lit("secret").alias("category"), F.lit("high").alias("severity"), "status")
     broken = patch.broken_hunks(lines).select("review_id").unionByName(large.select("review_id")).distinct()
-    blocks = found.select("review_id", F.lit("B001").alias("rule_id"))
-    hits = assembly.out_of_scope(files).select("review_id", F.lit("N002").alias("rule_id"))
-    return {"files": files, "lines": secrets.masked_lines(rows, seen), "findings": found, "decisions": policy.reason(policy.decisions(patches, blocks, hits, broken))}
+    held = found.select("review_id", F.lit("B001").alias("rule")).unionByName(assembly.out_of_scope(files).select("review_id", F.lit("N002").alias("rule")))
+    rules = held.groupBy("review_id").agg(F.collect_set("rule").alias("rules"))
+    reviews = patches.select("review_id").distinct().join(rules, "review_id", "left").join(broken.withColumn("failure", F.lit(policy.INPUT_FAILURE)), "review_id", "left")
+    return {"files": files, "lines": secrets.masked_lines(rows, seen), "findings": found, "decisions": policy.decided(reviews)}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cache_split, cost_usd, error_class, policy_error, response_validity, retry_delay, stable_id
+from ..functions.scalars import cache_split, cost_usd, error_class, is_language_python, policy_error, response_validity, retry_delay, stable_id
 
 CALL_BUDGET = 4
 
@@ -43,7 +43,37 @@ def call_summary(call: DataFrame) -> DataFrame:
 def coverage_metrics(coverage: DataFrame) -> DataFrame:
     """Per review: coverage by status, and the time it took."""
     by = [F.sum((F.col("status") == s).cast("long")).alias(s) for s in ("completed", "failed", "skipped")]
-    return coverage.groupBy("review_id").agg(*by, F.sum("duration_ms").cast("long").alias("duration_ms"), F.max(F.when(F.col("status") == "failed", 2).when(F.col("status") == "skipped", 1).otherwise(0)).alias("worst"))
+    return coverage.groupBy("review_id").agg(*by, F.count_distinct("skill").alias("skills"), F.sum("duration_ms").cast("long").alias("duration_ms"), F.max(F.when(F.col("status") == "failed", 2).when(F.col("status") == "skipped", 1).otherwise(0)).alias("worst"))
+
+
+def run_metrics(coverage: DataFrame, call: DataFrame) -> DataFrame:
+    """Per review of either: coverage by status, calls, their tokens, cost and time; what is not known counts as nothing."""
+    spent = costed_calls(call).groupBy("review_id").agg(
+        F.count("*").alias("calls"), F.sum(F.coalesce("prompt_tokens", F.lit(0))).cast("long").alias("prompt_tokens"), F.sum(F.coalesce("completion_tokens", F.lit(0))).cast("long").alias("completion_tokens"),
+        F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).cast("long").alias("total_tokens"), F.sum(F.coalesce("cost", F.lit(0))).cast("double").alias("cost"), F.sum("latency_ms").cast("long").alias("latency_ms"),
+    )
+    return coverage_metrics(coverage).select("review_id", "completed", "failed", "skipped").join(spent, "review_id", "full_outer").fillna(0)
+
+
+def agent_outcomes(call: DataFrame, budget: int = CALL_BUDGET) -> DataFrame:
+    """(review_id, agent_id, status, failure, calls): what the call loop makes of an agent's recorded calls, in their order.
+
+    A call that can be retried is retried once, an invalid response repaired once; calls beyond the review's budget, or after
+    the loop ended, are not made. A review has no more calls than its budget, so each agent's are one short list.
+    """
+    rows = classified_calls(within_budget(call, budget))
+    ok = F.col("validity") == "OK"
+    kind = F.when(ok, "ok").when(F.col("status") == "success", "repair").when(F.col("retryable"), "retry").otherwise("fail")
+    steps = rows.groupBy("review_id", "agent_id").agg(F.array_sort(F.collect_list(F.struct("review_call_index", kind.alias("kind"), F.coalesce("code", "validity").alias("why")))).alias("steps"))
+    start = F.struct(F.lit(False).alias("over"), F.lit(0).alias("retries"), F.lit(0).alias("repairs"), F.lit(0).alias("calls"), F.lit(None).cast("string").alias("why"))
+
+    def step(a: F.Column, x: F.Column) -> F.Column:
+        retries, repairs = a["retries"] + (x["kind"] == "retry").cast("int"), a["repairs"] + (x["kind"] == "repair").cast("int")
+        over = x["kind"].isin("ok", "fail") | (retries > 1) | (repairs > 1)
+        return F.when(a["over"], a).otherwise(F.struct(over.alias("over"), retries.alias("retries"), repairs.alias("repairs"), (a["calls"] + 1).alias("calls"), F.when(x["kind"] != "ok", x["why"]).alias("why")))
+
+    out = steps.withColumn("r", F.aggregate("steps", start, step))
+    return out.select("review_id", "agent_id", F.when(F.col("r.why").isNull(), "success").otherwise("failed").alias("status"), F.col("r.why").alias("failure"), F.col("r.calls").alias("calls"))
 
 
 def trace(call: DataFrame) -> DataFrame:
@@ -55,7 +85,8 @@ def trace(call: DataFrame) -> DataFrame:
 
 
 def envelope(call: DataFrame) -> DataFrame:
-    return call.groupBy("review_id").agg(F.min("started_at").alias("first"), F.max("started_at").alias("last"))
+    """Per review: when its first call began and its last one ended."""
+    return call.groupBy("review_id").agg(F.min("started_at").alias("first"), F.max(F.expr("started_at + make_dt_interval(0, 0, 0, latency_ms / 1000)")).alias("last"))
 
 
 def line_refs(lines: DataFrame) -> DataFrame:
@@ -87,5 +118,55 @@ def evidence_levels(link: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def repair_exhausted(call: DataFrame) -> DataFrame:
-    """Reviews with a response that stayed invalid."""
-    return classified_calls(call).where("validity in ('OUTPUT_TRUNCATED', 'EMPTY_RESPONSE', 'INVALID_JSON', 'SCHEMA_ERROR')").select("review_id").distinct()
+    """Reviews with an agent whose last response stayed invalid after its repair."""
+    return agent_outcomes(call).where("failure in ('OUTPUT_TRUNCATED', 'EMPTY_RESPONSE', 'INVALID_JSON', 'SCHEMA_ERROR')").select("review_id").distinct()
+
+
+def call_ids(call: DataFrame) -> DataFrame:
+    """Adds request_hash, call_hash and user of (review_id, agent_id, prompt_version, attempt, review_call_index, model, max_tokens, message)."""
+    request = F.to_json(F.struct(F.least("max_tokens", F.lit(2048)).alias("max_tokens"), F.array(F.struct(F.col("message").alias("content"), F.lit("user").alias("role"))).alias("messages"), "model", "prompt_version"))
+    rows = call.withColumn("request_hash", F.sha2(request, 256))
+    return rows.withColumns({"call_hash": stable_id("call", *map(F.col, ("review_id", "agent_id", "prompt_version", "attempt", "review_call_index", "request_hash"))), "user": stable_id("reviewer", F.col("review_id"))})
+
+
+def role_context(lines: DataFrame, disclosed: DataFrame, role: str) -> tuple[DataFrame, DataFrame]:
+    """(lines with line_ref, rejected (review_id, failure)) that a role may see of masked lines.
+
+    Only reviews that are cloud_safe in disclosed, Python files, and, for the security role, changed lines with their context.
+    """
+    python = line_refs(lines.where(is_language_python(F.col("file_path"))))
+    safe = disclosed.where("cloud_safe").select("review_id")
+    shown = python.join(safe, "review_id", "left_semi").withColumn("role", F.lit(role))
+    unsafe = disclosed.where("not cloud_safe").select("review_id", F.lit("CONTEXT_UNSAFE").alias("failure"))
+    none = safe.join(python.select("review_id").distinct(), "review_id", "left_anti").select("review_id", F.lit("CONTEXT_INVALID").alias("failure"))
+    return shown, unsafe.unionByName(none)
+
+
+def finding_summaries(finding: DataFrame, place: DataFrame, link: DataFrame, evidence: DataFrame, context: DataFrame) -> DataFrame:
+    """(review_id, finding_id, category, severity, line_refs, levels): findings with a place at a context line, for the security role."""
+    refs = finding_lines(place, context).groupBy("review_id", "finding_id").agg(F.array_sort(F.collect_set("line_ref")).alias("line_refs"))
+    return finding.select("review_id", "finding_id", "category", "severity").distinct().join(refs, ["review_id", "finding_id"]).join(evidence_levels(link.distinct(), evidence.distinct()), ["review_id", "finding_id"], "left")
+
+
+def diff_analyses(files: DataFrame, semantic: DataFrame, failure: DataFrame, fallback: str = "Deterministic fallback analysis: ") -> DataFrame:
+    """Per review trusted totals of the files with the model's summary, or a fallback that names the failure.
+
+    semantic: (review_id, summary); failure: (review_id, reason).
+    """
+    totals = files.groupBy("review_id").agg(F.count("*").alias("files"), F.sum("additions").cast("long").alias("additions"), F.sum("deletions").cast("long").alias("deletions"), F.coalesce(F.bool_or(F.col("exclusion_reason") == "changed_line_limit"), F.lit(False)).alias("truncated"))
+    rows = totals.join(semantic.select("review_id", "summary"), "review_id", "left").join(failure.select("review_id", "reason"), "review_id", "left")
+    fell = F.col("summary").isNull() | F.col("reason").isNotNull()
+    return rows.select("review_id", "files", "additions", "deletions", (F.col("additions") + F.col("deletions")).alias("changed_lines"), F.when(fell, F.concat(F.lit(fallback), F.coalesce("reason", F.lit("no analysis")))).otherwise(F.col("summary")).alias("summary"), (F.col("truncated") & fell).alias("truncated"))
+
+
+def review_artifacts(draft: DataFrame, context: DataFrame, call: DataFrame, agent: str, role: str, schema: str, skill: str, version: str) -> DataFrame:
+    """(review_id, artifact_id, ...): the artifact of a review agent's output: findings, evidence, files checked, time.
+
+    Reviews with a draft that names an unknown line have none.
+    """
+    found, proof = draft_findings(draft, context)
+    files = context.groupBy("review_id").agg(F.count_distinct("line_ref").alias("lines"))
+    spent = call.where(F.col("agent_id") == agent).groupBy("review_id").agg(F.sum("latency_ms").cast("long").alias("duration_ms"))
+    counts = found.groupBy("review_id").agg(F.count_distinct("finding_id").alias("findings")).join(proof.groupBy("review_id").agg(F.count_distinct("evidence_id").alias("evidence")), "review_id")
+    rows = counts.join(files, "review_id").join(spent, "review_id", "left").fillna(0, ["duration_ms"])
+    return rows.select("review_id", stable_id("artifact", F.col("review_id"), F.lit(agent), F.lit(version)).alias("artifact_id"), stable_id("coverage", F.col("review_id"), F.lit(skill), F.lit(version)).alias("coverage_id"), F.lit(agent).alias("agent_id"), F.lit(role).alias("agent_role"), F.lit(schema).alias("schema_name"), F.lit(skill).alias("skill"), F.lit("completed").alias("status"), "findings", "evidence", "lines", "duration_ms")

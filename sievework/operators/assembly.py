@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,6 @@ from pyspark.sql import types as T
 
 from .routing import UNIVERSE
 from .transport import canonical_json
-from .validation import QUALIFIERS
 
 # The deterministic skills in the order in which they run, and the roles of a routed review.
 DETERMINISTIC = ["detect_secret", "detect_injection", "detect_dangerous_call"]
@@ -22,6 +22,17 @@ CONTROL_KEYS = ["input_sha256", "review_id", "role", "task_id"]
 FORBIDDEN_KEYS = ["content", "diff", "prompt", "source", "token"]
 
 
+def flattened(**relations: DataFrame) -> DataFrame:
+    """(review_id, artifact_id, kind, id): what artifacts hold, from the relations of findings, evidence and coverage."""
+    parts = [rows.select("review_id", "artifact_id", F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id")) for kind, rows in relations.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def verified_e3(evidence: DataFrame) -> DataFrame:
+    """The registry of trusted E3 ids: evidence of that level that a rule or a static tool issued."""
+    return evidence.where("level = 'E3' and source in ('rule', 'static_tool')").select("review_id", "evidence_id").distinct()
+
+
 def out_of_scope(files: DataFrame) -> DataFrame:
     """Reviews that the diff-scope rule holds for: a file is binary, unsupported or beyond the line limit."""
     return files.where("exclusion_reason is not null").select("review_id").distinct()
@@ -59,14 +70,6 @@ def ordered_distinct(value: Column, position: Column) -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(position.alias("p"), value.alias("v")))), lambda x: x["v"]))
 
 
-def known_paths(hunk: DataFrame) -> DataFrame:
-    return hunk.select("review_id", F.explode(F.array("old_path", "new_path")).alias("path")).where("path is not null").distinct()
-
-
-def qualifier_rows(spark) -> DataFrame:
-    return spark.createDataFrame(QUALIFIERS, "source string, detector_name string, detector_version string")
-
-
 def skipped_skills(plan: DataFrame) -> DataFrame:
     """The universe without the planned skills."""
     grid = plan.select("review_id").distinct().select("review_id", F.explode(F.array(*map(F.lit, UNIVERSE))).alias("skill"))
@@ -79,9 +82,12 @@ def overlapping_buckets(bucket: DataFrame) -> DataFrame:
 
 
 def node_lines(node: DataFrame, line: DataFrame) -> DataFrame:
-    """(review_id, node, line_number): the first line, and rather the first added one, within each node's span."""
-    both = node.join(line, "review_id").where("line_number between start_line and end_line")
-    return both.groupBy("review_id", "node").agg(F.coalesce(F.min(F.when(F.col("kind") == "addition", F.col("line_number"))), F.min("line_number")).alias("line_number"))
+    """(review_id, hunk_id, node, line_number): the first line, and rather the first added one, within each node's span.
+
+    Nodes and lines meet within their hunk, so a review of any size is split.
+    """
+    both = node.join(line, ["review_id", "hunk_id"]).where("line_number between start_line and end_line")
+    return both.groupBy("review_id", "hunk_id", "node").agg(F.coalesce(F.min(F.when(F.col("kind") == "addition", F.col("line_number"))), F.min("line_number")).alias("line_number"))
 
 
 def appended(before: DataFrame, after: DataFrame, linked: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
-"""The gate: block rules, integrity block, review rules, and one decision per review. Rules are data."""
+"""The policy as data: block rules, review rules, what a review must have; and the decision that rules lead to."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EXIT_CODE, LEVEL_RANK, SEVERITY_RANK, rank
-from .validation import TAMPER_CODES
+from ..scratch import cut
 
 # Rule id, categories, statuses, least severity, least evidence level; all need the new side.
 BLOCK_RULES = [("B001", ["secret"], ["confirmed"], "high", "E3"), ("B002", ["command_injection", "dangerous_call"], ["confirmed"], "high", "E3"), ("B003", ["sql_injection"], ["confirmed"], "high", "E3")]
@@ -21,97 +24,99 @@ REVIEW_RULES = [
     ("N007", "Restore the required model or tool service and re-run the missing review."),
     ("N008", "Perform the remaining targeted checks manually; automatic recheck is exhausted."),
 ]
-RULE_ORDER = [r[0] for r in BLOCK_RULES] + ["B004"] + [r[0] for r in REVIEW_RULES]
-# Error codes that mean that a service failed.
+# The rule of a pass, of failures (input, policy, engine), and of the integrity block.
+PASS_RULE, INPUT_FAILURE, POLICY_FAILURE, ENGINE_FAILURE, INTEGRITY_BLOCK = "P001", "F001", "F002", "F003", "B004"
+VERSION = "mvp-1.0.0"
+# Error codes that mean that a service failed, and skills that every review must have covered.
 PROVIDER_CODES = ["MODEL_AUTH_ERROR", "MODEL_ERROR", "MODEL_QUOTA_EXCEEDED", "RATE_LIMITED", "TIMEOUT"]
-# Artifacts that every review needs exactly once.
-REQUIRED_ARTIFACTS = [("SecurityReview", "security-scanner"), ("QualityReview", "quality-reviewer")]
-INVALID_FINDING_CODES = ["DUPLICATE_FINDING_ID", "FINDING_LOCATION_INVALID", "FINDING_EVIDENCE_DANGLING", "FINDING_HAS_NO_QUALIFIED_EVIDENCE"]
-
-
-def invalid_findings(issues: DataFrame) -> DataFrame:
-    return issues.where(F.col("code").isin(INVALID_FINDING_CODES)).select("review_id", F.col("subject").alias("finding_id")).distinct()
-
-
-def disqualified(conflict: DataFrame) -> DataFrame:
-    """Findings of unresolved contradictions, severity and location mismatches (coverage gaps do not disqualify)."""
-    open_ = conflict.where("not resolved and type in ('contradiction', 'severity_mismatch', 'location_mismatch')")
-    return open_.select("review_id", F.explode("finding_ids").alias("finding_id")).distinct()
-
-
-def qualified_pairs(pair: DataFrame, evidence: DataFrame, invalid: DataFrame) -> DataFrame:
-    """Pairs with usable evidence: known, valid, supporting; with the evidence's level rank and side."""
-    sides = evidence.select("review_id", "evidence_id", F.col("side").alias("evidence_side"))
-    good = pair.where("supports").join(invalid, ["review_id", "evidence_id"], "left_anti").join(sides, ["review_id", "evidence_id"])
-    return good.select("review_id", "finding_id", "evidence_id", rank(F.col("level"), LEVEL_RANK).alias("level_rank"), "evidence_side")
-
-
-def block_hits(finding: DataFrame, qualified: DataFrame, barred: DataFrame) -> DataFrame:
-    """(review_id, rule_id, finding_id) for valid findings that a block rule matches."""
-    rules = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.array(*map(F.lit, c)).alias("categories"), F.array(*map(F.lit, s)).alias("statuses"), F.lit(SEVERITY_RANK[sev]).alias("sev"), F.lit(LEVEL_RANK[lv]).alias("lv")) for i, c, s, sev, lv in BLOCK_RULES])
-    rows = finding.where("side = 'new'").join(barred, ["review_id", "finding_id"], "left_anti").select("review_id", "finding_id", "category", "status", rank(F.col("severity"), SEVERITY_RANK).alias("severity_rank"), F.explode(rules).alias("r"))
-    rows = rows.where("array_contains(r.categories, category) and array_contains(r.statuses, status) and severity_rank >= r.sev")
-    best = qualified.where("evidence_side = 'new'").groupBy("review_id", "finding_id").agg(F.max("level_rank").alias("best"))
-    return rows.join(best, ["review_id", "finding_id"]).where("best >= r.lv").select("review_id", "r.rule_id", "finding_id").distinct()
-
-
-def integrity_block(finding: DataFrame, qualified: DataFrame, barred: DataFrame, issues: DataFrame) -> DataFrame:
-    """B004 hits: tampering in the review, and a confirmed finding of high severity with new-side E3 evidence."""
-    tampered = issues.where(F.col("code").isin(TAMPER_CODES)).select("review_id").distinct()
-    strong = finding.where("side = 'new' and status = 'confirmed' and severity in ('high', 'critical')").join(barred, ["review_id", "finding_id"], "left_anti")
-    proven = qualified.where("evidence_side = 'new' and level_rank = 3").select("review_id", "finding_id").distinct()
-    return strong.join(proven, ["review_id", "finding_id"], "left_semi").join(tampered, "review_id", "left_semi").select("review_id", F.lit("B004").alias("rule_id"), "finding_id")
-
-
-def mandatory_gaps(coverage: DataFrame) -> DataFrame:
-    """(review_id, failing coverage ids, provider_failure) where mandatory coverage is not complete."""
-    bad = coverage.where("mandatory and status <> 'completed'")
-    return bad.groupBy("review_id").agg(F.array_sort(F.collect_set("coverage_id")).alias("failing"), F.bool_or(F.coalesce(F.col("error_code").isin(PROVIDER_CODES), F.lit(False))).alias("provider_failure"))
-
-
-def missing_artifacts(artifact: DataFrame) -> DataFrame:
-    """(review_id, schema_name, n): required artifacts that are not there exactly once under their agent."""
-    wanted = artifact.select("review_id").distinct().select("review_id", F.explode(F.array(*[F.struct(F.lit(s).alias("schema_name"), F.lit(a).alias("agent_id")) for s, a in REQUIRED_ARTIFACTS])).alias("w")).select("review_id", "w.*")
-    own = artifact.groupBy("review_id", "schema_name", "agent_id").agg(F.count("*").alias("n"))
-    return wanted.join(own, ["review_id", "schema_name", "agent_id"], "left").fillna(0, ["n"]).where("n <> 1").select("review_id", "schema_name", "n")
-
-
-def buckets(finding: DataFrame, blocked: DataFrame) -> DataFrame:
-    """(review_id, finding_id, bucket): blocking, then N004 (high and above), N005 (medium), warning; dismissed are out."""
-    own = blocked.select("review_id", "finding_id", F.lit(True).alias("hit")).distinct()
-    rows = finding.join(own, ["review_id", "finding_id"], "left").where("hit or status <> 'dismissed'")
+ALWAYS_REQUIRED = ["detect_secret"]
+# Artifacts that every review needs: schema, its version, agent, role.
+REQUIRED_ARTIFACTS = [("SecurityReview", "1.0.0", "security-scanner", "Security Scanner"), ("QualityReview", "1.0.0", "quality-reviewer", "Quality Reviewer")]
+# Detectors that may issue E3 evidence, as (source, detector, version).
+QUALIFIERS = [("rule", "detect_secret", "1.0.0"), ("rule", "detect_injection", "1.0.0"), ("rule", "detect_injection", "1.1.0"), ("static_tool", "detect_injection", "1.0.0"), ("static_tool", "detect_injection", "1.1.0"), ("rule", "detect_dangerous_call", "1.0.0"), ("rule", "detect_dangerous_call", "1.1.0"), ("system", "policy_integrity", "1.0.0")]
+# What a decision says of itself.
+SAYS = {
+    "BLOCK": "BLOCK: deterministic strong evidence matched ", "LEFT": "; review remains incomplete under ", "NEEDS_REVIEW": "NEEDS_REVIEW: fail-closed review conditions matched ", "PASS": "PASS: all {} mandatory checks completed with no blocking evidence.",
+    INPUT_FAILURE: "FAILED: the core review context is invalid.", POLICY_FAILURE: "FAILED: the requested policy is unavailable or invalid.", ENGINE_FAILURE: "FAILED: the deterministic policy engine could not complete.",
+}
+
+
+@dataclass(frozen=True)
+class Policy:
+    """What the gate asks for; the defaults are the frozen policy."""
+
+    version: str = VERSION
+    block_rules: list = field(default_factory=lambda: BLOCK_RULES)
+    review_rules: list = field(default_factory=lambda: REVIEW_RULES)
+    always_required: list = field(default_factory=lambda: ALWAYS_REQUIRED)
+    provider_codes: list = field(default_factory=lambda: PROVIDER_CODES)
+    required_artifacts: list = field(default_factory=lambda: REQUIRED_ARTIFACTS)
+    qualifiers: list = field(default_factory=lambda: QUALIFIERS)
+
+    @classmethod
+    def of(cls, told: dict) -> Policy:
+        """From a policy document (sources.readers.load_policy); a missing or unknown part raises."""
+        if any(told["severity_rank"].get(k) != v for k, v in SEVERITY_RANK.items()) or told["evidence_rank"] != LEVEL_RANK:
+            raise ValueError("the policy's ranks are not the frozen ones")
+        if told["rule_ids"] != {"pass": PASS_RULE, "input_failure": INPUT_FAILURE, "policy_failure": POLICY_FAILURE, "engine_failure": ENGINE_FAILURE, "integrity_block": INTEGRITY_BLOCK}:
+            raise ValueError("the policy's rule ids are not the frozen ones")
+        return cls(
+            told["policy_version"],
+            [(r["rule_id"], r["categories"], r["statuses"], r["min_severity"], r["min_evidence_level"]) for r in told["block_rules"]],
+            [(r["rule_id"], r["manual_action"]) for r in told["needs_review_rules"]],
+            told["always_required_skills"],
+            told["provider_failure_error_codes"],
+            [(a["schema_name"], a["schema_version"], a["agent_id"], a["agent_role"]) for a in told["required_artifacts"]],
+            [(q["source"], q["detector_name"], v) for q in told["e3_qualifiers"] for v in q["detector_versions"]],
+        )
+
+    def rule_order(self) -> list[str]:
+        return [r[0] for r in self.block_rules] + [INTEGRITY_BLOCK] + [r[0] for r in self.review_rules]
+
+    def rule_ids(self) -> list[str]:
+        """All rule ids that a record may name."""
+        return [PASS_RULE, INPUT_FAILURE, POLICY_FAILURE, ENGINE_FAILURE, *self.rule_order()]
+
+
+FROZEN = Policy()
+
+
+def block_rules(policy: Policy, usable: Column) -> Column:
+    """Array of the block rules that a finding matches: usable findings with new-side evidence of the level asked for."""
     level = rank(F.col("severity"), SEVERITY_RANK)
-    return rows.select("review_id", "finding_id", F.when(F.col("hit"), "blocking").when(level >= 3, "N004").when(level == 2, "N005").otherwise("warning").alias("bucket"))
-
-
-def review_hits(bucket: DataFrame, gaps: DataFrame, scope: DataFrame, conflict: DataFrame, issues: DataFrame, exhausted: DataFrame | None = None) -> DataFrame:
-    """(review_id, rule_id) of the N rules. scope and exhausted: reviews that N002 and N008 hold for."""
-    hit = lambda rows, rule: rows.select("review_id", F.lit(rule).alias("rule_id")).distinct()
-    out = hit(gaps, "N001").unionByName(hit(scope, "N002")).unionByName(hit(conflict.where("not resolved"), "N003"))
-    out = out.unionByName(hit(bucket.where("bucket = 'N004'"), "N004")).unionByName(hit(bucket.where("bucket = 'N005'"), "N005"))
-    out = out.unionByName(hit(issues, "N006")).unionByName(hit(gaps.where("provider_failure"), "N007"))
-    return out if exhausted is None else out.unionByName(hit(exhausted, "N008"))
-
-
-def decisions(reviews: DataFrame, blocks: DataFrame, reviews_hit: DataFrame, invalid_core: DataFrame | None = None) -> DataFrame:
-    """One row per review: status, rule ids in policy order, actions, exit code."""
-    hits = blocks.select("review_id", "rule_id").unionByName(reviews_hit).distinct()
-    order = F.create_map(*[x for i, r in enumerate(RULE_ORDER) for x in (F.lit(r), F.lit(i))])
-    grouped = hits.groupBy("review_id").agg(F.transform(F.array_sort(F.collect_set(F.struct(order[F.col("rule_id")].alias("o"), "rule_id"))), lambda x: x["rule_id"]).alias("rules"))
-    out = reviews.select("review_id").distinct().join(grouped, "review_id", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
-    failed = F.lit(False)
-    if invalid_core is not None:
-        out = out.join(invalid_core.select("review_id", F.lit(True).alias("broken")).distinct(), "review_id", "left")
-        failed = F.coalesce("broken", F.lit(False))
-    status = F.when(failed, "FAILED").when(F.exists("rules", lambda r: r.startswith("B")), "BLOCK").when(F.size("rules") > 0, "NEEDS_REVIEW").otherwise("PASS")
-    actions = F.create_map(*[F.lit(x) for pair in REVIEW_RULES for x in pair])
-    rules = F.when(failed, F.array(F.lit("F001"))).when(F.size("rules") > 0, F.col("rules")).otherwise(F.array(F.lit("P001")))
-    out = out.select("review_id", status.alias("status"), rules.alias("rule_ids"))
-    asked = F.transform(F.filter("rule_ids", lambda r: r.startswith("N")), lambda r: actions[r])
-    return out.withColumns({"actions": asked, "exit_code": rank(F.col("status"), EXIT_CODE)})
-
-
-def reason(decision: DataFrame) -> DataFrame:
-    """Adds the reason summary."""
-    text = F.when(F.col("status") == "PASS", "No policy rule matched.").otherwise(F.concat(F.col("status"), F.lit(": matched "), F.array_join("rule_ids", ", "), F.lit(".")))
-    return decision.withColumn("reason", F.substring(text, 1, 1000))
+    hits = [F.when(usable & F.col("category").isin(c) & F.col("status").isin(s) & (level >= SEVERITY_RANK[sev]) & (F.col("best_new") >= LEVEL_RANK[lv]), F.lit(rule)) for rule, c, s, sev, lv in policy.block_rules]
+    return F.array_compact(F.array(*hits))
+
+
+def decided(reviews: DataFrame, policy: Policy = FROZEN) -> DataFrame:
+    """(review_id, status, rule_ids, actions, reason, exit_code) of (review_id, rules, failure).
+
+    rules: the rule ids that hold, in any order; failure: null, or the F rule that overrides them.
+    """
+    order = policy.rule_order()
+    ordered = F.filter(F.array(*map(F.lit, order)), lambda r: F.array_contains(F.coalesce("rules", F.array().cast("array<string>")), r))
+    rows = reviews.withColumn("held", ordered)
+    blocks, needs = F.filter("held", lambda r: r.startswith("B")), F.filter("held", lambda r: r.startswith("N"))
+    status = F.when(F.col("failure").isNotNull(), "FAILED").when(F.size(blocks) > 0, "BLOCK").when(F.size(needs) > 0, "NEEDS_REVIEW").otherwise("PASS")
+    rows = rows.select("*", status.alias("status"), blocks.alias("b"), needs.alias("n"))
+    failed = F.col("failure").isNotNull()
+    ids = F.when(failed, F.array("failure")).when(F.size("held") == 0, F.array(F.lit(PASS_RULE))).otherwise(F.col("held"))
+    actions = F.create_map(*[F.lit(x) for pair in policy.review_rules for x in pair])
+    named = lambda c: F.array_join(c, ", ")
+    left = F.when(F.size("n") > 0, F.concat(F.lit(SAYS["LEFT"]), named("n"))).otherwise("")
+    failures = F.create_map(*[F.lit(x) for r in (INPUT_FAILURE, POLICY_FAILURE, ENGINE_FAILURE) for x in (r, SAYS[r])])
+    reason = F.when(failed, failures[F.col("failure")]).when(F.col("status") == "BLOCK", F.concat(F.lit(SAYS["BLOCK"]), named("b"), left, F.lit("."))).when(F.col("status") == "NEEDS_REVIEW", F.concat(F.lit(SAYS["NEEDS_REVIEW"]), named("n"), F.lit("."))).otherwise(SAYS["PASS"].format(policy.version))
+    asked = F.when(failed, F.array().cast("array<string>")).otherwise(F.transform("n", lambda r: actions[r]))
+    return rows.select("review_id", "status", ids.alias("rule_ids"), asked.alias("actions"), reason.alias("reason"), rank(F.col("status"), EXIT_CODE).alias("exit_code"))
+
+
+def safe_decisions(reviews: DataFrame, policy: Policy | None, decide: Callable[[Policy], DataFrame]) -> DataFrame:
+    """decide(policy), written; every review FAILED by F002 without a policy, and by F003 if the decisions can't be made."""
+    failure = POLICY_FAILURE
+    if policy is not None:
+        try:
+            return cut(decide(policy), "decisions")
+        except Exception:  # noqa: BLE001  whatever went wrong, nothing may pass
+            failure = ENGINE_FAILURE
+    rows = reviews.select("review_id", F.array().cast("array<string>").alias("rules"), F.lit(failure).alias("failure")).distinct()
+    return decided(rows, policy or FROZEN)

@@ -1,4 +1,9 @@
-"""One bounded recheck of reviews that need a person: targets, scope checks of the results, applying them."""
+"""One bounded recheck of reviews that need a person: targets, scope checks of the results, applying them.
+
+Targets are rows (review_id, target_id, kind, subject, finding_ids, conflict_id, skill, route_id, places). Results come as
+relations: result (one row a review), added (new evidence), added_link, added_verified, finding_resolution,
+conflict_resolution and coverage_update.
+"""
 
 from __future__ import annotations
 
@@ -6,42 +11,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_id
+from .assembly import DETERMINISTIC
+from .gate import Gate
+from .validation import SPOT
 
+# Targets of a request, and the skills that a quality artifact covers.
 MAX_TARGETS = 20
+QUALITY_SKILLS = ["review_code_quality"]
+_PLACES = f"array<struct<{', '.join(f'{c}:{t}' for c, t in zip(SPOT, ['string', 'string', 'string', 'bigint', 'bigint', 'string'], strict=True))}>>"
 
 
-def targets(decision: DataFrame, conflict: DataFrame, bucket: DataFrame, finding: DataFrame, plan_coverage: DataFrame) -> DataFrame:
-    """(review_id, kind, subject, target_id) of reviews whose status is NEEDS_REVIEW."""
-    wanted = decision.where("status = 'NEEDS_REVIEW'").select("review_id")
-    by_conflict = conflict.where("not resolved").select("review_id", F.lit("conflict").alias("kind"), F.col("conflict_id").alias("subject"))
-    covered = conflict.where("not resolved").select("review_id", F.explode("finding_ids").alias("finding_id")).distinct()
-    located = finding.where("file_path is not null").select("review_id", "finding_id")
-    open_ = bucket.where("bucket in ('N004', 'N005')").select("review_id", "finding_id").join(located, ["review_id", "finding_id"], "left_semi").join(covered, ["review_id", "finding_id"], "left_anti")
-    by_finding = open_.select("review_id", F.lit("finding").alias("kind"), F.col("finding_id").alias("subject"))
-    by_coverage = plan_coverage.where("mandatory and status <> 'completed'").select("review_id", F.lit("coverage").alias("kind"), F.col("coverage_id").alias("subject"))
-    out = by_conflict.unionByName(by_finding).unionByName(by_coverage).distinct().join(wanted, "review_id", "left_semi")
+def targets(gate: Gate) -> DataFrame:
+    """The targets of all reviews whose status is NEEDS_REVIEW."""
+    none, text = F.array().cast("array<string>"), lambda: F.lit(None).cast("string")
+    wanted = gate.decisions.where("status = 'NEEDS_REVIEW'").select("review_id")
+    finding = gate.finding.select("review_id", "finding_id", F.col("places").cast(_PLACES).alias("places")).dropDuplicates(["review_id", "finding_id"])
+    open_ = gate.conflicts.where("not resolved").select("review_id", "conflict_id", "finding_ids")
+    cited = open_.select("review_id", "conflict_id", F.explode("finding_ids").alias("finding_id"))
+    spots = cited.join(finding, ["review_id", "finding_id"], "left").groupBy("review_id", "conflict_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    by_conflict = open_.join(spots, ["review_id", "conflict_id"], "left").select("review_id", F.lit("conflict").alias("kind"), F.col("conflict_id").alias("subject"), "finding_ids", "conflict_id", text().alias("skill"), text().alias("route_id"), "places")
+    asked = gate.buckets.where("bucket = 'review'").select("review_id", "finding_id").unionByName(gate.finding.where("invalid").select("review_id", "finding_id")).distinct().join(cited, ["review_id", "finding_id"], "left_anti")
+    by_finding = asked.join(finding.where("places is not null"), ["review_id", "finding_id"]).select("review_id", F.lit("finding").alias("kind"), F.col("finding_id").alias("subject"), F.array("finding_id").alias("finding_ids"), text().alias("conflict_id"), text().alias("skill"), text().alias("route_id"), "places")
+    valid = gate.coverage.where("not bad").withColumn("done", F.col("mandatory") & (F.col("status") == "completed"))
+    review, route = gate.r["review"], gate.r["route"]
+    always = review.select("review_id").distinct().select("review_id", F.explode(F.array(*map(F.lit, gate.always_on))).alias("skill")).join(valid.groupBy("review_id", "skill").agg(F.bool_and("done").alias("done")), ["review_id", "skill"], "left").withColumns({"route_id": text(), "places": F.array().cast(_PLACES)})
+    spot = F.array(F.struct(*SPOT)).cast(_PLACES).alias("places")
+    routed = route.where("mandatory").select("review_id", "route_id", "skill", spot).join(valid.groupBy("review_id", "route_id", "skill").agg(F.bool_and("done").alias("done")), ["review_id", "route_id", "skill"], "left")
+    lacking = always.unionByName(routed).where("not coalesce(done, false)")
+    by_coverage = lacking.select("review_id", F.lit("coverage").alias("kind"), F.concat_ws(":", "skill", "route_id").alias("subject"), none.alias("finding_ids"), text().alias("conflict_id"), "skill", "route_id", "places")
+    out = by_conflict.unionByName(by_finding).unionByName(by_coverage).join(wanted, "review_id", "left_semi")
     return out.withColumn("target_id", stable_id("target", F.col("kind"), F.col("subject")))
 
 
+def requests(target: DataFrame) -> DataFrame:
+    """(review_id, request_id, targets): one request a review; its targets in the order of their ids."""
+    ids = F.array_sort(F.collect_set("target_id"))
+    return target.groupBy("review_id").agg(F.size(ids).alias("targets"), ids.alias("ids")).select("review_id", stable_id("recheck", F.col("review_id"), F.array_join("ids", "\0")).alias("request_id"), "targets")
+
+
 def oversized(target: DataFrame, limit: int = MAX_TARGETS) -> DataFrame:
     """Reviews with more targets than a request may hold: execution fails, nothing is cut."""
-    return target.groupBy("review_id").agg(F.count("*").alias("targets")).where(F.col("targets") > limit)
+    return target.groupBy("review_id").agg(F.count_distinct("target_id").alias("targets")).where(F.col("targets") > limit)
 
 
-def violations(result: DataFrame, target: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(review_id, rule) of results (review_id, attempt, finding_id, evidence_id, new_status) that leave their scope."""
+def violations(request: DataFrame, target: DataFrame, original: DataFrame, finding: DataFrame, result: DataFrame, added: DataFrame, added_link: DataFrame, added_verified: DataFrame, finding_resolution: DataFrame, conflict_resolution: DataFrame, coverage_update: DataFrame) -> DataFrame:
+    """(review_id, rule) of results that are not those of their request or leave its scope; such results are not applied."""
     told = lambda rows, rule: rows.select("review_id", F.lit(rule).alias("rule")).distinct()
-    scope = target.where("kind = 'finding'").select("review_id", F.col("subject").alias("finding_id"))
-    known = evidence.select("review_id", "evidence_id")
-    out = told(result.where("attempt <> 1"), "ATTEMPT").unionByName(told(result.join(scope, ["review_id", "finding_id"], "left_anti"), "FINDING_OUT_OF_SCOPE"))
-    out = out.unionByName(told(result.where("evidence_id is not null").join(known, ["review_id", "evidence_id"], "left_semi"), "EVIDENCE_NOT_NEW"))
-    return out.unionByName(told(result.where("new_status in ('confirmed', 'dismissed') and (evidence_id is null or source = 'llm' or level not in ('E2', 'E3') or not located)"), "UNSUPPORTED_STATUS"))
+    twice = lambda rows, key, rule: told(rows.groupBy("review_id", key).count().where("count > 1"), rule)
+    known = lambda rows, key: rows.select("review_id", key).where(F.col(key).isNotNull()).distinct()
+    outside = lambda rows, allowed, key, rule: told(rows.where(F.col(key).isNotNull()).join(known(allowed, key), ["review_id", key], "left_anti"), rule)
+    asked = target.select("review_id", F.explode("finding_ids").alias("finding_id")).distinct()
+    met = result.join(request, "review_id", "left")
+    out = [
+        told(result.where("status <> 'success'"), "NOT_SUCCESSFUL"),
+        told(met.where(~F.col("given_request_id").eqNullSafe(F.col("request_id"))), "REQUEST_MISMATCH"),
+        told(result.where("given_review_id <> review_id"), "REVIEW_MISMATCH"),
+        told(result.where("attempt <> 1"), "ATTEMPT_MISMATCH"),
+        twice(added, "evidence_id", "EVIDENCE_REPEATED"),
+        told(added.join(known(original, "evidence_id"), ["review_id", "evidence_id"], "left_semi"), "EVIDENCE_NOT_NEW"),
+        outside(added_verified, added, "evidence_id", "REGISTRY_OUT_OF_SCOPE"),
+        outside(added.where("level = 'E3'"), added_verified, "evidence_id", "E3_UNREGISTERED"),
+        outside(added_verified, added.where("level = 'E3'"), "evidence_id", "E3_UNREGISTERED"),
+        twice(added_link, "evidence_id", "EVIDENCE_LINKED_TWICE"),
+        outside(added, added_link, "evidence_id", "EVIDENCE_UNLINKED"),
+        outside(added_link, added, "evidence_id", "EVIDENCE_UNLINKED"),
+        outside(added_link, asked, "finding_id", "LINK_OUT_OF_SCOPE"),
+        outside(finding_resolution, asked, "finding_id", "FINDING_OUT_OF_SCOPE"),
+        outside(conflict_resolution, target, "conflict_id", "CONFLICT_OUT_OF_SCOPE"),
+        outside(coverage_update, target, "skill", "COVERAGE_OUT_OF_SCOPE"),
+        outside(coverage_update, target, "route_id", "COVERAGE_OUT_OF_SCOPE"),
+        told(coverage_update.where("not mandatory"), "COVERAGE_OUT_OF_SCOPE"),
+        outside(added_link, finding, "finding_id", "EVIDENCE_UNASSIGNED"),
+    ]
+    located = added.where("hunk_id is not null")
+    spots = target.select("review_id", F.explode("places").alias("p")).select("review_id", "p.file_path", "p.hunk_id", "p.side", F.col("p.start_line").alias("first"), F.col("p.end_line").alias("last")).distinct()
+    inside = located.join(spots, ["review_id", "file_path", "hunk_id", "side"]).where("start_line <= last and first <= end_line").select("review_id", "evidence_id")
+    out.append(told(located.join(inside, ["review_id", "evidence_id"], "left_anti"), "EVIDENCE_OUT_OF_PLACE"))
+    proof = added.where("source <> 'llm' and level in ('E2', 'E3') and hunk_id is not null").select("review_id", "evidence_id").join(added_link, ["review_id", "evidence_id"]).select("review_id", "finding_id")
+    out.append(told(finding_resolution.where("status in ('confirmed', 'dismissed')").join(proof, ["review_id", "finding_id"], "left_anti"), "UNSUPPORTED_STATUS"))
+    both = out[0]
+    for rows in out[1:]:
+        both = both.unionByName(rows)
+    return both.distinct()
+
+
+def accepted(rows: DataFrame, violation: DataFrame) -> DataFrame:
+    """Rows of a result relation whose review breaks no rule."""
+    return rows.join(violation.select("review_id").distinct(), "review_id", "left_anti")
+
+
+def apply_findings(finding: DataFrame, resolution: DataFrame) -> DataFrame:
+    """Findings with the statuses of accepted resolutions."""
+    new = resolution.select("review_id", "finding_id", F.col("status").alias("new_status"))
+    return finding.join(new, ["review_id", "finding_id"], "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 
-def apply_results(finding: DataFrame, result: DataFrame, exhausted: DataFrame) -> DataFrame:
-    """Findings with the statuses of accepted results; reviews with a violation keep theirs."""
-    good = result.join(exhausted.select("review_id").distinct(), "review_id", "left_anti").where("new_status is not null").groupBy("review_id", "finding_id").agg(F.max("new_status").alias("new_status"))
-    return finding.join(good, ["review_id", "finding_id"], "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+def apply_evidence(evidence: DataFrame, added: DataFrame, added_link: DataFrame, finding: DataFrame) -> DataFrame:
+    """Evidence and the accepted new one, which goes to the artifact of the finding that it is linked to."""
+    owner = added_link.join(finding.select("review_id", "finding_id", "artifact_id"), ["review_id", "finding_id"]).select("review_id", "evidence_id", "artifact_id").distinct()
+    return evidence.unionByName(added.drop("artifact_id").join(owner, ["review_id", "evidence_id"]), allowMissingColumns=True)
+
+
+def apply_conflicts(conflict: DataFrame, resolution: DataFrame) -> DataFrame:
+    done = resolution.select("review_id", "conflict_id", F.lit(True).alias("done")).distinct()
+    return conflict.join(done, ["review_id", "conflict_id"], "left").withColumn("resolved", F.col("resolved") | F.coalesce("done", F.lit(False))).drop("done")
 
 
 def replace_coverage(coverage: DataFrame, new: DataFrame) -> DataFrame:
@@ -49,3 +122,27 @@ def replace_coverage(coverage: DataFrame, new: DataFrame) -> DataFrame:
     own = new.select("review_id", "skill", F.col("status").alias("new_status"))
     out = coverage.join(own, ["review_id", "skill"], "left")
     return out.withColumns({"status": F.coalesce("new_status", "status"), "error_code": F.when(F.col("new_status").isNull() | (F.col("new_status") == "failed"), F.col("error_code"))}).drop("new_status")
+
+
+def exhausted(rules: DataFrame, review: DataFrame) -> DataFrame:
+    """Rules of the gate with N008 for reviews whose one recheck is used up."""
+    used = review.select("review_id", F.lit(True).alias("used")).distinct()
+    out = rules.join(used, "review_id", "left")
+    return out.withColumn("rules", F.when(F.coalesce("used", F.lit(False)), F.array_union("rules", F.array(F.lit("N008")))).otherwise(F.col("rules"))).drop("used")
+
+
+def rerun(target: DataFrame, observed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(result, coverage_update) of a deterministic executor that ran the targeted skills again.
+
+    observed: (review_id, skill, status, error_code) of the fresh run; found: (review_id, skill) with a finding in it. Only
+    deterministic skills are rerun: reviews that target none succeed without updates. A review fails if a targeted skill
+    failed again or was not observed, or if the run found something.
+    """
+    asked = target.where(F.col("skill").isin(DETERMINISTIC)).select("review_id", "skill", "route_id").distinct()
+    hot = found.select("review_id", "skill", F.lit(True).alias("found")).distinct()
+    rows = asked.join(observed, ["review_id", "skill"], "left").join(hot, ["review_id", "skill"], "left")
+    state = rows.groupBy("review_id").agg(F.bool_or(F.coalesce("status", F.lit("failed")) == "failed").alias("failed"), F.bool_or(F.coalesce("found", F.lit(False))).alias("found"))
+    why = F.when(F.col("failed"), "FAILED_AGAIN").when(F.col("found"), "NEW_RISK")
+    result = target.select("review_id").distinct().join(state, "review_id", "left").select("review_id", F.when(why.isNull(), "success").otherwise("failed").alias("status"), why.alias("failure_reason"))
+    update = rows.join(result.where("status = 'success'").select("review_id"), "review_id", "left_semi")
+    return result, update.select("review_id", "skill", "route_id", F.lit(True).alias("mandatory"), "status", "error_code")

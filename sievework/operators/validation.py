@@ -1,112 +1,136 @@
-"""Integrity of a review's records: references, locations, provenance, coverage, lineage.
+"""Integrity of a review's records, as facts: one row a record, with the codes of what is wrong with it.
 
-Relations, all keyed by review_id (see plans/fixtures.py for their columns): finding, evidence, link (finding to
-evidence), verified (trusted E3 ids), hunk (the parsed diff), route, coverage, artifact, lineage, conflict_ref. Every check
-returns issues (review_id, code, subject); invalidation sets follow from the codes.
+Relations, all keyed by review_id (see plans/fixtures.py for their columns): finding, place (the locations of a finding, any
+number), evidence, link (finding to evidence), verified (trusted E3 ids), hunk (the parsed diff), route (one row a route and
+skill), coverage, artifact, lineage, root, conflict (one row a reference). Every fact is made once; issues, invalid records
+and the gate's rules are read off the facts.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import overlaps
+from ..functions.scalars import LEVEL_RANK, content_hash, overlaps, rank
+from .policy import FROZEN, Policy
+from .routing import ALWAYS_ON
 
-# Detectors that may issue E3 evidence, as (source, detector, version).
-QUALIFIERS = [("rule", "detect_secret", "1.0.0"), ("rule", "detect_injection", "1.0.0"), ("rule", "detect_injection", "1.1.0"), ("static_tool", "detect_injection", "1.0.0"), ("static_tool", "detect_injection", "1.1.0"), ("rule", "detect_dangerous_call", "1.0.0"), ("rule", "detect_dangerous_call", "1.1.0"), ("system", "policy_integrity", "1.0.0")]
 # Issue codes that count as tampering.
 TAMPER_CODES = ["ARTIFACT_LINEAGE_CYCLE", "ARTIFACT_LINEAGE_DANGLING", "CONFLICT_FINDING_DANGLING", "CONFLICT_RULE_DANGLING", "DUPLICATE_ARTIFACT_ID", "DUPLICATE_CONFLICT_ID", "DUPLICATE_COVERAGE_ID", "DUPLICATE_EVIDENCE_ID", "DUPLICATE_FINDING_ID", "E3_PROVENANCE_UNVERIFIED", "EVIDENCE_FINDING_LOCATION_MISMATCH", "EVIDENCE_LOCATION_INVALID", "FINDING_EVIDENCE_DANGLING", "FINDING_LOCATION_INVALID", "ROUTE_LOCATION_INVALID", "VERIFIED_E3_DANGLING"]
-ALWAYS_REQUIRED = ["detect_secret"]
-# All rule ids of the policy.
-RULE_IDS = ["P001", "F001", "F002", "F003", "B001", "B002", "B003", "B004", "N001", "N002", "N003", "N004", "N005", "N006", "N007", "N008"]
+SPOT = ["file_path", "hunk_id", "side", "start_line", "end_line", "snippet_hash"]
 
 
-def _issues(rows: DataFrame, code: str, subject: str | F.Column) -> DataFrame:
+def _codes(**rules: Column) -> Column:
+    """Array of the issue codes whose condition holds."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(code)) for code, hit in rules.items()]))
+
+
+def _issues(rows: DataFrame, code: str, subject: str | Column) -> DataFrame:
     what = F.col(subject) if isinstance(subject, str) else subject
     return rows.select("review_id", F.lit(code).alias("code"), what.alias("subject")).distinct()
 
 
-def duplicates(rows: DataFrame, key: str, code: str) -> DataFrame:
-    return _issues(rows.groupBy("review_id", key).count().where("count > 1"), code, key)
+def _told(facts: DataFrame, subject: str) -> DataFrame:
+    """(review_id, code, subject) of facts with codes."""
+    return facts.select("review_id", F.explode("codes").alias("code"), F.col(subject).alias("subject"))
 
 
-def unmatched_locations(rows: DataFrame, hunk: DataFrame, key: str, code: str) -> DataFrame:
-    """Located rows whose hunk is unknown or whose path is not that side's path of the hunk."""
-    known = hunk.select("review_id", "hunk_id", "old_path", "new_path")
-    side_path = F.when(F.col("side") == "old", F.col("old_path")).otherwise(F.col("new_path"))
-    joined = rows.where("hunk_id is not null").join(known, ["review_id", "hunk_id"], "left")
-    return _issues(joined.where(~F.coalesce(side_path == F.col("file_path"), F.lit(False))), code, key)
+def _copies(key: str) -> Column:
+    return F.count("*").over(W.partitionBy("review_id", key))
 
 
-def dangling_evidence(link: DataFrame, evidence: DataFrame) -> DataFrame:
-    return _issues(link.join(evidence.select("review_id", "evidence_id"), ["review_id", "evidence_id"], "left_anti"), "FINDING_EVIDENCE_DANGLING", "finding_id")
+def with_hunks(rows: DataFrame, hunk: DataFrame) -> DataFrame:
+    """Adds misplaced: the hunk of a located row is unknown, or its path is not that side's path of the hunk."""
+    known = hunk.select("review_id", "hunk_id", "old_path", "new_path")
+    own = F.when(F.col("side") == "old", F.col("old_path")).otherwise(F.col("new_path"))
+    misplaced = F.col("hunk_id").isNotNull() & ~F.coalesce(own == F.col("file_path"), F.lit(False))
+    return rows.join(known, ["review_id", "hunk_id"], "left").withColumn("misplaced", misplaced).drop("old_path", "new_path")
 
 
-def pairs(finding: DataFrame, link: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Linked pairs of findings and known evidence, and whether the evidence supports the finding's location."""
-    left = finding.select("review_id", "finding_id", "status", "file_path", "hunk_id", "side", "start_line", "end_line")
-    right = evidence.select("review_id", "evidence_id", "level", F.col("file_path").alias("e_file"), F.col("hunk_id").alias("e_hunk"), F.col("side").alias("e_side"), F.col("start_line").alias("e_start"), F.col("end_line").alias("e_end"))
-    same = (F.col("file_path") == F.col("e_file")) & (F.col("hunk_id") == F.col("e_hunk")) & (F.col("side") == F.col("e_side")) & overlaps(F.col("start_line"), F.col("end_line"), F.col("e_start"), F.col("e_end"))
-    joined = left.join(link.select("review_id", "finding_id", "evidence_id"), ["review_id", "finding_id"]).join(right, ["review_id", "evidence_id"])
-    return joined.withColumn("supports", F.col("file_path").isNull() | F.coalesce(same, F.lit(False)))
+def with_origin(rows: DataFrame, artifact: DataFrame) -> DataFrame:
+    """Adds foreign: the row's artifact names another review."""
+    other = review_mismatches(artifact).select("review_id", F.col("subject").alias("artifact_id"), F.lit(True).alias("foreign"))
+    return rows.join(other, ["review_id", "artifact_id"], "left").withColumn("foreign", F.coalesce("foreign", F.lit(False)))
 
 
-def location_mismatches(pair: DataFrame) -> DataFrame:
-    return _issues(pair.where("not supports"), "EVIDENCE_FINDING_LOCATION_MISMATCH", F.concat_ws(":", "finding_id", "evidence_id"))
+def evidence_facts(evidence: DataFrame, verified: DataFrame, hunk: DataFrame, artifact: DataFrame, policy: Policy = FROZEN) -> DataFrame:
+    """Evidence with level_rank, bad and codes; entries of the registry without evidence have here null."""
+    rows = with_origin(with_hunks(evidence, hunk), artifact).withColumns({"copies": _copies("evidence_id"), "here": F.lit(True)})
+    registry = verified.select("review_id", "evidence_id", F.lit(True).alias("registered")).distinct()
+    e3, registered = F.col("level") == "E3", F.coalesce("registered", F.lit(False))
+    allowed = F.coalesce(F.struct("source", "detector_name", "detector_version").isin([F.struct(*map(F.lit, q)) for q in policy.qualifiers]), F.lit(False))
+    invalid = {"DUPLICATE_EVIDENCE_ID": F.col("copies") > 1, "EVIDENCE_LOCATION_INVALID": F.col("misplaced"), "E3_PROVENANCE_UNVERIFIED": e3 & ~registered, "E3_DETECTOR_NOT_ALLOWED": e3 & ~allowed}
+    others = {"VERIFIED_E3_DANGLING": F.col("here").isNull(), "VERIFIED_E3_NOT_E3": registered & ~e3}
+    bad = F.coalesce(F.col("foreign") | (F.size(_codes(**invalid)) > 0), F.lit(True))
+    out = rows.join(registry, ["review_id", "evidence_id"], "full_outer")
+    return out.withColumns({"level_rank": rank(F.col("level"), LEVEL_RANK), "bad": bad, "codes": _codes(**invalid, **others)})
 
 
-def unverified_e3(evidence: DataFrame, verified: DataFrame) -> DataFrame:
-    return _issues(evidence.where("level = 'E3'").join(verified, ["review_id", "evidence_id"], "left_anti"), "E3_PROVENANCE_UNVERIFIED", "evidence_id")
+def finding_places(place: DataFrame, hunk: DataFrame) -> DataFrame:
+    """(review_id, finding_id, places, misplaced, new_side): all locations of a finding; none have no row."""
+    return with_hunks(place, hunk).groupBy("review_id", "finding_id").agg(F.array_sort(F.collect_set(F.struct(*SPOT))).alias("places"), F.bool_or("misplaced").alias("misplaced"), F.bool_or(F.col("side") == "new").alias("new_side"))
 
 
-def verified_issues(evidence: DataFrame, verified: DataFrame) -> DataFrame:
-    """Registry entries without evidence, and those whose evidence is not E3."""
-    joined = verified.distinct().join(evidence.select("review_id", "evidence_id", "level"), ["review_id", "evidence_id"], "left")
-    return _issues(joined.where("level is null"), "VERIFIED_E3_DANGLING", "evidence_id").unionByName(_issues(joined.where("level <> 'E3'"), "VERIFIED_E3_NOT_E3", "evidence_id"))
+def supports(places: Column, spot: Column) -> Column:
+    """Evidence at a spot supports a finding without places, or one with a place of that file, hunk and side that it overlaps."""
+    same = lambda p: (p["file_path"] == spot["file_path"]) & (p["hunk_id"] == spot["hunk_id"]) & (p["side"] == spot["side"]) & overlaps(p["start_line"], p["end_line"], spot["start_line"], spot["end_line"])
+    return places.isNull() | F.coalesce(F.exists(places, same), F.lit(False))
 
 
-def disallowed_e3(evidence: DataFrame, qualifiers: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    allowed = F.struct("source", "detector_name", "detector_version").isin([F.struct(*map(F.lit, q)) for q in qualifiers or QUALIFIERS])
-    return _issues(evidence.where("level = 'E3'").where(~allowed), "E3_DETECTOR_NOT_ALLOWED", "evidence_id")
+def pair_facts(link: DataFrame, places: DataFrame, facts: DataFrame) -> DataFrame:
+    """(review_id, finding_id, evidence_id, known, mismatch, good, level_rank, evidence_side) of every link."""
+    known = facts.where("here").select("review_id", "evidence_id", "level_rank", "bad", F.col("side").alias("evidence_side"), F.struct(*SPOT).alias("spot"))
+    rows = link.select("review_id", "finding_id", "evidence_id").distinct().join(places.select("review_id", "finding_id", "places"), ["review_id", "finding_id"], "left").join(known, ["review_id", "evidence_id"], "left")
+    here, fits = F.col("level_rank").isNotNull(), supports(F.col("places"), F.col("spot"))
+    return rows.select("review_id", "finding_id", "evidence_id", here.alias("known"), (here & ~fits).alias("mismatch"), (here & fits & ~F.col("bad")).alias("good"), "level_rank", "evidence_side")
 
 
-def invalid_evidence(issues: DataFrame) -> DataFrame:
-    codes = ["DUPLICATE_EVIDENCE_ID", "EVIDENCE_LOCATION_INVALID", "E3_PROVENANCE_UNVERIFIED", "E3_DETECTOR_NOT_ALLOWED"]
-    return issues.where(F.col("code").isin(codes)).select("review_id", F.col("subject").alias("evidence_id")).distinct()
+def finding_facts(finding: DataFrame, places: DataFrame, pair: DataFrame, artifact: DataFrame) -> DataFrame:
+    """Findings with places, identity, the qualified evidence, best new-side level, invalid and issues (code, subject)."""
+    good = F.col("good")
+    per = pair.groupBy("review_id", "finding_id").agg(
+        F.bool_or(~F.col("known")).alias("dangling"), F.bool_or(good & (F.col("level_rank") > 0)).alias("usable"), F.max(F.when(good & (F.col("evidence_side") == "new"), F.col("level_rank"))).alias("best_new"),
+        F.array_sort(F.collect_set(F.when(F.col("mismatch"), F.col("evidence_id")))).alias("mismatched"), F.array_sort(F.collect_set(F.when(good, F.col("evidence_id")))).alias("evidence_ids"),
+    )
+    rows = with_origin(finding.withColumn("copies", _copies("finding_id")), artifact).join(places, ["review_id", "finding_id"], "left").join(per, ["review_id", "finding_id"], "left")
+    active = F.col("status").isin("confirmed", "suspected")
+    codes = _codes(DUPLICATE_FINDING_ID=F.col("copies") > 1, FINDING_LOCATION_INVALID=F.col("misplaced"), FINDING_EVIDENCE_DANGLING=F.col("dangling"), FINDING_HAS_NO_QUALIFIED_EVIDENCE=active & ~F.coalesce("usable", F.lit(False)))
+    none = F.array().cast("array<string>")
+    own = F.transform(codes, lambda c: F.struct(c.alias("code"), F.col("finding_id").alias("subject")))
+    apart = F.transform(F.coalesce("mismatched", none), lambda e: F.struct(F.lit("EVIDENCE_FINDING_LOCATION_MISMATCH").alias("code"), F.concat_ws(":", "finding_id", e).alias("subject")))
+    where = F.array_join(F.transform("places", lambda p: F.concat_ws("\x01", *[p[c].cast("string") for c in SPOT])), "\x02")
+    return rows.withColumns({
+        "identity": content_hash(F.col("category"), F.coalesce(where, F.lit(""))), "invalid": F.col("foreign") | (F.size(codes) > 0), "issues": F.concat(own, apart),
+        "evidence_ids": F.coalesce("evidence_ids", none), "new_side": F.coalesce("new_side", F.lit(False)),
+    }).drop("mismatched")
 
 
-def without_evidence(pair: DataFrame, finding: DataFrame, invalid: DataFrame) -> DataFrame:
-    """Active findings without usable evidence above E0."""
-    usable = pair.where("supports and level <> 'E0'").join(invalid, ["review_id", "evidence_id"], "left_anti").select("review_id", "finding_id")
-    active = finding.where("status in ('confirmed', 'suspected')")
-    return _issues(active.join(usable, ["review_id", "finding_id"], "left_anti"), "FINDING_HAS_NO_QUALIFIED_EVIDENCE", "finding_id")
+def coverage_facts(coverage: DataFrame, route: DataFrame, hunk: DataFrame, artifact: DataFrame, policy: Policy = FROZEN, always_on: list[str] = ALWAYS_ON) -> DataFrame:
+    """Coverage with bad and codes."""
+    wanted = route.groupBy("review_id", "route_id").agg(F.collect_set(F.struct("skill", "mandatory")).alias("wanted"))
+    inside = known_paths(hunk).select("review_id", F.col("path").alias("file_path"), F.lit(True).alias("inside"))
+    rows = with_origin(coverage.withColumn("copies", _copies("coverage_id")), artifact).join(wanted, ["review_id", "route_id"], "left").join(inside, ["review_id", "file_path"], "left")
+    asked = F.coalesce(F.exists("wanted", lambda w: (w["skill"] == F.col("skill")) & w["mandatory"]), F.lit(False)) | F.col("skill").isin([s for s in policy.always_required if s in always_on])
+    codes = _codes(DUPLICATE_COVERAGE_ID=F.col("copies") > 1, COVERAGE_ROUTE_DANGLING=F.col("route_id").isNotNull() & F.col("wanted").isNull(), COVERAGE_FILE_INVALID=F.col("file_path").isNotNull() & F.col("inside").isNull(), MANDATORY_COVERAGE_DOWNGRADED=asked & ~F.col("mandatory"))
+    return rows.withColumns({"bad": F.col("foreign") | (F.size(codes) > 0), "codes": codes}).drop("wanted", "inside")
 
 
-def coverage_references(coverage: DataFrame, route: DataFrame, hunk: DataFrame) -> DataFrame:
-    """Coverage of unknown routes, and of files outside the diff."""
-    no_route = coverage.where("route_id is not null").join(route.select("review_id", "route_id"), ["review_id", "route_id"], "left_anti")
-    paths = hunk.select("review_id", F.explode(F.array("old_path", "new_path")).alias("file_path")).where("file_path is not null").distinct()
-    no_file = coverage.where("file_path is not null").join(paths, ["review_id", "file_path"], "left_anti")
-    return _issues(no_route, "COVERAGE_ROUTE_DANGLING", "coverage_id").unionByName(_issues(no_file, "COVERAGE_FILE_INVALID", "coverage_id"))
+def known_paths(hunk: DataFrame) -> DataFrame:
+    return hunk.select("review_id", F.explode(F.array("old_path", "new_path")).alias("path")).where("path is not null").distinct()
 
 
-def planned_coverage(route: DataFrame, coverage: DataFrame, always: list[str] | None = None) -> DataFrame:
-    """Planned (route, skill) pairs and always-on skills without coverage; mandatory coverage marked optional."""
-    always = always or ["detect_secret", "security_semantic_review", "review_code_quality"]
-    own = coverage.select("review_id", "skill", "route_id", "coverage_id", F.col("mandatory").alias("c_mandatory"))
-    planned = route.select("review_id", "route_id", "skill", "mandatory").join(own, ["review_id", "route_id", "skill"], "left")
-    missing = _issues(planned.where("coverage_id is null"), "PLANNED_COVERAGE_MISSING", F.concat_ws(":", "route_id", "skill"))
-    lowered = _issues(planned.where("mandatory and not c_mandatory"), "MANDATORY_COVERAGE_DOWNGRADED", "coverage_id")
-    wanted = route.select("review_id").distinct().select("review_id", F.explode(F.array(*map(F.lit, always))).alias("skill")).join(own, ["review_id", "skill"], "left")
-    absent = _issues(wanted.where("coverage_id is null"), "PLANNED_COVERAGE_MISSING", "skill")
-    optional = _issues(wanted.where(F.col("skill").isin(ALWAYS_REQUIRED) & ~F.col("c_mandatory")), "MANDATORY_COVERAGE_DOWNGRADED", "coverage_id")
-    return missing.unionByName(lowered).unionByName(absent).unionByName(optional).distinct()
+def planned_coverage(review: DataFrame, route: DataFrame, coverage: DataFrame, always_on: list[str] = ALWAYS_ON) -> DataFrame:
+    """Issues of planned (route, skill) pairs, and of always-on skills of a review, that no coverage record names."""
+    pairs = route.select("review_id", "route_id", "skill").distinct().join(coverage, ["review_id", "route_id", "skill"], "left_anti")
+    grid = review.select("review_id").distinct().select("review_id", F.explode(F.array(*map(F.lit, always_on))).alias("skill")).join(coverage, ["review_id", "skill"], "left_anti")
+    return _issues(pairs, "PLANNED_COVERAGE_MISSING", F.concat_ws(":", "route_id", "skill")).unionByName(_issues(grid, "PLANNED_COVERAGE_MISSING", "skill"))
 
 
-def dangling_lineage(lineage: DataFrame, artifact: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def dangling_lineage(lineage: DataFrame, artifact: DataFrame, root: DataFrame | None = None) -> DataFrame:
     known = artifact.select("review_id", F.col("artifact_id").alias("parent_id"))
-    known = known if roots is None else known.unionByName(roots)
+    known = known if root is None else known.unionByName(root.select("review_id", F.col("root_id").alias("parent_id")))
     return _issues(lineage.join(known, ["review_id", "parent_id"], "left_anti"), "ARTIFACT_LINEAGE_DANGLING", "artifact_id")
 
 
@@ -147,35 +171,49 @@ def _on_cycles(edges: list[tuple[str, str]]) -> list[str]:
 
 
 def lineage_cycles(lineage: DataFrame) -> DataFrame:
-    """Artifacts on a cycle of their review's lineage; one review is one group, as large as its own artifacts."""
+    """Artifacts on a cycle of their review's lineage.
+
+    Only artifacts that are both a child and a parent can be on one; of those, one review is one group.
+    """
 
     def cycles(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         ids = _on_cycles(list(zip(frame["artifact_id"], frame["parent_id"], strict=True)))
         return pd.DataFrame({"review_id": pd.Series([int(key[0])] * len(ids), dtype="int64"), "subject": pd.Series(ids, dtype=object)})
 
-    rows = lineage.select("review_id", "artifact_id", "parent_id").distinct().groupBy("review_id").applyInPandas(cycles, "review_id long, subject string")
-    return _issues(rows, "ARTIFACT_LINEAGE_CYCLE", "subject")
+    edges = lineage.select("review_id", "artifact_id", "parent_id").distinct()
+    parents, children = edges.select("review_id", F.col("parent_id").alias("artifact_id")), edges.select("review_id", F.col("artifact_id").alias("parent_id"))
+    inner = edges.join(parents, ["review_id", "artifact_id"], "left_semi").join(children, ["review_id", "parent_id"], "left_semi")
+    return _issues(inner.groupBy("review_id").applyInPandas(cycles, "review_id long, subject string"), "ARTIFACT_LINEAGE_CYCLE", "subject")
 
 
-def conflict_references(conflict_finding: DataFrame, finding: DataFrame) -> DataFrame:
-    return _issues(conflict_finding.join(finding.select("review_id", "finding_id"), ["review_id", "finding_id"], "left_anti"), "CONFLICT_FINDING_DANGLING", "conflict_id")
+def review_mismatches(artifact: DataFrame) -> DataFrame:
+    return _issues(artifact.where("own_review_id <> review_id"), "ARTIFACT_REVIEW_MISMATCH", "artifact_id")
 
 
-def conflict_rules(conflict_rule: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
-    return _issues(conflict_rule.where(~F.col("rule_id").isin(rule_ids or RULE_IDS)), "CONFLICT_RULE_DANGLING", "conflict_id")
+def artifact_issues(artifact: DataFrame, lineage: DataFrame, root: DataFrame) -> DataFrame:
+    many = artifact.groupBy("review_id", "artifact_id").count().where("count > 1")
+    return _issues(many, "DUPLICATE_ARTIFACT_ID", "artifact_id").unionByName(review_mismatches(artifact)).unionByName(dangling_lineage(lineage, artifact, root)).unionByName(lineage_cycles(lineage))
 
 
-def review_mismatches(artifact: DataFrame) -> DataFrame:
-    return _issues(artifact.where("own_review_id <> review_id"), "ARTIFACT_REVIEW_MISMATCH", "artifact_id")
+def route_issues(route: DataFrame, hunk: DataFrame) -> DataFrame:
+    return _issues(with_hunks(route, hunk).where("misplaced"), "ROUTE_LOCATION_INVALID", "route_id")
 
 
-def finding_issues(finding: DataFrame, evidence: DataFrame, link: DataFrame, verified: DataFrame, hunk: DataFrame) -> DataFrame:
-    """All issues of findings and evidence, in the order in which they depend on each other."""
-    pair = pairs(finding, link, evidence)
-    first = (
-        duplicates(finding, "finding_id", "DUPLICATE_FINDING_ID").unionByName(duplicates(evidence, "evidence_id", "DUPLICATE_EVIDENCE_ID"))
-        .unionByName(unmatched_locations(evidence, hunk, "evidence_id", "EVIDENCE_LOCATION_INVALID")).unionByName(unverified_e3(evidence, verified)).unionByName(disallowed_e3(evidence))
-        .unionByName(verified_issues(evidence, verified)).unionByName(unmatched_locations(finding, hunk, "finding_id", "FINDING_LOCATION_INVALID"))
-        .unionByName(dangling_evidence(link, evidence)).unionByName(location_mismatches(pair))
-    )
-    return first.unionByName(without_evidence(pair, finding, invalid_evidence(first)))
+def conflict_issues(conflict: DataFrame, finding: DataFrame, policy: Policy = FROZEN) -> DataFrame:
+    """Of supplied conflicts (review_id, conflict_id, entry, finding_id, rule_id): repeated ids, unknown findings and rules."""
+    many = conflict.groupBy("review_id", "conflict_id").agg(F.count_distinct("entry").alias("n")).where("n > 1")
+    unknown = conflict.where("finding_id is not null").join(finding.select("review_id", "finding_id"), ["review_id", "finding_id"], "left_anti")
+    other = conflict.where(~F.col("rule_id").isin(policy.rule_ids()))
+    return _issues(many, "DUPLICATE_CONFLICT_ID", "conflict_id").unionByName(_issues(unknown, "CONFLICT_FINDING_DANGLING", "conflict_id")).unionByName(_issues(other, "CONFLICT_RULE_DANGLING", "conflict_id"))
+
+
+def record_issues(evidence: DataFrame, finding: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The issues that facts tell."""
+    of_findings = finding.select("review_id", F.explode("issues").alias("i")).select("review_id", "i.code", "i.subject")
+    return _told(evidence, "evidence_id").unionByName(of_findings).unionByName(_told(coverage, "coverage_id"))
+
+
+def broken_core(review: DataFrame) -> DataFrame:
+    """Reviews without a trustworthy core: no trace or time of decision, or parts that name another review."""
+    whole = (F.trim("trace_id") != "") & F.col("decided_at").isNotNull() & (F.col("diff_review_id") == F.col("review_id")) & (F.col("risk_review_id") == F.col("review_id"))
+    return review.where(~F.coalesce(whole, F.lit(False))).select("review_id").distinct()

@@ -4,33 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import constraints, scalars
-from ..operators import agents, assembly, assurance, code, patch, policy, recheck, routing, secrets, transport, validation
+from ..functions import scalars
+from ..operators import agents, assembly, code, patch, routing, secrets, transport, validation
 from ..sources import sinks
 from ..streaming import trace as stream
-from .fixtures import relation, with_relations
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def add(name: str, build: Callable[..., DataFrame], *relations: str, sql: str | None = None, tables: tuple[str, ...] = ()) -> None:
-    """Register a query over relations (then plain tables); sql reads the same relations by name."""
-    QUERIES[name] = lambda spark, d: build(*[relation(spark, d, r) for r in relations], *[_table(spark, d, t) for t in tables])
-    if sql:
-        ORACLES[name] = (with_relations(*relations) + " " if relations else "") + sql
-
-
-def _joined(c: str) -> F.Column:
-    return F.array_join(c, ",").alias(c)
+from . import faults, gated  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES, add  # noqa: F401
+from .registry import joined as _joined
 
 
 # ---- patches -----------------------------------------------------------------------------------------------------
@@ -92,130 +75,30 @@ add("f19_cost", lambda c: agents.costed_calls(c).select("call_id", F.round(F.col
 add("f21_retry", lambda c: c.select("call_id", scalars.retry_delay(F.col("retry_after"), F.col("retry_number")).alias("delay")), "call", sql="SELECT call_id, least(greatest(coalesce(try_cast(retry_after AS DOUBLE), 0.25 * 2 ** (retry_number - 1)), 0), 2.0)::DOUBLE AS delay FROM call")
 add("f24_deadline", lambda c: c.select("call_id", scalars.is_admissible(F.col("started_at") + F.expr("INTERVAL 45 SECONDS"), F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("admissible")), "call", sql="SELECT call_id, started_at + INTERVAL 45 SECONDS > TIMESTAMP '2024-01-15 00:00:00' AS admissible FROM call")
 add("f27_markdown", lambda p: p.select("page_id", F.sha2(scalars.markdown_cell(F.col("html")), 256).alias("cell")), tables=("pages",), sql=r"SELECT page_id, sha256(left(regexp_replace(replace(html, '|', '\|'), '[\r\n]+', ' ', 'g'), 500)) AS cell FROM pages")
-add("f17_canonical_json", lambda e: e.select("event_id", transport.canonical("props").alias("canonical")), tables=("events",))
+add("f17_canonical_json", lambda e: e.select("event_id", transport.canonical(F.expr("CASE event_id % 5 WHEN 0 THEN concat('{\"b\": 1, \"a\" : [', event_id, ', null]}') WHEN 1 THEN '{\"a\":1,\"a\":2}' WHEN 2 THEN '{\"a\": NaN}' WHEN 3 THEN concat('{\"u\":\"\\\\u00e9', event_id, '\"}') ELSE 'none' END")).alias("canonical")), tables=("events",), sql="""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"a":[' || event_id || ',null],"b":1}' || chr(10) WHEN 3 THEN '{"u":"é' || event_id || '"}' || chr(10) END AS canonical FROM events""")
 add("c13_c15_errors", lambda c: agents.classified_calls(c).select("call_id", "code", "retryable", "policy_code"), "call", sql="""SELECT call_id, code, coalesce(code IN ('TIMEOUT', 'RATE_LIMIT', 'TRANSPORT_ERROR') OR code = 'PROVIDER_ERROR' AND status_code >= 500, false) AS retryable, CASE code WHEN 'AUTHENTICATION_ERROR' THEN 'MODEL_AUTH_ERROR' WHEN 'INSUFFICIENT_BALANCE' THEN 'MODEL_QUOTA_EXCEEDED' WHEN 'RATE_LIMIT' THEN 'RATE_LIMITED' WHEN 'TIMEOUT' THEN 'TIMEOUT' ELSE CASE WHEN code IS NOT NULL THEN 'MODEL_ERROR' END END AS policy_code
     FROM (SELECT *, CASE WHEN status = 'failed' THEN CASE WHEN class_name LIKE '%Timeout%' THEN 'TIMEOUT' WHEN status_code = 401 THEN 'AUTHENTICATION_ERROR' WHEN status_code = 402 THEN 'INSUFFICIENT_BALANCE' WHEN status_code = 429 THEN 'RATE_LIMIT' WHEN status_code >= 500 THEN 'PROVIDER_ERROR' WHEN class_name LIKE '%Connection%' THEN 'TRANSPORT_ERROR' ELSE 'PROVIDER_ERROR' END END AS code FROM call)""")
 add("m03_validity", lambda c: agents.classified_calls(c).select("call_id", "validity"), "call", sql="""SELECT call_id, CASE WHEN status = 'success' THEN CASE WHEN finish_reason = 'length' THEN 'OUTPUT_TRUNCATED' WHEN trim(content) = '' THEN 'EMPTY_RESPONSE' WHEN content LIKE '%:' THEN 'INVALID_JSON' WHEN content NOT LIKE '%summary%' THEN 'SCHEMA_ERROR' ELSE 'OK' END END AS validity FROM call""")
 
 # ---- secrets and disclosure --------------------------------------------------------------------------------------
 
-_SEEN = r"seen AS (SELECT review_id, line_key, kind, unnest(list_distinct(regexp_extract_all(content, '(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\x22\x27]([A-Za-z0-9+/=_-]{16,})[\x22\x27]', 1))) AS value FROM line)"
-add("x01_x02_secrets", lambda x: secrets.findings(secrets.observations(x)).select("review_id", "line_key", "secret_type", "fingerprint", "status"), "line", sql=", " + _SEEN + " SELECT review_id, line_key, 'SUSPECTED_VALUE' AS secret_type, sha256(value) AS fingerprint, 'suspected' AS status FROM seen WHERE kind = 'addition'")
-add("c03_d14_masked_lines", lambda x: secrets.masked_lines(x, secrets.observations(x)).where("redacted").select("line_key", "source_hash", "content_hash"), "line", sql=", " + _SEEN + ", one AS (SELECT line_key, value FROM seen QUALIFY count(*) OVER (PARTITION BY line_key) = 1) SELECT line_key, sha256(content) AS source_hash, sha256(replace(content, value, '<REDACTED:SUSPECTED_VALUE:' || left(sha256(value), 12) || '>')) AS content_hash FROM line JOIN one USING (line_key)")
+def _tampered(masked: DataFrame) -> DataFrame:
+    """Masked lines as shown; of three, one is right, one has a word more and one another mask."""
+    n = F.col("line_key") % 3
+    return masked.withColumn("shown", F.when(n == 1, F.concat("content", F.lit(" more"))).when(n == 2, F.regexp_replace("content", ":[0-9a-f]{12}>", ":000000000000>")).otherwise(F.col("content"))).select("line_key", "shown")
+
+
+_SEEN = r"""hits AS (SELECT review_id, line_key, kind, 'SUSPECTED_VALUE' AS type, unnest(regexp_extract_all(content, '(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\x22\x27]([A-Za-z0-9+/=_-]{16,})[\x22\x27]', 1)) AS value FROM line
+    UNION SELECT review_id, line_key, kind, 'AWS_ACCESS_KEY', unnest(regexp_extract_all(content, '\bAKIA[A-Z0-9]{16}\b')) FROM line UNION SELECT review_id, line_key, kind, 'OPENAI_KEY', unnest(regexp_extract_all(content, '\bsk-[A-Za-z0-9]{32,}\b')) FROM line UNION SELECT review_id, line_key, kind, 'GITHUB_TOKEN', unnest(regexp_extract_all(content, '\bgh[opsu]_[A-Za-z0-9]{36,}\b')) FROM line),
+    bits AS (SELECT value, -sum(p * log2(p)) AS bits FROM (SELECT value, c, count(*) / strlen(value) AS p FROM (SELECT value, unnest(string_split(value, '')) AS c FROM (SELECT DISTINCT value FROM hits)) GROUP BY value, c) GROUP BY value),
+    seen AS (SELECT * FROM hits JOIN bits USING (value) WHERE type <> 'SUSPECTED_VALUE' OR bits >= 3)"""
+add("x01_x02_secrets", lambda x: secrets.findings(secrets.observations(x)).select("review_id", "line_key", "secret_type", "fingerprint", "level", "status"), "line", sql=", " + _SEEN + " SELECT review_id, line_key, type AS secret_type, sha256(value) AS fingerprint, CASE WHEN type = 'SUSPECTED_VALUE' THEN 'E2' ELSE 'E3' END AS level, CASE WHEN type = 'SUSPECTED_VALUE' THEN 'suspected' ELSE 'confirmed' END AS status FROM seen WHERE kind = 'addition'")
+add("c03_d14_masked_lines", lambda x: secrets.masked_lines(x, secrets.observations(x)).where("redacted").select("line_key", "source_hash", "content_hash"), "line", sql=", " + _SEEN + ", one AS (SELECT line_key, value, type FROM seen QUALIFY count(*) OVER (PARTITION BY line_key) = 1) SELECT line_key, sha256(content) AS source_hash, sha256(replace(content, value, '<REDACTED:' || type || ':' || left(sha256(value), 12) || '>')) AS content_hash FROM line JOIN one USING (line_key)")
 add("c04_disclosure", lambda x: secrets.disclosure(secrets.masked_lines(x, secrets.observations(x)), x.groupBy("review_id").agg(F.when(F.col("review_id") % 10 == 3, "failed").otherwise("success").alias("skill_status")), 20)[1], "line", sql="SELECT review_id, reason IS NULL AS cloud_safe, reason, changed FROM (SELECT review_id, count(*) FILTER (kind <> 'context') AS changed, CASE WHEN review_id % 10 = 3 THEN 'secret_scan_incomplete' WHEN count(*) FILTER (kind <> 'context') > 20 THEN 'changed_line_limit' END AS reason FROM line GROUP BY review_id)")
 add("d15_positional", lambda x: secrets.positional_mismatches(x, x.where("line_key % 101 <> 7")), "line", sql="SELECT DISTINCT review_id FROM line WHERE line_key % 101 = 7")
-add("f16_redaction_proof", lambda x: secrets.masked_lines(x, secrets.observations(x)).where("redacted").withColumnRenamed("content", "shown").join(x.select("line_key", "content"), "line_key").select("line_key", secrets.is_redaction_only("content", "shown").alias("proven")), "line")
+add("f16_redaction_proof", lambda x: _tampered(secrets.masked_lines(x, secrets.observations(x)).where("redacted")).join(x.select("line_key", F.col("content").alias("source")), "line_key").select("line_key", secrets.is_redaction_only("source", "shown").alias("proven")), "line", sql=", " + _SEEN + " SELECT DISTINCT line_key, line_key % 3 = 0 AS proven FROM seen")
 add("b13_t05_line_refs", lambda x: agents.line_refs(x).select("line_key", "line_ref"), "line", sql="SELECT line_key, 'line-' || left(sha256(file_path || chr(0) || side || chr(0) || pos || chr(0) || content), 20) AS line_ref FROM line")
 
-# ---- integrity ---------------------------------------------------------------------------------------------------
-
-_PAIR = ", pair AS (SELECT f.review_id, f.finding_id, f.status, e.evidence_id, e.level, e.side AS e_side, f.file_path = e.file_path AND f.hunk_id = e.hunk_id AND f.side = e.side AND f.start_line <= e.end_line AND e.start_line <= f.end_line AS supports FROM finding f JOIN link l USING (review_id, finding_id) JOIN evidence e ON e.review_id = l.review_id AND e.evidence_id = l.evidence_id)"
-_LOCATED = "LEFT JOIN hunk h ON h.review_id = r.review_id AND h.hunk_id = r.hunk_id WHERE coalesce(CASE WHEN r.side = 'old' THEN h.old_path ELSE h.new_path END <> r.file_path, true)"
-_BAD_EVIDENCE = f", bad AS (SELECT r.review_id, evidence_id FROM evidence r {_LOCATED} UNION SELECT review_id, evidence_id FROM evidence e WHERE level = 'E3' AND NOT EXISTS (FROM verified v WHERE v.review_id = e.review_id AND v.evidence_id = e.evidence_id) UNION SELECT review_id, evidence_id FROM evidence WHERE level = 'E3' AND NOT (source = 'rule' AND (detector_name = 'detect_secret' AND detector_version = '1.0.0' OR detector_name IN ('detect_injection', 'detect_dangerous_call') AND detector_version IN ('1.0.0', '1.1.0')) OR source = 'static_tool' AND detector_name = 'detect_injection' AND detector_version IN ('1.0.0', '1.1.0')))"
-_ALL_ISSUES = f"""{_PAIR}{_BAD_EVIDENCE}, issue AS (
-    SELECT DISTINCT r.review_id, 'EVIDENCE_LOCATION_INVALID' AS code, evidence_id AS subject FROM evidence r {_LOCATED}
-    UNION SELECT r.review_id, 'FINDING_LOCATION_INVALID', finding_id FROM finding r {_LOCATED}
-    UNION SELECT review_id, 'E3_PROVENANCE_UNVERIFIED', evidence_id FROM evidence e WHERE level = 'E3' AND NOT EXISTS (FROM verified v WHERE v.review_id = e.review_id AND v.evidence_id = e.evidence_id)
-    UNION SELECT review_id, 'E3_DETECTOR_NOT_ALLOWED', evidence_id FROM evidence WHERE level = 'E3' AND NOT (source = 'rule' AND (detector_name = 'detect_secret' AND detector_version = '1.0.0' OR detector_name IN ('detect_injection', 'detect_dangerous_call') AND detector_version IN ('1.0.0', '1.1.0')) OR source = 'static_tool' AND detector_name = 'detect_injection' AND detector_version IN ('1.0.0', '1.1.0'))
-    UNION SELECT v.review_id, 'VERIFIED_E3_DANGLING', v.evidence_id FROM verified v WHERE NOT EXISTS (FROM evidence e WHERE e.review_id = v.review_id AND e.evidence_id = v.evidence_id)
-    UNION SELECT v.review_id, 'VERIFIED_E3_NOT_E3', v.evidence_id FROM verified v JOIN evidence e USING (review_id, evidence_id) WHERE level <> 'E3'
-    UNION SELECT review_id, 'FINDING_EVIDENCE_DANGLING', finding_id FROM link l WHERE NOT EXISTS (FROM evidence e WHERE e.review_id = l.review_id AND e.evidence_id = l.evidence_id)
-    UNION SELECT review_id, 'EVIDENCE_FINDING_LOCATION_MISMATCH', finding_id || ':' || evidence_id FROM pair WHERE NOT supports
-    UNION SELECT review_id, 'FINDING_HAS_NO_QUALIFIED_EVIDENCE', finding_id FROM finding f WHERE status <> 'dismissed' AND NOT EXISTS (FROM pair p WHERE p.review_id = f.review_id AND p.finding_id = f.finding_id AND supports AND level <> 'E0' AND NOT EXISTS (FROM bad b WHERE b.review_id = p.review_id AND b.evidence_id = p.evidence_id)))"""
-FE = ("finding", "evidence", "link", "verified", "hunk")
-add("d01_dangling", lambda k, e: validation.dangling_evidence(k, e), "link", "evidence", sql="SELECT DISTINCT review_id, 'FINDING_EVIDENCE_DANGLING' AS code, finding_id AS subject FROM link l WHERE NOT EXISTS (FROM evidence e WHERE e.review_id = l.review_id AND e.evidence_id = l.evidence_id)")
-add("d02_interval_support", lambda f, k, e: validation.location_mismatches(validation.pairs(f, k, e)), "finding", "link", "evidence", sql=_PAIR + " SELECT DISTINCT review_id, 'EVIDENCE_FINDING_LOCATION_MISMATCH' AS code, finding_id || ':' || evidence_id AS subject FROM pair WHERE NOT supports")
-add("d03_route_overlap", assurance.related_routes, "finding", "route", sql="SELECT f.review_id, finding_id, route_id FROM finding f JOIN route r USING (review_id, category, file_path, hunk_id, side) WHERE f.start_line <= r.end_line AND r.start_line <= f.end_line")
-add("d05_c07_location", lambda f, h: validation.unmatched_locations(f, h, "finding_id", "FINDING_LOCATION_INVALID"), "finding", "hunk", sql=f"SELECT DISTINCT r.review_id, 'FINDING_LOCATION_INVALID' AS code, finding_id AS subject FROM finding r {_LOCATED}")
-add("d06_unverified_e3", validation.unverified_e3, "evidence", "verified", sql="SELECT DISTINCT review_id, 'E3_PROVENANCE_UNVERIFIED' AS code, evidence_id AS subject FROM evidence e WHERE level = 'E3' AND NOT EXISTS (FROM verified v WHERE v.review_id = e.review_id AND v.evidence_id = e.evidence_id)")
-add("d07_verified", validation.verified_issues, "evidence", "verified", sql="SELECT DISTINCT v.review_id, CASE WHEN e.evidence_id IS NULL THEN 'VERIFIED_E3_DANGLING' ELSE 'VERIFIED_E3_NOT_E3' END AS code, v.evidence_id AS subject FROM verified v LEFT JOIN evidence e USING (review_id, evidence_id) WHERE e.evidence_id IS NULL OR level <> 'E3'")
-add("d08_allowlist", validation.disallowed_e3, "evidence", sql="SELECT DISTINCT review_id, 'E3_DETECTOR_NOT_ALLOWED' AS code, evidence_id AS subject FROM evidence WHERE level = 'E3' AND (source, detector_name, detector_version) NOT IN (('rule', 'detect_secret', '1.0.0'), ('rule', 'detect_injection', '1.0.0'), ('rule', 'detect_injection', '1.1.0'), ('static_tool', 'detect_injection', '1.0.0'), ('static_tool', 'detect_injection', '1.1.0'), ('rule', 'detect_dangerous_call', '1.0.0'), ('rule', 'detect_dangerous_call', '1.1.0'))")
-add("d09_d10_coverage_refs", validation.coverage_references, "coverage", "route", "hunk", sql="SELECT DISTINCT review_id, 'COVERAGE_ROUTE_DANGLING' AS code, coverage_id AS subject FROM coverage c WHERE NOT EXISTS (FROM route r WHERE r.review_id = c.review_id AND r.route_id = c.route_id) UNION SELECT review_id, 'COVERAGE_FILE_INVALID', coverage_id FROM coverage c WHERE NOT EXISTS (FROM hunk h WHERE h.review_id = c.review_id AND c.file_path IN (h.old_path, h.new_path))")
-add("d11_planned_missing", validation.planned_coverage, "route", "coverage", sql="""SELECT DISTINCT r.review_id, 'PLANNED_COVERAGE_MISSING' AS code, r.route_id || ':' || r.skill AS subject FROM route r WHERE NOT EXISTS (FROM coverage c WHERE c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill)
-    UNION SELECT r.review_id, 'MANDATORY_COVERAGE_DOWNGRADED', c.coverage_id FROM route r JOIN coverage c USING (review_id, route_id, skill) WHERE r.mandatory AND NOT c.mandatory
-    UNION SELECT r.review_id, 'PLANNED_COVERAGE_MISSING', s.skill FROM route r CROSS JOIN (VALUES ('detect_secret'), ('security_semantic_review'), ('review_code_quality')) s(skill) WHERE NOT EXISTS (FROM coverage c WHERE c.review_id = r.review_id AND c.skill = s.skill)
-    UNION SELECT review_id, 'MANDATORY_COVERAGE_DOWNGRADED', coverage_id FROM coverage WHERE skill = 'detect_secret' AND NOT mandatory""")
-add("d12_lineage_dangling", validation.dangling_lineage, "lineage", "artifact", sql="SELECT DISTINCT review_id, 'ARTIFACT_LINEAGE_DANGLING' AS code, artifact_id AS subject FROM lineage l WHERE NOT EXISTS (FROM artifact a WHERE a.review_id = l.review_id AND a.artifact_id = l.parent_id)")
-add("d13_conflict_refs", lambda f: validation.conflict_references(f.where("start_line < 5").select("review_id", F.concat(F.lit("x-"), "finding_id").alias("conflict_id"), F.when(F.col("end_line") % 3 == 0, "f-gone").otherwise(F.col("finding_id")).alias("finding_id")), f).unionByName(validation.conflict_rules(f.where("start_line = 7").select("review_id", F.col("finding_id").alias("conflict_id"), F.when(F.col("side") == "new", "N003").otherwise("N009").alias("rule_id")))), "finding", sql="SELECT DISTINCT review_id, 'CONFLICT_FINDING_DANGLING' AS code, 'x-' || finding_id AS subject FROM finding WHERE start_line < 5 AND end_line % 3 = 0 UNION SELECT review_id, 'CONFLICT_RULE_DANGLING', finding_id FROM finding WHERE start_line = 7 AND side <> 'new'")
-add("p06_no_evidence", lambda f, e, k, v, h: validation.finding_issues(f, e, k, v, h).where("code = 'FINDING_HAS_NO_QUALIFIED_EVIDENCE'"), *FE, sql=_ALL_ISSUES + " SELECT * FROM issue WHERE code = 'FINDING_HAS_NO_QUALIFIED_EVIDENCE'")
-add("e10_all_issues", validation.finding_issues, *FE, sql=_ALL_ISSUES + " SELECT * FROM issue")
-add("e09_duplicates", lambda f: validation.duplicates(f.select("review_id", "fingerprint"), "fingerprint", "DUPLICATE_FINDING_ID"), "finding", sql="SELECT review_id, 'DUPLICATE_FINDING_ID' AS code, fingerprint AS subject FROM finding GROUP BY review_id, fingerprint HAVING count(*) > 1")
-add("p07_review_mismatch", validation.review_mismatches, "artifact", sql="SELECT DISTINCT review_id, 'ARTIFACT_REVIEW_MISMATCH' AS code, artifact_id AS subject FROM artifact WHERE own_review_id <> review_id")
-add("p08_cycles", validation.lineage_cycles, "lineage", sql=" SELECT DISTINCT review_id, 'ARTIFACT_LINEAGE_CYCLE' AS code, artifact_id AS subject FROM lineage WHERE (review_id, artifact_id) IN (SELECT review_id, unnest([child, 'a-' || (p - 50), 'a-' || p]) FROM (SELECT p_partkey % 50 AS review_id, 'a-' || (p_partkey - 100) AS child, p_partkey AS p FROM part WHERE p_partkey > 150 AND p_partkey % 97 = 0))")
-add("d20_required_artifacts", policy.missing_artifacts, "artifact", sql="SELECT r.review_id, s.schema_name, count(a.artifact_id) AS n FROM (SELECT DISTINCT review_id FROM artifact) r CROSS JOIN (VALUES ('SecurityReview', 'security-scanner'), ('QualityReview', 'quality-reviewer')) s(schema_name, agent_id) LEFT JOIN artifact a ON a.review_id = r.review_id AND a.schema_name = s.schema_name AND a.agent_id = s.agent_id GROUP BY ALL HAVING count(a.artifact_id) <> 1")
-
-# ---- assurance ---------------------------------------------------------------------------------------------------
-
-_KEY = "category, file_path, start_line, end_line, side, hunk_id"
-_RANKED = ", ranked AS (SELECT *, CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS sev, CASE status WHEN 'dismissed' THEN 0 WHEN 'suspected' THEN 2 ELSE 3 END AS st FROM finding)"
-_CONFLICTS = _RANKED + f""", grouped AS (SELECT review_id, list_sort(list(DISTINCT finding_id)) AS ids, count(*) AS n, bool_or(status = 'dismissed') AS no, bool_or(status <> 'dismissed') AS yes, max(sev) - min(sev) AS spread FROM ranked GROUP BY review_id, {_KEY}),
-    conflict AS (SELECT review_id, 'contradiction' AS type, array_to_string(ids, ',') AS finding_ids FROM grouped WHERE n > 1 AND no AND yes UNION ALL SELECT review_id, 'severity_mismatch', array_to_string(ids, ',') FROM grouped WHERE n > 1 AND spread >= 2
-    UNION ALL SELECT review_id, 'location_mismatch', array_to_string(list_sort(list(DISTINCT finding_id)), ',') FROM finding GROUP BY review_id, fingerprint HAVING count(DISTINCT ({_KEY})) > 1)"""
-add("e02_e03_canonical_findings", lambda f: assurance.canonical_findings(f).select("review_id", "selected", _joined("members")), "finding", sql=_RANKED + f" SELECT review_id, arg_max(finding_id, (st, sev, confidence_pct, finding_id)) AS selected, array_to_string(list_sort(list(DISTINCT finding_id)), ',') AS members FROM ranked GROUP BY review_id, {_KEY}")
-add("e04_canonical_evidence", lambda e: assurance.canonical_evidence(e).select("review_id", "selected", _joined("members")), "evidence", sql="SELECT review_id, arg_min(evidence_id, (-right(level, 1)::INT, evidence_id)) AS selected, array_to_string(list_sort(list(DISTINCT evidence_id)), ',') AS members FROM evidence GROUP BY review_id, content_hash, file_path, start_line, end_line, side, hunk_id")
-add("e05_e07_conflicts", lambda f: assurance.conflicts(f).select("review_id", "type", _joined("finding_ids")), "finding", sql=_CONFLICTS + " SELECT * FROM conflict")
-add("u01_merged_conflicts", lambda f: _merged(f), "finding", sql=_CONFLICTS + " SELECT review_id, type, finding_ids, finding_ids LIKE '%7%' AS supplied FROM conflict")
-add("e08_coverage_gaps", lambda f, r, c: assurance.coverage_gaps(r, c, assurance.related_routes(f, r)).select("review_id", "route_id", "skill", _joined("finding_ids")), "finding", "route", "coverage", sql="""SELECT r.review_id, r.route_id, r.skill, coalesce((SELECT array_to_string(list_sort(list(DISTINCT f.finding_id)), ',') FROM finding f WHERE f.review_id = r.review_id AND f.category = r.category AND f.file_path = r.file_path AND f.hunk_id = r.hunk_id AND f.side = r.side AND f.start_line <= r.end_line AND r.start_line <= f.end_line), '') AS finding_ids
-    FROM route r WHERE mandatory AND NOT coalesce((SELECT bool_and(status = 'completed') FROM coverage c WHERE c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill), false)""")
-add("v01_report", lambda f, e, k, v, h: assurance.report(f, e, validation.finding_issues(f, e, k, v, h), assurance.conflicts(f)), *FE, sql=_ALL_ISSUES + _CONFLICTS + f""" SELECT review_id, count(*) AS findings, count(*) AS evidence, count(DISTINCT ({_KEY})) AS canonical_findings, any_value((SELECT count(DISTINCT (content_hash, file_path, start_line, end_line, side, hunk_id)) FROM evidence e WHERE e.review_id = f.review_id)) AS canonical_evidence,
-    any_value((SELECT count(*) FROM issue i WHERE i.review_id = f.review_id)) AS issues, any_value((SELECT count(*) FROM conflict c WHERE c.review_id = f.review_id)) AS conflicts FROM finding f GROUP BY review_id""")
-
-
-def _merged(finding: DataFrame) -> DataFrame:
-    found = assurance.conflicts(finding).withColumn("supplied", F.lit(False))
-    given = found.where("array_join(finding_ids, ',') LIKE '%7%'").withColumn("supplied", F.lit(True))
-    return assurance.merged_conflicts(found, given).select("review_id", "type", _joined("finding_ids"), "supplied")
-
-
-# ---- policy ------------------------------------------------------------------------------------------------------
-
-
-def _gate(f: DataFrame, e: DataFrame, k: DataFrame, v: DataFrame, h: DataFrame, c: DataFrame) -> dict[str, DataFrame]:
-    """All parts of the decisions over the fixture relations; what several parts read is kept, and recomputed if lost."""
-    issues, pair = validation.finding_issues(f, e, k, v, h).persist(), validation.pairs(f, k, e)
-    found = assurance.conflicts(f).withColumn("resolved", F.lit(False)).persist()
-    barred = policy.invalid_findings(issues).unionByName(policy.disqualified(found)).distinct()
-    good = policy.qualified_pairs(pair, e, validation.invalid_evidence(issues))
-    blocks = policy.block_hits(f, good, barred)
-    tamper = policy.integrity_block(f, good, barred, issues)
-    blocked = blocks.unionByName(tamper).persist()
-    bucket, gaps = policy.buckets(f, blocked), policy.mandatory_gaps(c)
-    scope = h.where("review_id % 40 = 1").select("review_id").distinct()
-    hits = policy.review_hits(bucket, gaps, scope, found, issues)
-    reviews = f.select("review_id").unionByName(c.select("review_id")).distinct()
-    return {"issues": issues, "conflicts": found, "good": good, "blocks": blocks, "tamper": tamper, "bucket": bucket, "gaps": gaps, "hits": hits, "decisions": policy.reason(policy.decisions(reviews, blocked, hits))}
-
-
-def _part(name: str, *columns: str) -> Callable[..., DataFrame]:
-    return lambda *relations: _gate(*relations)[name].selectExpr(*columns)
-
-
-GATE = (*FE, "coverage")
-_GATE = _ALL_ISSUES + _CONFLICTS + """, barred AS (SELECT review_id, subject AS finding_id FROM issue WHERE code IN ('FINDING_LOCATION_INVALID', 'FINDING_EVIDENCE_DANGLING', 'FINDING_HAS_NO_QUALIFIED_EVIDENCE') UNION SELECT review_id, unnest(string_split(finding_ids, ',')) FROM conflict),
-    good AS (SELECT DISTINCT review_id, finding_id, evidence_id, right(level, 1)::INT AS level_rank, e_side FROM pair WHERE supports AND (review_id, evidence_id) NOT IN (SELECT review_id, evidence_id FROM bad)),
-    free AS (SELECT * FROM ranked WHERE side = 'new' AND (review_id, finding_id) NOT IN (SELECT review_id, finding_id FROM barred)),
-    proven AS (SELECT DISTINCT review_id, finding_id FROM good WHERE e_side = 'new' AND level_rank = 3),
-    blocks AS (SELECT f.review_id, CASE WHEN category = 'secret' THEN 'B001' WHEN category = 'sql_injection' THEN 'B003' ELSE 'B002' END AS rule_id, finding_id FROM free f JOIN proven USING (review_id, finding_id) WHERE category IN ('secret', 'sql_injection', 'command_injection', 'dangerous_call') AND status = 'confirmed' AND sev >= 3),
-    tampered AS (SELECT DISTINCT review_id FROM issue WHERE code NOT IN ('VERIFIED_E3_NOT_E3', 'E3_DETECTOR_NOT_ALLOWED', 'FINDING_HAS_NO_QUALIFIED_EVIDENCE')),
-    tamper AS (SELECT f.review_id, 'B004' AS rule_id, finding_id FROM free f JOIN proven USING (review_id, finding_id) JOIN tampered USING (review_id) WHERE status = 'confirmed' AND sev >= 3),
-    blocked AS (SELECT * FROM blocks UNION ALL SELECT * FROM tamper),
-    bucket AS (SELECT review_id, finding_id, CASE WHEN (review_id, finding_id) IN (SELECT review_id, finding_id FROM blocked) THEN 'blocking' WHEN sev >= 3 THEN 'N004' WHEN sev = 2 THEN 'N005' ELSE 'warning' END AS bucket FROM ranked WHERE status <> 'dismissed'),
-    gaps AS (SELECT review_id, array_to_string(list_sort(list(DISTINCT coverage_id)), ',') AS failing, bool_or(coalesce(error_code IN ('MODEL_AUTH_ERROR', 'MODEL_ERROR', 'MODEL_QUOTA_EXCEEDED', 'RATE_LIMITED', 'TIMEOUT'), false)) AS provider_failure FROM coverage WHERE mandatory AND status <> 'completed' GROUP BY review_id),
-    hits AS (SELECT review_id, 'N001' AS rule_id FROM gaps UNION SELECT review_id, 'N002' FROM hunk WHERE review_id % 40 = 1 UNION SELECT review_id, 'N003' FROM conflict UNION SELECT review_id, bucket FROM bucket WHERE bucket LIKE 'N%' UNION SELECT review_id, 'N006' FROM issue UNION SELECT review_id, 'N007' FROM gaps WHERE provider_failure),
-    rules AS (SELECT review_id, list_sort(list(DISTINCT rule_id)) AS ids FROM (SELECT review_id, rule_id FROM blocked UNION ALL SELECT * FROM hits) GROUP BY review_id),
-    decision AS (SELECT review_id, CASE WHEN ids IS NULL THEN 'PASS' WHEN ids[1] LIKE 'B%' THEN 'BLOCK' ELSE 'NEEDS_REVIEW' END AS status, coalesce(array_to_string(ids, ','), 'P001') AS rule_ids FROM (SELECT review_id FROM finding UNION SELECT review_id FROM coverage) r LEFT JOIN rules USING (review_id))"""
-add("c08_qualified_evidence", _part("good", "review_id", "finding_id", "evidence_id", "level_rank"), *GATE, sql=_GATE + " SELECT review_id, finding_id, evidence_id, level_rank FROM good")
-add("c09_e12_block", _part("blocks", "review_id", "rule_id", "finding_id"), *GATE, sql=_GATE + " SELECT * FROM blocks")
-add("p03_b004", _part("tamper", "review_id", "rule_id", "finding_id"), *GATE, sql=_GATE + " SELECT * FROM tamper")
-add("c10_buckets", _part("bucket", "review_id", "finding_id", "bucket"), *GATE, sql=_GATE + " SELECT * FROM bucket")
-add("d22_e14_mandatory", _part("gaps", "review_id", "array_join(failing, ',') AS failing", "provider_failure"), *GATE, sql=_GATE + " SELECT * FROM gaps")
-add("p04_n_rules", _part("hits", "review_id", "rule_id"), *GATE, sql=_GATE + " SELECT * FROM hits")
-add("p05_disqualified", lambda f: policy.disqualified(assurance.conflicts(f).withColumn("resolved", F.lit(False))), "finding", sql=_CONFLICTS + " SELECT DISTINCT review_id, unnest(string_split(finding_ids, ',')) AS finding_id FROM conflict")
-add("p01_w11_decision", _part("decisions", "review_id", "status", "array_join(rule_ids, ',') AS rule_ids", "exit_code"), *GATE, sql=_GATE + " SELECT *, CASE status WHEN 'PASS' THEN 0 WHEN 'BLOCK' THEN 1 ELSE 2 END AS exit_code FROM decision")
-add("p11_reason", _part("decisions", "review_id", "reason", "size(actions) AS actions"), *GATE, sql=_GATE + " SELECT review_id, CASE status WHEN 'PASS' THEN 'No policy rule matched.' ELSE status || ': matched ' || replace(rule_ids, ',', ', ') || '.' END AS reason, len([x for x in string_split(rule_ids, ',') if x LIKE 'N%'])::INT AS actions FROM decision")
-add("e13_evidence_index", lambda *r: _gate(*r)["good"].groupBy("review_id", "finding_id").agg(F.array_join(F.array_sort(F.collect_set("evidence_id")), ",").alias("evidence_ids")), *GATE, sql=_GATE + " SELECT review_id, finding_id, array_to_string(list_sort(list(DISTINCT evidence_id)), ',') AS evidence_ids FROM good GROUP BY ALL")
-add("p10_coherence", lambda *r: constraints.violations(_gate(*r)["decisions"], "review_id", "decision"), *GATE, sql="SELECT '' AS rule, 0::BIGINT AS key WHERE false")
-
 # ---- routing and coverage ----------------------------------------------------------------------------------------
 
 _ADDED = ", a AS (SELECT * FROM line WHERE kind = 'addition' AND side = 'new')"
@@ -224,9 +107,10 @@ _R01 = _ADDED + r""", cand AS (SELECT review_id, 'sql_injection' AS category, 'h
     UNION ALL SELECT review_id, 'auth_boundary', 'high', line_key, file_path FROM a WHERE regexp_matches(content, '(?i)\b(?:auth|authorize|permission|is_admin|role|access[_-]?control|jwt|token)\b') OR regexp_matches(file_path, '(?i)\b(?:auth|authorize|permission|is_admin|role|access[_-]?control|jwt|token)\b')
     UNION ALL SELECT review_id, 'performance', 'medium', line_key, file_path FROM a WHERE regexp_matches(content, '(?i)^\s*(?:for|while)\b|\b(?:sleep|select\s+\*|\.all\(\)|N\+1)\b') UNION ALL SELECT review_id, 'exception_handling', 'medium', line_key, file_path FROM a WHERE regexp_matches(content, '^\s*except(?:\s+Exception)?\s*:')
     UNION ALL SELECT review_id, 'logic', 'medium', line_key, file_path FROM a WHERE regexp_matches(content, '^\s*(?:if|elif|return)\b'))"""
-_GAP = ", gap AS (SELECT review_id, 'test_gap' AS category, 'low' AS severity, arg_min(line_key, pos) FILTER (side = 'new' AND file_path LIKE '%.py' AND file_path NOT LIKE '%/test\\_%' ESCAPE '\\') AS line_key, min(file_path) AS file_path FROM line GROUP BY review_id HAVING bool_or(kind IN ('addition', 'deletion') AND file_path LIKE '%.py' AND file_path NOT LIKE '%/test\\_%' ESCAPE '\\') AND NOT bool_or(file_path LIKE '%/test\\_%' ESCAPE '\\') AND line_key IS NOT NULL)"
-add("r01_rules", lambda x: routing.rule_candidates(x).drop("route_source"), "line", sql=_R01 + " SELECT * FROM cand")
-add("r02_test_gap", lambda x: routing.test_gaps(x).drop("route_source"), "line", sql=_GAP + " SELECT * FROM gap")
+_TEST = "(file_path LIKE 'tests/%' OR file_path LIKE '%/tests/%' OR file_path LIKE 'test\\_%' ESCAPE '\\' OR file_path LIKE '%/test\\_%' ESCAPE '\\')"
+_GAP = f", gap AS (SELECT review_id, 'test_gap' AS category, 'low' AS severity, arg_min(line_key, pos) FILTER (side = 'new' AND NOT {_TEST}) AS line_key, arg_min(file_path, pos) FILTER (side = 'new' AND NOT {_TEST}) AS file_path FROM line GROUP BY review_id HAVING bool_or(file_path LIKE '%.py' AND NOT {_TEST}) AND NOT bool_or(file_path LIKE '%.py' AND {_TEST}) AND line_key IS NOT NULL)"
+add("r01_rules", lambda x: routing.rule_candidates(x).drop("route_source", "reason"), "line", sql=_R01 + " SELECT * FROM cand")
+add("r02_test_gap", lambda x: routing.test_gaps(x).drop("route_source", "reason"), "line", sql=_GAP + " SELECT * FROM gap")
 
 
 def _analysis(lines: DataFrame) -> DataFrame:
@@ -236,87 +120,140 @@ def _analysis(lines: DataFrame) -> DataFrame:
 
 _HINT = _ADDED + r""", spec AS (SELECT * FROM (VALUES (0, 'sql_injection', 'high', '(?i)\b(sql|query|execute|cursor|select|insert|update|delete)\b'), (1, 'auth_boundary', 'high', '(?i)\b(auth|authorize|permission|role|is_admin|token)\b'), (1, 'performance', 'medium', '(?i)\b(for|while|all|sleep|query|request)\b'), (2, 'logic', 'low', 'q\bq'), (3, 'logic', 'low', 'q\bq')) s(m, category, severity, pattern)),
     hint AS (SELECT review_id, category, severity, arg_min(line_key, (NOT regexp_matches(file_path || chr(10) || content, pattern), pos)) AS line_key, min(file_path) AS file_path FROM a JOIN spec ON spec.m = review_id % 4 GROUP BY ALL)"""
-add("r03_hints", lambda x: routing.semantic_hints(x, _analysis(x)).drop("route_source"), "line", sql=_HINT + " SELECT * FROM hint")
+add("r03_hints", lambda x: routing.semantic_hints(x, _analysis(x)).drop("route_source", "reason"), "line", sql=_HINT + " SELECT * FROM hint")
 
 
 def _routes(x: DataFrame) -> DataFrame:
     return routing.merged_routes(routing.rule_candidates(x).unionByName(routing.test_gaps(x)).unionByName(routing.semantic_hints(x, _analysis(x))))
 
 
-_MERGED = _R01 + _GAP + _HINT.replace(_ADDED, "") + ", src AS (SELECT *, 'rule' AS route_source FROM cand UNION ALL SELECT *, 'rule' FROM gap UNION ALL SELECT *, 'llm' FROM hint), route AS (SELECT review_id, category, line_key, CASE max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS severity, CASE WHEN count(DISTINCT route_source) > 1 THEN 'hybrid' ELSE min(route_source) END AS route_source FROM src GROUP BY review_id, category, line_key)"
-add("r04_merge", lambda x: _routes(x).select("review_id", "category", "line_key", "severity", "route_source"), "line", sql=_MERGED + " SELECT * FROM route")
-add("r06_plan", lambda x: routing.skill_plan(x, _routes(x)), "line", sql=_MERGED + """, m AS (SELECT * FROM (VALUES ('sql_injection', ['detect_injection', 'security_semantic_review']), ('command_injection', ['detect_injection', 'detect_dangerous_call', 'security_semantic_review']), ('dangerous_call', ['detect_dangerous_call', 'security_semantic_review']), ('auth_boundary', ['security_semantic_review', 'review_code_quality']), ('performance', ['review_code_quality']), ('exception_handling', ['review_code_quality']), ('logic', ['review_code_quality']), ('test_gap', ['review_code_quality'])) t(category, skills)),
-    per AS (SELECT review_id, unnest(skills) AS skill FROM route JOIN m USING (category)), n AS (SELECT review_id, skill, count(*) AS routes FROM per GROUP BY ALL)
-    SELECT r.review_id, u.skill, u.skill IN ('detect_secret', 'security_semantic_review', 'review_code_quality') OR coalesce(routes, 0) > 0 AS planned, u.skill = 'detect_secret' AS mandatory, coalesce(routes, 0) AS routes FROM (SELECT DISTINCT review_id FROM line) r CROSS JOIN (VALUES ('detect_secret'), ('detect_injection'), ('detect_dangerous_call'), ('security_semantic_review'), ('review_code_quality')) u(skill) LEFT JOIN n ON n.review_id = r.review_id AND n.skill = u.skill""")
+_WHY = """, why AS (SELECT * FROM (VALUES ('rule', 'sql_injection', 'Database query construction changed and requires injection analysis.'), ('rule', 'command_injection', 'Command execution surface changed and requires injection and dangerous-call checks.'), ('rule', 'dangerous_call', 'A dangerous execution or deserialization API changed.'), ('rule', 'auth_boundary', 'Authentication or authorization boundary logic changed.'),
+    ('rule', 'performance', 'A loop, blocking call, or broad data access may affect performance.'), ('rule', 'exception_handling', 'Broad exception handling changed and requires semantic review.'), ('rule', 'logic', 'Control-flow or return semantics changed.'), ('rule', 'test_gap', 'Production Python changed without a corresponding test-file change.'),
+    ('llm', 'logic', 'Diff Analyzer semantics were used to focus quality review.'), ('llm', 'sql_injection', 'Diff Analyzer semantics requested bounded follow-up for sql_injection.'), ('llm', 'auth_boundary', 'Diff Analyzer semantics requested bounded follow-up for auth_boundary.'), ('llm', 'performance', 'Diff Analyzer semantics requested bounded follow-up for performance.')) w(route_source, category, reason))"""
+_MERGED = _R01 + _GAP + _HINT.replace(_ADDED, "") + _WHY + ", src AS (SELECT *, 'rule' AS route_source FROM cand UNION ALL SELECT *, 'rule' FROM gap UNION ALL SELECT *, 'llm' FROM hint), route AS (SELECT review_id, category, line_key, file_path, CASE max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS severity, CASE WHEN count(DISTINCT route_source) > 1 THEN 'hybrid' ELSE min(route_source) END AS route_source, array_to_string(list_sort(list(DISTINCT reason)), ' ') AS reason FROM src JOIN why USING (route_source, category) GROUP BY review_id, category, line_key, file_path)"
+add("r04_merge", lambda x: _routes(x).select("review_id", "category", "line_key", "severity", "route_source", "reason", _joined("skills"), "route_id"), "line", sql=_MERGED + """, m AS (SELECT * FROM (VALUES ('sql_injection', 'detect_injection,security_semantic_review'), ('command_injection', 'detect_injection,detect_dangerous_call,security_semantic_review'), ('dangerous_call', 'detect_dangerous_call,security_semantic_review'), ('auth_boundary', 'security_semantic_review,review_code_quality'), ('performance', 'review_code_quality'), ('exception_handling', 'review_code_quality'), ('logic', 'review_code_quality'), ('test_gap', 'review_code_quality')) t(category, skills))
+    SELECT review_id, category, line_key, severity, route_source, reason, skills, 'route-' || left(sha256(review_id || chr(0) || category || chr(0) || file_path || chr(0) || line_key), 20) AS route_id FROM route JOIN m USING (category)""")
+add("w09_route_order", lambda x: routing.ordered_routes(_routes(x)).select("review_id", "category", "line_key", "place"), "line", sql=_MERGED + " SELECT review_id, category, line_key, row_number() OVER (PARTITION BY review_id ORDER BY category, file_path, line_key)::INT AS place FROM route")
+
+
+def _odd_routes(x: DataFrame) -> DataFrame:
+    """The merged routes, and some of the categories that only hints can name."""
+    kind = F.when(F.col("review_id") % 3 == 0, "secret").when(F.col("review_id") % 3 == 1, "scope_limit").otherwise("tool_failure")
+    odd = routing.added(x).where("pos = 3").select("review_id", kind.alias("category"), F.lit("low").alias("severity"), "line_key", "file_path", F.lit("llm").alias("route_source"), F.lit("asked").alias("reason"))
+    return routing.merged_routes(routing.rule_candidates(x).unionByName(routing.test_gaps(x)).unionByName(routing.semantic_hints(x, _analysis(x))).unionByName(odd))
+
+
+add("r06_plan", lambda x: routing.skill_plan(x, _odd_routes(x)), "line", sql=_MERGED + """, m AS (SELECT * FROM (VALUES ('secret', ['detect_secret', 'security_semantic_review']), ('scope_limit', ['security_semantic_review', 'review_code_quality']), ('tool_failure', ['security_semantic_review', 'review_code_quality']), ('sql_injection', ['detect_injection', 'security_semantic_review']), ('command_injection', ['detect_injection', 'detect_dangerous_call', 'security_semantic_review']), ('dangerous_call', ['detect_dangerous_call', 'security_semantic_review']), ('auth_boundary', ['security_semantic_review', 'review_code_quality']), ('performance', ['review_code_quality']), ('exception_handling', ['review_code_quality']), ('logic', ['review_code_quality']), ('test_gap', ['review_code_quality'])) t(category, skills)),
+    every AS (SELECT review_id, category FROM route UNION ALL SELECT review_id, CASE review_id % 3 WHEN 0 THEN 'secret' WHEN 1 THEN 'scope_limit' ELSE 'tool_failure' END FROM a WHERE pos = 3), per AS (SELECT review_id, unnest(skills) AS skill FROM every JOIN m USING (category)), n AS (SELECT review_id, skill, count(*) AS routes FROM per GROUP BY ALL)
+    SELECT r.review_id, u.skill, on_ OR coalesce(routes, 0) > 0 AS planned, on_ OR coalesce(routes, 0) > 0 AS mandatory, coalesce(routes, 0) AS routes, CASE WHEN on_ THEN 'Always-on coverage required by the frozen MVP trust boundary.' WHEN coalesce(routes, 0) > 0 THEN 'A deterministic risk route requires this Skill.' ELSE 'No changed line matched this Skill''s frozen risk triggers.' END AS reason
+    FROM (SELECT DISTINCT review_id FROM line) r CROSS JOIN (VALUES ('detect_secret', true), ('detect_injection', false), ('detect_dangerous_call', false), ('security_semantic_review', true), ('review_code_quality', true)) u(skill, on_) LEFT JOIN n ON n.review_id = r.review_id AND n.skill = u.skill""")
+add("r07_semantic_status", lambda x: routing.semantic_status(x, routing.semantic_hints(x, _analysis(x)).where("review_id % 5 <> 1"), x.where("review_id % 9 = 2")), "line", sql=_HINT + " SELECT review_id, CASE WHEN review_id % 9 = 2 THEN 'failed' WHEN hinted THEN 'success' ELSE 'not_requested' END AS semantic_status, review_id % 9 = 2 OR hinted AS model_used FROM (SELECT review_id, review_id % 5 <> 1 AND review_id IN (SELECT review_id FROM hint) AS hinted FROM (SELECT DISTINCT review_id FROM line))")
+add("d18_misplaced_hints", lambda x: routing.misplaced_hints(routing.semantic_hints(x, _analysis(x)).withColumn("line_key", F.when(F.col("review_id") % 6 == 1, F.col("line_key") + 50_000).otherwise(F.col("line_key"))), x), "line", sql=_HINT + " SELECT DISTINCT review_id FROM hint WHERE review_id % 6 = 1")
+add("c17_fallback_plan", lambda x: routing.fallback_plan(x).where("planned").select("review_id", "skill", "routes"), "line", sql="SELECT DISTINCT review_id, s.skill, 0::BIGINT AS routes FROM line CROSS JOIN (VALUES ('detect_secret'), ('security_semantic_review'), ('review_code_quality')) s(skill)")
 
 
 def _plan(route: DataFrame) -> DataFrame:
-    return route.select("review_id", F.explode(F.array(*map(F.lit, routing.UNIVERSE))).alias("skill"), "skill").toDF("review_id", "skill", "own").select("review_id", "skill", (F.col("skill").isin(routing.ALWAYS_ON) | (F.col("skill") == F.col("own"))).alias("planned"))
+    return routing.skill_plan(route, route.select("review_id", "route_id", F.array("skill").alias("skills"))).select("review_id", "skill", "planned")
 
 
-_PLAN = ", plan AS (SELECT r.review_id, u.skill, u.skill IN ('detect_secret', 'security_semantic_review', 'review_code_quality') OR u.skill = r.skill AS planned FROM route r CROSS JOIN (VALUES ('detect_secret'), ('detect_injection'), ('detect_dangerous_call'), ('security_semantic_review'), ('review_code_quality')) u(skill))"
-add("d19_reconcile", lambda r, c: routing.reconcile_coverage(_plan(r), c), "route", "coverage", sql=_PLAN + " SELECT p.review_id, p.skill, CASE WHEN NOT planned THEN 'skipped' ELSE coalesce(c.status, 'failed') END AS status, CASE WHEN planned AND c.status IS NULL THEN 'COVERAGE_MISSING' WHEN planned THEN c.error_code END AS error_code FROM plan p LEFT JOIN coverage c USING (review_id, skill)")
+_PLAN = ", plan AS (SELECT r.review_id, u.skill, u.skill IN ('detect_secret', 'security_semantic_review', 'review_code_quality') OR bool_or(u.skill = r.skill) AS planned FROM route r CROSS JOIN (VALUES ('detect_secret'), ('detect_injection'), ('detect_dangerous_call'), ('security_semantic_review'), ('review_code_quality')) u(skill) GROUP BY r.review_id, u.skill)"
+add("d19_reconcile", lambda r, c: routing.reconcile_coverage(_plan(r), c), "route", "coverage", sql=_PLAN + ", own AS (SELECT review_id, skill, status, error_code FROM coverage GROUP BY ALL) SELECT p.review_id, p.skill, CASE WHEN NOT planned THEN 'skipped' ELSE coalesce(c.status, 'failed') END AS status, CASE WHEN planned AND c.status IS NULL THEN 'MISSING_EXECUTION_RESULT' WHEN planned THEN c.error_code END AS error_code FROM plan p LEFT JOIN own c USING (review_id, skill)")
 add("d19_unplanned", lambda r, c: routing.unplanned_coverage(_plan(r), c), "route", "coverage", sql=_PLAN + " SELECT c.review_id, coverage_id, skill FROM coverage c JOIN plan p USING (review_id, skill) WHERE NOT planned")
-add("e15_coverage_metrics", agents.coverage_metrics, "coverage", sql="SELECT review_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, sum(duration_ms)::BIGINT AS duration_ms, max(CASE status WHEN 'failed' THEN 2 WHEN 'skipped' THEN 1 ELSE 0 END) AS worst FROM coverage GROUP BY review_id")
-add("e19_distinct_skills", lambda c: c.groupBy("review_id").agg(F.count_distinct("skill").alias("skills")), "coverage", sql="SELECT review_id, count(DISTINCT skill) AS skills FROM coverage GROUP BY review_id")
-add("q11_coverage_rules", lambda c: constraints.violations(c, "coverage_id", "coverage"), "coverage", sql="SELECT '' AS rule, '' AS key WHERE false")
-add("q09_evidence_rules", lambda e: constraints.violations(e, "evidence_id", "evidence"), "evidence", sql="SELECT 'llm_level' AS rule, evidence_id AS key FROM evidence WHERE source = 'llm' AND level IN ('E2', 'E3')")
-add("q04_location_rules", lambda f: constraints.violations(f, "finding_id", "location"), "finding", sql="SELECT '' AS rule, '' AS key WHERE false")
-add("q28_call_rules", lambda c: constraints.violations(c, "call_id", "call"), "call", sql="SELECT 'cache_within_prompt' AS rule, call_id AS key FROM call WHERE cache_hit_tokens > prompt_tokens")
-add("q13_conflict_rules", lambda f: constraints.violations(assurance.conflicts(f), "conflict_id", "conflict"), "finding", sql="SELECT '' AS rule, '' AS key WHERE false")
-add("q15_q17_file_line_rules", _documents(lambda x: constraints.violations(patch.files(x), "file_id", "file").unionByName(constraints.violations(patch.numbered(x).withColumn("key", F.col("review_id").cast("string")), "key", "line"))), tables=D, sql="SELECT '' AS rule, '' AS key WHERE false")
-add("q21_masked_rules", lambda x: constraints.violations(secrets.masked_lines(x, secrets.observations(x)), "line_key", "masked"), "line", sql="SELECT '' AS rule, 0::BIGINT AS key WHERE false")
+add("e15_e19_coverage_metrics", agents.coverage_metrics, "coverage", sql="SELECT review_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(DISTINCT skill) AS skills, sum(duration_ms)::BIGINT AS duration_ms, max(CASE status WHEN 'failed' THEN 2 WHEN 'skipped' THEN 1 ELSE 0 END) AS worst FROM coverage GROUP BY review_id")
 
-# ---- recheck -----------------------------------------------------------------------------------------------------
+# ---- agents, traces, transport -----------------------------------------------------------------------------------
 
+add("w07_budget", lambda c: agents.within_budget(c).select("review_id", "call_id", "review_call_index"), "call", sql="SELECT review_id, call_id, n::INT AS review_call_index FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY started_at, call_id) AS n FROM call) WHERE n <= 4")
+add("e16_call_summary", lambda c: agents.call_summary(c).withColumn("cost", F.round(F.col("cost").cast("double"), 8)), "call", sql="SELECT review_id, agent_id, count(*) AS calls, count(*) FILTER (status = 'failed') AS failures, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens, round(coalesce(sum((coalesce(cache_hit_tokens, 0) * 0.003625 + (prompt_tokens - coalesce(cache_hit_tokens, 0)) * 0.435 + completion_tokens * 0.87)), 0)::DOUBLE / 1000000, 8) AS cost FROM call GROUP BY ALL")
+add("w06_f22_trace", lambda c: agents.trace(c), "call", sql="SELECT review_id, call_id, row_number() OVER w AS sequence, greatest(coalesce(epoch_us(started_at) // 1000 - epoch_us(lag(started_at) OVER w) // 1000, 0), 0) AS since_ms, status FROM call WINDOW w AS (PARTITION BY review_id ORDER BY started_at, call_id)")
+add("e17_envelope", agents.envelope, "call", sql="SELECT review_id, min(started_at) AS first, max(started_at + to_milliseconds(latency_ms)) AS last FROM call GROUP BY review_id")
+_LOOP = """, n AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY started_at, call_id) AS i FROM call), k AS (SELECT review_id, agent_id, i, CASE WHEN status = 'failed' THEN CASE WHEN class_name LIKE '%Timeout%' THEN 'TIMEOUT' WHEN status_code = 401 THEN 'AUTHENTICATION_ERROR' WHEN status_code = 402 THEN 'INSUFFICIENT_BALANCE' WHEN status_code = 429 THEN 'RATE_LIMIT' WHEN status_code >= 500 THEN 'PROVIDER_ERROR' WHEN class_name LIKE '%Connection%' THEN 'TRANSPORT_ERROR' ELSE 'PROVIDER_ERROR' END
+        WHEN finish_reason = 'length' THEN 'OUTPUT_TRUNCATED' WHEN trim(content) = '' THEN 'EMPTY_RESPONSE' WHEN content LIKE '%:' THEN 'INVALID_JSON' WHEN content NOT LIKE '%summary%' THEN 'SCHEMA_ERROR' END AS why, status = 'failed' AS broke, status_code FROM n WHERE i <= 4),
+    kind AS (SELECT *, CASE WHEN why IS NULL THEN 'ok' WHEN NOT broke THEN 'repair' WHEN why IN ('TIMEOUT', 'RATE_LIMIT', 'TRANSPORT_ERROR') OR why = 'PROVIDER_ERROR' AND coalesce(status_code, 0) >= 500 THEN 'retry' ELSE 'fail' END AS kind FROM k),
+    run AS (SELECT *, count(*) OVER w AS nth, count(*) FILTER (kind = 'retry') OVER w AS retries, count(*) FILTER (kind = 'repair') OVER w AS repairs FROM kind WINDOW w AS (PARTITION BY review_id, agent_id ORDER BY i)),
+    ended AS (SELECT review_id, agent_id, coalesce(min(nth) FILTER (kind IN ('ok', 'fail') OR retries > 1 OR repairs > 1), max(nth)) AS nth FROM run GROUP BY ALL), outcome AS (SELECT r.review_id, r.agent_id, r.why AS failure, r.nth AS calls FROM run r JOIN ended e ON e.review_id = r.review_id AND e.agent_id = r.agent_id AND e.nth = r.nth)"""
+
+
+def _disclosed(x: DataFrame) -> DataFrame:
+    return x.select("review_id").distinct().select("review_id", (F.col("review_id") % 10 != 3).alias("cloud_safe"))
+
+
+def _context(h: DataFrame) -> DataFrame:
+    """A context line at each of fifty lines of a hunk's new side."""
+    rows = h.select("review_id", F.col("new_path").alias("file_path"), "hunk_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("line"))
+    return rows.withColumns({"side": F.lit("new"), "line_ref": F.concat(F.lit("line-"), F.col("line").cast("string"))})
+
+
+add("c12_repair_exhausted", agents.repair_exhausted, "call", sql=_LOOP + " SELECT DISTINCT review_id FROM outcome WHERE failure IN ('OUTPUT_TRUNCATED', 'EMPTY_RESPONSE', 'INVALID_JSON', 'SCHEMA_ERROR')")
+add("m01_agent_outcomes", agents.agent_outcomes, "call", sql=_LOOP + " SELECT review_id, agent_id, CASE WHEN failure IS NULL THEN 'success' ELSE 'failed' END AS status, failure, calls::INT AS calls FROM outcome")
+add("e15_e18_run_metrics", lambda c, k: agents.run_metrics(c, k).withColumn("cost", F.round("cost", 8)), "coverage", "call", sql=""" SELECT coalesce(c.review_id, k.review_id) AS review_id, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(skipped, 0) AS skipped, coalesce(calls, 0) AS calls, coalesce(prompt_tokens, 0) AS prompt_tokens, coalesce(completion_tokens, 0) AS completion_tokens, coalesce(prompt_tokens + completion_tokens, 0) AS total_tokens, coalesce(cost, 0) AS cost, coalesce(latency_ms, 0) AS latency_ms
+    FROM (SELECT review_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM coverage GROUP BY review_id) c FULL JOIN (SELECT review_id, count(*) AS calls, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(coalesce(sum((coalesce(cache_hit_tokens, 0) * 0.003625 + (prompt_tokens - coalesce(cache_hit_tokens, 0)) * 0.435 + completion_tokens * 0.87)), 0)::DOUBLE / 1000000, 8) AS cost, sum(latency_ms)::BIGINT AS latency_ms FROM call GROUP BY review_id) k ON c.review_id = k.review_id""")
+add("f26_f28_call_ids", lambda c: agents.call_ids(c.select("review_id", "agent_id", F.lit("v1").alias("prompt_version"), F.col("retry_number").alias("attempt"), F.col("call_id").alias("review_call_index"), F.lit("m").alias("model"), F.lit(4096).alias("max_tokens"), F.concat(F.lit("q"), F.col("call_id").cast("string")).alias("message"))).select("review_id", "review_call_index", "request_hash", "call_hash", "user"), "call", sql=""" SELECT review_id, call_id AS review_call_index, h AS request_hash, 'call-' || left(sha256(concat_ws(chr(0), review_id, agent_id, 'v1', retry_number, call_id, h)), 20) AS call_hash, 'reviewer-' || left(sha256(review_id::VARCHAR), 20) AS user FROM (SELECT *, sha256('{"max_tokens":2048,"messages":[{"content":"q' || call_id || '","role":"user"}],"model":"m","prompt_version":"v1"}') AS h FROM call)""")
+add("m04_role_context", lambda x: agents.role_context(secrets.masked_lines(x, secrets.observations(x)), _disclosed(x), "security_scanner")[0].groupBy("review_id").agg(F.count("*").alias("lines"), F.max("line_ref").alias("last")), "line", sql=", " + _SEEN + ", shown AS (SELECT l.*, coalesce(replace(content, value, '<REDACTED:' || type || ':' || left(sha256(value), 12) || '>'), content) AS masked FROM line l LEFT JOIN seen USING (line_key, review_id, kind) WHERE file_path LIKE '%.py' AND review_id % 10 <> 3) SELECT review_id, count(*) AS lines, max('line-' || left(sha256(file_path || chr(0) || side || chr(0) || pos || chr(0) || masked), 20)) AS last FROM shown GROUP BY review_id")
+add("m04_rejected_context", lambda x: agents.role_context(x, _disclosed(x), "diff_analyzer")[1], "line", sql=" SELECT review_id, CASE WHEN review_id % 10 = 3 THEN 'CONTEXT_UNSAFE' ELSE 'CONTEXT_INVALID' END AS failure FROM line GROUP BY review_id HAVING review_id % 10 = 3 OR NOT bool_or(file_path LIKE '%.py')")
+add("m06_diff_analysis", lambda d: agents.diff_analyses(patch.files(patch.raw_lines(patches(d)), 10), d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("review_id"), F.lit("said").alias("summary")), d.where("doc_id % 4 = 0").select(F.col("doc_id").alias("review_id"), F.lit("TIMEOUT").alias("reason"))), tables=D, sql=_COUNTS + " SELECT doc_id AS review_id, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END::BIGINT AS files, additions::BIGINT AS additions, deletions::BIGINT AS deletions, (additions + deletions)::BIGINT AS changed_lines, CASE WHEN doc_id % 4 = 0 THEN 'Deterministic fallback analysis: TIMEOUT' WHEN doc_id % 3 = 0 THEN 'Deterministic fallback analysis: no analysis' ELSE 'said' END AS summary, additions + deletions > 10 AND doc_id % 7 <> 0 AND (doc_id % 4 = 0 OR doc_id % 3 = 0) AS truncated FROM c")
+add("m07_review_artifacts", lambda d, c, k: agents.review_artifacts(d, c, k, "security-scanner", "Security Scanner", "SecurityReview", "security_semantic_review", "v1").select("review_id", "artifact_id", "coverage_id", "findings", "evidence", "lines", "duration_ms"), "draft", "context_line", "call", sql=""", sound AS (SELECT * FROM draft WHERE review_id NOT IN (SELECT review_id FROM draft x WHERE NOT EXISTS (FROM context_line c WHERE c.review_id = x.review_id AND c.line_ref = x.line_ref)))
+    SELECT s.review_id, 'artifact-' || left(sha256(concat_ws(chr(0), s.review_id, 'security-scanner', 'v1')), 20) AS artifact_id, 'coverage-' || left(sha256(concat_ws(chr(0), s.review_id, 'security_semantic_review', 'v1')), 20) AS coverage_id, n AS findings, n AS evidence, lines, coalesce(ms, 0)::BIGINT AS duration_ms FROM (SELECT review_id, count(DISTINCT (turn, line_ref)) AS n FROM sound GROUP BY review_id) s JOIN (SELECT review_id, count(DISTINCT line_ref) AS lines FROM context_line GROUP BY review_id) c USING (review_id) LEFT JOIN (SELECT review_id, sum(latency_ms) AS ms FROM call WHERE agent_id = 'security-scanner' GROUP BY review_id) k USING (review_id)""")
+add("m04_finding_summaries", lambda f, p, k, e, h: agents.finding_summaries(f, p, k, e, _context(h)).select("review_id", "finding_id", "category", "severity", _joined("line_refs"), _joined("levels")), "finding", "place", "link", "evidence", "hunk", sql=""" SELECT f.review_id, f.finding_id, category, severity, line_refs, levels FROM (SELECT DISTINCT review_id, finding_id, category, severity FROM finding) f JOIN (SELECT p.review_id, p.finding_id, array_to_string(list_sort(list(DISTINCT 'line-' || p.start_line)), ',') AS line_refs FROM place p JOIN hunk h ON h.review_id = p.review_id AND h.hunk_id = p.hunk_id AND h.new_path = p.file_path WHERE side = 'new' AND start_line < 50 GROUP BY ALL) r USING (review_id, finding_id)
+    LEFT JOIN (SELECT review_id, finding_id, string_agg(level, ',' ORDER BY first) AS levels FROM (SELECT k.review_id, k.finding_id, level, min(k.evidence_id) AS first FROM (SELECT DISTINCT review_id, finding_id, evidence_id FROM link) k JOIN (SELECT DISTINCT review_id, evidence_id, level FROM evidence) e ON e.review_id = k.review_id AND e.evidence_id = k.evidence_id GROUP BY ALL) GROUP BY ALL) l USING (review_id, finding_id)""")
+add("d17_unknown_refs", agents.unknown_references, "draft", "context_line", sql="SELECT DISTINCT review_id FROM draft d WHERE NOT EXISTS (FROM context_line c WHERE c.review_id = d.review_id AND c.line_ref = d.line_ref)")
+add("m05_draft_evidence", lambda d, c: agents.draft_findings(d, c)[1].drop("evidence_id"), "draft", "context_line", sql="SELECT review_id, 'E1' AS level, 'llm' AS source, sha256(text) AS content_hash FROM draft d WHERE review_id NOT IN (SELECT review_id FROM draft x WHERE NOT EXISTS (FROM context_line c WHERE c.review_id = x.review_id AND c.line_ref = x.line_ref))")
+add("d16_finding_lines", lambda p, h: agents.finding_lines(p, _context(h)).select("review_id", "finding_id", "line_ref"), "place", "hunk", sql="SELECT p.review_id, finding_id, 'line-' || start_line AS line_ref FROM place p JOIN hunk h ON h.review_id = p.review_id AND h.hunk_id = p.hunk_id AND h.new_path = p.file_path WHERE side = 'new' AND start_line < 50")
+add("d26_evidence_levels", lambda k, e: agents.evidence_levels(k, e.select("review_id", "evidence_id", "level").distinct()).select("review_id", "finding_id", _joined("levels")), "link", "evidence", sql="SELECT review_id, finding_id, string_agg(level, ',' ORDER BY first) AS levels FROM (SELECT k.review_id, k.finding_id, level, min(k.evidence_id) AS first FROM link k JOIN (SELECT DISTINCT review_id, evidence_id, level FROM evidence) e ON e.review_id = k.review_id AND e.evidence_id = k.evidence_id GROUP BY ALL) GROUP BY ALL")
+def _assignment(o: DataFrame) -> DataFrame:
+    return o.where("o_orderkey % 12 <> 0").selectExpr("o_orderkey AS task_id", "o_orderkey AS review_id", "concat('t', o_orderkey) AS trace_id", "o_orderkey + 1 AS parent_task_id", "'diff' AS role", "1 AS attempt", "concat('d', o_orderkey) AS input_sha256", "concat('c', o_orderkey) AS context_sha256", "timestamp '2026-01-01 00:00:00' AS deadline_at")
 
-def _targets(*r: DataFrame) -> DataFrame:
-    g = _gate(*r)
-    return recheck.targets(g["decisions"], g["conflicts"], g["bucket"], r[0], r[5])
 
+def _delivery(o: DataFrame) -> DataFrame:
+    """Deliveries of the orders, with one fault each by the key modulo 12."""
+    but = lambda n, wrong, right: f"CASE WHEN o_orderkey % 12 = {n} THEN {wrong} ELSE {right} END"
+    return o.selectExpr("o_orderkey AS task_id", but(1, "-1", "o_orderkey") + " AS review_id", but(2, "'u'", "concat('t', o_orderkey)") + " AS trace_id", but(3, "0", "o_orderkey + 1") + " AS parent_task_id", but(4, "'quality'", "'diff'") + " AS role", but(5, "2", "1") + " AS attempt", but(6, "'x'", "concat('d', o_orderkey)") + " AS input_sha256", but(7, "'x'", "concat('c', o_orderkey)") + " AS context_sha256", but(8, "timestamp '2026-01-01 00:00:01'", "timestamp '2026-01-01 00:00:00'") + " AS finished_at", but(9, "0", "1") + " AS model_calls", but(10, "'BLOCKED'", "'SUCCESS'") + " AS status")
 
-_TARGETS = _GATE + ", open AS (SELECT review_id FROM decision WHERE status = 'NEEDS_REVIEW'), target AS (SELECT review_id, 'conflict' AS kind, type || finding_ids AS subject FROM conflict UNION SELECT review_id, 'finding', finding_id FROM bucket WHERE bucket IN ('N004', 'N005') AND (review_id, finding_id) NOT IN (SELECT review_id, unnest(string_split(finding_ids, ',')) FROM conflict) UNION SELECT review_id, 'coverage', coverage_id FROM coverage WHERE mandatory AND status <> 'completed')"
-add("k01_targets", lambda *r: _targets(*r).groupBy("review_id", "kind").agg(F.count("*").alias("n")), *GATE, sql=_TARGETS + " SELECT review_id, kind, count(*) AS n FROM target JOIN open USING (review_id) GROUP BY ALL")
-add("w12_oversized", lambda *r: recheck.oversized(_targets(*r), 5), *GATE, sql=_TARGETS + " SELECT review_id, count(*) AS targets FROM target JOIN open USING (review_id) GROUP BY review_id HAVING count(*) > 5")
 
+#: A request's input document: canonical, safe and of its review, but for some.
+_DOC = "concat('{\"cloud_safe\":', CASE WHEN o_orderkey % 7 = 5 THEN 'false' ELSE 'true' END, CASE WHEN o_orderkey % 7 = 2 THEN ', ' ELSE ',' END, '\"review_id\":', CASE WHEN o_orderkey % 7 = 4 THEN o_orderkey + 1 ELSE o_orderkey END, '}\\n')"
+_DRAFT = "{\"category\":\"secret\",\"claim\":\"c\",\"confidence\":0.5,\"line_refs\":[\"a\",\"b\"],\"recommendation\":\"r\",\"severity\":\"low\",\"title\":\"t\"}"
+#: A role's payload: 0 and 1 are a review's, 2 is the analyst's, the others are neither.
+_PAYLOAD = "concat('{', CASE o_orderkey % 10 WHEN 0 THEN '\"findings\":[],' WHEN 1 THEN '\"findings\":[" + _DRAFT + "],' WHEN 2 THEN '\"affected_symbols\":[],\"change_intents\":[\"a\"],' WHEN 3 THEN '\"findings\":[],\"more\":1,' WHEN 4 THEN '\"findings\":[" + _DRAFT.replace("0.5", "1.5") + "],' WHEN 5 THEN '\"findings\":[" + _DRAFT.replace("[\"a\",\"b\"]", "[\"a\",\"a\"]") + "],' WHEN 6 THEN '\"findings\":[" + ",".join([_DRAFT] * 11) + "],' WHEN 7 THEN '\"findings\":[" + _DRAFT.replace("[\"a\",\"b\"]", "[]") + "],' ELSE '' END, '\"summary\":\"', CASE WHEN o_orderkey % 10 = 8 THEN ' ' ELSE concat('s', o_orderkey) END, '\"}')"
 
-def _results(f: DataFrame, e: DataFrame) -> DataFrame:
-    rows = e.where("start_line % 5 = 0").select("review_id", "finding_id", F.when(F.col("start_line") == 10, F.col("evidence_id")).otherwise(F.concat(F.lit("new-"), "evidence_id")).alias("evidence_id"), "source", "level")
-    return rows.select("*", F.when(F.col("review_id") % 50 == 2, 2).otherwise(1).alias("attempt"), F.lit("confirmed").alias("new_status"), F.lit(True).alias("located"))
 
+def _read(documents: DataFrame) -> DataFrame:
+    return documents.withColumns({"canonical": transport.canonical("text"), "sha256": F.sha2("text", 256)})
 
-def _scope(f: DataFrame) -> DataFrame:
-    return f.where("end_line % 2 = 0").select("review_id", F.lit("finding").alias("kind"), F.col("finding_id").alias("subject"))
 
+def _drafts(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks of reviews, and the drafts of those whose number is no multiple of 4: their findings."""
+    task = f.where("review_id % 3 <> 0").select(F.col("review_id").alias("task_id")).distinct().selectExpr("task_id", "'security_scanner' AS role", "concat('all of ', task_id) AS summary", "concat('shared/', task_id) AS ref", "concat('d', task_id) AS sha256")
+    draft = f.where("review_id % 3 <> 0 and review_id % 4 <> 0").selectExpr("review_id AS task_id", "crc32(finding_id) AS place", "finding_id AS claim", "array(hunk_id, side) AS line_refs", "confidence_pct / 4 AS confidence").distinct()
+    return task, draft
 
-_RES = ", res AS (SELECT review_id, finding_id, CASE WHEN start_line = 10 THEN evidence_id ELSE 'new-' || evidence_id END AS evidence_id, source, level, CASE WHEN review_id % 50 = 2 THEN 2 ELSE 1 END AS attempt, start_line FROM evidence WHERE start_line % 5 = 0), broken AS (SELECT review_id, 'ATTEMPT' AS rule FROM res WHERE attempt <> 1 UNION SELECT r.review_id, 'FINDING_OUT_OF_SCOPE' FROM res r JOIN finding f USING (review_id, finding_id) WHERE f.end_line % 2 <> 0 UNION SELECT review_id, 'EVIDENCE_NOT_NEW' FROM res WHERE start_line = 10 UNION SELECT review_id, 'UNSUPPORTED_STATUS' FROM res WHERE source = 'llm' OR level NOT IN ('E2', 'E3'))"
-add("k03_k05_scope", lambda f, e: recheck.violations(_results(f, e), _scope(f), e), "finding", "evidence", sql=_RES + " SELECT * FROM broken")
-add("k04_apply", lambda f, e: recheck.apply_results(f, _results(f, e), recheck.violations(_results(f, e), _scope(f), e)).select("review_id", "finding_id", "status"), "finding", "evidence", sql=_RES + " SELECT f.review_id, f.finding_id, CASE WHEN r.finding_id IS NOT NULL AND f.review_id NOT IN (SELECT review_id FROM broken) THEN 'confirmed' ELSE status END AS status FROM finding f LEFT JOIN res r USING (review_id, finding_id)")
-add("k04_coverage", lambda c: recheck.replace_coverage(c, c.where("status = 'failed' and review_id % 3 = 0").select("review_id", "skill", F.lit("completed").alias("status"))).select("coverage_id", "status", "error_code"), "coverage", sql="SELECT coverage_id, CASE WHEN status = 'failed' AND review_id % 3 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN NOT (status = 'failed' AND review_id % 3 = 0) THEN error_code END AS error_code FROM coverage")
 
-# ---- agents, traces, transport -----------------------------------------------------------------------------------
+_TASKS = """, task AS (SELECT DISTINCT review_id AS task_id, 'all of ' || review_id AS summary FROM finding WHERE review_id % 3 <> 0), d AS (SELECT DISTINCT review_id AS task_id, finding_id AS claim, hunk_id, side, confidence_pct / 4 AS confidence FROM finding WHERE review_id % 3 <> 0 AND review_id % 4 <> 0),
+    told AS (SELECT task_id, coalesce(claim, summary) AS summary, '{"confidence":' || coalesce(confidence::VARCHAR, 'null') || ',"input_artifact":{"ref":"shared/' || task_id || '","sha256":"d' || task_id || '"},"line_refs":[' || CASE WHEN claim IS NULL THEN '' ELSE '"' || hunk_id || '","' || side || '"' END || '],"role":"security_scanner","summary":"' || coalesce(claim, summary) || '"}' || chr(10) AS j FROM task LEFT JOIN d USING (task_id))"""
 
-add("w07_budget", lambda c: agents.within_budget(c).select("review_id", "call_id", "review_call_index"), "call", sql="SELECT review_id, call_id, n::INT AS review_call_index FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY started_at, call_id) AS n FROM call) WHERE n <= 4")
-add("e16_call_summary", lambda c: agents.call_summary(c).withColumn("cost", F.round(F.col("cost").cast("double"), 8)), "call", sql="SELECT review_id, agent_id, count(*) AS calls, count(*) FILTER (status = 'failed') AS failures, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens, round(coalesce(sum((coalesce(cache_hit_tokens, 0) * 0.003625 + (prompt_tokens - coalesce(cache_hit_tokens, 0)) * 0.435 + completion_tokens * 0.87)), 0)::DOUBLE / 1000000, 8) AS cost FROM call GROUP BY ALL")
-add("w06_f22_trace", lambda c: agents.trace(c), "call", sql="SELECT review_id, call_id, row_number() OVER w AS sequence, greatest(coalesce(epoch_us(started_at) // 1000 - epoch_us(lag(started_at) OVER w) // 1000, 0), 0) AS since_ms, status FROM call WINDOW w AS (PARTITION BY review_id ORDER BY started_at, call_id)")
-add("e17_envelope", agents.envelope, "call", sql="SELECT review_id, min(started_at) AS first, max(started_at) AS last FROM call GROUP BY review_id")
-add("c12_repair_exhausted", agents.repair_exhausted, "call", sql="SELECT DISTINCT review_id FROM call WHERE status = 'success' AND (finish_reason = 'length' OR trim(content) = '' OR content LIKE '%:' OR content NOT LIKE '%summary%')")
-add("d17_unknown_refs", agents.unknown_references, "draft", "context_line", sql="SELECT DISTINCT review_id FROM draft d WHERE NOT EXISTS (FROM context_line c WHERE c.review_id = d.review_id AND c.line_ref = d.line_ref)")
-add("m05_draft_evidence", lambda d, c: agents.draft_findings(d, c)[1].drop("evidence_id"), "draft", "context_line", sql="SELECT review_id, 'E1' AS level, 'llm' AS source, sha256(text) AS content_hash FROM draft d WHERE review_id NOT IN (SELECT review_id FROM draft x WHERE NOT EXISTS (FROM context_line c WHERE c.review_id = x.review_id AND c.line_ref = x.line_ref))")
-add("d16_finding_lines", lambda f, h: agents.finding_lines(f, h.select("review_id", F.col("new_path").alias("file_path"), "hunk_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("line")).withColumns({"side": F.lit("new"), "line_ref": F.concat(F.lit("line-"), F.col("line").cast("string"))})).select("review_id", "finding_id", "line_ref"), "finding", "hunk", sql="SELECT f.review_id, finding_id, 'line-' || start_line AS line_ref FROM finding f JOIN hunk h ON h.review_id = f.review_id AND h.hunk_id = f.hunk_id AND h.new_path = f.file_path WHERE side = 'new' AND start_line < 10")
-add("d26_evidence_levels", lambda k, e: agents.evidence_levels(k, e).select("review_id", "finding_id", _joined("levels")), "link", "evidence", sql="SELECT l.review_id, l.finding_id, level AS levels FROM link l JOIN evidence e USING (review_id, evidence_id)")
-add("d21_anti_observed", lambda f, e: e.join(f.select("review_id", "file_path", "hunk_id", "start_line"), ["review_id", "file_path", "hunk_id", "start_line"], "left_anti").select("review_id", "evidence_id"), "finding", "evidence", sql="SELECT review_id, evidence_id FROM evidence e WHERE NOT EXISTS (FROM finding f WHERE f.review_id = e.review_id AND f.file_path = e.file_path AND f.hunk_id = e.hunk_id AND f.start_line = e.start_line)")
-add("d23_correlation", lambda o: transport.correlate(o.selectExpr("o_orderkey AS task_id", "o_custkey + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS review_id", "'diff' AS role", "'d' || CAST(o_orderkey AS STRING) AS input_sha256"), o.where("o_orderkey % 13 <> 0").selectExpr("o_orderkey AS task_id", "o_custkey AS review_id", "CASE WHEN o_orderkey % 5 = 0 THEN 'quality' ELSE 'diff' END AS role", "'d' || CAST(o_orderkey AS STRING) AS input_sha256")), tables=("orders",), sql="SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 13 = 0 THEN 'UNASSIGNED' WHEN o_orderkey % 17 = 0 THEN 'REVIEW_ID_MISMATCH' ELSE 'ROLE_MISMATCH' END AS fault FROM orders WHERE o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 5 = 0")
+
+def _wrong(f: DataFrame) -> DataFrame:
+    """Faults of the deliveries' own evidence after some was altered, by the task modulo 7."""
+    task, draft = _drafts(f)
+    evidence, n = transport.worker_evidence(task, draft), F.col("task_id") % 7
+    evidence = evidence.withColumns({"content_hash": F.when(n == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")), "evidence_id": F.when(n == 1, F.lit("evidence-x")).otherwise(F.col("evidence_id")), "summary": F.when(n == 2, F.lit("said otherwise")).otherwise(F.col("summary"))}).where("task_id % 7 <> 3")
+    return transport.delivery_faults(task, draft, evidence)
+
+
+add("d23_correlation", lambda o: transport.correlate(_delivery(o), _assignment(o)), tables=("orders",), sql="SELECT o_orderkey AS task_id, CASE o_orderkey % 12 WHEN 0 THEN 'UNASSIGNED' WHEN 1 THEN 'REVIEW_ID_MISMATCH' WHEN 2 THEN 'TRACE_ID_MISMATCH' WHEN 3 THEN 'PARENT_TASK_ID_MISMATCH' WHEN 4 THEN 'ROLE_MISMATCH' WHEN 5 THEN 'ATTEMPT_MISMATCH' WHEN 6 THEN 'INPUT_SHA256_MISMATCH' WHEN 7 THEN 'CONTEXT_SHA256_MISMATCH' WHEN 8 THEN 'LATE' WHEN 9 THEN 'CALLS' ELSE 'BLOCKED' END AS fault FROM orders WHERE o_orderkey % 12 <> 11")
+add("d24_request_correlation", lambda o: transport.correlate_request(_assignment(o).where("task_id % 12 <> 0"), o.where("o_orderkey % 7 <> 1").selectExpr("o_orderkey AS review_id", "concat('t', o_orderkey) AS trace_id", "CASE WHEN o_orderkey % 7 = 2 THEN -1 ELSE o_orderkey + 1 END AS root_task_id", "CASE WHEN o_orderkey % 7 = 3 THEN 'other' ELSE concat('d', o_orderkey) END AS input_sha256", "CASE WHEN o_orderkey % 7 = 4 THEN timestamp '2025-12-31 00:00:00' ELSE timestamp '2026-01-02 00:00:00' END AS deadline_at")).withColumnRenamed("review", "review_id"), tables=("orders",), sql="SELECT o_orderkey AS review_id, CASE o_orderkey % 7 WHEN 1 THEN 'UNREQUESTED' WHEN 2 THEN 'PARENT_TASK_ID_MISMATCH' WHEN 3 THEN 'INPUT_SHA256_MISMATCH' ELSE 'LATE' END AS fault FROM orders WHERE o_orderkey % 12 <> 0 AND o_orderkey % 7 IN (1, 2, 3, 4)")
+add("a10_request_source", lambda o: transport.request_faults(o.selectExpr("o_orderkey AS review_id", "concat('shared/', o_orderkey) AS input_ref", f"sha2(concat({_DOC}, CASE WHEN o_orderkey % 7 = 3 THEN 'x' ELSE '' END), 256) AS input_sha256", "CASE WHEN o_orderkey % 7 = 0 THEN timestamp '2026-01-01 00:00:00' ELSE timestamp '2026-01-03 00:00:00' END AS deadline_at"), _read(o.where("o_orderkey % 7 <> 1").selectExpr("concat('shared/', o_orderkey) AS ref", f"{_DOC} AS text")), F.expr("timestamp '2026-01-02 00:00:00'")), tables=("orders",), sql="SELECT o_orderkey AS review_id, CASE o_orderkey % 7 WHEN 0 THEN 'EXPIRED' WHEN 1 THEN 'INPUT_MISSING' WHEN 2 THEN 'NOT_CANONICAL' WHEN 3 THEN 'DIGEST_MISMATCH' WHEN 4 THEN 'REVIEW_MISMATCH' ELSE 'NOT_SAFE' END AS fault FROM orders WHERE o_orderkey % 7 <> 6")
+for _role, _name in (("security_scanner", "security"), ("diff_analyzer", "diff")):
+    add(f"a12_{_name}_payloads", lambda o, role=_role: transport.role_payloads(o.selectExpr("o_orderkey AS key", f"{_PAYLOAD} AS canonical"), role)[0].select("key", F.col("payload.summary").alias("summary")), tables=("orders",), sql=f"SELECT o_orderkey AS key, 's' || o_orderkey AS summary FROM orders WHERE o_orderkey % 10 IN {'(0, 1)' if _name == 'security' else '(2, 2)'}")
 add("d25_u05_digest_diff", lambda p: transport.digest_diff(p.where("p_partkey % 7 <> 0").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"), F.sha2("p_name", 256).alias("sha256")), p.where("p_partkey % 5 <> 0").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"), F.sha2(F.when(F.col("p_partkey") % 3 == 0, F.lit("x")).otherwise(F.col("p_name")), 256).alias("sha256"))), tables=("part",), sql="SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 THEN 'unexpected' ELSE 'changed' END AS state FROM part WHERE (p_partkey % 5 = 0) <> (p_partkey % 7 = 0) OR (p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0)")
 add("e21_tree_digest", lambda p: transport.tree_digest(p.select((F.col("p_partkey") % 20).alias("package"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"), F.sha2("p_name", 256).alias("sha256"))), tables=("part",), sql="""SELECT p_partkey % 20 AS package, sha256('[' || string_agg('{"path":"f' || p_partkey || '","sha256":"' || sha256(p_name) || '"}', ',' ORDER BY 'f' || p_partkey) || ']' || chr(10)) AS digest FROM part GROUP BY 1""")
-add("e22_quiet", lambda e: transport.quiet(e.select(F.col("user_id").alias("key"), (F.row_number().over(_by_user()) * 65 - 65).alias("elapsed"), (F.col("event_id") % 2).alias("usage"))), tables=("events",), sql="SELECT user_id AS key, count(DISTINCT event_id % 2) = 1 AND count(*) >= 3 AS quiet FROM events GROUP BY user_id")
-add("t01_control", lambda o: transport.control_messages(o.selectExpr("o_orderkey AS task_id", "o_custkey AS review_id", "'diff' AS role", "'d' || CAST(o_orderkey AS STRING) AS input_sha256")), tables=("orders",), sql="""SELECT o_orderkey AS task_id, '{"input_sha256":"d' || o_orderkey || '","review_id":' || o_custkey || ',"role":"diff","task_id":' || o_orderkey || '}' AS message, true AS fits FROM orders""")
-add("t02_delivery", lambda f, c: transport.deliveries(f, c), "finding", "coverage", sql="SELECT r.review_id, coalesce(finding_id, 'summary') AS evidence_ref, coalesce(severity, 'info') AS severity FROM (SELECT DISTINCT review_id FROM coverage) r LEFT JOIN finding f USING (review_id)")
+add("e22_quiet", lambda o: transport.quiet(o.select(F.col("o_orderkey").alias("key"), F.explode(F.array(*[F.struct(F.expr(f"CAST(CASE WHEN o_orderkey % 5 = 1 AND {i} = 0 THEN 1 WHEN o_orderkey % 5 = 2 AND {i} = 1 THEN 64 WHEN o_orderkey % 5 = 3 AND {i} = 2 THEN 129 ELSE {i} * 65 END AS INT)").alias("t"), F.expr(f"CASE WHEN o_orderkey % 5 = 4 AND {i} = 1 THEN 'b' ELSE 'a' END").alias("u")) for i in range(3)])).alias("s")).select("key", F.col("s.t").alias("elapsed"), F.col("s.u").alias("usage"))), tables=("orders",), sql="SELECT o_orderkey AS key, o_orderkey % 5 = 0 AS quiet FROM orders")
+add("t01_control", lambda o: transport.control_messages(o.selectExpr("o_orderkey AS task_id", "o_custkey AS review_id", "CASE WHEN o_orderkey % 9 = 0 THEN repeat('x', 4050) ELSE 'diff' END AS role", "'d' || CAST(o_orderkey AS STRING) AS input_sha256")), tables=("orders",), sql="""SELECT task_id, message, strlen(message) <= 4096 AS fits FROM (SELECT o_orderkey AS task_id, '{"input_sha256":"d' || o_orderkey || '","review_id":' || o_custkey || ',"role":"' || CASE WHEN o_orderkey % 9 = 0 THEN repeat('x', 4050) ELSE 'diff' END || '","task_id":' || o_orderkey || '}' AS message FROM orders)""")
+add("f18_t02_delivery", lambda f: transport.worker_evidence(*_drafts(f)).select("task_id", "evidence_id", "summary", "content_hash"), "finding", sql=_TASKS + " SELECT task_id, 'evidence-' || left(sha256(j), 20) AS evidence_id, summary, sha256(j) AS content_hash FROM told")
+add("t03_delivery_faults", lambda f: _wrong(f), "finding", sql=_TASKS + " SELECT task_id, unnest(CASE task_id % 7 WHEN 0 THEN ['HASH_MISMATCH', 'ID_MISMATCH'] WHEN 1 THEN ['ID_MISMATCH'] WHEN 2 THEN ['HASH_MISMATCH', 'OUTPUT_MISMATCH'] ELSE ['OUTPUT_MISMATCH'] END) AS fault FROM task WHERE task_id % 7 < 4 UNION SELECT task_id, 'DUPLICATE_EVIDENCE' FROM d WHERE task_id % 7 = 1 GROUP BY task_id HAVING count(*) > 1")
 add("t04_blocked_deliveries", lambda f, c: transport.blocked_deliveries(f.select("review_id").distinct(), c), "finding", "coverage", sql="SELECT DISTINCT review_id FROM finding WHERE review_id NOT IN (SELECT review_id FROM coverage WHERE status = 'failed' AND skill IN ('detect_secret', 'detect_injection', 'detect_dangerous_call'))")
 add("c19_commands", lambda p: transport.accepted_commands(p.select("p_partkey", (F.col("p_partkey") % 4 == 3).cast("int").alias("returncode"), F.when(F.col("p_partkey") % 5 == 0, "Permission denied").when(F.col("p_partkey") % 7 == 0, "total 0 B").otherwise("ok").alias("stdout"), F.lit("").alias("stderr")), True).select("p_partkey"), tables=("part",), sql="SELECT p_partkey FROM part WHERE p_partkey % 4 <> 3 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
-add("u02_valid_findings", lambda f, e, k, v, h: f.select("review_id", "finding_id").join(policy.invalid_findings(validation.finding_issues(f, e, k, v, h)), ["review_id", "finding_id"], "left_anti"), *FE, sql=_ALL_ISSUES + " SELECT review_id, finding_id FROM finding WHERE (review_id, finding_id) NOT IN (SELECT review_id, subject FROM issue WHERE code LIKE 'FINDING%')")
 add("a19_trace_lines", lambda c: sinks.trace_lines(c.select("review_id", "call_id", "status")), "call", sql="""SELECT review_id, '{"call_id":' || call_id || ',"review_id":' || review_id || ',"status":"' || status || '"}' AS value FROM call""")
-add("a20_markdown", lambda *r: sinks.markdown_report(_gate(*r)["decisions"], r[0]).select("review_id", F.sha2("report", 256).alias("digest")), *GATE, sql=_GATE + r""" SELECT d.review_id, sha256('# Review ' || d.review_id || chr(10) || chr(10) || 'Status: ' || d.status || chr(10) || chr(10) || '| finding | severity | status | category |' || chr(10) || '|---|---|---|---|' || chr(10) || coalesce(string_agg('| ' || finding_id || ' | ' || severity || ' | ' || f.status || ' | ' || category || ' |', chr(10) ORDER BY finding_id), '')) AS digest FROM decision d LEFT JOIN finding f USING (review_id) GROUP BY d.review_id, d.status""")
 add("s01_sessions", lambda e: stream.sessions(e).drop("value"), tables=("events",), sql="SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS end, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 
 
@@ -336,14 +273,12 @@ add("x12_x13_suite", lambda c: assembly.suite(c).groupBy("review_id").agg(assemb
 add("c16_artifact_or_failure", lambda c: assembly.artifact_or_failure(c, c, ["diff-analyzer", "security-scanner", "quality-reviewer"]), "call", sql="SELECT r.review_id, a.agent_id, coalesce(min(c.status), 'failed') AS status, count(c.call_id) AS calls FROM (SELECT DISTINCT review_id FROM call) r CROSS JOIN (VALUES ('diff-analyzer'), ('security-scanner'), ('quality-reviewer')) a(agent_id) LEFT JOIN call c ON c.review_id = r.review_id AND c.agent_id = a.agent_id GROUP BY ALL")
 add("e20_u06_first_by_id", lambda f: assembly.first_by_id(f, "fingerprint", "finding_id").select("review_id", "fingerprint", "finding_id"), "finding", sql="SELECT review_id, fingerprint, min(finding_id) AS finding_id FROM finding GROUP BY ALL")
 add("w08_ordered_distinct", lambda c: c.groupBy("review_id").agg(F.array_join(assembly.ordered_distinct(F.col("agent_id"), F.col("call_id")), ",").alias("agents")), "call", sql="SELECT review_id, string_agg(agent_id, ',' ORDER BY first) AS agents FROM (SELECT review_id, agent_id, min(call_id) AS first FROM call GROUP BY ALL) GROUP BY review_id")
-add("b15_known_paths", assembly.known_paths, "hunk", sql="SELECT review_id, old_path AS path FROM hunk UNION SELECT review_id, new_path FROM hunk")
-add("b12_node_line", lambda f, h: assembly.node_lines(f.select("review_id", F.col("finding_id").alias("node"), "start_line", "end_line"), f.select("review_id", F.col("start_line").alias("line_number"), F.when(F.col("side") == "new", "addition").otherwise("context").alias("kind"))), "finding", "hunk", sql="SELECT n.review_id, n.finding_id AS node, coalesce(min(l.start_line) FILTER (l.side = 'new'), min(l.start_line)) AS line_number FROM finding n JOIN finding l ON l.review_id = n.review_id AND l.start_line BETWEEN n.start_line AND n.end_line GROUP BY ALL")
-add("u04_disjoint_buckets", lambda *r: assembly.overlapping_buckets(_gate(*r)["bucket"]), *GATE, sql="SELECT 0::BIGINT AS review_id, '' AS finding_id, 0::BIGINT AS n WHERE false")
-add("u08_appended", lambda e: assembly.appended(e.where("start_line < 30"), e, e.where("start_line >= 30 and start_line <> 33")), "evidence", sql="SELECT DISTINCT review_id FROM evidence WHERE start_line = 33")
+add("b15_known_paths", validation.known_paths, "hunk", sql="SELECT review_id, old_path AS path FROM hunk UNION SELECT review_id, new_path FROM hunk")
+add("b12_node_line", lambda f, p: assembly.node_lines(p.select("review_id", "hunk_id", F.col("finding_id").alias("node"), "start_line", "end_line"), f.select("review_id", "hunk_id", F.col("start_line").alias("line_number"), F.when(F.col("side") == "new", "addition").otherwise("context").alias("kind"))), "finding", "place", sql="SELECT n.review_id, n.hunk_id, n.finding_id AS node, coalesce(min(l.start_line) FILTER (l.side = 'new'), min(l.start_line)) AS line_number FROM place n JOIN finding l ON l.review_id = n.review_id AND l.hunk_id = n.hunk_id AND l.start_line BETWEEN n.start_line AND n.end_line GROUP BY ALL")
+add("u08_appended", lambda e: assembly.appended(e.where("start_line < 30 or start_line is null"), e, e.where("start_line >= 30 and start_line <> 33")), "evidence", sql="SELECT DISTINCT review_id FROM evidence WHERE start_line = 33")
 add("c20_complete_routes", lambda o: assembly.complete_routes(o.select((F.col("o_orderkey") / 4).cast("long").alias("review_id"), F.get(F.array(*map(F.lit, assembly.ROLES)), F.when(F.col("o_orderkey") % 44 == 3, 0).otherwise(F.col("o_orderkey") % 4).cast("int")).alias("role"))), tables=("orders",), sql="SELECT o_orderkey // 4 AS review_id FROM orders GROUP BY 1 HAVING count(*) = 4 AND count(DISTINCT CASE WHEN o_orderkey % 44 = 3 THEN 0 ELSE o_orderkey % 4 END) = 4")
-add("c18_control_allowed", lambda o: transport.control_messages(o.selectExpr("o_orderkey AS task_id", "o_custkey AS review_id", "'diff' AS role", "'d' AS input_sha256")).select("task_id", assembly.is_control_message("message").alias("allowed")), tables=("orders",), sql="SELECT o_orderkey AS task_id, true AS allowed FROM orders")
-add("f25_t08_without_times", lambda e: e.select("event_id", assembly.without_times("props").alias("plain")), tables=("events",))
-add("k02_run_once", lambda c: assembly.run_once(lambda x: x.groupBy("review_id").agg(F.when(F.bool_or((F.col("status") == "failed") & F.col("mandatory")), "NEEDS_REVIEW").otherwise("PASS").alias("status")), lambda x, d: recheck.replace_coverage(x, x.where("error_code = 'TIMEOUT'").select("review_id", "skill", F.lit("completed").alias("status"))), c), "coverage", sql="SELECT review_id, CASE WHEN bool_or(status = 'failed' AND mandatory AND error_code <> 'TIMEOUT') THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS status, bool_or(status = 'failed' AND mandatory) AS rechecked FROM coverage GROUP BY review_id")
+add("c18_control_allowed", lambda o: o.select(F.col("o_orderkey").alias("task_id"), assembly.is_control_message(F.expr("CASE o_orderkey % 6 WHEN 0 THEN '{\"input_sha256\":\"d\",\"review_id\":1,\"role\":\"diff\",\"task_id\":2}' WHEN 1 THEN '{\"input_sha256\":\"d\",\"review_id\":1,\"role\":\"diff\"}' WHEN 2 THEN '{\"input_sha256\":\"d\",\"review_id\":1,\"role\":{\"deep\":[{\"prompt\":1}]},\"task_id\":2}' WHEN 3 THEN '[1]' WHEN 4 THEN '{\"content\":1,\"input_sha256\":\"d\",\"review_id\":1,\"role\":\"diff\",\"task_id\":2}' ELSE 'no json' END")).alias("allowed")), tables=("orders",), sql="SELECT o_orderkey AS task_id, o_orderkey % 6 = 0 AS allowed FROM orders")
+add("f25_t08_without_times", lambda e: e.select("event_id", assembly.without_times(F.expr("concat('{\"z\":', event_id, ',\"createdAt\":\"', event_id, '\",\"list\":[\"b\",\"a\"],\"in\":{\"updated_at\":1,\"k\":[2,1]}}')")).alias("plain")), tables=("events",), sql="""SELECT event_id, '{"in":{"k":[2,1]},"list":["a","b"],"z":' || event_id || '}' || chr(10) AS plain FROM events""")
 
 # ---- code detectors: no SQL equivalent ---------------------------------------------------------------------------
 
@@ -351,12 +286,16 @@ add("k02_run_once", lambda c: assembly.run_once(lambda x: x.groupBy("review_id")
 SNIPPETS = [
     'cursor.execute("SELECT * FROM t WHERE id=" + user_id)', 'query = f"SELECT {x}"\ncursor.execute(query)', 'db.execute("SELECT 1")', 'cursor.execute("SELECT ? FROM t", (x,))', 'os.system("deploy " + branch)', 'import subprocess\nsubprocess.run(command, shell=True)', 'subprocess.run(["git", "status"], check=True)',
     "eval(text)", "from builtins import eval as evaluate\nevaluate(text)", "import subprocess as process\nprocess.call(cmd, shell=True)", 'os.popen("ls")', "x = 1\nreturn x", "def broken(:", '# os.system("x")\nprint("eval(x)")', "    if a:\n        os.system(b)", "import os.path\nos.system(name)",
+    "import os\nos.execv(path, args)", "fabric.run(command, shell=True)", 'import os\nexec(code)\nos.spawnvp(mode, file)',
 ]
 
 
 def snippet_lines(docs: DataFrame) -> DataFrame:
+    """A hunk for each document: a snippet, then the document's lines as comments."""
     table = F.array(*[F.lit(s) for s in SNIPPETS])
-    rows = docs.select(F.col("doc_id").alias("review_id"), F.posexplode(F.split(F.get(table, (F.col("doc_id") % len(SNIPPETS)).cast("int")), "\n")).alias("ordinal", "content"))
+    text = F.regexp_replace(F.regexp_replace("text", "\n", "\n# "), "[^\n -~]", "?")
+    whole = F.concat(F.get(table, (F.col("doc_id") % len(SNIPPETS)).cast("int")), F.lit("\n# "), F.coalesce(text, F.lit("")))
+    rows = docs.select(F.col("doc_id").alias("review_id"), F.posexplode(F.split(whole, "\n")).alias("ordinal", "content"))
     return rows.select("review_id", F.lit("src/a.py").alias("file_path"), F.lit("h1").alias("hunk_id"), "ordinal", F.lit("addition").alias("kind"), F.lit("new").alias("side"), (F.col("ordinal") + 1).cast("long").alias("line_number"), "content")
 
 
@@ -364,8 +303,16 @@ def _rules(*names: str) -> Callable[[DataFrame], DataFrame]:
     return lambda d: code.detect_code(snippet_lines(d)).where(F.col("rule").isin(*names)).select("review_id", "rule", "line", "status", "level")
 
 
-add("x03_sql", _rules("CS-INJECT-SQL-DYNAMIC"), tables=D)
-add("x04_shell", _rules("CS-INJECT-SHELL-DYNAMIC"), tables=D)
-add("x05_x07_danger", _rules("CS-DANGER-DYNAMIC-EXEC", "CS-DANGER-OS-SYSTEM", "CS-DANGER-SUBPROCESS-SHELL"), tables=D)
-add("x08_observed", _rules(*code.OBSERVED), tables=D)
-add("x11_envelope", lambda d: code.detect_code(snippet_lines(d)).where("error_code is not null").select("review_id", "error_code", "level"), tables=D)
+#: What each snippet must give, told by hand: (snippet, rule, line), by query.
+_EXPECTED = {
+    "x03_sql": [(0, "CS-INJECT-SQL-DYNAMIC", 1), (1, "CS-INJECT-SQL-DYNAMIC", 2)],
+    "x04_shell": [(n, "CS-INJECT-SHELL-DYNAMIC", line) for n, line in ((4, 1), (5, 2), (9, 2), (14, 2), (15, 2))],
+    "x05_x07_danger": [(4, "CS-DANGER-OS-SYSTEM", 1), (5, "CS-DANGER-SUBPROCESS-SHELL", 2), (7, "CS-DANGER-DYNAMIC-EXEC", 1), (8, "CS-DANGER-DYNAMIC-EXEC", 2), (9, "CS-DANGER-SUBPROCESS-SHELL", 2), (14, "CS-DANGER-OS-SYSTEM", 2), (15, "CS-DANGER-OS-SYSTEM", 2), (18, "CS-DANGER-DYNAMIC-EXEC", 2)],
+    "x08_d21_observed": [(10, "B605", 1), (16, "B606", 2), (17, "B604", 1), (18, "B606", 3)],
+}
+for _name, _found in _EXPECTED.items():
+    _sure = "'suspected' AS status, 'E2' AS level" if "observed" in _name else "'confirmed' AS status, 'E3' AS level"
+    _values = ", ".join(f"({n}, '{rule}', {line})" for n, rule, line in _found)
+    add(_name, _rules(*{rule for _, rule, _ in _found} | (set(code.OBSERVED) if "observed" in _name else set())), tables=D, sql=f"SELECT doc_id AS review_id, rule, line::BIGINT AS line, {_sure} FROM documents JOIN (VALUES {_values}) x(snippet, rule, line) ON snippet = doc_id % {len(SNIPPETS)}")
+add("x09_x10_detector", lambda d: code.detect_code(snippet_lines(d)).where("error_code is null").groupBy("review_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence")), tables=D, sql=f"SELECT doc_id AS review_id, n::BIGINT AS n, confidence::DOUBLE AS confidence FROM documents JOIN (VALUES (0, 1, 1), (1, 1, 1), (4, 2, 2), (5, 2, 2), (7, 1, 1), (8, 1, 1), (9, 2, 2), (10, 1, 0.9), (14, 2, 2), (15, 2, 2), (16, 1, 0.75), (17, 1, 0.6), (18, 2, 1.75)) x(snippet, n, confidence) ON snippet = doc_id % {len(SNIPPETS)}")
+add("b11_x11_envelope", lambda d: code.detect_code(snippet_lines(d)).where("error_code is not null").select("review_id", "error_code", "level"), tables=D, sql=f"SELECT doc_id AS review_id, 'CONTEXT_INSUFFICIENT' AS error_code, 'E0' AS level FROM documents WHERE doc_id % {len(SNIPPETS)} = 12")

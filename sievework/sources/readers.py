@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import subprocess
 import tomllib
@@ -11,10 +12,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.patch import MAX_BYTES
 from ..operators.transport import canonical
 
 MAX_DOCUMENT_BYTES = 2_097_152
 REVISION = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_./~^@{}-]*")
+OBJECT_ID = re.compile(r"[0-9a-f]{40}|[0-9a-f]{64}")
 # Options that make a diff the same on every machine.
 DIFF_OPTIONS = ["--no-ext-diff", "--no-textconv", "--no-color", "--full-index", "--find-renames=50%", "--unified=3", "--submodule=short"]
 
@@ -24,16 +27,61 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("raw_diff"))
 
 
-def git_diff(repository: str, base: str = "HEAD", target: str | None = None, staged: bool = False, timeout: int = 30) -> str:
-    """The patch between two revisions, or of the index or work tree; read-only, on the driver."""
-    for revision in filter(None, (base, target)):
-        if not REVISION.fullmatch(revision):
-            raise ValueError("unsafe revision")
-    which = [base, target] if target else ["--cached", base] if staged else [base]
-    run = subprocess.run(["git", "--no-optional-locks", "-C", repository, "diff", *DIFF_OPTIONS, *which, "--"], capture_output=True, timeout=timeout, check=True)
+def _git(repository: str, *arguments: str, timeout: int = 30) -> str:
+    """A read-only git command's output: no locks, no prompt, no pager."""
+    run = subprocess.run(["git", "--no-optional-locks", "--no-pager", "-C", repository, *arguments], capture_output=True, timeout=timeout, check=True, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
     return run.stdout.decode("utf-8", "replace")
 
 
+def worktree_root(path: str) -> str:
+    """The resolved path, refused if it is not the root of a git work tree."""
+    root = Path(path).resolve(strict=True)
+    try:
+        top = Path(_git(str(root), "rev-parse", "--show-toplevel").strip()).resolve(strict=True)
+    except subprocess.CalledProcessError as e:
+        raise ValueError("not a git work tree") from e
+    if top != root:
+        raise ValueError("not the root of its work tree")
+    return str(root)
+
+
+def resolve_revision(repository: str, revision: str) -> str:
+    """The commit's object id."""
+    if not REVISION.fullmatch(revision):
+        raise ValueError("unsafe revision")
+    try:
+        found = _git(repository, "rev-parse", "--verify", "--quiet", "--end-of-options", f"{revision}^{{commit}}").strip().lower()
+    except subprocess.CalledProcessError as e:
+        raise ValueError("no such commit") from e
+    if not OBJECT_ID.fullmatch(found):
+        raise ValueError("git gave no object id")
+    return found
+
+
+def git_diff(repository: str, base: str = "HEAD", target: str | None = None, staged: bool = True, unstaged: bool = True, timeout: int = 30) -> str:
+    """The patch between two revisions, or of index and work tree, the index, or the work tree alone; read-only, on the driver."""
+    first = resolve_revision(repository, base)
+    if target is None and not (staged or unstaged):
+        raise ValueError("nothing to compare")
+    which = [first, resolve_revision(repository, target)] if target else [first] if staged and unstaged else ["--cached", first] if staged else []
+    return _git(repository, "diff", *DIFF_OPTIONS, *which, "--", timeout=timeout)
+
+
+def read_review(spark: SparkSession, review_id: int, repository: str, base: str = "HEAD", target: str | None = None, staged: bool = True, unstaged: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """One row of what a review compares: (review_id, raw_diff, source, base_oid, target_oid, diff_hash, bytes).
+
+    A patch that is empty or larger than the cap is refused, not cut.
+    """
+    root = worktree_root(repository)
+    raw = git_diff(root, base, target, staged, unstaged)
+    size = len(raw.encode())
+    if not 1 <= size <= max_bytes:
+        raise ValueError(f"a patch of {size} bytes")
+    source = "revision_range" if target else "worktree" if staged and unstaged else "staged" if staged else "unstaged"
+    row = (review_id, raw, source, resolve_revision(root, base), resolve_revision(root, target) if target else None, hashlib.sha256(raw.encode()).hexdigest(), size)
+    return spark.createDataFrame([row], "review_id long, raw_diff string, source string, base_oid string, target_oid string, diff_hash string, bytes long")
+
+
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) JSON objects: at most 2 MiB, UTF-8, no repeated keys; accepted with their canonical form and digest."""
     raw = spark.read.format("binaryFile").load(path).select("path", "length", F.when(F.col("length") <= MAX_DOCUMENT_BYTES, F.decode("content", "UTF-8")).alias("text"), F.sha2("content", 256).alias("sha256"))
@@ -43,8 +91,27 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def package_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of the files below path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of the files below path, relative to it; a local folder with a symbolic link in it is refused."""
+    local = Path(path)
+    if local.exists() and any(p.is_symlink() for p in [local, *local.rglob("*")]):
+        raise ValueError("a package holds no symbolic links")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = re.escape(str(local.resolve()) if local.exists() else path.rstrip("/"))
+    return files.select(F.regexp_replace("path", f"^.*?{root}/", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_settings(path: str | None = None, keys: tuple[str, ...] = (), environment: dict[str, str] | None = None) -> dict[str, str]:
+    """Settings of a file of KEY=VALUE lines and the environment, which wins; for the driver only, never a column."""
+    found = {}
+    for line in Path(path).read_text().splitlines() if path else ():
+        name, mark, value = line.strip().partition("=")
+        if mark and not name.startswith("#"):
+            found[name.removeprefix("export ").strip()] = value.strip().strip("'\"")
+    own = os.environ if environment is None else environment
+    found |= {k: own[k] for k in {*found, *keys} if own.get(k)}
+    if missing := [k for k in keys if not found.get(k)]:
+        raise KeyError(", ".join(missing))
+    return {k: v for k, v in found.items() if not keys or k in keys}
 
 
 def load_policy(path: str, sha256: str | None = None) -> dict:

@@ -1,4 +1,4 @@
-"""Every query with SQL gives the rows that the SQL gives."""
+"""Every query gives the rows that its SQL gives, and some."""
 
 import pytest
 from compare import differences, duck
@@ -13,16 +13,16 @@ def connection():
     return duck(SF)
 
 
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_matches_sql(spark, connection, name):
+    assert connection.execute(f"SELECT count(*) FROM ({catalogue.ORACLES[name]})").fetchone()[0] > 0
     assert differences(catalogue.QUERIES[name](spark, SF), connection, catalogue.ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_query_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
-
-
 def test_entry(spark):
     import __spark_entry__
 

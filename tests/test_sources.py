@@ -18,8 +18,18 @@ def test_a_work_tree_is_read_and_parsed(spark, tmp_path):
     text = readers.git_diff(str(tmp_path))
     rows = patch.files(patch.raw_lines(spark.createDataFrame([(1, text)], "review_id long, raw_diff string"))).collect()
     assert [(r.new_path, r.additions, r.deletions) for r in rows] == [("a.py", 2, 1)]
-    with pytest.raises(ValueError):
-        readers.git_diff(str(tmp_path), "--output=x")
+    assert readers.git_diff(str(tmp_path), unstaged=False) == "" and readers.git_diff(str(tmp_path), staged=False) == text
+    git("add", ".")
+    assert readers.git_diff(str(tmp_path), unstaged=False) == text and readers.git_diff(str(tmp_path), staged=False) == ""
+    row = readers.read_review(spark, 5, str(tmp_path)).first()
+    assert (row.review_id, row.raw_diff, row.source, row.target_oid, row.bytes) == (5, text, "worktree", None, len(text)) and len(row.base_oid) == 40 and len(row.diff_hash) == 64
+    git("commit", "-qm", "next")
+    row = readers.read_review(spark, 5, str(tmp_path), "HEAD~1", "HEAD").first()
+    assert row.source == "revision_range" and row.raw_diff == text and row.target_oid == readers.resolve_revision(str(tmp_path), "HEAD")
+    (tmp_path / "sub").mkdir()
+    for wrong in (lambda: readers.git_diff(str(tmp_path), "--output=x"), lambda: readers.git_diff(str(tmp_path), "nothing"), lambda: readers.worktree_root(str(tmp_path / "sub")), lambda: readers.read_review(spark, 5, str(tmp_path)), lambda: readers.read_review(spark, 5, str(tmp_path), "HEAD~1", "HEAD", max_bytes=10), lambda: readers.git_diff(str(tmp_path), staged=False, unstaged=False)):
+        with pytest.raises(ValueError):
+            wrong()
 
 
 def test_documents_are_strict(spark, tmp_path):
@@ -38,10 +48,50 @@ def test_policy_is_pinned(tmp_path):
 
 def test_bundles_are_all_or_nothing(spark, tmp_path):
     tables = {"a": spark.range(3), "b": spark.range(2)}
-    manifest = sinks.write_bundle(tables, str(tmp_path / "out"))
-    assert {r.relation: r["rows"] for r in manifest.collect()} == {"a": 3, "b": 2} and not (tmp_path / "out.staging").exists()
+    manifest = sinks.write_bundle(tables, str(tmp_path / "out")).collect()
+    assert {r.relation: r["rows"] for r in manifest} == {"a": 3, "b": 2} and not (tmp_path / "out.staging").exists()
+    assert all(len(r.sha256) == 64 for r in manifest) and sinks.changed_files(str(tmp_path / "out"), spark).count() == 0
     with pytest.raises(FileExistsError):
         sinks.write_bundle(tables, str(tmp_path / "out"))
+    spark.range(9).write.mode("append").parquet(str(tmp_path / "out" / "b"))
+    assert {r.relation for r in sinks.changed_files(str(tmp_path / "out"), spark).collect()} == {"b"}
+    lines = sinks.bundle_rows({"x": spark.range(2).selectExpr("id AS review_id", "id + 1 AS v"), "y": spark.range(1).selectExpr("id AS review_id", "'t' AS w")})
+    assert sorted(map(tuple, lines.collect())) == [(0, "x.jsonl", '{"v":1}'), (0, "y.jsonl", '{"w":"t"}'), (1, "x.jsonl", '{"v":2}')]
+
+
+def test_output_boundaries(spark, tmp_path):
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "runs")
+    assert sinks.preflight("run-1", str(tmp_path / "runs"), str(tmp_path / "repo")) == str(tmp_path / "runs" / "run-1")
+    (tmp_path / "runs" / "old").mkdir()
+    for name, root in (("../x", "runs"), ("run-1", "repo"), ("run-1", "link"), ("ab", "runs")):
+        with pytest.raises(ValueError):
+            sinks.preflight(name, str(tmp_path / root), str(tmp_path / "repo"))
+    with pytest.raises(FileExistsError):
+        sinks.preflight("old", str(tmp_path / "runs"), str(tmp_path / "repo"))
+    given = spark.createDataFrame([(1, "shared/tasks/1/d.json", "{}"), (2, "shared/tasks/9/d.json", "{}"), (3, "shared/../d.json", "{}"), (4, "shared/x", "{}")], "task_id long, ref string, text string")
+    asked = spark.createDataFrame([(1, "shared/tasks/1/d.json"), (2, "shared/tasks/2/d.json"), (3, "shared/../d.json")], "task_id long, delivery_ref string")
+    written, refused = sinks.write_deliveries(given, asked, str(tmp_path / "deliveries"))
+    assert [r.task_id for r in written.collect()] == [1] and {r.task_id for r in refused.collect()} == {2, 3, 4}
+    assert [(r.task_id, r.value) for r in spark.read.text(str(tmp_path / "deliveries")).collect()] == [(1, "{}")]
+
+
+def test_packages_and_settings(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "p" / "in").mkdir(parents=True)
+    (tmp_path / "p" / "in" / "a.py").write_bytes(b"x")
+    (tmp_path / "p" / "b.py").write_bytes(b"y")
+    assert {tuple(r) for r in readers.package_digests(spark, str(tmp_path / "p")).collect()} == {("in/a.py", hashlib.sha256(b"x").hexdigest()), ("b.py", hashlib.sha256(b"y").hexdigest())}
+    (tmp_path / "p" / "c.py").symlink_to(tmp_path / "p" / "b.py")
+    with pytest.raises(ValueError):
+        readers.package_digests(spark, str(tmp_path / "p"))
+    (tmp_path / "env").write_text("# note\nexport A='1'\nB=2\nC\n")
+    assert readers.read_settings(str(tmp_path / "env"), environment={"B": "3"}) == {"A": "1", "B": "3"}
+    assert readers.read_settings(str(tmp_path / "env"), ("B", "D"), {"D": "4"}) == {"B": "2", "D": "4"}
+    with pytest.raises(KeyError):
+        readers.read_settings(None, ("A",), {})
 
 
 def test_sessions_of_a_stream(spark, tmp_path):
@@ -52,4 +102,6 @@ def test_sessions_of_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     batch = trace.sessions(events)
-    assert 0 < spark.table("sessions").count() <= batch.count()
+    ended = spark.table("sessions").drop("value")
+    assert ended.count() > 0 and ended.exceptAll(batch.drop("value")).count() == 0  # what the stream closed is what the batch finds
+    assert batch.agg(F.max("end")).first()[0] > ended.agg(F.max("end")).first()[0]  # the last ones are still open
