@@ -99,10 +99,10 @@ def delivery_faults(task: DataFrame, draft: DataFrame, evidence: DataFrame) -> D
     hashed = own.withColumn("h", evidence_hash(F.col("role"), F.col("summary"), F.col("line_refs"), F.col("confidence"), F.col("ref"), F.col("sha256")))
     out = told(hashed.where("h <> content_hash"), "HASH_MISMATCH").unionByName(told(hashed.where("evidence_id <> concat('evidence-', left(content_hash, 20))"), "ID_MISMATCH"))
     out = out.unionByName(told(evidence.groupBy("task_id", "evidence_id").count().where("count > 1"), "DUPLICATE_EVIDENCE"))
-    said = ["task_id", "place", "summary", "line_refs", "confidence"]
-    want, have = worker_evidence(task, draft).select(F.struct(*said).alias("w")).alias("want"), evidence.select(F.struct(*said).alias("h")).alias("have")
-    both = want.join(have, F.col("want.w").eqNullSafe(F.col("have.h")), "full_outer")
-    return out.unionByName(told(both.where("w is null or h is null").select(F.coalesce("w.task_id", "h.task_id").alias("task_id")), "OUTPUT_MISMATCH"))
+    said = F.to_json(F.struct("place", "summary", "line_refs", "confidence")).alias("said")
+    want, have = worker_evidence(task, draft).select("task_id", said, F.lit(1).alias("w")), evidence.select("task_id", said, F.lit(1).alias("h"))
+    both = want.join(have, ["task_id", "said"], "full_outer")
+    return out.unionByName(told(both.where("w is null or h is null"), "OUTPUT_MISMATCH"))
 
 
 def request_faults(request: DataFrame, document: DataFrame, now: F.Column) -> DataFrame:
