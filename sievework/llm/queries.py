@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, graph, merkle, mixing, packing, pii, quality, sharding, simhash, topk, toxicity, urls
+from . import audio, graph, merkle, mixing, packing, pii, quality, repair, sharding, simhash, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": lambda spark, d: quality.op8_quality(_table(spark, d, "documents"), _table(spark, d, "labels")),
         "op10_graph": _over("embeddings", graph.op10_graph),
         "op9_simhash": _over("documents", simhash.op9_simhash),
+        "op11_repair": _over("conversations", repair.op11_repair),
         "op12_merkle": _over("documents", merkle.op12_merkle),
         "op13_topk": _over("embeddings", topk.op13_topk),
     }
