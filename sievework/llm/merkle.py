@@ -26,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cut, free, small
 
+#: Nodes of a run, and the levels that a block of FANOUT ** ROUNDS nodes climbs in its task.
 FANOUT, ROUNDS = 8, 4
-BLOCK = FANOUT**ROUNDS
 #: Nodes of the top tree that the driver builds, and suffix paths that it broadcasts, at most; beyond it, blocks of blocks.
 TOP = 8192
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -87,9 +87,9 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     return dealt.join(small(starts), same).withColumn("index", F.col("at") + F.col("shift")).drop("at", "part", "p_tree", "shift")
 
 
-def _rounds(total: int) -> int | None:
-    """Levels that a block climbs: all that there are in a tree of one block."""
-    return ROUNDS if total > BLOCK else None
+def _block_levels(rows: list[dict], rounds: int) -> list[list[str]]:
+    """A block's levels: all that there are in a tree of one block."""
+    return levels_of([r["hash"] for r in rows], rounds if rows[0]["total"] > FANOUT**rounds else None)
 
 
 def _in_blocks(nodes: DataFrame, work: Callable, schema: T.StructType) -> DataFrame:
@@ -122,9 +122,8 @@ def _schema(ddl: str, **more: T.DataType) -> T.StructType:
     return T.StructType([*(T.StructField(n, t) for n, t in more.items()), *T.StructType.fromDDL(ddl)])
 
 
-def _reduced(at: tuple, rows: list[dict]) -> list[tuple]:
-    total = rows[0]["total"]
-    return [(at[0], at[1], -(-total // BLOCK), levels_of([r["hash"] for r in rows], _rounds(total))[-1][0])]
+def _reduced(at: tuple, rows: list[dict], rounds: int) -> list[tuple]:
+    return [(*at, -(-rows[0]["total"] // FANOUT**rounds), _block_levels(rows, rounds)[-1][0])]
 
 
 def top_paths(nodes: list[tuple]) -> tuple[str, dict]:
@@ -139,7 +138,7 @@ def top_paths(nodes: list[tuple]) -> tuple[str, dict]:
     return (above[-1][0] if subroots else hashed("")), paths
 
 
-def _suffixed(suffix: Broadcast | None, finish: Callable) -> Callable:
+def _suffixed(suffix: Broadcast | None, finish: Callable, rounds: int) -> Callable:
     """Work on a block that knows the path above it: broadcast, or in a first row of its own (index -1)."""
 
     def work(at: tuple, rows: list[dict]) -> list[tuple]:
@@ -148,7 +147,7 @@ def _suffixed(suffix: Broadcast | None, finish: Callable) -> Callable:
             path, subroot = [(p["left"], p["right"]) for p in head["path"]], head["subroot"]
         else:
             path, subroot = suffix.value[at]
-        levels = levels_of([r["hash"] for r in rows], _rounds(rows[0]["total"]))
+        levels = _block_levels(rows, rounds)
         return [finish(at, r, path_of(levels, i) + path, subroot) for i, r in enumerate(rows)]
 
     return work
@@ -162,49 +161,50 @@ def _to_proof(at: tuple, row: dict, path: Path, subroot: str) -> tuple:
     return row["key"], row["hash"], subroot, hashed("".join(a + b for a, b in path)), folded(row["claim"], path)
 
 
-def _with_suffix(nodes: DataFrame, suffix: Broadcast | DataFrame, finish: Callable, schema: T.StructType) -> DataFrame:
-    keyed = nodes.withColumn("block", _block())
+def _with_suffix(nodes: DataFrame, suffix: Broadcast | DataFrame, finish: Callable, schema: T.StructType, rounds: int) -> DataFrame:
+    keyed = nodes.withColumn("block", _block(rounds))
     if isinstance(suffix, Broadcast):
-        return _in_blocks(keyed, _suffixed(suffix, finish), schema)
+        return _in_blocks(keyed, _suffixed(suffix, finish, rounds), schema)
     heads = suffix.select("tree", F.col("index").alias("block"), F.lit(-1).cast("long").alias("index"), "subroot", "path")
-    return _in_blocks(keyed.unionByName(heads, allowMissingColumns=True), _suffixed(None, finish), schema)
+    return _in_blocks(keyed.unionByName(heads, allowMissingColumns=True), _suffixed(None, finish, rounds), schema)
 
 
-def _block() -> Column:
-    return F.floor(F.col("index") / BLOCK)
+def _block(rounds: int) -> Column:
+    return F.floor(F.col("index") / FANOUT**rounds)
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, rounds: int) -> DataFrame:
     """One node a block."""
-    return cut(_in_blocks(nodes.select("tree", "total", "index", "hash", _block().alias("block")), _reduced, _schema("tree string, index long, total long, hash string")), "tops")
+    return cut(_in_blocks(nodes.select("tree", "total", "index", "hash", _block(rounds).alias("block")), lambda at, rows: _reduced(at, rows, rounds), _schema("tree string, index long, total long, hash string")), "tops")
 
 
-def manifest(rows: DataFrame, leaf: Column, tree: str, key: str, claim: Column | None = None, top: int = TOP) -> DataFrame:
+def manifest(rows: DataFrame, leaf: Column, tree: str, key: str, claim: Column | None = None, rounds: int = ROUNDS, top: int = TOP) -> DataFrame:
     """(key, leaf, subroot, root, proof_sha256, folded_root) of every row.
 
     leaf: the row's hash; tree: its group; claim: the leaf to be verified (default: leaf). proof_sha256 is the hash of the
-    row's siblings on all levels, folded_root what the claim and these siblings give. top: bound of the driver's tree.
+    row's siblings on all levels, folded_root what the claim and these siblings give. rounds: levels of a block; top: bound
+    of the driver's tree.
     """
     named = rows.select(F.col(tree).cast("string").alias("tree"), F.col(key).alias("key"), leaf.alias("hash"), (leaf if claim is None else claim).alias("claim"), F.monotonically_increasing_id().alias("tie"))
     facts = cut(named, "leaves")
     floors, grouped = [cut(_numbered(facts, "key", "hash", "tie").drop("tie"), "nodes")], None
     free(facts)
-    tops = _tops(floors[0])
+    tops = _tops(floors[0], rounds)
     while tops.limit(top + 1).count() > top:
         if grouped is None and tops.agg(F.max("total")).first()[0] == 1:
             # More groups than the driver takes: their subroots are the leaves of one more tree.
             grouped = len(floors)
             tops = cut(_numbered(tops.select(F.lit(None).cast("string").alias("tree"), F.col("tree").alias("name"), "hash"), "name"), "nodes")
         floors.append(tops)
-        tops = _tops(tops)
+        tops = _tops(tops, rounds)
     root, paths = top_paths([tuple(r) for r in tops.select("tree", "index", "hash").collect()])  # at most top rows
     suffix: Broadcast | DataFrame = rows.sparkSession.sparkContext.broadcast(paths)
     for i in range(len(floors) - 1, 0, -1):
-        suffix = cut(_with_suffix(floors[i], suffix, _to_path, _schema(f"tree string, index long, subroot string, path {PATH}")), "paths")
+        suffix = cut(_with_suffix(floors[i], suffix, _to_path, _schema(f"tree string, index long, subroot string, path {PATH}"), rounds), "paths")
         if i == grouped:
             trees = floors[i].select("index", F.col("name").alias("tree"), F.col("hash").alias("subroot"))
             suffix = suffix.select("index", "path").join(trees, "index").withColumn("index", F.lit(0).cast("long"))
-    out = _with_suffix(floors[0], suffix, _to_proof, _schema("leaf string, subroot string, proof_sha256 string, folded_root string", key=floors[0].schema["key"].dataType))
+    out = _with_suffix(floors[0], suffix, _to_proof, _schema("leaf string, subroot string, proof_sha256 string, folded_root string", key=floors[0].schema["key"].dataType), rounds)
     return out.select(F.col("key").alias(key), "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root")
 
 
