@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .interval import first_lines
 from .routing import UNIVERSE
 from .transport import canonical_json
 
@@ -82,12 +83,8 @@ def overlapping_buckets(bucket: DataFrame) -> DataFrame:
 
 
 def node_lines(node: DataFrame, line: DataFrame) -> DataFrame:
-    """(review_id, hunk_id, node, line_number): the first line, and rather the first added one, within each node's span.
-
-    Nodes and lines meet within their hunk, so a review of any size is split.
-    """
-    both = node.join(line, ["review_id", "hunk_id"]).where("line_number between start_line and end_line")
-    return both.groupBy("review_id", "hunk_id", "node").agg(F.coalesce(F.min(F.when(F.col("kind") == "addition", F.col("line_number"))), F.min("line_number")).alias("line_number"))
+    """(review_id, hunk_id, node, line_number): the first line, and rather the first added one, within each node's span."""
+    return first_lines(node, line, ["review_id", "hunk_id"])
 
 
 def appended(before: DataFrame, after: DataFrame, linked: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SEVERITY_RANK, STATUS_RANK, overlaps, rank, stable_id
+from ..functions.scalars import SEVERITY_RANK, STATUS_RANK, rank, stable_id
+from .interval import overlapping
 from .validation import SPOT
 
 #: Kinds of conflicts whose findings can't block.
@@ -69,19 +70,19 @@ def disqualified(conflict: DataFrame) -> DataFrame:
     return conflict.where("not resolved").where(F.col("type").isin(DISQUALIFYING)).select("review_id", F.explode("finding_ids").alias("finding_id")).distinct()
 
 
-def related_routes(finding: DataFrame, route: DataFrame) -> DataFrame:
-    """Pairs of findings and routes of one category, some place of the finding overlapping the route's."""
+def related_routes(finding: DataFrame, route: DataFrame, route_place: DataFrame) -> DataFrame:
+    """Pairs of findings and routes of one category, some place of the finding overlapping one of the route's."""
     spots = finding.where("places is not null").select("review_id", "finding_id", "category", F.explode("places").alias("p")).select("review_id", "finding_id", "category", "p.*")
-    r = route.select("review_id", "route_id", "category", "file_path", "hunk_id", "side", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end")).distinct()
-    joined = spots.join(r, ["review_id", "category", "file_path", "hunk_id", "side"])
-    return joined.where(overlaps(F.col("start_line"), F.col("end_line"), F.col("r_start"), F.col("r_end"))).select("review_id", "finding_id", "route_id").distinct()
+    r = route.select("review_id", "route_id", "category").distinct().join(route_place, ["review_id", "route_id"])
+    r = r.select("review_id", "route_id", "category", "file_path", "hunk_id", "side", F.col("start_line").alias("other_start"), F.col("end_line").alias("other_end")).distinct()
+    return overlapping(spots, r, ["review_id", "category", "file_path", "hunk_id", "side"]).select("review_id", "finding_id", "route_id").distinct()
 
 
-def coverage_gaps(route: DataFrame, coverage: DataFrame, finding: DataFrame) -> DataFrame:
-    """(route, skill) pairs without completed coverage, with the findings they concern."""
-    own = coverage.groupBy("review_id", "route_id", "skill").agg(F.bool_and(F.col("status") == "completed").alias("complete"))
+def coverage_gaps(route: DataFrame, covered: DataFrame, related: DataFrame) -> DataFrame:
+    """(route, skill) pairs without completed coverage, with the findings they concern. covered: coverage, once a route."""
+    own = covered.groupBy("review_id", "route_id", "skill").agg(F.bool_and(F.col("status") == "completed").alias("complete"))
     gaps = route.select("review_id", "route_id", "skill").distinct().join(own, ["review_id", "route_id", "skill"], "left").where("not coalesce(complete, false)").drop("complete")
-    ids = related_routes(finding, route).groupBy("review_id", "route_id").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
+    ids = related.groupBy("review_id", "route_id").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
     return gaps.join(ids, ["review_id", "route_id"], "left").withColumn("finding_ids", F.coalesce("finding_ids", F.array().cast("array<string>")))
 
 

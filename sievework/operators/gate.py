@@ -7,34 +7,37 @@ bucket is a relation of its own. Several readings of one part cost one computati
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SEVERITY_RANK, rank
-from ..scratch import cut
+from ..scratch import cut, free, kept, released
 from . import assurance, policy, validation
 from .routing import ALWAYS_ON
 
 #: The relations of a gate, by name.
-RELATIONS = ("review", "artifact", "lineage", "root", "finding", "place", "evidence", "link", "verified", "hunk", "route", "coverage", "conflict")
+RELATIONS = ("review", "artifact", "lineage", "root", "finding", "place", "evidence", "link", "verified", "hunk", "route", "route_place", "coverage", "coverage_route", "coverage_file", "conflict")
 
 
-def mandatory_gaps(review: DataFrame, route: DataFrame, coverage: DataFrame, told: policy.Policy = policy.FROZEN) -> DataFrame:
+def mandatory_gaps(review: DataFrame, route: DataFrame, coverage: DataFrame, covered: DataFrame, told: policy.Policy = policy.FROZEN) -> DataFrame:
     """(review_id, coverage_id, error_code, provider_failure) of incomplete mandatory coverage; an id is null where no valid record is.
 
     Valid records must be mandatory and completed: those marked mandatory, those of the skills that every review needs, and
-    those of every skill of a mandatory route. coverage: the facts.
+    those of every skill of a mandatory route. coverage: the facts; covered: the same, once a route.
     """
-    valid = coverage.where("not bad").select("review_id", "coverage_id", "skill", "route_id", "mandatory", "status", "error_code")
+    valid = coverage.where("not bad").select("review_id", "coverage_id", "skill", "mandatory", "status", "error_code")
+    by = covered.where("not bad").select("review_id", "coverage_id", "skill", "route_id", "mandatory", "status", "error_code")
     done = F.col("mandatory") & (F.col("status") == "completed")
     own = valid.where("mandatory and status <> 'completed'").select("review_id", "coverage_id", "error_code")
     skills = F.explode(F.array(*map(F.lit, told.always_required)).cast("array<string>")).alias("skill")
     always = review.select("review_id").distinct().select("review_id", skills).join(valid.groupBy("review_id", "skill").agg(F.bool_and(done).alias("done")), ["review_id", "skill"], "left").where("not coalesce(done, false)")
-    routed = route.where("mandatory").select("review_id", "route_id", "skill").distinct().join(valid.groupBy("review_id", "route_id", "skill").agg(F.bool_and(done).alias("done")), ["review_id", "route_id", "skill"], "left").where("not coalesce(done, false)")
+    routed = route.where("mandatory").select("review_id", "route_id", "skill").distinct().join(by.groupBy("review_id", "route_id", "skill").agg(F.bool_and(done).alias("done")), ["review_id", "route_id", "skill"], "left").where("not coalesce(done, false)")
     by_skill = always.join(valid.select("review_id", "skill", "coverage_id", "error_code"), ["review_id", "skill"], "left")
-    by_route = routed.join(valid.select("review_id", "route_id", "skill", "coverage_id", "error_code"), ["review_id", "route_id", "skill"], "left")
+    by_route = routed.join(by.select("review_id", "route_id", "skill", "coverage_id", "error_code"), ["review_id", "route_id", "skill"], "left")
     out = own.unionByName(by_skill.select(own.columns)).unionByName(by_route.select(own.columns)).distinct()
     return out.withColumn("provider_failure", F.coalesce(F.col("error_code").isin(told.provider_codes), F.lit(False)))
 
@@ -54,10 +57,30 @@ class Gate:
 
     def __init__(self, told: policy.Policy = policy.FROZEN, always_on: list[str] = ALWAYS_ON, **relations: DataFrame) -> None:
         self.policy, self.always_on, self.r = told, always_on, relations
+        self._written: list[DataFrame] = []
+
+    def __enter__(self) -> Gate:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.end()
+
+    def end(self) -> None:
+        """Delete the written parts: for when no result of theirs will be read again."""
+        while self._written:
+            free(self._written.pop())
+
+    def _kept(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        """What make gives, written once, until the gate's end; what it writes on its way goes at once."""
+        with released():
+            rows = make()
+            with kept():
+                self._written.append(cut(rows, name))
+        return self._written[-1]
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return cut(validation.evidence_facts(self.r["evidence"], self.r["verified"], self.r["hunk"], self.r["artifact"], self.policy), "evidence")
+        return self._kept(lambda: validation.evidence_facts(self.r["evidence"], self.r["verified"], self.r["hunk"], self.r["artifact"], self.policy), "evidence")
 
     @cached_property
     def places(self) -> DataFrame:
@@ -69,36 +92,61 @@ class Gate:
 
     @cached_property
     def finding(self) -> DataFrame:
-        return cut(validation.finding_facts(self.r["finding"], self.places, self.pairs, self.r["artifact"]), "finding")
+        return self._kept(lambda: validation.finding_facts(self.r["finding"], self.places, self.pairs, self.r["artifact"]), "finding")
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return cut(validation.coverage_facts(self.r["coverage"], self.r["route"], self.r["hunk"], self.r["artifact"], self.policy, self.always_on), "coverage")
+        return self._kept(lambda: validation.coverage_facts(self.r["coverage"], self.r["coverage_route"], self.r["coverage_file"], self.r["route"], self.r["hunk"], self.r["artifact"], self.policy, self.always_on), "coverage")
+
+    @cached_property
+    def covered(self) -> DataFrame:
+        """Coverage, once for every route that a record names."""
+        return self._kept(lambda: validation.covered_routes(self.coverage, self.r["coverage_route"]), "covered")
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return mandatory_gaps(self.r["review"], self.r["route"], self.coverage, self.policy)
+        return mandatory_gaps(self.r["review"], self.r["route"], self.coverage, self.covered, self.policy)
+
+    @cached_property
+    def related(self) -> DataFrame:
+        return assurance.related_routes(self.finding, self.r["route"], self.r["route_place"])
 
     @cached_property
     def coverage_gaps(self) -> DataFrame:
-        return assurance.coverage_gaps(self.r["route"], self.coverage, self.finding)
+        return assurance.coverage_gaps(self.r["route"], self.covered, self.related)
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        return cut(assurance.all_conflicts(self.finding, self.coverage_gaps, self.r["conflict"]), "conflicts")
+        return self._kept(lambda: assurance.all_conflicts(self.finding, self.coverage_gaps, self.r["conflict"]), "conflicts")
+
+    def _parts(self) -> list[tuple[tuple[str, ...], Callable[[], DataFrame]]]:
+        """What each group of issue codes is read off."""
+        r, v = self.r, validation
+        return [
+            (v.EVIDENCE_CODES, lambda: v.told(self.evidence, "evidence_id")),
+            (v.FINDING_CODES, lambda: v.finding_issues(self.finding)),
+            (v.COVERAGE_CODES, lambda: v.told(self.coverage, "coverage_id")),
+            (("PLANNED_COVERAGE_MISSING",), lambda: v.planned_coverage(r["review"], r["route"], self.coverage, self.covered, self.always_on)),
+            (("ROUTE_LOCATION_INVALID",), lambda: v.route_issues(r["route_place"], r["hunk"])),
+            (("DUPLICATE_ARTIFACT_ID",), lambda: v.repeated_artifacts(r["artifact"])),
+            (("ARTIFACT_REVIEW_MISMATCH",), lambda: v.review_mismatches(r["artifact"])),
+            (("ARTIFACT_LINEAGE_DANGLING",), lambda: v.dangling_lineage(r["lineage"], r["artifact"], r["root"])),
+            (("ARTIFACT_LINEAGE_CYCLE",), lambda: v.lineage_cycles(r["lineage"])),
+            (v.CONFLICT_CODES, lambda: v.conflict_issues(r["conflict"], r["finding"], self.policy)),
+        ]
+
+    def _union(self, codes: tuple[str, ...] | None) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [make() for known, make in self._parts() if codes is None or set(known) & set(codes)]).distinct()
 
     @cached_property
     def issues(self) -> DataFrame:
         """(review_id, code, subject) of everything that is wrong."""
-        r = self.r
-        parts = [
-            validation.record_issues(self.evidence, self.finding, self.coverage), validation.planned_coverage(r["review"], r["route"], self.coverage, self.always_on), validation.route_issues(r["route"], r["hunk"]),
-            validation.artifact_issues(r["artifact"], r["lineage"], r["root"]), validation.conflict_issues(r["conflict"], r["finding"], self.policy),
-        ]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out.distinct()
+        return self._kept(lambda: self._union(None), "issues")
+
+    def issues_of(self, *codes: str) -> DataFrame:
+        """The issues of some codes, off the relations that they need, or off all issues where these are there."""
+        rows = self.issues if "issues" in self.__dict__ else self._union(codes)
+        return rows.where(F.col("code").isin(*codes))
 
     @cached_property
     def marked(self) -> DataFrame:
@@ -108,7 +156,8 @@ class Gate:
         usable = ~F.col("invalid") & F.col("barred").isNull() & F.col("new_side")
         level = rank(F.col("severity"), SEVERITY_RANK)
         strong = usable & (F.col("status") == "confirmed") & (level >= SEVERITY_RANK["high"]) & (F.col("best_new") >= 3)
-        return rows.select("review_id", "finding_id", "invalid", level.alias("level"), (F.col("status") != "dismissed").alias("active"), policy.block_rules(self.policy, usable).alias("blocks"), F.coalesce(strong, F.lit(False)).alias("strong"))
+        out = rows.select("review_id", "finding_id", "invalid", level.alias("level"), (F.col("status") != "dismissed").alias("active"), policy.block_rules(self.policy, usable).alias("blocks"), F.coalesce(strong, F.lit(False)).alias("strong"))
+        return self._kept(lambda: out, "marked")
 
     def _tampered(self) -> DataFrame:
         return self.issues.groupBy("review_id").agg(F.bool_or(F.col("code").isin(validation.TAMPER_CODES)).alias("tampered"))
@@ -123,7 +172,7 @@ class Gate:
         by_level = F.array_compact(F.array(F.when(free & (F.col("level") >= 3), "N004"), F.when(free & (F.col("level") == 2), "N005")))
         asks = (F.size(by_level) > 0) | F.col("invalid") | F.coalesce("contested", F.lit(False))
         bucket = F.when(F.size(own) > 0, "blocking").when(asks, "review").when(F.col("active"), "warning")
-        return rows.select("review_id", "finding_id", bucket.alias("bucket"), F.concat(own, by_level).alias("rules")).where("bucket is not null").distinct()
+        return self._kept(lambda: rows.select("review_id", "finding_id", bucket.alias("bucket"), F.concat(own, by_level).alias("rules")).where("bucket is not null").distinct(), "buckets")
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -145,7 +194,8 @@ class Gate:
             policy.INTEGRITY_BLOCK: b004, "N001": yes("N001"), "N002": yes("truncated") | yes("unsupported"), "N003": yes("N003"), "N004": yes("high") | (yes("high_strong") & ~b004), "N005": yes("medium"),
             "N006": yes("wrong") | yes("lacking") | yes("repair_exhausted"), "N007": yes("N007"), "N008": yes("recheck_exhausted"),
         }
-        return rows.select("review_id", F.array_compact(F.array(*[F.when(c, F.lit(rule)) for rule, c in held.items()])).alias("rules"), F.when(yes("broken"), F.lit(policy.INPUT_FAILURE)).alias("failure"), (~yes("N001") & ~yes("lacking") & ~yes("broken")).alias("coverage_complete"))
+        out = rows.select("review_id", F.array_compact(F.array(*[F.when(c, F.lit(rule)) for rule, c in held.items()])).alias("rules"), F.when(yes("broken"), F.lit(policy.INPUT_FAILURE)).alias("failure"), (~yes("N001") & ~yes("lacking") & ~yes("broken")).alias("coverage_complete"))
+        return self._kept(lambda: out, "rules")
 
     @cached_property
     def decisions(self) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import stable_id
 from .assembly import DETERMINISTIC
 from .gate import Gate
+from .interval import overlapping
 from .validation import SPOT
 
 # Targets of a request, and the skills that a quality artifact covers.
@@ -35,8 +36,10 @@ def targets(gate: Gate) -> DataFrame:
     valid = gate.coverage.where("not bad").withColumn("done", F.col("mandatory") & (F.col("status") == "completed"))
     review, route = gate.r["review"], gate.r["route"]
     always = review.select("review_id").distinct().select("review_id", F.explode(F.array(*map(F.lit, gate.always_on))).alias("skill")).join(valid.groupBy("review_id", "skill").agg(F.bool_and("done").alias("done")), ["review_id", "skill"], "left").withColumns({"route_id": text(), "places": F.array().cast(_PLACES)})
-    spot = F.array(F.struct(*SPOT)).cast(_PLACES).alias("places")
-    routed = route.where("mandatory").select("review_id", "route_id", "skill", spot).join(valid.groupBy("review_id", "route_id", "skill").agg(F.bool_and("done").alias("done")), ["review_id", "route_id", "skill"], "left")
+    by_route = gate.covered.where("not bad").groupBy("review_id", "route_id", "skill").agg(F.bool_and(F.col("mandatory") & (F.col("status") == "completed")).alias("done"))
+    spots = gate.r["route_place"].groupBy("review_id", "route_id").agg(F.array_sort(F.collect_set(F.struct(*SPOT))).cast(_PLACES).alias("places"))
+    routed = route.where("mandatory").select("review_id", "route_id", "skill").distinct().join(by_route, ["review_id", "route_id", "skill"], "left").join(spots, ["review_id", "route_id"], "left")
+    routed = routed.select("review_id", "skill", "done", "route_id", "places")
     lacking = always.unionByName(routed).where("not coalesce(done, false)")
     by_coverage = lacking.select("review_id", F.lit("coverage").alias("kind"), F.concat_ws(":", "skill", "route_id").alias("subject"), none.alias("finding_ids"), text().alias("conflict_id"), "skill", "route_id", "places")
     out = by_conflict.unionByName(by_finding).unionByName(by_coverage).join(wanted, "review_id", "left_semi")
@@ -84,8 +87,8 @@ def violations(request: DataFrame, target: DataFrame, original: DataFrame, findi
         outside(added_link, finding, "finding_id", "EVIDENCE_UNASSIGNED"),
     ]
     located = added.where("hunk_id is not null")
-    spots = target.select("review_id", F.explode("places").alias("p")).select("review_id", "p.file_path", "p.hunk_id", "p.side", F.col("p.start_line").alias("first"), F.col("p.end_line").alias("last")).distinct()
-    inside = located.join(spots, ["review_id", "file_path", "hunk_id", "side"]).where("start_line <= last and first <= end_line").select("review_id", "evidence_id")
+    spots = target.select("review_id", F.explode("places").alias("p")).select("review_id", "p.file_path", "p.hunk_id", "p.side", F.col("p.start_line").alias("other_start"), F.col("p.end_line").alias("other_end")).distinct()
+    inside = overlapping(located.select("review_id", "evidence_id", "file_path", "hunk_id", "side", "start_line", "end_line"), spots, ["review_id", "file_path", "hunk_id", "side"]).select("review_id", "evidence_id")
     out.append(told(located.join(inside, ["review_id", "evidence_id"], "left_anti"), "EVIDENCE_OUT_OF_PLACE"))
     proof = added.where("source <> 'llm' and level in ('E2', 'E3') and hunk_id is not null").select("review_id", "evidence_id").join(added_link, ["review_id", "evidence_id"]).select("review_id", "finding_id")
     out.append(told(finding_resolution.where("status in ('confirmed', 'dismissed')").join(proof, ["review_id", "finding_id"], "left_anti"), "UNSUPPORTED_STATUS"))

@@ -2,23 +2,28 @@
 
 Relations, all keyed by review_id (see plans/fixtures.py for their columns): finding, place (the locations of a finding, any
 number), evidence, link (finding to evidence), verified (trusted E3 ids), hunk (the parsed diff), route (one row a route and
-skill), coverage, artifact, lineage, root, conflict (one row a reference). Every fact is made once; issues, invalid records
+skill), route_place, coverage (one row a record), coverage_route and coverage_file (any number a record), artifact, lineage, root, conflict (one row a reference). Every fact is made once; issues, invalid records
 and the gate's rules are read off the facts.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LEVEL_RANK, content_hash, overlaps, rank
+from . import cycles
 from .policy import FROZEN, Policy
 from .routing import ALWAYS_ON
 
 # Issue codes that count as tampering.
 TAMPER_CODES = ["ARTIFACT_LINEAGE_CYCLE", "ARTIFACT_LINEAGE_DANGLING", "CONFLICT_FINDING_DANGLING", "CONFLICT_RULE_DANGLING", "DUPLICATE_ARTIFACT_ID", "DUPLICATE_CONFLICT_ID", "DUPLICATE_COVERAGE_ID", "DUPLICATE_EVIDENCE_ID", "DUPLICATE_FINDING_ID", "E3_PROVENANCE_UNVERIFIED", "EVIDENCE_FINDING_LOCATION_MISMATCH", "EVIDENCE_LOCATION_INVALID", "FINDING_EVIDENCE_DANGLING", "FINDING_LOCATION_INVALID", "ROUTE_LOCATION_INVALID", "VERIFIED_E3_DANGLING"]
+#: Codes by the relation whose facts tell them.
+EVIDENCE_CODES = ("DUPLICATE_EVIDENCE_ID", "EVIDENCE_LOCATION_INVALID", "E3_PROVENANCE_UNVERIFIED", "E3_DETECTOR_NOT_ALLOWED", "VERIFIED_E3_DANGLING", "VERIFIED_E3_NOT_E3")
+FINDING_CODES = ("DUPLICATE_FINDING_ID", "FINDING_LOCATION_INVALID", "FINDING_EVIDENCE_DANGLING", "FINDING_HAS_NO_QUALIFIED_EVIDENCE", "EVIDENCE_FINDING_LOCATION_MISMATCH")
+COVERAGE_CODES = ("DUPLICATE_COVERAGE_ID", "COVERAGE_ROUTE_DANGLING", "COVERAGE_FILE_INVALID", "MANDATORY_COVERAGE_DOWNGRADED")
+CONFLICT_CODES = ("DUPLICATE_CONFLICT_ID", "CONFLICT_FINDING_DANGLING", "CONFLICT_RULE_DANGLING")
 SPOT = ["file_path", "hunk_id", "side", "start_line", "end_line", "snippet_hash"]
 
 
@@ -32,7 +37,7 @@ def _issues(rows: DataFrame, code: str, subject: str | Column) -> DataFrame:
     return rows.select("review_id", F.lit(code).alias("code"), what.alias("subject")).distinct()
 
 
-def _told(facts: DataFrame, subject: str) -> DataFrame:
+def told(facts: DataFrame, subject: str) -> DataFrame:
     """(review_id, code, subject) of facts with codes."""
     return facts.select("review_id", F.explode("codes").alias("code"), F.col(subject).alias("subject"))
 
@@ -107,23 +112,33 @@ def finding_facts(finding: DataFrame, places: DataFrame, pair: DataFrame, artifa
     }).drop("mismatched")
 
 
-def coverage_facts(coverage: DataFrame, route: DataFrame, hunk: DataFrame, artifact: DataFrame, policy: Policy = FROZEN, always_on: list[str] = ALWAYS_ON) -> DataFrame:
-    """Coverage with bad and codes."""
-    wanted = route.groupBy("review_id", "route_id").agg(F.collect_set(F.struct("skill", "mandatory")).alias("wanted"))
-    inside = known_paths(hunk).select("review_id", F.col("path").alias("file_path"), F.lit(True).alias("inside"))
-    rows = with_origin(coverage.withColumn("copies", _copies("coverage_id")), artifact).join(wanted, ["review_id", "route_id"], "left").join(inside, ["review_id", "file_path"], "left")
-    asked = F.coalesce(F.exists("wanted", lambda w: (w["skill"] == F.col("skill")) & w["mandatory"]), F.lit(False)) | F.col("skill").isin([s for s in policy.always_required if s in always_on])
-    codes = _codes(DUPLICATE_COVERAGE_ID=F.col("copies") > 1, COVERAGE_ROUTE_DANGLING=F.col("route_id").isNotNull() & F.col("wanted").isNull(), COVERAGE_FILE_INVALID=F.col("file_path").isNotNull() & F.col("inside").isNull(), MANDATORY_COVERAGE_DOWNGRADED=asked & ~F.col("mandatory"))
-    return rows.withColumns({"bad": F.col("foreign") | (F.size(codes) > 0), "codes": codes}).drop("wanted", "inside")
+def coverage_facts(coverage: DataFrame, coverage_route: DataFrame, coverage_file: DataFrame, route: DataFrame, hunk: DataFrame, artifact: DataFrame, policy: Policy = FROZEN, always_on: list[str] = ALWAYS_ON) -> DataFrame:
+    """Coverage records with bad and codes; a record names any number of routes and files, in relations of their own."""
+    yes = lambda name: F.lit(True).alias(name)
+    known = route.select("review_id", "route_id", yes("known")).distinct()
+    asked = route.where("mandatory").select("review_id", "route_id", "skill", yes("asked")).distinct()
+    named = coverage.select("review_id", "coverage_id", "skill").distinct().join(coverage_route.select("review_id", "coverage_id", "route_id").distinct(), ["review_id", "coverage_id"])
+    routes = named.join(known, ["review_id", "route_id"], "left").join(asked, ["review_id", "route_id", "skill"], "left").groupBy("review_id", "coverage_id", "skill").agg(F.bool_or(F.col("known").isNull()).alias("lost"), F.max("asked").alias("asked"))
+    inside = known_paths(hunk).select("review_id", F.col("path").alias("file_path"))
+    outside = coverage_file.join(inside, ["review_id", "file_path"], "left_anti").select("review_id", "coverage_id", yes("outside")).distinct()
+    rows = with_origin(coverage.withColumn("copies", _copies("coverage_id")), artifact).join(routes, ["review_id", "coverage_id", "skill"], "left").join(outside, ["review_id", "coverage_id"], "left")
+    wanted = F.coalesce("asked", F.lit(False)) | F.col("skill").isin([s for s in policy.always_required if s in always_on])
+    codes = _codes(DUPLICATE_COVERAGE_ID=F.col("copies") > 1, COVERAGE_ROUTE_DANGLING=F.col("lost"), COVERAGE_FILE_INVALID=F.col("outside"), MANDATORY_COVERAGE_DOWNGRADED=wanted & ~F.col("mandatory"))
+    return rows.withColumns({"bad": F.col("foreign") | (F.size(codes) > 0), "codes": codes}).drop("lost", "asked", "outside")
+
+
+def covered_routes(coverage: DataFrame, coverage_route: DataFrame) -> DataFrame:
+    """Coverage records, once for every route that they name."""
+    return coverage.join(coverage_route.select("review_id", "coverage_id", "route_id").distinct(), ["review_id", "coverage_id"])
 
 
 def known_paths(hunk: DataFrame) -> DataFrame:
     return hunk.select("review_id", F.explode(F.array("old_path", "new_path")).alias("path")).where("path is not null").distinct()
 
 
-def planned_coverage(review: DataFrame, route: DataFrame, coverage: DataFrame, always_on: list[str] = ALWAYS_ON) -> DataFrame:
+def planned_coverage(review: DataFrame, route: DataFrame, coverage: DataFrame, covered: DataFrame, always_on: list[str] = ALWAYS_ON) -> DataFrame:
     """Issues of planned (route, skill) pairs, and of always-on skills of a review, that no coverage record names."""
-    pairs = route.select("review_id", "route_id", "skill").distinct().join(coverage, ["review_id", "route_id", "skill"], "left_anti")
+    pairs = route.select("review_id", "route_id", "skill").distinct().join(covered, ["review_id", "route_id", "skill"], "left_anti")
     grid = review.select("review_id").distinct().select("review_id", F.explode(F.array(*map(F.lit, always_on))).alias("skill")).join(coverage, ["review_id", "skill"], "left_anti")
     return _issues(pairs, "PLANNED_COVERAGE_MISSING", F.concat_ws(":", "route_id", "skill")).unionByName(_issues(grid, "PLANNED_COVERAGE_MISSING", "skill"))
 
@@ -134,69 +149,22 @@ def dangling_lineage(lineage: DataFrame, artifact: DataFrame, root: DataFrame |
     return _issues(lineage.join(known, ["review_id", "parent_id"], "left_anti"), "ARTIFACT_LINEAGE_DANGLING", "artifact_id")
 
 
-def _on_cycles(edges: list[tuple[str, str]]) -> list[str]:
-    """Nodes that reach themselves: strongly connected components of two or more, and self-loops; no recursion."""
-    out: dict[str, list[str]] = {}
-    for a, b in edges:
-        out.setdefault(a, []).append(b)
-    index, low, stack, held, found = {}, {}, [], set(), {a for a, b in edges if a == b}
-    for start in out:
-        if start in index:
-            continue
-        index[start] = low[start] = len(index)
-        stack.append(start)
-        held.add(start)
-        work = [(start, iter(out[start]))]
-        while work:
-            node, rest = work[-1]
-            nxt = next(rest, None)
-            if nxt is None:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    part = []
-                    while not part or part[-1] != node:
-                        part.append(stack.pop())
-                        held.discard(part[-1])
-                    found.update(part if len(part) > 1 else ())
-            elif nxt not in index:
-                index[nxt] = low[nxt] = len(index)
-                stack.append(nxt)
-                held.add(nxt)
-                work.append((nxt, iter(out.get(nxt, ()))))
-            elif nxt in held:
-                low[node] = min(low[node], index[nxt])
-    return sorted(found)
-
-
 def lineage_cycles(lineage: DataFrame) -> DataFrame:
-    """Artifacts on a cycle of their review's lineage.
-
-    Only artifacts that are both a child and a parent can be on one; of those, one review is one group.
-    """
-
-    def cycles(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ids = _on_cycles(list(zip(frame["artifact_id"], frame["parent_id"], strict=True)))
-        return pd.DataFrame({"review_id": pd.Series([int(key[0])] * len(ids), dtype="int64"), "subject": pd.Series(ids, dtype=object)})
-
-    edges = lineage.select("review_id", "artifact_id", "parent_id").distinct()
-    parents, children = edges.select("review_id", F.col("parent_id").alias("artifact_id")), edges.select("review_id", F.col("artifact_id").alias("parent_id"))
-    inner = edges.join(parents, ["review_id", "artifact_id"], "left_semi").join(children, ["review_id", "parent_id"], "left_semi")
-    return _issues(inner.groupBy("review_id").applyInPandas(cycles, "review_id long, subject string"), "ARTIFACT_LINEAGE_CYCLE", "subject")
+    """Artifacts on a cycle of their review's lineage."""
+    links = lineage.select("review_id", F.col("artifact_id").alias("a"), F.col("parent_id").alias("b"))
+    return _issues(cycles.on_cycle(links, "review_id"), "ARTIFACT_LINEAGE_CYCLE", "node")
 
 
 def review_mismatches(artifact: DataFrame) -> DataFrame:
     return _issues(artifact.where("own_review_id <> review_id"), "ARTIFACT_REVIEW_MISMATCH", "artifact_id")
 
 
-def artifact_issues(artifact: DataFrame, lineage: DataFrame, root: DataFrame) -> DataFrame:
-    many = artifact.groupBy("review_id", "artifact_id").count().where("count > 1")
-    return _issues(many, "DUPLICATE_ARTIFACT_ID", "artifact_id").unionByName(review_mismatches(artifact)).unionByName(dangling_lineage(lineage, artifact, root)).unionByName(lineage_cycles(lineage))
+def repeated_artifacts(artifact: DataFrame) -> DataFrame:
+    return _issues(artifact.groupBy("review_id", "artifact_id").count().where("count > 1"), "DUPLICATE_ARTIFACT_ID", "artifact_id")
 
 
-def route_issues(route: DataFrame, hunk: DataFrame) -> DataFrame:
-    return _issues(with_hunks(route, hunk).where("misplaced"), "ROUTE_LOCATION_INVALID", "route_id")
+def route_issues(route_place: DataFrame, hunk: DataFrame) -> DataFrame:
+    return _issues(with_hunks(route_place, hunk).where("misplaced"), "ROUTE_LOCATION_INVALID", "route_id")
 
 
 def conflict_issues(conflict: DataFrame, finding: DataFrame, policy: Policy = FROZEN) -> DataFrame:
@@ -207,10 +175,9 @@ def conflict_issues(conflict: DataFrame, finding: DataFrame, policy: Policy = FR
     return _issues(many, "DUPLICATE_CONFLICT_ID", "conflict_id").unionByName(_issues(unknown, "CONFLICT_FINDING_DANGLING", "conflict_id")).unionByName(_issues(other, "CONFLICT_RULE_DANGLING", "conflict_id"))
 
 
-def record_issues(evidence: DataFrame, finding: DataFrame, coverage: DataFrame) -> DataFrame:
-    """The issues that facts tell."""
-    of_findings = finding.select("review_id", F.explode("issues").alias("i")).select("review_id", "i.code", "i.subject")
-    return _told(evidence, "evidence_id").unionByName(of_findings).unionByName(_told(coverage, "coverage_id"))
+def finding_issues(finding: DataFrame) -> DataFrame:
+    """The issues that the facts of findings tell."""
+    return finding.select("review_id", F.explode("issues").alias("i")).select("review_id", "i.code", "i.subject")
 
 
 def broken_core(review: DataFrame) -> DataFrame:

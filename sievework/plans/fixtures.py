@@ -46,6 +46,13 @@ def _union(*parts: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+#: Number, category, skill, whether mandatory and where of the routes that a review may have beside its first.
+_MORE_ROUTES = [(2, "sql_injection", "detect_injection", "o_orderkey % 2 = 0", "o_orderkey % 3 = 1"), (3, "performance", "review_code_quality", "true", "o_orderkey % 12 = 1"), (4, "auth_boundary", "security_semantic_review", "true", "o_orderkey % 24 = 1")]
+_ROUTE_FILE = "CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 4 ELSE o_orderkey % 6 END"
+_SKILL_GRID = "CROSS JOIN (SELECT 0 AS n, 'detect_secret' AS skill UNION ALL SELECT 1, 'security_semantic_review' UNION ALL SELECT 2, 'review_code_quality' UNION ALL SELECT 3, 'detect_injection') s"
+_COVERED = "o.o_orderkey AS review_id, 'c-' || CAST(o.o_orderkey AS STRING) || '-' || s.skill AS coverage_id"
+
+
 #: Relation -> SQL over the driver's tables.
 RELATIONS: dict[str, str] = {
     "review": """SELECT o_orderkey AS review_id, CASE WHEN o_orderkey % 83 = 7 THEN ' ' ELSE 't-' || CAST(o_orderkey AS STRING) END AS trace_id, CASE WHEN o_orderkey % 89 <> 3 THEN CAST('2026-01-01 00:00:00' AS TIMESTAMP) END AS decided_at,
@@ -66,21 +73,36 @@ RELATIONS: dict[str, str] = {
         f"SELECT l_orderkey AS review_id, 'e2-' || {_ID} AS evidence_id FROM lineitem WHERE l_orderkey % 5 <> 0 AND l_partkey % 4 = 0 AND ({_TAX} + 3) % 4 = 3",
     ),
     "hunk": "SELECT o.o_orderkey AS review_id, 'h' || CAST(i.i AS STRING) AS hunk_id, 'src/m' || CAST(i.i AS STRING) || '.py' AS new_path, CASE WHEN i.i = 3 THEN 'src/old3.py' ELSE 'src/m' || CAST(i.i AS STRING) || '.py' END AS old_path FROM orders o CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) i",
-    "route": _union(*[
-        f"""SELECT o_orderkey AS review_id, 'r-' || CAST(o_orderkey AS STRING) AS route_id, CASE o_orderkey % 6 WHEN 0 THEN 'secret' WHEN 1 THEN 'sql_injection' WHEN 2 THEN 'command_injection' WHEN 3 THEN 'logic' WHEN 4 THEN 'dangerous_call' ELSE 'performance' END AS category,
-        {skill} AS skill, o_orderpriority IN ('1-URGENT', '2-HIGH') AS mandatory, 'src/m' || CAST({file} AS STRING) || '.py' AS file_path, o_custkey % 40 AS start_line, o_custkey % 40 + 3 AS end_line, 'new' AS side, 'h' || CAST({file} AS STRING) AS hunk_id, 's-r' AS snippet_hash FROM orders WHERE {where}"""
-        for file in ("CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 4 ELSE o_orderkey % 6 END",)
-        for skill, where in (("CASE o_orderkey % 3 WHEN 0 THEN 'detect_injection' WHEN 1 THEN 'review_code_quality' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'detect_injection' ELSE 'detect_dangerous_call' END END", "true"), ("'security_semantic_review'", "o_orderkey % 4 = 0"))
-    ]),
+    "route": _union(
+        *[
+            f"""SELECT o_orderkey AS review_id, 'r-' || CAST(o_orderkey AS STRING) AS route_id, CASE o_orderkey % 6 WHEN 0 THEN 'secret' WHEN 1 THEN 'sql_injection' WHEN 2 THEN 'command_injection' WHEN 3 THEN 'logic' WHEN 4 THEN 'dangerous_call' ELSE 'performance' END AS category,
+            {skill} AS skill, o_orderpriority IN ('1-URGENT', '2-HIGH') AS mandatory FROM orders WHERE {where}"""
+            for skill, where in (("CASE o_orderkey % 3 WHEN 0 THEN 'detect_injection' WHEN 1 THEN 'review_code_quality' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'detect_injection' ELSE 'detect_dangerous_call' END END", "true"), ("'security_semantic_review'", "o_orderkey % 4 = 0"))
+        ],
+        *[f"SELECT o_orderkey AS review_id, 'r{n}-' || CAST(o_orderkey AS STRING) AS route_id, '{category}' AS category, '{skill}' AS skill, {mandatory} AS mandatory FROM orders WHERE {where}" for n, category, skill, mandatory, where in _MORE_ROUTES],
+    ),
+    "route_place": _union(
+        *[f"SELECT o_orderkey AS review_id, 'r-' || CAST(o_orderkey AS STRING) AS route_id, 'src/m' || CAST({_ROUTE_FILE} AS STRING) || '.py' AS file_path, o_custkey % 40 + {shift} AS start_line, o_custkey % 40 + {shift + 3} AS end_line, 'new' AS side, 'h' || CAST({_ROUTE_FILE} AS STRING) AS hunk_id, 's-r' AS snippet_hash FROM orders WHERE {where}" for shift, where in ((0, "true"), (9, "o_orderkey % 4 = 1"), (17, "o_orderkey % 8 = 1"))],
+        "SELECT o_orderkey AS review_id, 'r-' || CAST(o_orderkey AS STRING) AS route_id, 'src/m1.py' AS file_path, 2 AS start_line, 4 AS end_line, 'new' AS side, CASE WHEN o_orderkey % 55 = 21 THEN 'h7' ELSE 'h1' END AS hunk_id, 's-r' AS snippet_hash FROM orders WHERE o_orderkey % 11 = 10",
+        *[f"SELECT o_orderkey AS review_id, 'r{n}-' || CAST(o_orderkey AS STRING) AS route_id, 'src/m{n - 1}.py' AS file_path, o_custkey % 30 AS start_line, o_custkey % 30 + {n} AS end_line, 'new' AS side, 'h{n - 1}' AS hunk_id, 's-r' AS snippet_hash FROM orders WHERE {where}" for n, _, _, _, where in _MORE_ROUTES],
+    ),
     "coverage": _union(*[
         f"""SELECT o.o_orderkey AS review_id, 'a-' || CAST(o.o_orderkey AS STRING) || CASE WHEN s.n = 2 THEN '-q' ELSE '-s' END AS artifact_id, 'c-' || CAST(o.o_orderkey AS STRING) || '-' || s.skill AS coverage_id, s.skill,
         CASE WHEN o.o_orderkey % 5 = 0 THEN 'completed' WHEN (o.o_orderkey + s.n) % 7 = 0 THEN 'failed' WHEN (o.o_orderkey + s.n) % 11 = 0 THEN 'skipped' ELSE 'completed' END AS status,
         CASE WHEN (o.o_orderkey + s.n) % 7 = 0 AND o.o_orderkey % 5 <> 0 THEN CASE WHEN o.o_custkey % 2 = 0 THEN 'TIMEOUT' ELSE 'PARSE_ERROR' END END AS error_code,
-        s.n < 2 AND o.o_orderkey % 19 <> 4 OR o.o_orderkey % 2 = 0 OR o.o_orderkey % 5 = 0 AS mandatory, CASE WHEN o.o_custkey % 19 = 0 AND o.o_orderkey % 5 <> 0 THEN 'r-none' ELSE 'r-' || CAST(o.o_orderkey AS STRING) END AS route_id,
-        'src/m' || CAST(CASE WHEN o.o_orderkey % 5 = 0 OR o.o_custkey % 3 <> 0 THEN (o.o_orderkey + s.n) % 4 ELSE (o.o_orderkey + s.n) % 6 END AS STRING) || '.py' AS file_path, (o.o_custkey * 7 + s.n) % 500 AS duration_ms
-        FROM orders o CROSS JOIN (SELECT 0 AS n, 'detect_secret' AS skill UNION ALL SELECT 1, 'security_semantic_review' UNION ALL SELECT 2, 'review_code_quality' UNION ALL SELECT 3, 'detect_injection') s WHERE {where}"""
+        s.n < 2 AND o.o_orderkey % 19 <> 4 OR o.o_orderkey % 2 = 0 OR o.o_orderkey % 5 = 0 AS mandatory, (o.o_custkey * 7 + s.n) % 500 AS duration_ms FROM orders o {_SKILL_GRID} WHERE {where}"""
         for where in ("o.o_orderkey % 5 = 0 OR (o.o_orderkey + s.n) % 23 <> 0", "o.o_orderkey % 107 = 6 AND s.n = 1")
     ]),
+    "coverage_route": _union(
+        f"SELECT {_COVERED}, CASE WHEN o.o_custkey % 19 = 0 AND o.o_orderkey % 5 <> 0 THEN 'r-none' ELSE 'r-' || CAST(o.o_orderkey AS STRING) END AS route_id FROM orders o {_SKILL_GRID}",
+        *[f"SELECT {_COVERED}, 'r{n}-' || CAST(o.o_orderkey AS STRING) AS route_id FROM orders o {_SKILL_GRID} WHERE {where.replace('o_orderkey', 'o.o_orderkey')} AND (o.o_orderkey % 5 = 0 OR (o.o_orderkey + s.n) % 17 <> 3)" for n, _, _, _, where in _MORE_ROUTES],
+        f"SELECT {_COVERED}, 'r-gone' AS route_id FROM orders o {_SKILL_GRID} WHERE o.o_orderkey % 71 = 12 AND o.o_orderkey % 5 <> 0 AND s.n > 1",
+    ),
+    "coverage_file": _union(
+        f"SELECT {_COVERED}, 'src/m' || CAST(CASE WHEN o.o_orderkey % 5 = 0 OR o.o_custkey % 3 <> 0 THEN (o.o_orderkey + s.n) % 4 ELSE (o.o_orderkey + s.n) % 6 END AS STRING) || '.py' AS file_path FROM orders o {_SKILL_GRID}",
+        *[f"SELECT {_COVERED}, 'src/m' || CAST((o.o_orderkey + s.n + {n}) % 4 AS STRING) || '.py' AS file_path FROM orders o {_SKILL_GRID} WHERE o.o_orderkey % {every} = 0" for n, every in ((1, 2), (2, 6), (3, 12))],
+        f"SELECT {_COVERED}, 'src/gone.py' AS file_path FROM orders o {_SKILL_GRID} WHERE o.o_orderkey % 79 = 13 AND o.o_orderkey % 5 <> 0 AND s.n = 2",
+    ),
     "artifact": _union(*[
         f"""SELECT o_orderkey AS review_id, 'a-' || CAST(o_orderkey AS STRING) || '-{letter}' AS artifact_id, '{schema}' AS schema_name, CASE WHEN o_orderkey % 67 = 3 THEN '0.9.0' ELSE '1.0.0' END AS schema_version, {agent} AS agent_id, '{role}' AS agent_role,
         CASE WHEN o_orderkey % 41 = 6 THEN 'failed' ELSE 'success' END AS status, CASE WHEN o_orderkey % 43 = 8 THEN o_orderkey + 1 ELSE o_orderkey END AS own_review_id FROM orders WHERE {where}"""
@@ -94,6 +116,7 @@ RELATIONS: dict[str, str] = {
     "lineage": _union(
         "SELECT o_orderkey AS review_id, 'a-' || CAST(o_orderkey AS STRING) || '-q' AS artifact_id, 'a-' || CAST(o_orderkey AS STRING) || '-s' AS parent_id FROM orders WHERE o_orderkey % 37 <> 2",
         "SELECT o_orderkey AS review_id, 'a-' || CAST(o_orderkey AS STRING) || '-s' AS artifact_id, CASE WHEN o_orderkey % 59 = 1 THEN 'a-gone' WHEN o_orderkey % 61 = 2 AND o_orderkey % 37 <> 2 THEN 'a-' || CAST(o_orderkey AS STRING) || '-q' ELSE 'root-' || CAST(o_orderkey AS STRING) END AS parent_id FROM orders",
+        *[f"SELECT o.o_orderkey AS review_id, 'b{n}-' || CAST(i.i AS STRING) AS artifact_id, CASE WHEN i.i = {n - 1} AND o.o_orderkey % 2 = 0 THEN 'root-' || CAST(o.o_orderkey AS STRING) ELSE 'b{n}-' || CAST((i.i + 1) % {n} AS STRING) END AS parent_id FROM orders o CROSS JOIN ({' UNION ALL '.join(f'SELECT {i} AS i' for i in range(n))}) i WHERE o.o_orderkey % 173 = {at} AND o.o_orderkey % 5 <> 0" for n, at in ((3, 5), (7, 9))],
     ),
     "root": "SELECT o_orderkey AS review_id, 'root-' || CAST(o_orderkey AS STRING) AS root_id FROM orders",
     "conflict": _union(
@@ -112,7 +135,7 @@ RELATIONS: dict[str, str] = {
 }
 _SPARK_LINES = "SELECT doc_id, CAST(p.pos AS BIGINT) AS n, p.col AS content FROM documents LATERAL VIEW posexplode(split(text, '\\n')) p AS pos, col"
 _DUCK_LINES = "SELECT doc_id, generate_subscripts(parts, 1) - 1 AS n, unnest(parts) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)"
-_TABLES = {"review": "orders", "finding": "lineitem", "place": "lineitem", "evidence": "lineitem", "link": "lineitem", "verified": "lineitem", "conflict": "lineitem", "hunk": "orders", "route": "orders", "coverage": "orders", "artifact": "orders", "lineage": "orders", "root": "orders", "call": "events", "line": "documents", "draft": "conversations", "context_line": "conversations"}
+_TABLES = {"review": "orders", "finding": "lineitem", "place": "lineitem", "evidence": "lineitem", "link": "lineitem", "verified": "lineitem", "conflict": "lineitem", "hunk": "orders", "route": "orders", "route_place": "orders", "coverage": "orders", "coverage_route": "orders", "coverage_file": "orders", "artifact": "orders", "lineage": "orders", "root": "orders", "call": "events", "line": "documents", "draft": "conversations", "context_line": "conversations"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

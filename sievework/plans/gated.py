@@ -38,15 +38,18 @@ _FACTS = f""", alien AS (SELECT DISTINCT review_id, artifact_id FROM artifact WH
         LEFT JOIN (SELECT review_id, finding_id, bool_or(NOT known) AS dangling, bool_or(known AND supports AND NOT bad AND lv > 0) AS usable, max(lv) FILTER (known AND supports AND NOT bad AND e_side = 'new') AS best_new FROM pair GROUP BY ALL) q ON q.review_id = f.review_id AND q.finding_id = f.finding_id
         LEFT JOIN alien a ON a.review_id = f.review_id AND a.artifact_id = f.artifact_id),
     judged AS (SELECT *, copies > 1 OR alien OR misplaced OR dangling OR status IN ('confirmed', 'suspected') AND NOT usable AS invalid FROM fact)"""
-_COVERAGE = """, cov AS (SELECT c.*, count(*) OVER (PARTITION BY c.review_id, c.coverage_id) AS copies, a.artifact_id IS NOT NULL AS alien, c.route_id IS NOT NULL AND r.route_id IS NULL AS no_route, p.path IS NULL AS no_file, NOT c.mandatory AND (c.skill = 'detect_secret' OR coalesce(w.mandatory, false)) AS lowered
-        FROM coverage c LEFT JOIN alien a ON a.review_id = c.review_id AND a.artifact_id = c.artifact_id LEFT JOIN (SELECT DISTINCT review_id, route_id FROM route) r ON r.review_id = c.review_id AND r.route_id = c.route_id
-        LEFT JOIN (SELECT review_id, route_id, skill, bool_or(mandatory) AS mandatory FROM route GROUP BY ALL) w ON w.review_id = c.review_id AND w.route_id = c.route_id AND w.skill = c.skill
-        LEFT JOIN (SELECT review_id, old_path AS path FROM hunk UNION SELECT review_id, new_path FROM hunk) p ON p.review_id = c.review_id AND p.path = c.file_path),
+_COVERAGE = """, cov AS (SELECT c.*, count(*) OVER (PARTITION BY c.review_id, c.coverage_id) AS copies, a.artifact_id IS NOT NULL AS alien, l.coverage_id IS NOT NULL AS no_route, p.coverage_id IS NOT NULL AS no_file, NOT c.mandatory AND (c.skill = 'detect_secret' OR w.coverage_id IS NOT NULL) AS lowered
+        FROM coverage c LEFT JOIN alien a ON a.review_id = c.review_id AND a.artifact_id = c.artifact_id
+        LEFT JOIN (SELECT DISTINCT k.review_id, k.coverage_id FROM coverage_route k LEFT JOIN route r ON r.review_id = k.review_id AND r.route_id = k.route_id WHERE r.route_id IS NULL) l ON l.review_id = c.review_id AND l.coverage_id = c.coverage_id
+        LEFT JOIN (SELECT DISTINCT k.review_id, k.coverage_id, r.skill FROM coverage_route k JOIN route r ON r.review_id = k.review_id AND r.route_id = k.route_id WHERE r.mandatory) w ON w.review_id = c.review_id AND w.coverage_id = c.coverage_id AND w.skill = c.skill
+        LEFT JOIN (SELECT DISTINCT f.review_id, f.coverage_id FROM coverage_file f LEFT JOIN (SELECT review_id, old_path AS path FROM hunk UNION SELECT review_id, new_path FROM hunk) h ON h.review_id = f.review_id AND h.path = f.file_path WHERE h.path IS NULL) p ON p.review_id = c.review_id AND p.coverage_id = c.coverage_id),
     sound AS (SELECT * FROM cov WHERE NOT (copies > 1 OR alien OR no_route OR no_file OR lowered)),
+    via AS (SELECT DISTINCT s.review_id, s.coverage_id, s.skill, s.mandatory, s.status, s.error_code, k.route_id FROM sound s JOIN coverage_route k ON k.review_id = s.review_id AND k.coverage_id = s.coverage_id),
     gap AS (SELECT review_id, coverage_id, error_code FROM sound WHERE mandatory AND status <> 'completed'
         UNION SELECT r.review_id, c.coverage_id, c.error_code FROM (SELECT r.review_id FROM review r LEFT JOIN sound c ON c.review_id = r.review_id AND c.skill = 'detect_secret' GROUP BY ALL HAVING NOT coalesce(bool_and(c.mandatory AND c.status = 'completed'), false)) r LEFT JOIN sound c ON c.review_id = r.review_id AND c.skill = 'detect_secret'
-        UNION SELECT r.review_id, c.coverage_id, c.error_code FROM (SELECT r.review_id, r.route_id, r.skill FROM route r LEFT JOIN sound c ON c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill WHERE r.mandatory GROUP BY ALL HAVING NOT coalesce(bool_and(c.mandatory AND c.status = 'completed'), false)) r LEFT JOIN sound c ON c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill)"""
-_ISSUES = _FACTS + _COVERAGE + f""", issue AS (SELECT DISTINCT * FROM (
+        UNION SELECT r.review_id, c.coverage_id, c.error_code FROM (SELECT r.review_id, r.route_id, r.skill FROM route r LEFT JOIN via c ON c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill WHERE r.mandatory GROUP BY ALL HAVING NOT coalesce(bool_and(c.mandatory AND c.status = 'completed'), false)) r LEFT JOIN via c ON c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill)"""
+_ABOVE = ", above AS (WITH RECURSIVE up AS (SELECT review_id, artifact_id, parent_id FROM lineage UNION SELECT u.review_id, u.artifact_id, l.parent_id FROM up u JOIN lineage l ON l.review_id = u.review_id AND l.artifact_id = u.parent_id) SELECT * FROM up)"
+_ISSUES = _FACTS + _COVERAGE + _ABOVE + f""", issue AS (SELECT DISTINCT * FROM (
     SELECT review_id, 'DUPLICATE_EVIDENCE_ID' AS code, evidence_id AS subject FROM ev WHERE copies > 1 UNION ALL SELECT review_id, 'EVIDENCE_LOCATION_INVALID', evidence_id FROM ev WHERE misplaced UNION ALL SELECT review_id, 'E3_PROVENANCE_UNVERIFIED', evidence_id FROM ev WHERE unverified
     UNION ALL SELECT review_id, 'E3_DETECTOR_NOT_ALLOWED', evidence_id FROM ev WHERE disallowed UNION ALL SELECT review_id, 'VERIFIED_E3_NOT_E3', evidence_id FROM ev WHERE overstated
     UNION ALL SELECT review_id, 'VERIFIED_E3_DANGLING', evidence_id FROM verified v WHERE NOT EXISTS (FROM evidence e WHERE e.review_id = v.review_id AND e.evidence_id = v.evidence_id)
@@ -54,16 +57,16 @@ _ISSUES = _FACTS + _COVERAGE + f""", issue AS (SELECT DISTINCT * FROM (
     UNION ALL SELECT review_id, 'FINDING_HAS_NO_QUALIFIED_EVIDENCE', finding_id FROM fact WHERE status IN ('confirmed', 'suspected') AND NOT usable
     UNION ALL SELECT review_id, 'EVIDENCE_FINDING_LOCATION_MISMATCH', finding_id || ':' || evidence_id FROM pair WHERE known AND NOT supports AND (review_id, finding_id) IN (SELECT review_id, finding_id FROM finding)
     UNION ALL SELECT review_id, 'DUPLICATE_COVERAGE_ID', coverage_id FROM cov WHERE copies > 1 UNION ALL SELECT review_id, 'COVERAGE_ROUTE_DANGLING', coverage_id FROM cov WHERE no_route UNION ALL SELECT review_id, 'COVERAGE_FILE_INVALID', coverage_id FROM cov WHERE no_file UNION ALL SELECT review_id, 'MANDATORY_COVERAGE_DOWNGRADED', coverage_id FROM cov WHERE lowered
-    UNION ALL SELECT review_id, 'PLANNED_COVERAGE_MISSING', route_id || ':' || skill FROM route r WHERE NOT EXISTS (FROM coverage c WHERE c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill)
+    UNION ALL SELECT review_id, 'PLANNED_COVERAGE_MISSING', route_id || ':' || skill FROM route r WHERE NOT EXISTS (FROM coverage c JOIN coverage_route k ON k.review_id = c.review_id AND k.coverage_id = c.coverage_id WHERE c.review_id = r.review_id AND k.route_id = r.route_id AND c.skill = r.skill)
     UNION ALL SELECT r.review_id, 'PLANNED_COVERAGE_MISSING', s.skill FROM review r CROSS JOIN (VALUES ('detect_secret'), ('security_semantic_review'), ('review_code_quality')) s(skill) WHERE NOT EXISTS (FROM coverage c WHERE c.review_id = r.review_id AND c.skill = s.skill)
-    UNION ALL SELECT x.review_id, 'ROUTE_LOCATION_INVALID', route_id FROM route x LEFT JOIN hunk h ON h.review_id = x.review_id AND h.hunk_id = x.hunk_id WHERE {_MISPLACED}
+    UNION ALL SELECT x.review_id, 'ROUTE_LOCATION_INVALID', route_id FROM route_place x LEFT JOIN hunk h ON h.review_id = x.review_id AND h.hunk_id = x.hunk_id WHERE {_MISPLACED}
     UNION ALL SELECT review_id, 'DUPLICATE_ARTIFACT_ID', artifact_id FROM artifact GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT review_id, 'ARTIFACT_REVIEW_MISMATCH', artifact_id FROM alien
     UNION ALL SELECT review_id, 'ARTIFACT_LINEAGE_DANGLING', artifact_id FROM lineage l WHERE NOT EXISTS (FROM artifact a WHERE a.review_id = l.review_id AND a.artifact_id = l.parent_id) AND NOT EXISTS (FROM root t WHERE t.review_id = l.review_id AND t.root_id = l.parent_id)
-    UNION ALL SELECT a.review_id, 'ARTIFACT_LINEAGE_CYCLE', unnest([a.artifact_id, a.parent_id]) FROM lineage a JOIN lineage b ON a.review_id = b.review_id AND a.artifact_id = b.parent_id AND a.parent_id = b.artifact_id
+    UNION ALL SELECT review_id, 'ARTIFACT_LINEAGE_CYCLE', artifact_id FROM above WHERE artifact_id = parent_id
     UNION ALL SELECT review_id, 'DUPLICATE_CONFLICT_ID', conflict_id FROM conflict GROUP BY ALL HAVING count(DISTINCT entry) > 1 UNION ALL SELECT review_id, 'CONFLICT_RULE_DANGLING', conflict_id FROM conflict WHERE rule_id NOT IN ('P001', 'F001', 'F002', 'F003', 'B001', 'B002', 'B003', 'B004', 'N001', 'N002', 'N003', 'N004', 'N005', 'N006', 'N007', 'N008')
     UNION ALL SELECT review_id, 'CONFLICT_FINDING_DANGLING', conflict_id FROM conflict c WHERE NOT EXISTS (FROM finding f WHERE f.review_id = c.review_id AND f.finding_id = c.finding_id)))"""
-_RELATED = ", related AS (SELECT DISTINCT f.review_id, r.route_id, f.finding_id FROM finding f JOIN place p USING (review_id, finding_id) JOIN route r ON r.review_id = f.review_id AND r.category = f.category AND r.file_path = p.file_path AND r.hunk_id = p.hunk_id AND r.side = p.side AND p.start_line <= r.end_line AND r.start_line <= p.end_line)"
-_LACKING = ", lacking AS (SELECT r.review_id, r.route_id, r.skill FROM (SELECT DISTINCT review_id, route_id, skill FROM route) r LEFT JOIN coverage c ON c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill GROUP BY ALL HAVING NOT coalesce(bool_and(c.status = 'completed'), false))"
+_RELATED = ", related AS (SELECT DISTINCT f.review_id, r.route_id, f.finding_id FROM finding f JOIN place p USING (review_id, finding_id) JOIN route r ON r.review_id = f.review_id AND r.category = f.category JOIN route_place q ON q.review_id = r.review_id AND q.route_id = r.route_id AND q.file_path = p.file_path AND q.hunk_id = p.hunk_id AND q.side = p.side AND p.start_line <= q.end_line AND q.start_line <= p.end_line)"
+_LACKING = ", lacking AS (SELECT r.review_id, r.route_id, r.skill FROM (SELECT DISTINCT review_id, route_id, skill FROM route) r LEFT JOIN (SELECT c.review_id, c.skill, c.status, k.route_id FROM coverage c JOIN (SELECT DISTINCT review_id, coverage_id, route_id FROM coverage_route) k ON k.review_id = c.review_id AND k.coverage_id = c.coverage_id) c ON c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill GROUP BY ALL HAVING NOT coalesce(bool_and(c.status = 'completed'), false))"
 _CONFLICTS = _ISSUES + _RELATED + _LACKING + """, alike AS (SELECT review_id, category, places, list_sort(list(DISTINCT finding_id)) AS ids, bool_or(status = 'dismissed') AS no, bool_or(status IN ('confirmed', 'suspected')) AS yes, max(sev) - min(sev) AS spread FROM judged GROUP BY ALL HAVING count(*) > 1),
     found AS (SELECT review_id, 'contradiction' AS type, ids AS finding_ids, false AS resolved FROM alike WHERE no AND yes UNION ALL SELECT review_id, 'severity_mismatch', ids, false FROM alike WHERE spread >= 2
         UNION ALL SELECT review_id, 'location_mismatch', list_sort(list(DISTINCT finding_id)), false FROM judged GROUP BY review_id, fingerprint HAVING count(*) > 1 AND count(DISTINCT (category, places)) > 1
@@ -88,7 +91,7 @@ _GATE = _CONFLICTS + """, contested AS (SELECT DISTINCT review_id, unnest(findin
 
 
 def _coded(*codes: str) -> Callable[[Gate], DataFrame]:
-    return lambda g: g.issues.where(F.col("code").isin(*codes))
+    return lambda g: g.issues_of(*codes)
 
 
 def _from(*codes: str) -> str:
@@ -112,7 +115,7 @@ add_gate("c05_verified_projection", lambda g: assembly.verified_e3(g.r["evidence
 
 # ---- assurance ------------------------------------------------------------------------------------------------------
 
-add_gate("d03_route_overlap", lambda g: assurance.related_routes(g.finding, g.r["route"]), _RELATED + " SELECT * FROM related")
+add_gate("d03_route_overlap", lambda g: g.related, _RELATED + " SELECT * FROM related")
 add_gate("e02_e03_canonical_findings", lambda g: assurance.canonical_findings(g.finding).select("review_id", "selected", joined("members")), _FACTS + " SELECT review_id, arg_max(finding_id, (NOT invalid, st, sev, confidence_pct, finding_id)) AS selected, array_to_string(list_sort(list(DISTINCT finding_id)), ',') AS members FROM judged GROUP BY review_id, category, places")
 add_gate("e04_canonical_evidence", lambda g: assurance.canonical_evidence(g.evidence).select("review_id", "selected", joined("members")), _FACTS + f" SELECT review_id, arg_min(evidence_id, (bad, -lv, evidence_id)) AS selected, array_to_string(list_sort(list(DISTINCT evidence_id)), ',') AS members FROM proof GROUP BY review_id, content_hash, file_path IS NULL, {_SPOT}")
 add_gate("e05_e07_conflicts", lambda g: g.conflicts.select("review_id", "type", joined("finding_ids"), "resolved"), _CONFLICTS + " SELECT review_id, type, array_to_string(finding_ids, ',') AS finding_ids, resolved FROM found")
@@ -167,7 +170,7 @@ _TARGETS = _GATE + """, undecided AS (SELECT review_id FROM verdict WHERE status
     asked AS (SELECT review_id, 'conflict' AS kind, type || array_to_string(finding_ids, ',') AS subject FROM found WHERE NOT resolved
         UNION ALL SELECT DISTINCT w.review_id, 'finding', w.finding_id FROM (SELECT review_id, finding_id FROM bucket WHERE bucket = 'review' UNION SELECT review_id, finding_id FROM judged WHERE invalid) w JOIN place p ON p.review_id = w.review_id AND p.finding_id = w.finding_id WHERE (w.review_id, w.finding_id) NOT IN (SELECT review_id, finding_id FROM contested)
         UNION ALL SELECT r.review_id, 'coverage', r.skill FROM (SELECT review_id, skill FROM review CROSS JOIN (VALUES ('detect_secret'), ('security_semantic_review'), ('review_code_quality')) s(skill)) r LEFT JOIN sound c ON c.review_id = r.review_id AND c.skill = r.skill GROUP BY r.review_id, r.skill HAVING NOT coalesce(bool_and(c.mandatory AND c.status = 'completed'), false)
-        UNION ALL SELECT r.review_id, 'coverage', r.skill || ':' || r.route_id FROM route r LEFT JOIN sound c ON c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill WHERE r.mandatory GROUP BY r.review_id, r.skill, r.route_id HAVING NOT coalesce(bool_and(c.mandatory AND c.status = 'completed'), false)),
+        UNION ALL SELECT r.review_id, 'coverage', r.skill || ':' || r.route_id FROM route r LEFT JOIN via c ON c.review_id = r.review_id AND c.route_id = r.route_id AND c.skill = r.skill WHERE r.mandatory GROUP BY r.review_id, r.skill, r.route_id HAVING NOT coalesce(bool_and(c.mandatory AND c.status = 'completed'), false)),
     target AS (SELECT * FROM asked WHERE review_id IN (SELECT review_id FROM undecided))"""
 add_gate("k01_targets", lambda g: recheck.targets(g).select("review_id", "kind", F.when(F.col("kind") != "conflict", F.col("subject")).otherwise("").alias("subject")), _TARGETS + " SELECT review_id, kind, CASE WHEN kind <> 'conflict' THEN subject ELSE '' END AS subject FROM target")
 add_gate("k01_requests", lambda g: recheck.requests(recheck.targets(g)).select("review_id", "targets"), _TARGETS + " SELECT review_id, count(*)::INT AS targets FROM target GROUP BY review_id")
@@ -230,7 +233,7 @@ add("k04_coverage", lambda c: recheck.replace_coverage(c, c.where("status = 'fai
 
 def _rerun(c: DataFrame) -> DataFrame:
     one = c.dropDuplicates(["review_id", "skill"])
-    result, update = recheck.rerun(one.where("status <> 'completed'").select("review_id", "skill", "route_id"), one.select("review_id", "skill", F.when(F.col("review_id") % 4 == 0, "completed").otherwise(F.col("status")).alias("status"), "error_code"), one.where("review_id % 8 = 0 and skill = 'detect_secret'").select("review_id", "skill"))
+    result, update = recheck.rerun(one.where("status <> 'completed'").select("review_id", "skill", F.lit(None).cast("string").alias("route_id")), one.select("review_id", "skill", F.when(F.col("review_id") % 4 == 0, "completed").otherwise(F.col("status")).alias("status"), "error_code"), one.where("review_id % 8 = 0 and skill = 'detect_secret'").select("review_id", "skill"))
     return result.join(update.groupBy("review_id").agg(F.count("*").alias("updates")), "review_id", "left").fillna(0, ["updates"]).select("review_id", "status", "failure_reason", "updates")
 
 

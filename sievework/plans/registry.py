@@ -26,9 +26,34 @@ def add(name: str, build: Callable[..., DataFrame], *relations: str, sql: str |
         ORACLES[name] = (with_relations(*relations) + " " if relations else "") + sql
 
 
+_gates: dict[tuple, Gate] = {}
+
+
+def shared_gate(spark: SparkSession, sf_dir: str) -> Gate:
+    """The gate over a folder's tables: its facts are made once a session, until ``end_gates`` or a change of the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")))
+    if key not in _gates:
+        _gates[key] = Gate(**{r: relation(spark, sf_dir, r) for r in RELATIONS})
+    return _gates[key]
+
+
+def end_gates() -> None:
+    """Delete what the shared gates wrote: for when no result of theirs will be read again."""
+    while _gates:
+        _gates.popitem()[1].end()
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Time of change and length of a table's file or folder."""
+    context = spark.sparkContext
+    file = context._jvm.org.apache.hadoop.fs.Path(path)
+    status = file.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(file)
+    return status.getModificationTime(), status.getLen()
+
+
 def add_gate(name: str, part: Callable[[Gate], DataFrame], sql: str) -> None:
     """Register a query over a part of the gate."""
-    QUERIES[name] = lambda spark, d: part(Gate(**{r: relation(spark, d, r) for r in RELATIONS}))
+    QUERIES[name] = lambda spark, d: part(shared_gate(spark, d))
     ORACLES[name] = with_relations(*RELATIONS) + sql
 
 
