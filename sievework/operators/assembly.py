@@ -112,7 +112,7 @@ def is_control_message(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> bool:
         try:
             value = json.loads(t)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return False
         return isinstance(value, dict) and sorted(value) == CONTROL_KEYS and not keys(value) & set(FORBIDDEN_KEYS)
 
@@ -133,7 +133,7 @@ def without_times(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         try:
             return canonical_json(plain(json.loads(t)))
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return text.map(one)

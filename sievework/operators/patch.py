@@ -32,8 +32,36 @@ def raw_lines(patches: DataFrame) -> DataFrame:
     return lines.withColumn("hunk", F.sum(F.col("text").rlike(HUNK).cast("int")).over(by_section))
 
 
+#: Escapes of a quoted name and their bytes, beside octal numbers.
+ESCAPES = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, '"': 34, "\\": 92}
+#: A name in a header: quoted, with escapes, or plain up to the end.
+QUOTED = r'"((?:[^"\\]|\\.)*)"'
+
+
+def unquoted(name: F.Column) -> F.Column:
+    """A name without its quotes, its escapes and octal numbers as bytes of UTF-8; names without quotes stay."""
+    inner = F.regexp_extract(name, f"^{QUOTED}$", 1)
+    parts = F.regexp_extract_all(inner, F.lit(r"(\\[0-7]{3}|\\.|[^\\]+)"), F.lit(1))
+    byte = lambda c: F.unhex(F.lpad(F.conv(c, 10, 16), 2, "0"))
+    known = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def one(part: F.Column) -> F.Column:
+        rest = F.substring(part, 2, 3)
+        octal = F.unhex(F.lpad(F.conv(rest, 8, 16), 2, "0"))
+        return F.when(part.rlike(r"^\\[0-7]{3}$"), octal).when(part.startswith("\\"), F.coalesce(byte(F.try_element_at(known, rest).cast("string")), rest.cast("binary"))).otherwise(part.cast("binary"))
+
+    whole = F.aggregate(F.transform(parts, one), F.lit("").cast("binary"), lambda a, b: F.concat(a, b))
+    return F.when(name.rlike(f"^{QUOTED}$"), F.make_valid_utf8(whole.cast("string"))).otherwise(name)
+
+
+def _side(name: F.Column, mark: str) -> F.Column:
+    """A header's name without the mark of its side; null for what has another."""
+    plain = unquoted(name)
+    return F.when(plain.startswith(f"{mark}/"), F.substring(plain, 3, 1 << 30))
+
+
 def sections(lines: DataFrame) -> DataFrame:
-    """One row per file section: paths, change type, binary flag."""
+    """One row per file section: paths, change type, binary flag. Quoted names are decoded."""
     head = lines.where("hunk = 0")
 
     def first(pattern: str, group: int = 1) -> F.Column:
@@ -43,13 +71,13 @@ def sections(lines: DataFrame) -> DataFrame:
         return F.max(F.col("text").rlike(pattern))
 
     out = head.groupBy("review_id", "section").agg(
-        first(r"^diff --git \"?a/(.*?)\"? \"?b/.*$").alias("git_old"), first(r"^diff --git .* \"?b/(.*?)\"?$").alias("git_new"), first(r"^--- a/(.*)$").alias("minus"), first(r"^\+\+\+ b/(.*)$").alias("plus"),
+        first(rf"^diff --git ({QUOTED}|a/.*?) (?:\"b/|b/).*$").alias("git_old"), first(rf"^diff --git (?:{QUOTED}|a/.*?) (\"b/.*\"|b/.*)$", 2).alias("git_new"), first(r"^--- (.*?)\t?$").alias("minus"), first(r"^\+\+\+ (.*?)\t?$").alias("plus"),
         first("^rename from (.*)$").alias("from"), first("^rename to (.*)$").alias("to"), flag("^new file mode").alias("added"), flag("^deleted file mode").alias("deleted"), flag("^(Binary files|GIT binary patch)").alias("is_binary"),
     )
     kind = F.when(F.col("added"), "added").when(F.col("deleted"), "deleted").when(F.col("from").isNotNull() & F.col("to").isNotNull(), "renamed").otherwise("modified")
     out = out.withColumn("change_type", kind)
-    old = F.when(kind != "added", F.coalesce("from", "minus", "git_old"))
-    new = F.when(kind != "deleted", F.coalesce("to", "plus", "git_new"))
+    old = F.when(kind != "added", F.coalesce(unquoted(F.col("from")), _side(F.col("minus"), "a"), _side(F.col("git_old"), "a")))
+    new = F.when(kind != "deleted", F.coalesce(unquoted(F.col("to")), _side(F.col("plus"), "b"), _side(F.col("git_new"), "b")))
     out = out.select("review_id", "section", "change_type", "is_binary", old.alias("old_path"), new.alias("new_path"))
     return out.withColumn("file_id", stable_id("file", F.coalesce("old_path", F.lit("")), F.coalesce("new_path", F.lit("")), F.col("change_type"), digits=16))
 
@@ -89,10 +117,13 @@ def files(lines: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     """Files with counts, language, content hash and why they are excluded from analysis, if they are."""
     body = numbered(lines)
     counts = body.groupBy("review_id", "section").agg(
-        F.sum((F.col("kind") == "addition").cast("int")).alias("additions"), F.sum((F.col("kind") == "deletion").cast("int")).alias("deletions"), F.count_distinct("hunk").alias("hunks"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk", "ordinal", "kind", "content"))), lambda x: F.concat_ws("\0", x["kind"], x["content"])), "\n"), 256).alias("content_hash"),
+        F.sum((F.col("kind") == "addition").cast("int")).alias("additions"), F.sum((F.col("kind") == "deletion").cast("int")).alias("deletions"), F.count_distinct("hunk").alias("hunks"), (F.count("new_line") - F.count(F.when(F.col("old_line").isNotNull(), F.col("new_line")))).alias("seen_additions"), (F.count("old_line") - F.count(F.when(F.col("new_line").isNotNull(), F.col("old_line")))).alias("seen_deletions"),
+        F.array_sort(F.collect_set(F.struct("hunk", "header"))).alias("seen"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk", "ordinal", "kind", "content"))), lambda x: F.concat_ws("\0", x["kind"], x["content"])), "\n"), 256).alias("content_hash"),
     )
-    out = sections(lines).join(counts, ["review_id", "section"], "left").fillna(0, ["additions", "deletions", "hunks"])
+    declared = hunks(lines).groupBy("review_id", "section").agg(F.array_sort(F.collect_set(F.struct("hunk", "header"))).alias("declared"))
+    out = sections(lines).join(counts, ["review_id", "section"], "left").join(declared, ["review_id", "section"], "left").fillna(0, ["additions", "deletions", "hunks", "seen_additions", "seen_deletions"])
+    named = lambda c: F.coalesce(F.transform(c, lambda h: stable_id("hunk", F.col("file_id"), h["hunk"], h["header"], digits=16)), F.array().cast("array<string>"))
+    out = out.withColumns({"hunk_ids": named("declared"), "seen_hunk_ids": named("seen")}).drop("declared", "seen")
     total = F.sum(F.col("additions") + F.col("deletions")).over(W.partitionBy("review_id"))
     path = F.coalesce("new_path", "old_path")
     out = out.withColumns({"changed_lines": total, "language": F.when(is_language_python(path), "python").otherwise("unknown"), "content_hash": F.coalesce("content_hash", content_hash(F.lit("")))})

@@ -72,6 +72,24 @@ def positional_mismatches(source: DataFrame, shown: DataFrame) -> DataFrame:
     return both.groupBy("review_id").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("bad")).where("bad").select("review_id")
 
 
+def _behind(text: str, start: int, mark: str, piece: str, last: bool) -> int | None:
+    """Where the text goes on behind a part that the mark stands for and the piece that follows it; None without one.
+
+    The part is hashed on from one place of the piece to the next, so a text is read once whatever it repeats.
+    """
+    digest, read = hashlib.sha256(), start
+    end = len(text) - len(piece) if last else text.find(piece, start + 1)
+    if last and (end <= start or not text.endswith(piece)):
+        return None
+    while end >= 0:
+        digest.update(text[read:end].encode())
+        read = end
+        if digest.copy().hexdigest().startswith(mark):
+            return end + len(piece)
+        end = -1 if last else text.find(piece, end + 1)
+    return None
+
+
 @F.pandas_udf(T.BooleanType())
 def is_redaction_only(source: pd.Series, shown: pd.Series) -> pd.Series:
     """True where shown is source with some parts replaced by masks whose digests start as the parts' own do."""
@@ -79,8 +97,10 @@ def is_redaction_only(source: pd.Series, shown: pd.Series) -> pd.Series:
     def proven(a: str | None, b: str | None) -> bool:
         if a is None or b is None:
             return a is b
-        parts, marks = MASK.split(b)[::2], MASK.findall(b)
-        found = re.fullmatch("(.+?)".join(map(re.escape, parts)), a, re.DOTALL)
-        return found is not None and all(hashlib.sha256(g.encode()).hexdigest().startswith(m) for g, m in zip(found.groups(), marks, strict=True))
+        pieces, marks = MASK.split(b)[::2], MASK.findall(b)
+        at = len(pieces[0]) if a.startswith(pieces[0]) else None
+        for n, (mark, piece) in enumerate(zip(marks, pieces[1:], strict=True), 1):
+            at = None if at is None else _behind(a, at, mark, piece, n == len(marks))
+        return at == len(a)
 
     return pd.Series([proven(a, b) for a, b in zip(source, shown, strict=True)])

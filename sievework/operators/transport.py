@@ -32,7 +32,7 @@ def canonical(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         try:
             return canonical_json(json.loads(t, object_pairs_hook=strict))
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return text.map(one)

@@ -43,6 +43,22 @@ def _documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
 D = ("documents",)
 add("a06_byte_cap", lambda d: patch.within_bytes(d.select(F.col("doc_id").alias("review_id"), F.col("text").alias("raw_diff")), 4000)[1].select("review_id", F.octet_length("raw_diff").alias("bytes")), tables=D, sql="SELECT doc_id AS review_id, strlen(text)::INT AS bytes FROM documents WHERE strlen(text) > 4000")
 add("b01_sections", _documents(lambda x: x.groupBy("review_id").agg(F.max("section").alias("sections"))), tables=D, sql="SELECT doc_id AS review_id, CASE WHEN doc_id % 11 = 0 THEN 2 ELSE 1 END::BIGINT AS sections FROM documents")
+
+
+def _octal(name: F.Column) -> F.Column:
+    """A name as git quotes it: every byte as an octal number."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(name.cast("binary")), F.lit("(..)"), F.lit(1)), lambda b: F.concat(F.lit("\\"), F.lpad(F.conv(b, 16, 8), 3, "0"))), "")
+
+
+def _quoted(docs: DataFrame) -> DataFrame:
+    """A renamed file for each document, its names the first and the last characters of the text."""
+    name = lambda part: _octal(F.regexp_replace(part, r"[\r\n/]", "_"))
+    old, new = name(F.substring("text", 1, 20)), name(F.expr("right(text, 20)"))
+    text = F.concat(F.lit('diff --git "a/src/'), old, F.lit('.py" "b/src/'), new, F.lit('\\t.py"\nsimilarity index 100%\nrename from "src/'), old, F.lit('.py"\nrename to "src/'), new, F.lit('\\t.py"'))
+    return docs.where("text is not null").select(F.col("doc_id").alias("review_id"), text.alias("raw_diff"))
+
+
+add("b02_quoted_names", lambda d: patch.sections(patch.raw_lines(_quoted(d))).select("review_id", "change_type", "old_path", "new_path"), tables=D, sql="SELECT doc_id AS review_id, 'renamed' AS change_type, 'src/' || regexp_replace(left(text, 20), '[\r\n/]', '_', 'g') || '.py' AS old_path, 'src/' || regexp_replace(right(text, 20), '[\r\n/]', '_', 'g') || chr(9) || '.py' AS new_path FROM documents WHERE text IS NOT NULL")
 add("b03_classify", _documents(lambda x: patch.sections(x).drop("file_id")), tables=D, sql=f"SELECT doc_id AS review_id, 1::BIGINT AS section, 'modified' AS change_type, false AS is_binary, {_PATH} AS old_path, {_PATH} AS new_path FROM documents UNION ALL SELECT doc_id, 2, 'added', true, NULL, 'img.bin' FROM documents WHERE doc_id % 11 = 0")
 add("b04_hunk_header", _documents(lambda x: patch.hunks(x).drop("header", "section", "hunk")), tables=D, sql=_COUNTS + " SELECT doc_id AS review_id, 1 AS old_start, old::INT AS old_count, 1 AS new_start, new::INT AS new_count FROM c")
 add("b05_line_numbers", _documents(lambda x: patch.numbered(x).select("review_id", "ordinal", "kind", "old_line", "new_line")), tables=D, sql=_N + """, l AS (SELECT doc_id AS review_id, n, n + (n + 4) // 5 AS before, n - (n + 1) // 5 + 1 AS o, n + 1 AS w FROM text_line)

@@ -82,3 +82,27 @@ def test_one_and_many_partitions_agree(spark):
     many = spark.createDataFrame([(i, PATCH) for i in range(20)], "review_id long, raw_diff string")
     key = lambda d: sorted(map(str, patch.numbered(patch.raw_lines(d)).collect()))
     assert key(many.repartition(8)) == key(many.coalesce(1))
+
+
+def test_quoted_names_are_decoded(spark):
+    text = '''diff --git "a/caf\\303\\251.py" "b/caf\\303\\251.py"
+--- "a/caf\\303\\251.py"
++++ "b/caf\\303\\251.py"
+@@ -1 +1 @@
+-a
++b
+diff --git "a/tab\\there \\"x\\" \\\\y.py" "b/tab\\there \\"x\\" \\\\y.py"
+new file mode 100644
+Binary files differ
+diff --git "a/old \\346\\274\\242.txt" b/new name.txt
+similarity index 100%
+rename from "old \\346\\274\\242.txt"
+rename to new name.txt
+diff --git a/with space.py b/with space.py
+--- a/with space.py\t
++++ b/with space.py\t
+@@ -1 +1 @@
+-a
++b'''
+    got = {r.section: (r.old_path, r.new_path) for r in patch.sections(lines(spark, text)).collect()}
+    assert got == {1: ("café.py", "café.py"), 2: (None, 'tab\there "x" \\y.py'), 3: ("old 漢.txt", "new name.txt"), 4: ("with space.py", "with space.py")}
