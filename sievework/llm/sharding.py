@@ -3,8 +3,9 @@
 Every row is a point of metadata coordinates with a weight (its bytes). A node that holds more than one shard is split
 at the weighted median along its widest dimension, until every leaf holds one. All nodes of a level are split together:
 one aggregation gives their extents, and the medians are found by radix selection: passes over bins of the coordinate
-followed by a hash that breaks ties, of which only the bin that the median lies in comes back for each node. Points
-that share a coordinate are thus split as evenly as any; a source or a group of copies of any size may span shards.
+followed by ties, of which only the bin that the median lies in comes back for each node. A tie is a hash of the row and
+then one of its number, fixed when the points are written: points that share a coordinate, and rows that are equal, are
+split as evenly as any; a source or a group of copies of any size may span shards.
 
 Defined cases: a null text has no bytes and weighs 1, and its CRC is 0; null metadata are coordinate 0; repeated rows
 are placed each; an empty table gives an empty table; other columns are ignored.
@@ -94,7 +95,8 @@ def kd_shards(docs: DataFrame, dimensions: list[Column] | None = None, shards: i
     body = F.coalesce(F.col(text), F.lit(""))
     sized = docs.withColumns({"size": (F.octet_length(body) + 1).cast("long"), "__crc": F.crc32(body.cast("binary"))})
     dims = dimensions if dimensions is not None else metadata_dimensions(docs.columns)
-    tie = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("__crc"), F.col("size")), 33)
+    # 31 bits: the row's hash, then its number in the written table, so that equal rows are parted too.
+    tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("__crc"), F.col("size")), 48), 15) + F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 49)
     points = cut(sized.select(F.col(key), "size", F.col("__crc").alias("text_crc32"), F.array(*[d.cast("double") for d in dims]).alias("at"), tie.alias("tie"), F.lit(0).cast("long").alias("node")), "points")
     count, total = points.agg(F.count("*"), F.sum("size")).first()
     leaves = shards or max(1, math.ceil((total or 0) / (target_bytes or 1 << 28)))
