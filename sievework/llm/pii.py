@@ -7,7 +7,8 @@ labeler's reliability, and a logistic span classifier is trained on the resultin
 kinds that pass their tests always stay; a candidate of another kind stays if the classifier gives it half or more.
 
 Spans are in code points, end exclusive. Patterns use possessive repeats and start only at the head of a run, so long
-runs cost linear time and no stack; both leave the leftmost matches as they are.
+runs cost linear time and no stack; both leave the leftmost matches as they are. The labeler of the words before a
+candidate reads the 40 characters before it, back to the candidate of its kind before; all others read it whole.
 
 Defined cases: null counts as empty and has no spans; an empty table gives an empty table; repeated rows give
 repeated results; other columns are ignored (or carried by ``mask_documents``).
@@ -32,7 +33,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_-])(?:[a-f0-9]{32,64}+|(?:sk-|ghp_|gho_|ghs_|AKIA|xoxb-)[A-Za-z0-9]{16,64}+)(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:[a-f0-9]{32,}+|(?:sk-|ghp_|gho_|ghs_|AKIA|xoxb-)[A-Za-z0-9]{16,}+)(?![A-Za-z0-9_-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20[A-Z][\p{Ll}]{1,30}+(?:\x20[A-Z][\p{Ll}]{1,30}+)?",
 }
