@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -137,15 +136,3 @@ def without_times(text: pd.Series) -> pd.Series:
             return None
 
     return text.map(one)
-
-
-def run_once(decide: Callable[[DataFrame], DataFrame], execute: Callable[[DataFrame, DataFrame], DataFrame], context: DataFrame) -> DataFrame:
-    """Decisions after at most one recheck: reviews that need a person are executed again and decided again.
-
-    decide takes a context (with review_id) to decisions, execute a context and those decisions to the second context.
-    """
-    first = decide(context)
-    again = first.where("status = 'NEEDS_REVIEW'").select("review_id")
-    second = decide(execute(context.join(again, "review_id", "left_semi"), first))
-    kept = first.join(again, "review_id", "left_anti")
-    return kept.withColumn("rechecked", F.lit(False)).unionByName(second.withColumn("rechecked", F.lit(True)))

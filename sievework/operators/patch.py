@@ -131,14 +131,17 @@ def files(lines: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     return out.withColumns({"exclusion_reason": why, "analysis_eligible": why.isNull()})
 
 
-def source_lines(body: DataFrame, file_rows: DataFrame, include_context: bool = True, include_deletions: bool = True, python_only: bool = False) -> DataFrame:
-    """Lines with the path, side and number they are known by: deletions on the old side, all others on the new."""
+def source_lines(body: DataFrame, file_rows: DataFrame, include_context: bool = True, include_deletions: bool = True, python_only: bool = False, placed: bool = False) -> DataFrame:
+    """Lines with the path, side and number they are known by: deletions on the old side, all others on the new.
+
+    placed: adds pos, which orders a review's lines.
+    """
     rows = file_rows.where(F.col("language") == "python") if python_only else file_rows
     kinds = ["addition", *(["context"] if include_context else []), *(["deletion"] if include_deletions else [])]
     gone = F.col("kind") == "deletion"
     out = body.where(F.col("kind").isin(kinds)).join(rows.select("review_id", "section", "old_path", "new_path", "file_id"), ["review_id", "section"])
     out = out.withColumn("hunk_id", stable_id("hunk", F.col("file_id"), F.col("hunk"), F.col("header"), digits=16))
-    return out.select("review_id", F.when(gone, F.col("old_path")).otherwise(F.col("new_path")).alias("file_path"), "file_id", "hunk_id", "ordinal", "kind", F.when(gone, "old").otherwise("new").alias("side"), F.when(gone, F.col("old_line")).otherwise(F.col("new_line")).alias("line_number"), "content")
+    return out.select("review_id", F.when(gone, F.col("old_path")).otherwise(F.col("new_path")).alias("file_path"), "file_id", "hunk_id", "ordinal", "kind", F.when(gone, "old").otherwise("new").alias("side"), F.when(gone, F.col("old_line")).otherwise(F.col("new_line")).alias("line_number"), "content", *([F.struct("section", "hunk", "ordinal").alias("pos")] if placed else []))
 
 
 def in_scope(file_rows: DataFrame) -> DataFrame:

@@ -7,10 +7,14 @@ conflict_resolution and coverage_update.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_id
+from ..scratch import cut
+from . import policy
 from .assembly import DETERMINISTIC
 from .gate import Gate
 from .interval import overlapping
@@ -149,3 +153,49 @@ def rerun(target: DataFrame, observed: DataFrame, found: DataFrame) -> tuple[Dat
     result = target.select("review_id").distinct().join(state, "review_id", "left").select("review_id", F.when(why.isNull(), "success").otherwise("failed").alias("status"), why.alias("failure_reason"))
     update = rows.join(result.where("status = 'success'").select("review_id"), "review_id", "left_semi")
     return result, update.select("review_id", "skill", "route_id", F.lit(True).alias("mandatory"), "status", "error_code")
+
+
+#: Relations of a result, and their columns beside review_id.
+RESULT = {
+    "result": "given_request_id string, given_review_id long, attempt int, status string", "added": "artifact_id string, evidence_id string, finding_id string, level string, source string, detector_name string, detector_version string, file_path string, start_line long, end_line long, side string, hunk_id string, snippet_hash string, content_hash string",
+    "added_link": "finding_id string, evidence_id string", "added_verified": "evidence_id string", "finding_resolution": "finding_id string, status string", "conflict_resolution": "conflict_id string", "coverage_update": "skill string, route_id string, mandatory boolean, status string, error_code string",
+}
+
+
+def run_once(gate: Gate, execute: Callable[[DataFrame], dict[str, DataFrame]]) -> DataFrame:
+    """Decisions after at most one recheck: (review_id, status, rule_ids, actions, reason, exit_code, attempts, exhausted).
+
+    execute takes the targets to the relations of results (RESULT; those that are missing are empty, and a result without
+    an identity is taken as that of its request). Only reviews that need a person and have targets are executed; results
+    that fail or break a rule are not applied. The second gate reads the rows of the accepted reviews alone; a review that
+    needs a person still has used up its recheck (N008).
+    """
+    target = cut(targets(gate), "targets")
+    request = cut(requests(target), "requests")
+    given, spark = execute(target), target.sparkSession
+    told = {name: given.get(name, spark.createDataFrame([], f"review_id long, {schema}")) for name, schema in RESULT.items()}
+    if "given_request_id" not in told["result"].columns:
+        told["result"] = told["result"].join(request.select("review_id", F.col("request_id").alias("given_request_id")), "review_id", "left").withColumns({"given_review_id": F.col("review_id"), "attempt": F.lit(1)})
+    told |= {name: cut(told[name], name) for name in given}
+    wrong = cut(violations(request, target, gate.r["evidence"], gate.r["finding"], **told), "violations")
+    asked = request.select("review_id")
+    fine = cut(accepted(told["result"].where("status = 'success'").select("review_id"), wrong).join(asked, "review_id", "left_semi").distinct(), "accepted")
+    own = lambda rows: rows.join(fine, "review_id", "left_semi")
+    r = {name: own(rows) for name, rows in gate.r.items()}
+    new = {name: own(rows) for name, rows in told.items()}
+    found = own(gate.conflicts).join(r["conflict"].select("review_id", "conflict_id"), ["review_id", "conflict_id"], "left_anti")
+    cited = F.explode(F.concat(F.transform("finding_ids", lambda f: F.struct(f.alias("finding_id"), F.lit(None).cast("string").alias("rule_id"))), F.transform("rule_ids", lambda i: F.struct(F.lit(None).cast("string").alias("finding_id"), i.alias("rule_id")))))
+    supplied = r["conflict"].unionByName(found.select("review_id", "conflict_id", F.lit(1).alias("entry"), "type", "resolved", cited.alias("c")).select("review_id", "conflict_id", "entry", "type", "resolved", "c.*"), allowMissingColumns=True)
+    second = Gate(gate.policy, gate.always_on, **r | {
+        "finding": apply_findings(r["finding"], new["finding_resolution"]), "evidence": apply_evidence(r["evidence"], new["added"], new["added_link"], r["finding"]), "conflict": apply_conflicts(supplied, new["conflict_resolution"]),
+        "link": r["link"].select("review_id", "finding_id", "evidence_id").unionByName(new["added_link"].select("review_id", "finding_id", "evidence_id")), "verified": r["verified"].select("review_id", "evidence_id").unionByName(new["added_verified"].select("review_id", "evidence_id")), "coverage": replace_coverage(r["coverage"], new["coverage_update"].groupBy("review_id", "skill").agg(F.max("status").alias("status"))),
+    })
+    rules = ["review_id", "rules", "failure"]
+    first, again = gate.rules.select(rules), second.rules.select(rules)
+    still = again.join(policy.decided(again, gate.policy).where("status = 'NEEDS_REVIEW'"), "review_id", "left_semi")
+    refused = first.join(asked, "review_id", "left_semi").join(fine, "review_id", "left_anti")
+    used = cut(still.select("review_id").unionByName(refused.select("review_id")), "exhausted")
+    both = first.join(fine, "review_id", "left_anti").unionByName(again)
+    out = policy.decided(exhausted(both, used), gate.policy)
+    marks = request.select("review_id", F.lit(1).alias("attempts"))
+    return out.join(marks, "review_id", "left").join(used.withColumn("exhausted", F.lit(True)), "review_id", "left").fillna(0, ["attempts"]).fillna(False, ["exhausted"])

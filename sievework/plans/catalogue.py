@@ -11,7 +11,7 @@ from ..functions import scalars
 from ..operators import agents, assembly, code, patch, routing, secrets, transport, validation
 from ..sources import sinks
 from ..streaming import trace as stream
-from . import faults, gated  # noqa: F401  they register their queries
+from . import faults, gated, whole  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, add  # noqa: F401
 from .registry import joined as _joined
 

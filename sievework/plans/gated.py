@@ -240,4 +240,3 @@ def _rerun(c: DataFrame) -> DataFrame:
 add("k06_rerun", _rerun, "coverage", sql=""", one AS (SELECT DISTINCT ON (review_id, skill) * FROM coverage), asked AS (SELECT * FROM one WHERE status <> 'completed'), again AS (SELECT review_id, bool_or(review_id % 4 <> 0 AND status = 'failed') AS failed, bool_or(review_id % 8 = 0 AND skill = 'detect_secret') AS hot, count(*) AS n FROM asked WHERE skill LIKE 'detect%' GROUP BY review_id)
     SELECT review_id, CASE WHEN coalesce(failed OR hot, false) THEN 'failed' ELSE 'success' END AS status, CASE WHEN failed THEN 'FAILED_AGAIN' WHEN hot THEN 'NEW_RISK' END AS failure_reason, CASE WHEN coalesce(failed OR hot, true) THEN 0 ELSE n END AS updates FROM (SELECT DISTINCT review_id FROM asked) LEFT JOIN again USING (review_id)""")
 add_gate("k02_exhausted", lambda g: policy.decided(recheck.exhausted(g.rules, g.r["review"].where("review_id % 3 = 0"))).select("review_id", "status", joined("rule_ids")), _GATE + " SELECT review_id, CASE WHEN status = 'PASS' AND review_id % 3 = 0 THEN 'NEEDS_REVIEW' ELSE status END AS status, CASE WHEN status = 'FAILED' OR review_id % 3 <> 0 THEN array_to_string(ids, ',') ELSE array_to_string(list_sort(list_distinct([x for x in ids if x <> 'P001'] || ['N008'])), ',') END AS rule_ids FROM verdict")
-add("k02_run_once", lambda c: assembly.run_once(lambda x: x.groupBy("review_id").agg(F.when(F.bool_or((F.col("status") == "failed") & F.col("mandatory")), "NEEDS_REVIEW").otherwise("PASS").alias("status")), lambda x, d: recheck.replace_coverage(x, x.where("error_code = 'TIMEOUT'").select("review_id", "skill", F.lit("completed").alias("status")).distinct()), c), "coverage", sql="SELECT review_id, CASE WHEN bool_or(status = 'failed' AND mandatory AND error_code <> 'TIMEOUT') THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS status, bool_or(status = 'failed' AND mandatory) AS rechecked FROM coverage GROUP BY review_id")
