@@ -16,6 +16,7 @@ from ..operators.patch import MAX_BYTES
 from ..operators.transport import canonical
 
 MAX_DOCUMENT_BYTES = 2_097_152
+# What a revision may look like, and an object id.
 REVISION = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_./~^@{}-]*")
 OBJECT_ID = re.compile(r"[0-9a-f]{40}|[0-9a-f]{64}")
 # Options that make a diff the same on every machine.
@@ -27,9 +28,24 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("raw_diff"))
 
 
+GIT_ENVIRONMENT = {"GIT_TERMINAL_PROMPT": "0"}
+
+
+class Refused(ValueError):
+    """A request that can't be compared, with the code of the reason."""
+
+    def __init__(self, code: str, why: str) -> None:
+        super().__init__(why)
+        self.code = code
+
+
+def git_command(repository: str, *arguments: str) -> list[str]:
+    """A read-only git command: no locks, no pager."""
+    return ["git", "--no-optional-locks", "--no-pager", "-C", repository, *arguments]
+
+
 def _git(repository: str, *arguments: str, timeout: int = 30) -> str:
-    """A read-only git command's output: no locks, no prompt, no pager."""
-    run = subprocess.run(["git", "--no-optional-locks", "--no-pager", "-C", repository, *arguments], capture_output=True, timeout=timeout, check=True, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
+    run = subprocess.run(git_command(repository, *arguments), capture_output=True, timeout=timeout, check=True, env=os.environ | GIT_ENVIRONMENT)
     return run.stdout.decode("utf-8", "replace")
 
 
@@ -39,22 +55,22 @@ def worktree_root(path: str) -> str:
     try:
         top = Path(_git(str(root), "rev-parse", "--show-toplevel").strip()).resolve(strict=True)
     except subprocess.CalledProcessError as e:
-        raise ValueError("not a git work tree") from e
+        raise Refused("NOT_A_WORK_TREE", "not a git work tree") from e
     if top != root:
-        raise ValueError("not the root of its work tree")
+        raise Refused("NOT_A_WORK_TREE", "not the root of its work tree")
     return str(root)
 
 
 def resolve_revision(repository: str, revision: str) -> str:
     """The commit's object id."""
     if not REVISION.fullmatch(revision):
-        raise ValueError("unsafe revision")
+        raise Refused("UNSAFE_REVISION", "unsafe revision")
     try:
         found = _git(repository, "rev-parse", "--verify", "--quiet", "--end-of-options", f"{revision}^{{commit}}").strip().lower()
     except subprocess.CalledProcessError as e:
-        raise ValueError("no such commit") from e
+        raise Refused("NO_SUCH_COMMIT", "no such commit") from e
     if not OBJECT_ID.fullmatch(found):
-        raise ValueError("git gave no object id")
+        raise Refused("NO_SUCH_COMMIT", "git gave no object id")
     return found
 
 

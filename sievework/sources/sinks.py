@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_shared_path, markdown_cell
+from .files import write_files
 
-#: A name that may become a folder.
+# A name that may become a folder.
 SAFE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{2,127}")
 
 
@@ -73,13 +74,13 @@ def bundle_rows(tables: dict[str, DataFrame], key: str = "review_id") -> DataFra
 
 
 def write_deliveries(delivery: DataFrame, assignment: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Write deliveries (task_id, ref, text) that go to the place assigned to their task; returns (written, refused).
+    """Write deliveries (task_id, ref, text), each at exactly the place assigned to its task, below root; returns (written, refused).
 
-    All files of a call appear together, in a folder that must not exist; each is in a folder named by its task.
+    All files of a call appear together, in a folder that must not exist; two deliveries for one place are an error.
     """
     both = delivery.join(assignment.select("task_id", F.col("delivery_ref").alias("wanted")), "task_id", "left")
     good = F.coalesce((F.col("ref") == F.col("wanted")) & is_shared_path(F.col("ref")), F.lit(False))
-    both.where(good).select("task_id", F.col("text").alias("value")).write.partitionBy("task_id").mode("errorifexists").text(root)
+    write_files(both.where(good).select(F.col("ref").alias("path"), F.col("text").alias("content")), root)
     return both.where(good).drop("wanted"), both.where(~good).drop("wanted")
 
 
