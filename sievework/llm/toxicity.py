@@ -3,10 +3,10 @@
 Lexicon and pattern voters judge a bounded sample of labelled training rows. A generative model (expectation-
 maximisation over a latent label, one table of vote probabilities per voter and label) estimates what each voter is
 worth; residual correlations between voters then discount votes that repeat each other. The given label is one more
-noisy voter, and no part of where the estimation starts. A linear classifier over term and pattern features is trained on the posterior labels and scores whole
-texts.
+noisy voter, and no part of where the estimation starts. A linear classifier over term and pattern features is trained on
+the posterior labels and scores whole texts.
 
-Terms mined from the sample join the built-in lexicons. Near copies count once: sampled rows that share the least hash of
+Terms mined from the sample, words and stems that are dense in a text, join the built-in lexicons. Near copies count once: sampled rows that share the least hash of
 their three-word shingles are one row, with the label that most of them have.
 
 Defined cases: null and wordless texts have no hits and get the score of a text without hits; without labels the
@@ -53,6 +53,17 @@ SHARED = ["bias", "any_seed", "seeds", *PATTERNS]
 PRIOR = np.array([-3.0, 4.0, 1.0, 1.0, 3.0, 1.0])
 
 
+#: Lengths of stems, and how often one must stand in a text to count: twice, and once in so many words.
+STEMS, LEAST, DENSE = (5, 7), 3, 150
+
+
+def dense_stems(words: list[str], known: set[str] | None = None) -> list[str]:
+    """First letters that many of a text's words share, with a star; known: only of these."""
+    counts = Counter(w[:n] for n in STEMS for w in words if len(w) > n and (known is None or w[:n] in known))
+    least = max(LEAST, len(words) / DENSE)
+    return [f"{stem}*" for stem, n in counts.items() if n >= least]
+
+
 @dataclass
 class ToxicityModel:
     """Terms and weights of the classifier, and what the label model learned about its voters."""
@@ -65,11 +76,13 @@ class ToxicityModel:
 
     def __post_init__(self) -> None:
         self.at = {t: i for i, t in enumerate(self.terms)}
+        self.stems = {t[:-1] for t in self.terms if t.endswith("*")}
 
     def features(self, text: str | None) -> tuple[list[int], list[float]]:
         """Indices of the terms present, and the values of the shared features."""
         low = (text or "").lower()
-        found = sorted(self.at[w] for w in self.at.keys() & set(WORD.findall(low)))
+        words = WORD.findall(low)
+        found = sorted(self.at[w] for w in self.at.keys() & {*words, *dense_stems(words, self.stems)})
         seeds = sum(self.terms[i] in SEEDS for i in found)
         return found, [1.0, float(seeds > 0), float(np.log1p(seeds)), *(float(bool(p.search(low))) if seeds or name == "command" else 0.0 for name, p in PATTERNS.items())]
 
@@ -157,6 +170,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             marks = [_sketch(WORD.findall((t or "").lower())) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(marks, pa.int64())], names=["k", "t", "y", "s"])
 
+    # A key that repeats stands for one row, that of the least text: the bound is on rows.
+    rows = rows.groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y")).select("k", "t", "y")
     marked = rows.mapInArrow(sketched, "k long, t string, y int, s long")
     sample = cut(marked.groupBy("s").agg(F.min_by(F.struct("k", "t"), F.struct("k", "t")).alias("r"), (F.avg((F.col("y") > 0).cast("int")) >= 0.5).cast("int").alias("y")).select("r.*", "y"), "sample")
 
@@ -164,7 +179,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         counts = (Counter(), Counter())
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[y > 0].update(set(WORD.findall((t or "").lower())))
+                words = WORD.findall((t or "").lower())
+                counts[y > 0].update({*words, *dense_stems(words)})
         terms = list(counts[0] | counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][w] for w in terms], pa.int64()), pa.array([counts[0][w] for w in terms], pa.int64())], names=["w", "n1", "n0"])
 

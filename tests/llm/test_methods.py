@@ -84,6 +84,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert (out.predicted == out.toxic).mean() >= 0.9 and out.toxic[out.predicted == 1].mean() >= 0.9
 
 
+def test_toxicity_finds_what_is_held_out(spark):
+    path = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    out = toxicity.op2_toxicity(spark.read.parquet(f"{path}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").toPandas()
+    hits = ((out.predicted == 1) & (out.toxic == 1)).sum()
+    assert hits >= 0.85 * (out.toxic == 1).sum() and hits >= 0.97 * (out.predicted == 1).sum()
+
+
+def test_stems_are_dense():
+    words = ["abcdefgh", "abcdefgi", "abcdefgj", "other", "abc"] + ["x"] * 50
+    assert set(toxicity.dense_stems(words)) == {"abcde*", "abcdefg*"} and toxicity.dense_stems(words, {"abcde"}) == ["abcde*"]
+    assert toxicity.dense_stems(words * 1 + ["y"] * 1000) == []
+
+
 def test_label_model_discounts_copies_of_a_voter():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
