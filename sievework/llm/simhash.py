@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import copies
-from .common import components, cut, small
+from .common import BROADCAST_ROWS, components, cut, small
 from .shingles import digest_of, shingle_hashes, words_of
 
 #: Hashes whose bits are counted at once: bounds memory on very long texts.
@@ -100,12 +100,16 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: key, fp (signed), component_id (the least key reachable through links)."""
     marked = cut(fingerprints(docs, key, text, words), "simhash")
-    groups = cut(marked.groupBy("fp").agg(F.min(key).alias("least")), "prints")
+    groups = cut(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "prints")
     parts = cut(components(links(groups.select("fp"), radius)), "parts")
     heads = parts.join(groups, parts.id == groups.fp).groupBy("component").agg(F.min("least").alias("head"))
     joined = parts.join(heads, "component").select(F.col("id").alias("fp"), "head")
-    classes = groups.join(joined, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"))
-    return marked.join(classes, "fp").select(key, "fp", "component_id")
+    classes = cut(groups.join(joined, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"), "n"), "classes")
+    # A fingerprint of so many rows is one of at most BROADCAST_ROWS: these are broadcast, so no task gets all rows of one.
+    hot = F.col("n") > (groups.agg(F.sum("n")).first()[0] or 0) / BROADCAST_ROWS
+    known = F.broadcast(classes.where(hot).drop("n"))
+    cold = marked.join(known.select("fp"), "fp", "left_anti").join(classes.where(~hot).drop("n"), "fp")
+    return marked.join(known, "fp").unionByName(cold).select(key, "fp", "component_id")
 
 
 def _sketches(rows: DataFrame, key: str, text: str, words: int, similarity: float | None) -> DataFrame:
