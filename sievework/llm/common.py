@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..scratch import BATCH_ROWS, BROADCAST_ROWS, batches_of, cut, free, kept, released, scratch_root, small
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "batches_of", "components", "cut", "empty_like", "free", "held_out_rows", "kept", "released", "scratch_root", "small", "with_length"]
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "batches_of", "components", "crc32_sql", "cut", "empty_like", "free", "held_out_rows", "kept", "released", "scratch_root", "small", "with_length"]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,3 +48,9 @@ def held_out_rows(key: str = "doc_id") -> F.Column:
 def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with the column of text lengths, if there is one, brought up to date."""
     return docs.withColumn(length, F.length(F.col(text)).cast(dict(docs.dtypes)[length])) if length in docs.columns else docs
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's ASCII characters: each one, then eight shifts."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut, free, small
+from .common import crc32_sql, cut, free, small
 
 #: Nodes of a run, and the levels that a block of FANOUT ** ROUNDS nodes climbs in its task.
 FANOUT, ROUNDS = 8, 4
@@ -214,3 +214,30 @@ def op12_merkle(docs: DataFrame) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     out = manifest(docs, leaf, "lang", "doc_id", F.when(hit, lowered).otherwise(leaf))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def oracle(levels: int = 6, above: int = 3) -> str:
+    """DuckDB SQL for op12: every level of the trees, then of the root's, unrolled (8 ** levels rows a group)."""
+    told = lambda text: " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in (*FIELDS[:-1], text))
+    hit = f"coalesce({crc32_sql('doc_id::VARCHAR')} % 3 = 0, false)"
+    parts = [
+        f"d AS (SELECT row_number() OVER () AS r, doc_id, lang, sha256({told('text')}) AS leaf, CASE WHEN {hit} THEN sha256({told(f"translate(text, '{UPPER}', '{LOWER}')")}) ELSE sha256({told('text')}) END AS claim FROM documents)",
+        "f0 AS (SELECT r, doc_id, lang, leaf, claim, '' AS proof, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i FROM d)", "n0 AS (SELECT lang, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS m FROM f0)",
+    ]
+
+    def climb(n: str, p: str, after: str, tree: str, k: int, before: str, then: str) -> list[str]:
+        run = f"PARTITION BY {tree}, i // {FANOUT} ORDER BY i ROWS BETWEEN"
+        same = f"p.{tree} IS NOT DISTINCT FROM f.{tree} AND p.i = f.i"
+        return [
+            f"{p} AS (SELECT {tree}, i, m, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {n})",
+            f"{after} AS (SELECT {tree}, i // {FANOUT} AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (max(m) + {FANOUT - 1}) // {FANOUT} AS m FROM {n} WHERE m > 1 GROUP BY {tree}, i // {FANOUT} UNION ALL SELECT {tree}, i, h, m FROM {n} WHERE m = 1)",
+            f"{then} AS (SELECT f.* REPLACE (CASE WHEN p.m > 1 THEN sha256(p.a || f.claim || p.b) ELSE f.claim END AS claim, CASE WHEN p.m > 1 THEN f.proof || p.a || p.b ELSE f.proof END AS proof, CASE WHEN p.m > 1 THEN f.i // {FANOUT} ELSE f.i END AS i) FROM {before} f JOIN {p} p ON {same})",
+        ]
+
+    for k in range(levels):
+        parts += climb(f"n{k}", f"p{k}", f"n{k + 1}", "lang", k, f"f{k}", f"f{k + 1}")
+    top = f"n{levels}"
+    parts += [f"m0 AS (SELECT 0 AS t, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, h, lang, count(*) OVER () AS m FROM {top})", f"g0 AS (SELECT f.* REPLACE (m.i AS i), 0 AS t, m.h AS subroot FROM f{levels} f JOIN m0 m ON m.lang IS NOT DISTINCT FROM f.lang)"]
+    for k in range(above):
+        parts += climb(f"m{k}", f"q{k}", f"m{k + 1}", "t", k, f"g{k}", f"g{k + 1}")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, (SELECT h FROM m{above}) AS root, sha256(proof) AS proof_sha256, claim AS folded_root, claim = (SELECT h FROM m{above}) AS verified FROM g{above}"

@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_topk": topk.ORACLE}
+    return {"op11_repair": repair.oracle(), "op12_merkle": merkle.oracle(), "op13_topk": topk.ORACLE}

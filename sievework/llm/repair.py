@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut
+from .common import crc32_sql, cut
 
 #: Costs of keeping, giving another role, deleting, inserting, and of a truncated turn that stays.
 PRICES = {"K": 0, "R": 3, "D": 4, "I": 3, "T": 3}
@@ -305,3 +305,28 @@ def op11_repair(conversations: DataFrame, most: int = ROWS) -> DataFrame:
         out = out.join(part.withColumnRenamed("key", f"{prefix}conv_id"), _same(["conv_id"], prefix), "left").drop(f"{prefix}conv_id")
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for op11: one step a turn, the best edits of every phase kept; an insert at most before a turn, two at the end."""
+    blank = f"[{BLANKS}]"
+    kept = " ".join(f"WHEN b.phase = {phase} AND r.initial = '{initial}' THEN {to}" for (phase, initial), to in KEPT.items())
+    after = f"CASE WHEN phase = {USER} THEN {ASSISTANT} ELSE {USER} END"
+    name = lambda phase: f"CASE WHEN {phase} = {ASSISTANT} THEN 'assistant' ELSE 'user' END"
+    grow = lambda role, text: f"list_append(b.left_, {role} || ':' || {text})"
+    ins = lambda rows: f"SELECT key, n, phase, cost, audit, left_ FROM {rows} UNION ALL SELECT key, n, {after}, cost + {PRICES['I']}, audit || 'I', list_append(left_, {name(after)} || ':') FROM {rows}"
+    return rf"""WITH RECURSIVE told AS (SELECT conv_id AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+    hurt AS (SELECT key, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM told WHERE kind <> 0),
+    placed AS (SELECT key, turn, role, text, left(role, 1) AS initial, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, copy) AS n, regexp_replace(text, '{blank}+$', '') AS body FROM hurt),
+    row_ AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+    best AS (SELECT DISTINCT key, 0::BIGINT AS n, {START} AS phase, 0 AS cost, '' AS audit, []::VARCHAR[] AS left_ FROM row_
+        UNION ALL SELECT key, n, phase, cost, audit, left_ FROM (SELECT *, row_number() OVER (PARTITION BY key, phase ORDER BY cost, audit) AS place FROM (
+            SELECT b.key, r.n, b.phase, b.cost + {PRICES['D']} AS cost, b.audit || 'D' AS audit, b.left_ FROM ({ins('best')}) b JOIN row_ r ON r.key IS NOT DISTINCT FROM b.key AND r.n = b.n + 1
+            UNION ALL SELECT b.key, r.n, {after.replace('phase', 'b.phase')}, b.cost + {PRICES['R']} + CASE WHEN fault = 'truncated' THEN {PRICES['T']} ELSE 0 END, b.audit || 'R', {grow(name(f"({after.replace('phase', 'b.phase')})"), 'r.text')} FROM ({ins('best')}) b JOIN row_ r ON r.key IS NOT DISTINCT FROM b.key AND r.n = b.n + 1 WHERE fault NOT IN ('blank', 'duplicate')
+            UNION ALL SELECT b.key, r.n, CASE {kept} END, b.cost + CASE WHEN fault = 'truncated' THEN {PRICES['T']} ELSE 0 END, b.audit || 'K', {grow('r.role', 'r.text')} FROM ({ins('best')}) b JOIN row_ r ON r.key IS NOT DISTINCT FROM b.key AND r.n = b.n + 1 WHERE fault NOT IN ('blank', 'duplicate') AND CASE {kept} END IS NOT NULL)) WHERE place = 1),
+    size AS (SELECT key, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM row_ GROUP BY key),
+    near AS (SELECT key, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT key, lag(initial) OVER (PARTITION BY key ORDER BY n) || initial AS pair FROM row_) WHERE pair IS NOT NULL GROUP BY key),
+    last AS (SELECT b.* FROM best b JOIN size s ON s.key IS NOT DISTINCT FROM b.key AND s.n = b.n), one AS ({ins('last')}), two AS ({ins('one')}),
+    done AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cost, audit) AS place FROM two WHERE phase IN ({START}, {ASSISTANT}))
+    SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(left_, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN size s ON s.key IS NOT DISTINCT FROM c.conv_id LEFT JOIN near i ON i.key IS NOT DISTINCT FROM c.conv_id LEFT JOIN done e ON e.key IS NOT DISTINCT FROM c.conv_id AND e.place = 1"""
