@@ -16,6 +16,8 @@ GATE_RANK = {"PASS": 0, "NEEDS_REVIEW": 1, "BLOCK": 2, "FAILED": 3}
 EXIT_CODE = {"PASS": 0, "BLOCK": 1, "NEEDS_REVIEW": 2, "FAILED": 3}
 # US dollars for a million tokens, by kind of token.
 PRICE_HIT, PRICE_MISS, PRICE_OUTPUT = "0.003625", "0.435", "0.87"
+# Signs of an output that is kept.
+MAX_OUTPUT = 16_000
 MAX_RETRY_SECONDS = 2.0
 # The redaction patterns of free text, and of error messages.
 BEARER = r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/-]+"
@@ -76,8 +78,10 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(out, KNOWN_TOKEN, "<redacted-token>")
 
 
-def sanitize_error(text: Column, limit: int = 1000) -> Column:
-    out = F.regexp_replace(text, AUTHORIZATION, "$1[REDACTED]")
+def sanitize_error(text: Column, limit: int = 1000, key: Column | None = None) -> Column:
+    """An error's text without credentials: the key in use, wherever it stands, then whatever looks like one; cut last."""
+    out = text if key is None else F.when(F.length(key) > 0, F.replace(text, key, F.lit("[REDACTED]"))).otherwise(text)
+    out = F.regexp_replace(out, AUTHORIZATION, "$1[REDACTED]")
     out = F.regexp_replace(out, SK_TOKEN, "[REDACTED]")
     out = F.regexp_replace(out, USERINFO, "$1[REDACTED]@")
     return F.substring(F.regexp_replace(out, QUERY_KEY, "$1[REDACTED]"), 1, limit)
@@ -123,6 +127,11 @@ def is_admissible(deadline: Column, now: Column) -> Column:
     return deadline > now
 
 
+def bounded_output(text: Column, limit: int = MAX_OUTPUT) -> Column:
+    """A command's output, cut to its first signs."""
+    return F.substring(text, 1, limit)
+
+
 def markdown_cell(text: Column, limit: int = 500) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, r"\|", r"\\|"), r"[\r\n]+", " ")
     return F.substring(out, 1, limit)

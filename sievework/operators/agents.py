@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cache_split, cost_usd, error_class, is_language_python, policy_error, response_validity, retry_delay, stable_id
 
 CALL_BUDGET = 4
+# The skills whose coverage a security context must tell.
+FROZEN_COVERAGE = ["detect_secret", "detect_injection", "detect_dangerous_call"]
 
 
 def classified_calls(call: DataFrame) -> DataFrame:
@@ -94,6 +98,37 @@ def line_refs(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line_ref", stable_id("line", F.col("file_path"), F.col("side"), F.col("pos"), F.col("content")))
 
 
+def trusted_refs(line: DataFrame, context: DataFrame) -> DataFrame:
+    """Lines (review_id, role, file_path, hunk_id, side, line_number, content_hash, line_ref) with trusted, the reference that
+    their context's diff_hash and place give."""
+    told = line.join(context.select("review_id", "role", "diff_hash"), ["review_id", "role"])
+    material = F.concat_ws("\0", "diff_hash", "file_path", "hunk_id", "side", F.col("line_number").cast("string"), "content_hash")
+    return told.withColumn("trusted", F.concat(F.lit("line-"), F.substring(F.sha2(material, 256), 1, 20)))
+
+
+def context_faults(context: DataFrame, source: DataFrame, line: DataFrame, coverage: DataFrame, reference: DataFrame) -> DataFrame:
+    """(review_id, role, fault) of role contexts (review_id, role, diff_hash) that may not be disclosed.
+
+    source: (review_id, role, source_id); line: as for ``trusted_refs``; coverage: (review_id, skill) that the security
+    context tells; reference: (review_id, finding_id, line_ref) of its deterministic findings.
+    """
+    by = ["review_id", "role"]
+    sources = context.join(source, by, "left").groupBy(by).agg(F.count("source_id").alias("n"), F.count_distinct("source_id").alias("d"))
+    wanted = F.when(F.col("role") == "security_scanner", 2).otherwise(1)
+    lines = context.select(by).join(trusted_refs(line, context).select(*by, "line_ref", "trusted"), by, "left").groupBy(by).agg(F.count("line_ref").alias("n"), F.count_distinct("line_ref").alias("d"), F.bool_or(F.col("line_ref") != F.col("trusted")).alias("underived"))
+    secure = context.where("role = 'security_scanner'").select(by).distinct()
+    frozen = secure.join(coverage.groupBy("review_id").agg(F.array_sort(F.collect_set("skill")).alias("skills")), "review_id", "left")
+    own = line.where("role = 'security_scanner'").select("review_id", "line_ref")
+    foreign = secure.join(reference.join(own, ["review_id", "line_ref"], "left_anti").select("review_id"), "review_id", "left_semi")
+    told = lambda rows, fault: rows.select("review_id", "role", F.lit(fault).alias("fault"))
+    none = F.array().cast("array<string>")
+    parts = [
+        told(sources.where("n <> d"), "SOURCES_REPEATED"), told(sources.where(F.col("n") != wanted), "SOURCE_COUNT"), told(lines.where("n = 0"), "NO_LINES"), told(lines.where("n <> d"), "LINES_REPEATED"), told(lines.where("underived"), "LINE_REF_UNDERIVED"),
+        told(frozen.where(F.coalesce("skills", none) != F.array(*[F.lit(x) for x in sorted(FROZEN_COVERAGE)])), "COVERAGE_NOT_FROZEN"), told(foreign, "FOREIGN_REFERENCE"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts).distinct()
+
+
 def unknown_references(draft: DataFrame, context: DataFrame) -> DataFrame:
     """Reviews with a draft that names an unknown line: the whole run fails."""
     return draft.join(context, ["review_id", "line_ref"], "left_anti").select("review_id").distinct()

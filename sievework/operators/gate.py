@@ -143,6 +143,14 @@ class Gate:
         """(review_id, code, subject) of everything that is wrong."""
         return self._kept(lambda: self._union(None), "issues")
 
+    @cached_property
+    def assured_issues(self) -> DataFrame:
+        """Issues after assurance: of supplied conflicts that share an id the last is left, and with the detected ones is validated again."""
+        own = self.issues.where(~F.col("code").isin(*validation.CONFLICT_CODES))
+        known = self.conflicts.select("review_id", "conflict_id").distinct()
+        last = validation.last_entries(self.r["conflict"]).join(known, ["review_id", "conflict_id"], "left_semi")
+        return own.unionByName(validation.conflict_issues(last, self.r["finding"], self.policy)).distinct()
+
     def issues_of(self, *codes: str) -> DataFrame:
         """The issues of some codes, off the relations that they need, or off all issues where these are there."""
         rows = self.issues if "issues" in self.__dict__ else self._union(codes)

@@ -167,6 +167,12 @@ def route_issues(route_place: DataFrame, hunk: DataFrame) -> DataFrame:
     return _issues(with_hunks(route_place, hunk).where("misplaced"), "ROUTE_LOCATION_INVALID", "route_id")
 
 
+def last_entries(conflict: DataFrame) -> DataFrame:
+    """Of supplied conflicts that share an id, the rows of the last entry."""
+    last = conflict.groupBy("review_id", "conflict_id").agg(F.max("entry").alias("entry"))
+    return conflict.join(last, ["review_id", "conflict_id", "entry"], "left_semi")
+
+
 def conflict_issues(conflict: DataFrame, finding: DataFrame, policy: Policy = FROZEN) -> DataFrame:
     """Of supplied conflicts (review_id, conflict_id, entry, finding_id, rule_id): repeated ids, unknown findings and rules."""
     many = conflict.groupBy("review_id", "conflict_id").agg(F.count_distinct("entry").alias("n")).where("n > 1")

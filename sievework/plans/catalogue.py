@@ -85,6 +85,10 @@ add("f02_content_hash", lambda d: d.select("doc_id", scalars.content_hash(F.col(
 add("f04_paths", lambda p: p.select("p_partkey", F.expr(_PATHS).alias("path")).select("p_partkey", scalars.is_repository_path(F.col("path")).alias("repository"), scalars.is_shared_path(F.col("path")).alias("shared"), scalars.is_test_path(F.col("path")).alias("test"), scalars.is_language_python(F.col("path")).alias("python")), tables=("part",), sql=f"SELECT p_partkey, NOT (path[1] = '/' OR contains(path, '//') OR contains(path, ':') OR list_has_any(string_split(path, '/'), ['', '.', '..'])) AS repository, regexp_full_match(path, 'shared(/[A-Za-z0-9_-][A-Za-z0-9_.-]*)+') AS shared, contains('/' || lower(path), '/tests/') OR contains('/' || lower(path), '/test_') AS test, lower(path) LIKE '%.py' OR lower(path) LIKE '%.pyi' AS python FROM (SELECT p_partkey, {_PATHS} AS path FROM part)")
 add("f06_safe_ids", lambda p: p.select("p_partkey", F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("id"), F.concat(F.lit("L:"), F.col("p_partkey").cast("string")).alias("ref")).select("p_partkey", F.col("id").rlike(scalars.IDENTIFIER).alias("identifier"), F.col("ref").rlike(scalars.LINE_REF).alias("line_ref")), tables=("part",), sql="SELECT p_partkey, regexp_full_match(lower(replace(p_name, ' ', '-')), '[a-z0-9][a-z0-9-]*') AS identifier, true AS line_ref FROM part")
 add("f13_redact", lambda d: d.select("doc_id", F.sha2(scalars.redact(F.col("text")), 256).alias("hash")), tables=D, sql=r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(bearer\s+)[A-Za-z0-9._~+/-]+', '\1<redacted>', 'g'), '(?i)\b((?:[a-z0-9]+[_-])*(?:api[_-]?key|secret[_-]?key|access[_-]?key|gateway[_-]?key|token|password)|authorization)(\s*[=:]\s*)("[^"]*"|''[^'']*''|[^\s,;]+)', '\1\2<redacted>', 'g'), '\b(?:gh[opsu]_[A-Za-z0-9]{8,}|sk-[A-Za-z0-9_-]{8,})\b', '<redacted-token>', 'g')) AS hash FROM documents""")
+add("f14_exact_key", lambda d: d.where("text is not null").select("doc_id", scalars.sanitize_error(F.concat(F.lit("failed with "), F.substring("text", 1, 12), F.lit(": "), "text"), 5000, F.substring("text", 1, 12)).alias("t")).select("doc_id", F.col("t").startswith("failed with [REDACTED]: [REDACTED]").alias("redacted"), (F.length("t") <= 5000).alias("bounded")), tables=D, sql="SELECT doc_id, length(text) > 0 AS redacted, true AS bounded FROM documents WHERE text IS NOT NULL")
+add("w13_output_cap", lambda d: d.select("doc_id", F.length(scalars.bounded_output(F.col("text"))).alias("kept")), tables=D, sql="SELECT doc_id, least(length(text), 16000)::INT AS kept FROM documents")
+_ZONE = "CASE event_id % 4 WHEN 0 THEN 'Z' WHEN 1 THEN '+00:00' WHEN 2 THEN '+02:00' ELSE '' END"
+add("f22_f23_times", lambda e: e.select("event_id", scalars.parse_utc(F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.expr(_ZONE))).alias("t"), F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 7 - 2).alias("u")).select("event_id", F.unix_seconds("t").alias("utc_seconds"), scalars.duration_ms(F.col("t"), F.col("u")).alias("ms")), tables=("events",), sql=f"SELECT event_id, CASE WHEN event_id % 4 < 2 THEN floor(epoch(ts))::BIGINT END AS utc_seconds, CASE WHEN event_id % 4 < 2 THEN greatest((event_id % 7 - 2) * 1000, 0)::BIGINT ELSE 0 END AS ms FROM events")
 add("f14_sanitize", lambda p: p.select("page_id", scalars.sanitize_error(F.concat(F.replace("url", F.lit("://"), F.lit("://me:pw@")), F.lit("&token=abc sk-0123456789"))).alias("text")), tables=("pages",), sql="SELECT page_id, replace(url, '://', '://[REDACTED]@') || '&token=[REDACTED] [REDACTED]' AS text FROM pages")
 add("f15_origin", lambda p: p.select("page_id", scalars.public_origin(F.when(F.col("page_id") % 9 == 0, F.regexp_replace("url", "^https?:", "")).otherwise(F.col("url"))).alias("origin")), tables=("pages",), sql="SELECT page_id, CASE WHEN page_id % 9 = 0 THEN '[INVALID_URL]' ELSE lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#:]+)', 1)) END AS origin FROM pages")
 add("f19_cost", lambda c: agents.costed_calls(c).select("call_id", F.round(F.col("cost").cast("double"), 9).alias("cost")), "call", sql="SELECT call_id, CASE WHEN prompt_tokens IS NOT NULL AND completion_tokens IS NOT NULL THEN round((coalesce(cache_hit_tokens, 0) * 0.003625 + (prompt_tokens - coalesce(cache_hit_tokens, 0)) * 0.435 + completion_tokens * 0.87)::DOUBLE / 1000000, 9) END AS cost FROM call")
@@ -213,6 +217,30 @@ add("m07_review_artifacts", lambda d, c, k: agents.review_artifacts(d, c, k, "se
 add("m04_finding_summaries", lambda f, p, k, e, h: agents.finding_summaries(f, p, k, e, _context(h)).select("review_id", "finding_id", "category", "severity", _joined("line_refs"), _joined("levels")), "finding", "place", "link", "evidence", "hunk", sql=""" SELECT f.review_id, f.finding_id, category, severity, line_refs, levels FROM (SELECT DISTINCT review_id, finding_id, category, severity FROM finding) f JOIN (SELECT p.review_id, p.finding_id, array_to_string(list_sort(list(DISTINCT 'line-' || p.start_line)), ',') AS line_refs FROM place p JOIN hunk h ON h.review_id = p.review_id AND h.hunk_id = p.hunk_id AND h.new_path = p.file_path WHERE side = 'new' AND start_line < 50 GROUP BY ALL) r USING (review_id, finding_id)
     LEFT JOIN (SELECT review_id, finding_id, string_agg(level, ',' ORDER BY first) AS levels FROM (SELECT k.review_id, k.finding_id, level, min(k.evidence_id) AS first FROM (SELECT DISTINCT review_id, finding_id, evidence_id FROM link) k JOIN (SELECT DISTINCT review_id, evidence_id, level FROM evidence) e ON e.review_id = k.review_id AND e.evidence_id = k.evidence_id GROUP BY ALL) GROUP BY ALL) l USING (review_id, finding_id)""")
 add("d17_unknown_refs", agents.unknown_references, "draft", "context_line", sql="SELECT DISTINCT review_id FROM draft d WHERE NOT EXISTS (FROM context_line c WHERE c.review_id = d.review_id AND c.line_ref = d.line_ref)")
+_ROLE = "CASE conv_id % 3 WHEN 0 THEN 'security_scanner' WHEN 1 THEN 'diff_analyzer' ELSE 'quality_reviewer' END"
+
+
+def _context_faults(t: DataFrame) -> DataFrame:
+    """Contexts of conversations: a source or two, a line for each turn; some of everything wrong."""
+    t = t.selectExpr("conv_id AS review_id", f"{_ROLE} AS role", "turn", "sha2(text, 256) AS content_hash")
+    context = t.select("review_id", "role").distinct().withColumn("diff_hash", F.sha2(F.col("review_id").cast("string"), 256))
+    n = F.col("review_id")
+    sources = F.when(n % 11 == 0, F.array(F.lit("a"), F.lit("a"))).when((F.col("role") == "security_scanner") == (n % 13 != 0), F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    source = context.select("review_id", "role", F.explode(sources).alias("source_id"))
+    line = t.where("review_id % 23 <> 5").select("review_id", "role", F.lit("src/a.py").alias("file_path"), F.lit("h1").alias("hunk_id"), F.lit("new").alias("side"), F.col("turn").alias("line_number"), "content_hash", F.lit("").alias("line_ref"))
+    line = agents.trusted_refs(line, context).withColumn("line_ref", F.when((n % 17 == 3) & (F.col("line_number") == 0), "line-0").otherwise(F.col("trusted"))).drop("trusted", "diff_hash")
+    line = line.unionByName(line.where("review_id % 19 = 4"))
+    skills = F.array(*map(F.lit, agents.FROZEN_COVERAGE))
+    coverage = context.select("review_id", F.explode(F.when(n % 12 == 6, F.slice(skills, 1, 2)).otherwise(skills)).alias("skill"))
+    reference = line.where("line_number = 1").select("review_id", F.lit("f").alias("finding_id"), F.when(n % 15 == 9, "line-9").otherwise(F.col("line_ref")).alias("line_ref"))
+    return agents.context_faults(context, source, line, coverage, reference)
+
+
+add("t05_context_faults", _context_faults, tables=("conversations",), sql=f"""WITH c AS (SELECT conv_id AS review_id, {_ROLE} AS role, count(*) AS turns, bool_or(turn = 0) AS zero, bool_or(turn = 1) AS one FROM conversations GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN review_id % 11 = 0 THEN 2 WHEN (role = 'security_scanner') = (review_id % 13 <> 0) THEN 2 ELSE 1 END AS sources, review_id % 23 <> 5 AS lined FROM c)
+    SELECT review_id, role, 'SOURCES_REPEATED' AS fault FROM s WHERE review_id % 11 = 0 UNION ALL SELECT review_id, role, 'SOURCE_COUNT' FROM s WHERE sources <> CASE WHEN role = 'security_scanner' THEN 2 ELSE 1 END UNION ALL SELECT review_id, role, 'NO_LINES' FROM s WHERE NOT lined
+    UNION ALL SELECT review_id, role, 'LINES_REPEATED' FROM s WHERE lined AND review_id % 19 = 4 UNION ALL SELECT review_id, role, 'LINE_REF_UNDERIVED' FROM s WHERE lined AND zero AND review_id % 17 = 3 UNION ALL SELECT review_id, role, 'COVERAGE_NOT_FROZEN' FROM s WHERE role = 'security_scanner' AND review_id % 12 = 6
+    UNION ALL SELECT review_id, role, 'FOREIGN_REFERENCE' FROM s WHERE role = 'security_scanner' AND lined AND one AND review_id % 15 = 9""")
 add("m05_draft_evidence", lambda d, c: agents.draft_findings(d, c)[1].drop("evidence_id"), "draft", "context_line", sql="SELECT review_id, 'E1' AS level, 'llm' AS source, sha256(text) AS content_hash FROM draft d WHERE review_id NOT IN (SELECT review_id FROM draft x WHERE NOT EXISTS (FROM context_line c WHERE c.review_id = x.review_id AND c.line_ref = x.line_ref))")
 add("d16_finding_lines", lambda p, h: agents.finding_lines(p, _context(h)).select("review_id", "finding_id", "line_ref"), "place", "hunk", sql="SELECT p.review_id, finding_id, 'line-' || start_line AS line_ref FROM place p JOIN hunk h ON h.review_id = p.review_id AND h.hunk_id = p.hunk_id AND h.new_path = p.file_path WHERE side = 'new' AND start_line < 50")
 add("d26_evidence_levels", lambda k, e: agents.evidence_levels(k, e.select("review_id", "evidence_id", "level").distinct()).select("review_id", "finding_id", _joined("levels")), "link", "evidence", sql="SELECT review_id, finding_id, string_agg(level, ',' ORDER BY first) AS levels FROM (SELECT k.review_id, k.finding_id, level, min(k.evidence_id) AS first FROM link k JOIN (SELECT DISTINCT review_id, evidence_id, level FROM evidence) e ON e.review_id = k.review_id AND e.evidence_id = k.evidence_id GROUP BY ALL) GROUP BY ALL")

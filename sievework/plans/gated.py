@@ -121,8 +121,12 @@ add_gate("e04_canonical_evidence", lambda g: assurance.canonical_evidence(g.evid
 add_gate("e05_e07_conflicts", lambda g: g.conflicts.select("review_id", "type", joined("finding_ids"), "resolved"), _CONFLICTS + " SELECT review_id, type, array_to_string(finding_ids, ',') AS finding_ids, resolved FROM found")
 add_gate("u01_merged_conflicts", lambda g: _merged(g), _CONFLICTS + " SELECT review_id, type, array_to_string(finding_ids, ',') AS finding_ids, array_to_string(finding_ids, ',') LIKE '%7%' AS supplied FROM found WHERE type IN ('severity_mismatch', 'location_mismatch')")
 add_gate("e08_coverage_gaps", lambda g: g.coverage_gaps.select("review_id", "route_id", "skill", joined("finding_ids")), _RELATED + _LACKING + " SELECT l.review_id, l.route_id, l.skill, coalesce(array_to_string(list_sort(list(DISTINCT finding_id) FILTER (finding_id IS NOT NULL)), ','), '') AS finding_ids FROM lacking l LEFT JOIN related r ON r.review_id = l.review_id AND r.route_id = l.route_id GROUP BY l.review_id, l.route_id, l.skill")
-add_gate("v01_report", lambda g: assurance.report(g.finding, g.evidence, g.issues, g.conflicts), _CONFLICTS + f""" SELECT review_id, count(DISTINCT finding_id) AS findings, count(DISTINCT finding_id) FILTER (NOT invalid) AS valid_findings, count(DISTINCT (category, places)) AS canonical_findings, coalesce(any_value(e.n), 0) AS evidence, coalesce(any_value(e.ok), 0) AS valid_evidence, coalesce(any_value(e.canonical), 0) AS canonical_evidence, coalesce(any_value(i.n), 0) AS issues, coalesce(any_value(c.n), 0) AS conflicts
-    FROM judged LEFT JOIN (SELECT review_id, count(DISTINCT evidence_id) AS n, count(DISTINCT evidence_id) FILTER (NOT bad) AS ok, count(DISTINCT (content_hash, file_path IS NULL, {_SPOT})) AS canonical FROM proof GROUP BY review_id) e USING (review_id) LEFT JOIN (SELECT review_id, count(*) AS n FROM issue GROUP BY review_id) i USING (review_id) LEFT JOIN (SELECT review_id, count(*) AS n FROM found GROUP BY review_id) c USING (review_id) GROUP BY review_id""")
+_ASSURED = """, last AS (SELECT c.* FROM conflict c JOIN (SELECT review_id, conflict_id, max(entry) AS entry FROM conflict GROUP BY ALL) USING (review_id, conflict_id, entry)),
+    assured AS (SELECT * FROM issue WHERE code NOT IN ('DUPLICATE_CONFLICT_ID', 'CONFLICT_FINDING_DANGLING', 'CONFLICT_RULE_DANGLING') UNION SELECT review_id, 'CONFLICT_FINDING_DANGLING', conflict_id FROM last c WHERE NOT EXISTS (FROM finding f WHERE f.review_id = c.review_id AND f.finding_id = c.finding_id)
+        UNION SELECT review_id, 'CONFLICT_RULE_DANGLING', conflict_id FROM last WHERE rule_id = 'N999')"""
+add_gate("v01_assured_issues", lambda g: g.assured_issues.where(F.col("code").isin(*validation.CONFLICT_CODES)), _CONFLICTS + _ASSURED + " SELECT * FROM assured WHERE code LIKE '%CONFLICT%'")
+add_gate("v01_report", lambda g: assurance.report(g.finding, g.evidence, g.assured_issues, g.conflicts), _CONFLICTS + _ASSURED + f""" SELECT review_id, count(DISTINCT finding_id) AS findings, count(DISTINCT finding_id) FILTER (NOT invalid) AS valid_findings, count(DISTINCT (category, places)) AS canonical_findings, coalesce(any_value(e.n), 0) AS evidence, coalesce(any_value(e.ok), 0) AS valid_evidence, coalesce(any_value(e.canonical), 0) AS canonical_evidence, coalesce(any_value(i.n), 0) AS issues, coalesce(any_value(c.n), 0) AS conflicts
+    FROM judged LEFT JOIN (SELECT review_id, count(DISTINCT evidence_id) AS n, count(DISTINCT evidence_id) FILTER (NOT bad) AS ok, count(DISTINCT (content_hash, file_path IS NULL, {_SPOT})) AS canonical FROM proof GROUP BY review_id) e USING (review_id) LEFT JOIN (SELECT review_id, count(*) AS n FROM assured GROUP BY review_id) i USING (review_id) LEFT JOIN (SELECT review_id, count(*) AS n FROM found GROUP BY review_id) c USING (review_id) GROUP BY review_id""")
 
 
 def _merged(g: Gate) -> DataFrame:

@@ -106,6 +106,37 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return both.where(good), both.where(~good).select("path", "length")
 
 
+# The fields of the documents that roles exchange, in their order.
+DELIVERY = ["schema_name", "schema_version", "review_id", "trace_id", "task_id", "parent_task_id", "role", "attempt", "status", "input_artifacts", "output", "evidence", "started_at", "finished_at", "model_usage", "output_sha256"]
+ASSIGNMENT = ["schema_name", "schema_version", "review_id", "trace_id", "task_id", "parent_task_id", "role", "attempt", "skill_name", "skill_version", "review_input", "role_context", "deadline_at", "delivery_ref"]
+CONTEXT = ["schema_name", "schema_version", "review_id", "role", "source_artifact_ids", "lines", "metadata", "cloud_safe"]
+
+
+def read_fields(spark: SparkSession, path: str, fields: list[str], exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) JSON objects of exactly these fields; exact: whose bytes are their canonical form.
+
+    accepted: (path, canonical, sha256); rejected: (path, reason).
+    """
+    raw = spark.read.format("binaryFile").load(path).select("path", "length", F.when(F.col("length") <= MAX_DOCUMENT_BYTES, F.col("content")).alias("content"))
+    both = raw.withColumns({"canonical": canonical(F.make_valid_utf8(F.col("content").cast("string"))), "sha256": F.sha2("content", 256)})
+    keys = F.array_sort(F.coalesce(F.json_object_keys("canonical"), F.array().cast("array<string>")))
+    reason = F.when(F.col("content").isNull(), "TOO_LARGE").when(F.col("canonical").isNull() | ~F.col("canonical").startswith("{"), "NOT_AN_OBJECT").when(keys != F.array(*map(F.lit, sorted(fields))), "FIELDS").when(F.lit(exact) & (F.col("canonical").cast("binary") != F.col("content")), "NOT_CANONICAL")
+    told = both.withColumn("reason", reason)
+    return told.where("reason is null").select("path", "canonical", "sha256"), told.where("reason is not null").select("path", "reason")
+
+
+def read_deliveries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return read_fields(spark, path, DELIVERY, exact=False)
+
+
+def read_assignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return read_fields(spark, path, ASSIGNMENT)
+
+
+def read_role_contexts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return read_fields(spark, path, CONTEXT)
+
+
 def package_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of the files below path, relative to it; a local folder with a symbolic link in it is refused."""
     local = Path(path)

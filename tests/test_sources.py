@@ -106,3 +106,19 @@ def test_sessions_of_a_stream(spark, tmp_path):
     ended = spark.table("sessions").drop("value")
     assert ended.count() > 0 and ended.exceptAll(batch.drop("value")).count() == 0  # what the stream closed is what the batch finds
     assert batch.agg(F.max("end")).first()[0] > ended.agg(F.max("end")).first()[0]  # the last ones are still open
+
+
+def test_documents_of_roles(spark, tmp_path):
+    import json
+
+    for name, fields, read in (("delivery", readers.DELIVERY, readers.read_deliveries), ("assignment", readers.ASSIGNMENT, readers.read_assignments), ("context", readers.CONTEXT, readers.read_role_contexts)):
+        folder = tmp_path / name
+        folder.mkdir()
+        whole = {f: "é" for f in fields}
+        canonical = json.dumps(whole, ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n"
+        for file, text in {"good": canonical, "spaced": json.dumps(whole), "more": json.dumps(whole | {"x": 1}), "less": "{}\n", "list": "[1]\n", "twice": '{"a":1,"a":1}', "deep": "[" * 100_000}.items():
+            (folder / file).write_text(text)
+        good, bad = read(spark, str(folder))
+        assert sorted(r.path.rsplit("/", 1)[1] for r in good.collect()) == (["good", "spaced"] if name == "delivery" else ["good"])
+        reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in bad.collect()}
+        assert reasons == {"more": "FIELDS", "less": "FIELDS", "list": "NOT_AN_OBJECT", "twice": "NOT_AN_OBJECT", "deep": "NOT_AN_OBJECT"} | ({} if name == "delivery" else {"spaced": "NOT_CANONICAL"})
