@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _folders: set[str] = set()
-#: Paths written since each open ``released`` block began.
-_open: list[list[tuple[SparkSession, str]]] = []
+#: Paths written since each open ``released`` block began, in this thread.
+_open: contextvars.ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = contextvars.ContextVar("open", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,8 +41,8 @@ def cut(df: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
         _folders.add(root)
         atexit.register(_drop, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append((spark, path))
+    for written in _open.get()[-1:]:
+        written.append((spark, path))
     with batches_of(spark, batch):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -58,22 +59,24 @@ def free(df: DataFrame | None) -> None:
 @contextlib.contextmanager
 def released() -> Iterator[None]:
     """Tables cut inside are deleted at the end: only for results that are written by then and don't read them again."""
-    _open.append([])
+    written: list[tuple[SparkSession, str]] = []
+    before = _open.set((*_open.get(), written))
     try:
         yield
     finally:
-        for spark, path in _open.pop():
+        _open.reset(before)
+        for spark, path in written:
             _drop(spark, path)
 
 
 @contextlib.contextmanager
 def kept() -> Iterator[None]:
     """Tables cut inside outlive the ``released`` block around."""
-    _open.append([])
+    before = _open.set((*_open.get(), []))
     try:
         yield
     finally:
-        _open.pop()
+        _open.reset(before)
 
 
 @contextlib.contextmanager

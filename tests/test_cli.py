@@ -1,3 +1,5 @@
+import json
+
 from sievework import cli
 
 CLEAN = "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1 +1 @@\n-x\n+y"
@@ -11,3 +13,15 @@ def test_exit_codes(spark, tmp_path):
         assert cli.main([str(tmp_path / name), str(tmp_path / f"{name}.out")]) == code
     shown = spark.read.parquet(str(tmp_path / "block.out/lines")).collect()
     assert all("sk-a1B2" not in r.content for r in shown)
+
+
+def test_whole_runs_with_outcomes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    head = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1,2 @@\n a\n+"
+    (tmp_path / "in" / "clean.diff").write_text(head + "total = 1")
+    (tmp_path / "in" / "shell.diff").write_text(head + 'os.system("x " + y)')
+    told = [json.dumps({"path": f"{p}.diff", "agent_id": a, "status": "success"}) for p in ("clean", "shell") for a in ("security-scanner", "quality-reviewer")]
+    (tmp_path / "outcomes.jsonl").write_text("\n".join(told))
+    assert cli.main([str(tmp_path / "in"), str(tmp_path / "out"), "--outcomes", str(tmp_path / "outcomes.jsonl")]) == 1
+    rules = sorted(json.loads(p.read_text())["rule_ids"] for p in (tmp_path / "out").glob("*/gate-decision.json"))
+    assert rules == [["B002"], ["P001"]] and len(list((tmp_path / "out").glob("*/*"))) == 26
