@@ -35,7 +35,7 @@ class ReviewRun:
 
     @cached_property
     def _raw(self) -> DataFrame:
-        return patch.raw_lines(patch.within_bytes(self.patches)[0])
+        return cut(patch.raw_lines(patch.within_bytes(self.patches)[0]), "raw")
 
     @cached_property
     def files(self) -> DataFrame:
@@ -63,7 +63,7 @@ class ReviewRun:
 
     def observed(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(secrets seen on lines, by the rules and the user's scanners; (review_id, error_code) where a scanner failed)."""
-        asked, lost = scanners.with_errors(cut(self.extra.scan(lines, "detect_secret"), "scanned"))
+        asked, lost = scanners.with_errors(self.extra.scan(lines, "detect_secret"))
         columns = ["review_id", "line_key", "kind", "side", "secret_type", "value", "level", "status"]
         told = asked.join(lines.select("review_id", "line_key", "kind", "side"), ["review_id", "line_key"]).select(columns)
         return secrets.observations(lines).select(columns).unionByName(told), lost
@@ -90,7 +90,7 @@ class ReviewRun:
         skill = F.when(F.col("rule").startswith("CS-INJECT"), "detect_injection").otherwise("detect_dangerous_call")
         at = found.where("error_code is null").select(*[c for c in found.columns if c != "line"], F.col("line").alias("line_number")).withColumn("side", F.lit("new")).join(placed, ["review_id", "hunk_id", "side", "line_number"])
         coded = at.withColumn("skill", skill).select("review_id", "skill", "rule", "category", "status", "level", "severity", (F.col("confidence") * 100).cast("int").alias("confidence_pct"), source.alias("source"), "line_key")
-        more, stuck = scanners.with_errors(cut(self.extra.scan(lines, "detect_dangerous_call"), "scanned"))
+        more, stuck = scanners.with_errors(self.extra.scan(lines, "detect_dangerous_call"))
         joined = more.select("review_id", *one("detect_dangerous_call", F.concat_ws(":", "scanner", "rule"), F.col("category"), F.col("severity"), F.lit(60), F.lit("static_tool")))
         failed = found.where("error_code is not null").select("review_id", F.explode(F.array(F.lit("detect_injection"), F.lit("detect_dangerous_call"))).alias("skill"), "error_code")
         failures = failed.unionByName(lost.select("review_id", F.lit("detect_secret").alias("skill"), "error_code")).unionByName(stuck.select("review_id", F.lit("detect_dangerous_call").alias("skill"), "error_code"))

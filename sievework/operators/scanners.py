@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 #: Fields of a hit, by skill: a value on a line to be masked, or a finding at a line.
 HITS = {"detect_secret": ("line_key", "secret_type", "value", "level", "status"), "detect_dangerous_call": ("line_key", "rule", "category", "level", "status", "severity")}
 #: What a scanner may claim: no more than a suspicion backed by a tool.
@@ -35,9 +37,9 @@ class Registry:
         self.scanners[name] = (skill, scanner)
 
     def scan(self, lines: DataFrame, skill: str) -> DataFrame:
-        """(review_id, file_path, scanner, the skill's fields, error_code) of all scanners of a skill."""
-        empty = lines.sparkSession.createDataFrame([], _schema(skill))
-        return reduce(DataFrame.unionByName, [_run(lines, name, skill, kind) for name, (joined, kind) in self.scanners.items() if joined == skill], empty)
+        """(review_id, file_path, scanner, the skill's fields, error_code) of all scanners of a skill. Written, if there are any."""
+        own = [_run(lines, name, skill, kind) for name, (joined, kind) in self.scanners.items() if joined == skill]
+        return cut(reduce(DataFrame.unionByName, own), "scanned") if own else lines.sparkSession.createDataFrame([], _schema(skill))
 
 
 def _schema(skill: str) -> str:
