@@ -46,7 +46,7 @@ def versioned(prompts: DataFrame, dimension: DataFrame, at: str | None = None) -
     dimension: (agent_id, version, prompt_id, system); an agent without one has no row in the result.
     """
     told = dimension.where(F.col("version") == at) if at else dimension.groupBy("agent_id").agg(F.max_by(F.struct("version", "prompt_id", "system"), F.transform(F.split("version", "[.]"), lambda v: v.cast("int"))).alias("p")).select("agent_id", "p.*")
-    return prompts.join(F.broadcast(told.select("agent_id", "version", "prompt_id", "system")), "agent_id")
+    return prompts.join(told.select("agent_id", "version", "prompt_id", "system"), "agent_id")
 
 
 def _valid(reply: Reply) -> bool:
