@@ -43,6 +43,14 @@ def test_sliced_query_matches_sql(spark, monkeypatch, name):
     assert differences(out, duck(SF), catalogue.ORACLES[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["p09_failures", "v01_assured_issues"])
+def test_what_needs_no_facts_writes_none(spark, name):
+    registry.end_gates()
+    before = _tables(spark)
+    assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
+    assert _tables(spark) == before
+
+
 def _tables(spark):
     root = scratch.scratch_root(spark).removeprefix("file://")
     return set(os.listdir(root)) if os.path.exists(root) else set()
