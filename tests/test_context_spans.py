@@ -1,9 +1,12 @@
 """Context given as spans of lines gives the lines that it gives line by line, and makes none that no finding starts at."""
 
+from compare import differences, duck
 from pyspark.sql import functions as F
 
 from sievework.operators import agents
-from sievework.plans import catalogue
+from sievework.plans import catalogue, registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_spans_give_what_lines_give(spark):
@@ -14,3 +17,10 @@ def test_spans_give_what_lines_give(spark):
     lines = spans.select("review_id", "file_path", "hunk_id", "side", F.explode(F.sequence("first", "last")).alias("line")).withColumn("line_ref", F.concat(F.lit("line-"), F.col("line").cast("string")))
     told = [sorted(map(tuple, agents.finding_lines(finding, c).select("review_id", "finding_id", "side", "line_ref").collect())) for c in (lines, spans)]
     assert told[0] == told[1] and len(told[0]) == 3
+
+
+def test_summaries_over_spans(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry, "_slices", lambda *a: asked.append(a[-1]) or [])
+    assert differences(catalogue.QUERIES["m04_finding_summaries"](spark, SF), duck(SF), catalogue.ORACLES["m04_finding_summaries"]) == ""
+    assert asked == [1], "a hunk is one row on its way"
