@@ -7,7 +7,7 @@ from test_slices import SF, _tables
 from sievework.plans import catalogue, registry
 
 
-@pytest.mark.parametrize("name", ["d05_c07_location", "d02_interval_support", "d01_dangling", "d06_unverified_e3", "d07_verified", "d09_d10_coverage_refs", "d03_route_overlap"])
+@pytest.mark.parametrize("name", ["d05_c07_location", "d02_interval_support", "d01_dangling", "d06_unverified_e3", "d07_verified", "d09_d10_coverage_refs", "d03_route_overlap", "e08_coverage_gaps"])
 def test_few_relations_make_no_facts(spark, name):
     registry.end_gates()
     before = _tables(spark)
