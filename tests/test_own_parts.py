@@ -13,3 +13,13 @@ def test_few_relations_make_no_facts(spark, name):
     before = _tables(spark)
     assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
     assert _tables(spark) == before
+
+
+@pytest.mark.parametrize(("name", "unmade"), [("e05_e07_conflicts", {"evidence", "finding"})])
+def test_other_facts_are_not_made(spark, name, unmade):
+    registry.end_gates()
+    before = _tables(spark)
+    assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
+    assert not {t.rsplit("-", 1)[0] for t in _tables(spark) - before} & unmade
+    registry.end_gates()
+    assert _tables(spark) <= before
