@@ -15,7 +15,7 @@ def test_few_relations_make_no_facts(spark, name):
     assert _tables(spark) == before
 
 
-@pytest.mark.parametrize(("name", "unmade"), [("e05_e07_conflicts", {"evidence", "finding"}), ("u01_merged_conflicts", {"evidence", "finding"})])
+@pytest.mark.parametrize(("name", "unmade"), [("e05_e07_conflicts", {"evidence", "finding"}), ("u01_merged_conflicts", {"evidence", "finding"}), ("c09_e12_block", {"issues", "coverage", "covered"})])
 def test_other_facts_are_not_made(spark, name, unmade):
     registry.end_gates()
     before = _tables(spark)
