@@ -23,3 +23,17 @@ def test_other_facts_are_not_made(spark, name, unmade):
     assert not {t.rsplit("-", 1)[0] for t in _tables(spark) - before} & unmade
     registry.end_gates()
     assert _tables(spark) <= before
+
+
+@pytest.mark.parametrize("name", ["k04_evidence", "k04_apply", "k03_k05_scope"])
+def test_rechecks_go_in_smaller_slices(spark, monkeypatch, name):
+    asked = []
+
+    def stop(*a):
+        asked.append(a[-1])
+        raise InterruptedError
+
+    monkeypatch.setattr(registry, "_slices", stop)
+    with pytest.raises(InterruptedError):
+        catalogue.QUERIES[name](spark, SF)
+    assert asked == [3]
