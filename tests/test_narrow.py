@@ -10,20 +10,21 @@ from sievework.plans import catalogue, registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["c08_qualified_evidence"])
+@pytest.mark.parametrize("name", ["c08_qualified_evidence", "d22_e14_mandatory"])
 def test_slices_give_the_same(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "_slices", lambda *_: [F.col("review_id") < 700, F.col("review_id") >= 700])
     assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
 
 
 def test_facts_shuffle_each_relation_once_a_key(spark, capsys):
-    """Evidence goes by hunk and by id, not by the artifact that it came in."""
+    """Evidence goes by hunk and by id, coverage by id alone; neither by the artifact that it came in."""
     r = registry.shared_gate(spark, SF).r
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     evidence = validation.evidence_facts(r["evidence"], r["verified"], r["hunk"], r["artifact"])
+    coverage = validation.coverage_facts(r["coverage"], r["coverage_route"], r["coverage_file"], r["route"], r["hunk"], r["artifact"])
     try:
-        for facts in (evidence,):
+        for facts in (evidence, coverage):
             facts.explain()
             plan = [line for line in capsys.readouterr().out.splitlines() if "hashpartitioning" in line]
             assert plan and not [line for line in plan if "artifact_id" in line]
