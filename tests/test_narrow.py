@@ -8,7 +8,7 @@ from sievework.operators import validation
 from sievework.plans import catalogue, registry
 
 SF = "/root/testdata/sf0.001"
-NARROW = ["e02_e03_canonical_findings", "e04_canonical_evidence"]
+NARROW = ["e02_e03_canonical_findings", "e04_canonical_evidence", "p03_b004"]
 
 
 @pytest.mark.parametrize("name", NARROW)
