@@ -4,7 +4,7 @@ import pytest
 from compare import differences, duck
 from pyspark.sql import functions as F
 
-from sievework.operators import validation
+from sievework.operators import gate, validation
 from sievework.plans import catalogue, registry
 
 SF = "/root/testdata/sf0.001"
@@ -14,9 +14,9 @@ NARROW = ["e02_e03_canonical_findings", "e04_canonical_evidence", "p03_b004"]
 @pytest.mark.parametrize("name", NARROW)
 def test_facts_of_all_records_are_not_made(spark, name):
     registry.end_gates()
-    gate = registry.shared_gate(spark, SF)
+    own = registry.shared_gate(spark, SF)
     assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
-    assert not {"finding", "evidence", "coverage", "issues"} & set(gate.__dict__)
+    assert not {"finding", "evidence", "coverage", "issues"} & set(own.__dict__)
     registry.end_gates()
 
 
@@ -40,3 +40,16 @@ def test_facts_shuffle_each_relation_once_a_key(spark, capsys):
             assert plan and not [line for line in plan if "artifact_id" in line]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_issues_are_written_a_group_of_codes_at_a_time(spark, monkeypatch):
+    parts = []
+    before = gate.gathered
+    monkeypatch.setattr(gate, "gathered", lambda name, made: parts.append((name, len(made))) or before(name, made))
+    registry.end_gates()
+    own = registry.shared_gate(spark, SF)
+    assert differences(own.issues, duck(SF), catalogue.ORACLES["e10_all_issues"]) == ""
+    assert parts == [("issues", len(own._parts()))]
+    told = [code for codes, _ in own._parts() for code in codes]
+    assert len(told) == len(set(told)), "a code in two groups could give a row twice"
+    registry.end_gates()
