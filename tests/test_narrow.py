@@ -4,7 +4,7 @@ import pytest
 from compare import differences, duck
 from pyspark.sql import functions as F
 
-from sievework.operators import gate, validation
+from sievework.operators import gate, recheck, validation
 from sievework.plans import catalogue, registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,12 @@ def test_issues_are_written_a_group_of_codes_at_a_time(spark, monkeypatch):
     told = [code for codes, _ in own._parts() for code in codes]
     assert len(told) == len(set(told)), "a code in two groups could give a row twice"
     registry.end_gates()
+
+
+@pytest.mark.parametrize("name", ["k01_requests", "w12_oversized"])
+def test_counted_targets_are_not_located(spark, monkeypatch, name):
+    asked = []
+    before = recheck.targets
+    monkeypatch.setattr(recheck, "targets", lambda gate, located=True: asked.append(located) or before(gate, located))
+    assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
+    assert asked == [False]
