@@ -191,7 +191,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         words = sample.select("t", "y").mapInArrow(counted, "w string, n1 long, n0 long").groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
         best = words.where((F.col("n1") >= MIN_ROWS) & (odds > 2)).orderBy((odds * F.sqrt("n1")).desc(), "w").limit(mined_terms)
-        mined = [r.w for r in best.collect()]
+        with batches_of(docs.sparkSession, BATCH_ROWS):
+            mined = [r.w for r in best.collect()]
     model = ToxicityModel([*SEEDS, *(w for w in mined if w not in SEEDS)], mined, np.zeros(0))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +236,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all columns, whose score is below the threshold."""
+    """The rows of docs, with all columns, whose score is below the threshold; written, so that workers get few whole rows at once."""
     place = docs.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([model.score(t.as_py()) < threshold for t in b.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return cut(docs.mapInArrow(kept, docs.schema), "sound")
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -68,6 +68,14 @@ def test_toxicity(spark, docs, labels):
     assert kept.columns == docs.columns and kept.where("doc_id in (7, 11)").count() == 0 and kept.count() == N - 2
 
 
+def test_sound_documents_are_written_off_few_rows_at_once(spark, docs, labels, capsys):
+    """What is read later holds no worker that gets batches of ten thousand whole documents."""
+    kept = toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, labels))
+    kept.explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {*range(len(TEXTS)), None} - {7, 11}
+
+
 def test_pii(spark, docs):
     out = {r.doc_id: r for r in pii.op3_pii(docs).collect()}
     assert out[0].spans == "" and out[0].base_sha256 == hashlib.sha256(b"").hexdigest()
