@@ -62,3 +62,36 @@ def test_counted_targets_are_not_located(spark, monkeypatch, name):
     monkeypatch.setattr(recheck, "targets", lambda gate, located=True: asked.append(located) or before(gate, located))
     assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
     assert asked == [False]
+
+
+@pytest.mark.parametrize("name", ["u04_disjoint_buckets", "c10_buckets"])
+def test_buckets_make_no_issues_of_all_reviews(spark, name):
+    registry.end_gates()
+    own = registry.shared_gate(spark, SF)
+    assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
+    assert not {"finding", "coverage", "covered", "issues", "flagged"} & set(own.__dict__)
+    registry.end_gates()
+
+
+@pytest.mark.parametrize("name", ["a20_markdown", "p11_reason", "p10_coherence"])
+def test_decisions_write_flags_and_no_issues(spark, name):
+    registry.end_gates()
+    own = registry.shared_gate(spark, SF)
+    assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
+    assert not {"finding", "issues"} & set(own.__dict__) and own.flagged.columns == ["review_id", "tampered"]
+    registry.end_gates()
+
+
+def test_flags_are_those_of_the_issues(spark):
+    registry.end_gates()
+    own = registry.shared_gate(spark, SF)
+    flags = own.flagged.collect()
+    del own.__dict__["flagged"]
+    assert own.issues.count() and len(flags) == len({r.review_id for r in flags}) and set(flags) == set(own.flagged.collect())
+    registry.end_gates()
+
+
+@pytest.mark.parametrize("name", ["u04_disjoint_buckets", "c10_buckets", "p11_reason", "p10_coherence"])
+def test_slices_of_decisions_give_the_same(spark, monkeypatch, name):
+    monkeypatch.setattr(registry, "_slices", lambda *_: [F.col("review_id") < 700, F.col("review_id") >= 700])
+    assert differences(catalogue.QUERIES[name](spark, SF), duck(SF), catalogue.ORACLES[name]) == ""
